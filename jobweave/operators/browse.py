@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
@@ -74,52 +73,58 @@ def grams(col: Column) -> Column:
 
 
 def containing(patterns: DataFrame, values: DataFrame, salts: int = 16) -> DataFrame:
-    """(pattern, value) pairs where the value holds the pattern, whatever the case; patterns of 2 characters or more.
+    """(kind, pattern, value) where a value of the kind holds the pattern, whatever the case.
 
-    An equi-join on the pattern's rarest two-character piece, then the exact test, instead of comparing every pattern
-    with every value.  Both inputs are distinct; a piece that many values share is cut by value.
+    Patterns are of 2 characters or more.  An equi-join on the pattern's rarest two-character piece, then the exact
+    test, instead of comparing every pattern with every value.  Both inputs are distinct; a piece that many values share
+    is cut by value.
     """
     from jobweave.functions.skew import salted_join
 
-    indexed = values.select("value", F.explode(grams(F.col("value"))).alias("gram"))
-    sizes = indexed.groupBy("gram").agg(F.count("*").alias("n"))
-    wanted = patterns.filter(F.length("pattern") >= 2).select("pattern", F.explode(grams(F.col("pattern"))).alias("gram"))
-    pieces = F.count("*").alias("known")
+    keys = ["kind", "gram"]
+    indexed = values.select("kind", "value", F.explode(grams(F.col("value"))).alias("gram"))
+    sizes = indexed.groupBy(*keys).agg(F.count("*").alias("n"))
+    wanted = patterns.filter(F.length("pattern") >= 2).select(
+        "kind", "pattern", F.explode(grams(F.col("pattern"))).alias("gram")
+    )
     rarest = (
-        wanted.join(sizes, "gram")
-        .groupBy("pattern")
-        .agg(pieces, F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        wanted.join(sizes, keys)
+        .groupBy("kind", "pattern")
+        .agg(F.count("*").alias("known"), F.min_by("gram", F.struct("n", "gram")).alias("gram"))
         .filter(F.col("known") == F.size(grams(F.col("pattern"))))
         .drop("known")
     )
-    pairs = salted_join(indexed, rarest, ["gram"], F.col("value"), salts)
-    return pairs.filter(F.lower("value").contains(F.lower("pattern"))).select("pattern", "value")
+    pairs = salted_join(indexed, rarest, keys, F.col("value"), salts)
+    return pairs.filter(F.lower("value").contains(F.lower("pattern"))).select("kind", "pattern", "value")
 
 
 def suggest(queries: DataFrame, jobs: DataFrame, column: str, limit: int = 8) -> DataFrame:
     """Up to `limit` distinct titles (or locations) of active jobs that hold the query, per query of >= 2 characters."""
     typed = queries.select("query_id", text.strip(F.col("query")).alias("pattern")).filter(F.length("pattern") >= 2)
     values = jobs.filter("is_active = 1").select(F.col(column).alias("value")).dropna().distinct()
-    pairs = containing(typed.select("pattern").distinct(), values)
+    kind = F.lit(column).alias("kind")
+    pairs = containing(typed.select(kind, "pattern").distinct(), values.select(kind, "value")).drop("kind")
     best = top_k(pairs, ["pattern"], [F.asc("value")], limit, F.col("value"))
     return typed.join(best, "pattern").select("query_id", F.col("pattern").alias("query"), "value", "rank")
 
 
+def sorted_filters(filters: Column) -> Column:
+    """Filter map without blank entries, in key order, so that equal requests look equal."""
+    given = F.map_filter(F.coalesce(filters, F.create_map().cast("map<string,string>")), lambda k, v: v != "")
+    return F.map_from_entries(F.array_sort(F.map_entries(given)))
+
+
 ANCHORS = (*flt.EXACT_FILTERS, *flt.SUBSTRING_FILTERS)
 
 
-def browse_requests(requests: DataFrame, jobs: DataFrame, as_of: str, max_limit: int = 3000) -> DataFrame:
+def browse_requests(requests: DataFrame, jobs: DataFrame, max_limit: int = 3000) -> DataFrame:
     """Browse for a whole table of requests (query_id, filters, fetch): the first `fetch` jobs of each with their rank.
 
     Equal filter maps are answered once.  Each filter map meets the jobs by one equality, its anchor: an exact filter,
     the location values that hold the wanted text, a search category, or, for none of these, the table as a whole; the
     other filters are tested on the joined rows.
     """
-    asked = requests.select(
-        "query_id",
-        "fetch",
-        F.map_filter(F.coalesce("filters", F.create_map().cast("map<string,string>")), lambda k, v: v != "").alias("f"),
-    ).withColumn("shape", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("f")))))
+    asked = requests.select("query_id", "fetch", F.to_json(sorted_filters(F.col("filters"))).alias("shape"))
     shapes = asked.groupBy("shape").agg(F.max("fetch").alias("fetch"))
     shapes = shapes.withColumn("filters", F.from_json("shape", "map<string,string>"))
 
@@ -143,27 +148,25 @@ def browse_requests(requests: DataFrame, jobs: DataFrame, as_of: str, max_limit:
         {"wanted": F.when(lone, "").otherwise(F.col("wanted")), "kind": F.when(lone, "all").otherwise(F.col("kind"))}
     )
     shown = open_jobs(jobs)
-    resolved = [exact.select("shape", "kind", F.col("wanted").alias("value"))]
-    for name in flt.SUBSTRING_FILTERS:
-        asked_texts = shapes.filter(fuzzy & (F.col("kind") == name))
-        values = shown.select(F.col(name).alias("value")).dropna().distinct()
-        pairs = containing(asked_texts.select(F.col("wanted").alias("pattern")).distinct(), values)
-        hit = asked_texts.join(pairs, F.col("wanted") == F.col("pattern")).select("shape", "kind", "value")
-        resolved.append(hit)
-    anchors = resolved[0]
-    for more in resolved[1:]:
-        anchors = anchors.unionByName(more)
-    anchors = anchors.join(shapes.select("shape", "filters", "fetch"), "shape")
+    texts = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in flt.SUBSTRING_FILTERS])
+    # Values of all jobs will do: what may be shown is decided where the jobs are joined.
+    values = jobs.select(F.inline(texts)).dropna().distinct()
+    asked_texts = shapes.filter(fuzzy).select("shape", "kind", F.col("wanted").alias("pattern"))
+    pairs = containing(asked_texts.select("kind", "pattern").distinct(), values)
+    resolved = asked_texts.join(pairs, ["kind", "pattern"]).select("shape", "kind", "value")
+    anchors = exact.select("shape", "kind", F.col("wanted").alias("value")).unionByName(resolved)
+    anchors = anchors.join(flt.with_wanted(shapes).select("shape", "fetch", *flt.WANTED), "shape")
 
     own = [F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ANCHORS]
     own.append(F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")))
-    tagged = shown.withColumn("_cats", flt.categories_of(F.col("job_title")))
-    of_category = F.transform("_cats", lambda c: F.struct(F.lit("category").alias("kind"), c.alias("value")))
+    listed = F.split(F.trim(F.col("cats"), F.lit(",")), ",")
+    tagged = shown.withColumn("cats", flt.category_list(F.col("job_title")))
+    of_category = F.transform(listed, lambda c: F.struct(F.lit("category").alias("kind"), c.alias("value")))
     narrow = tagged.select(
         "id", "exists_in_london", "exists_in_uk", "has_description", "added_at", "job_title", "views_count", "salary",
-        *ANCHORS, "_cats", F.explode(F.concat(F.array(*own), of_category)).alias("anchor"),
+        *ANCHORS, "cats", F.explode(F.concat(F.array(*own), of_category)).alias("anchor"),
     ).select("*", "anchor.kind", "anchor.value").drop("anchor")
-    met = narrow.join(anchors, ["kind", "value"]).filter(flt.row_meets_request(F.col("filters"), F.col("_cats")))
+    met = narrow.join(anchors, ["kind", "value"]).filter(flt.row_meets_request())
     ranked = top_k(met, ["shape"], sort_keys("relevance"), max_limit, F.col("id"))
     answers = ranked.filter(F.col("rank") <= F.col("fetch")).select("shape", "id", "rank")
     hits = asked.select("query_id", "shape", "fetch").join(answers, "shape")
@@ -274,16 +277,18 @@ def page_window(lists: DataFrame, width: int = 10) -> DataFrame:
     return shown.withColumn("page_number", F.explode(F.sequence(first, last)))
 
 
-def teaser_rows(pages: DataFrame, free_cap: int = fx.FREE_CAP) -> DataFrame:
+def teaser_rows(pages: DataFrame, free_cap: int = fx.FREE_CAP, keep: Sequence[str] = ()) -> DataFrame:
     """Placeholder rows of the first page of a free request: min(size - shown, total - 3) of them.
 
-    `pages` is (query_id, tier, page, size, shown, total), `total` before the cap.
+    `pages` is (query_id, tier, page, size, shown, total), `total` before the cap; `keep` names further columns to
+    carry along.
     """
     need = F.least(F.col("size") - F.col("shown"), F.col("total") - free_cap)
     due = pages.filter((F.col("tier") == 0) & (F.col("page") == 1) & (F.col("total") > free_cap) & (need > 0))
     number = F.explode(F.sequence(F.lit(0), (need - 1).cast("int")))
-    return due.select("query_id", number.alias("n")).select(
+    return due.select("query_id", *keep, number.alias("n")).select(
         "query_id",
+        *keep,
         F.concat(F.lit("dummy-"), F.col("n").cast("string")).alias("id"),
         F.lit("Premium Job Listing").alias("job_title"),
         F.lit("Unlock to View").alias("organisation_name"),

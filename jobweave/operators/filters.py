@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,26 +49,43 @@ def categories_of(title: Column) -> Column:
     return F.array_compact(F.array(*marks))
 
 
-def row_meets_request(filters: Column, categories: Column) -> Column:
-    """`apply_filters` for rows that carry both a job and the filter map of a request."""
-    checks = []
-    for name in SUBSTRING_FILTERS:
-        wanted = F.coalesce(F.try_element_at(filters, F.lit(name)), F.lit(""))
-        checks.append((wanted == "") | F.coalesce(F.lower(F.col(name)).contains(F.lower(wanted)), F.lit(False)))
-    for name in EXACT_FILTERS:
-        wanted = F.coalesce(F.try_element_at(filters, F.lit(name)), F.lit(""))
-        checks.append((wanted == "") | F.coalesce(F.col(name) == wanted, F.lit(False)))
-    category = text.strip(F.coalesce(F.try_element_at(filters, F.lit("category")), F.lit("")))
-    known = category.isin(*fx.SEARCH_CATEGORIES)
-    checks.append(
-        F.when(category == fx.GLOBAL_CATEGORY, F.col("exists_in_uk") == 0)
-        .when(known, F.array_contains(categories, category))
-        .otherwise(F.lit(True))
+def category_list(title: Column) -> Column:
+    """The same as one text, `,1,14,`, for a plain substring test."""
+    return F.concat(F.lit(","), F.array_join(categories_of(title), ","), F.lit(","))
+
+
+WANTED = tuple(f"want_{c}" for c in (*SUBSTRING_FILTERS, *EXACT_FILTERS, "category"))
+
+
+def with_wanted(requests: DataFrame) -> DataFrame:
+    """Spread the `filters` map of requests over `want_*` columns, null where nothing is asked."""
+
+    def given(name: str) -> Column:
+        return F.nullif(F.try_element_at("filters", F.lit(name)), F.lit(""))
+
+    category = text.strip(given("category"))
+    known = category.isin(fx.GLOBAL_CATEGORY, *fx.SEARCH_CATEGORIES)
+    columns = {f"want_{c}": F.lower(given(c)) for c in SUBSTRING_FILTERS}
+    columns |= {f"want_{c}": given(c) for c in EXACT_FILTERS}
+    columns["want_category"] = F.when(known, F.concat(F.lit(","), category, F.lit(",")))
+    return requests.withColumns(columns)
+
+
+def row_meets_request() -> Column:
+    """`apply_filters` for rows that carry a job, its `cats` list and the `want_*` columns of a request."""
+    checks = [
+        F.col(f"want_{c}").isNull() | F.coalesce(F.lower(c).contains(F.col(f"want_{c}")), F.lit(False))
+        for c in SUBSTRING_FILTERS
+    ]
+    checks += [
+        F.col(f"want_{c}").isNull() | F.coalesce(F.col(c) == F.col(f"want_{c}"), F.lit(False)) for c in EXACT_FILTERS
+    ]
+    category = F.col("want_category")
+    of_category = F.when(category == f",{fx.GLOBAL_CATEGORY},", F.col("exists_in_uk") == 0).otherwise(
+        F.col("cats").contains(category)
     )
-    out = checks[0]
-    for check in checks[1:]:
-        out = out & check
-    return out
+    checks.append(category.isNull() | of_category)
+    return reduce(lambda a, b: a & b, checks)
 
 
 def without_courses(jobs: DataFrame, course_words: Iterable[str] = fx.COURSE_WORDS_BROWSE) -> DataFrame:

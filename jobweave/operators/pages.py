@@ -54,6 +54,9 @@ class _Outline(HTMLParser):
         else:
             self.events.append(("text", data))
 
+    def handle_comment(self, data):
+        self.events.append(("note", data))
+
     def _close_down_to(self, size):
         while len(self._open) > size:
             self.events.append(("close", self._open.pop()))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,71 +72,136 @@ CARRIED = (
     "location", "org_location", "organisation_name", "experience_level", "remote_type", "job_source", "exists_in_uk",
     "exists_in_london", "has_description",
 )
+RANKING = ("id", "dl", "title_is", "cats", *CARRIED)
 
 
-def _searchable(jobs: DataFrame) -> DataFrame:
-    """Active jobs with what ranking needs.  The title goes along as a digest: only its equality with a query counts."""
+def searchable(jobs: DataFrame) -> DataFrame:
+    """One row per active job with its title terms and what ranking needs.
+
+    The title itself stays behind: only its equality with a query and the course rule are asked for later, and a digest
+    and a flag answer those.
+    """
     flags = {f: F.coalesce(F.col(f), F.lit(0)) for f in ("exists_in_uk", "exists_in_london", "has_description")}
     title = text.value_or_blank(F.col("job_title"))
-    length = sum((F.size(text.tokens(F.col(c))) for c in INDEX_COLUMNS[1:]), F.size(text.tokens(F.col("job_title"))))
-    return jobs.filter("is_active = 1").withColumns(
+    others = sum((F.size(text.tokens(F.col(c))) for c in INDEX_COLUMNS[2:]), F.size(text.tokens(F.col(INDEX_COLUMNS[1]))))
+    rows = jobs.filter("is_active = 1").withColumns({**flags, "terms": text.tokens(title), "low": F.lower(title)})
+    rows = rows.withColumns(
         {
-            **flags,
-            "dl": length,
-            "title_is": F.sha2(F.lower(title), 256),
-            "cats": F.array_join(flt.categories_of(title), ","),
+            "dl": F.size("terms") + others,
+            "title_is": F.sha2("low", 256),
+            "title_key": F.sha2(text.strip(F.col("low")), 256),
+            "cats": flt.category_list(F.col("low")),
+            "is_course": flt.is_course(F.col("low")),
         }
     )
+    return rows.select(*RANKING, "title_key", "is_course", "terms")
 
 
-def hits(jobs: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, id, tf, carried columns) for every active job whose title has a query word or phrase.
+def term_counts(docs: DataFrame) -> DataFrame:
+    """One row per (document, term) with tf, from the document's own term list: sorted, then one row per run.
 
-    Title tokens meet the distinct query words first and are counted per job afterwards, both inside the task that
-    reads the job when the words fit a broadcast; only matches are shuffled.  The phrase half costs nothing when no
-    query has a phrase: adaptive execution drops a join with an empty side.
+    The sorted list and the run starts are columns of their own; inside the lambdas they would be worked out again for
+    every element.
     """
-    keys = ["id", "dl", "title_is", "cats", *CARRIED]
-    parts = words.select("word", "parts").distinct()
-    docs = _searchable(jobs).select(*keys, text.tokens(F.col("job_title")).alias("terms"))
+    ordered = docs.withColumn("ordered", F.array_sort("terms")).filter(F.size("terms") > 0)
+    starts = F.filter(
+        F.sequence(F.lit(1), F.size("ordered")),
+        lambda i: (i == 1) | (F.get("ordered", i - 1) != F.get("ordered", i - 2)),
+    )
+    runs = ordered.withColumn("starts", starts)
+    counts = F.transform(
+        "starts",
+        lambda at, n: F.struct(
+            F.get("ordered", at - 1).alias("term"),
+            (F.coalesce(F.get("starts", n + 1), F.size("ordered") + 1) - at).alias("tf"),
+        ),
+    )
+    return runs.select(*RANKING, F.inline(counts))
+
+
+def term_part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+class SearchIndex:
+    """Written search index of the active jobs: `docs`, `postings` in folders by term, `corpus`.
 
-    single = parts.filter(F.size("parts") == 1).select("word", F.col("parts")[0].alias("term"))
-    spread = docs.select(*keys, F.explode("terms").alias("term"))
-    singles = spread.join(single, "term").groupBy("word", *keys).agg(F.count("*").alias("tf"))
+    Built once for many batches of queries.  A search reads only the posting folders of its words (dynamic partition
+    pruning), needs no shuffle to count terms, and never touches the job texts again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, parts: int) -> None:
+        self.folder, self.parts = folder, parts
+        self.docs = spark.read.parquet(f"{folder}/docs")
+        self.postings = spark.read.parquet(f"{folder}/postings")
+        self.corpus = spark.read.parquet(f"{folder}/corpus")
+
+    @classmethod
+    def build(cls, jobs: DataFrame, folder: str, parts: int = 16) -> SearchIndex:
+        """Write the index of a jobs table.
+
+        Postings are sorted into ranges of (folder, term, id): a term that a third of all titles share is spread over
+        as many tasks and files as its rows need.
+        """
+        spark = jobs.sparkSession
+        searchable(jobs).write.mode("overwrite").parquet(f"{folder}/docs")
+        docs = spark.read.parquet(f"{folder}/docs")
+        rows = term_counts(docs).withColumn("part", term_part(F.col("term"), parts))
+        rows.repartitionByRange("part", "term", "id").write.mode("overwrite").partitionBy("part").parquet(
+            f"{folder}/postings"
+        )
+        stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        stats.write.mode("overwrite").parquet(f"{folder}/corpus")
+        return cls(spark, folder, parts)
+
+
+def hits(index: SearchIndex, words: DataFrame) -> DataFrame:
+    """(word, tf, ranking columns) for every job whose title has a query word or phrase.
+
+    Single words are posting rows as they stand.  A phrase takes the jobs that have its first term and counts its
+    occurrences in their term lists; without phrases adaptive execution drops that half.
+    """
+    parts = words.select("word", "parts").distinct()
+    parts = parts.withColumn("term", F.col("parts")[0]).withColumn("part", term_part(F.col("term"), index.parts))
+    met = index.postings.join(parts.filter(F.size("parts") == 1).drop("parts"), ["part", "term"])
+    singles = met.select("word", F.col("tf").cast("bigint").alias("tf"), *RANKING)
 
     phrase = parts.filter(F.size("parts") > 1)
-    steps = phrase.select("word", F.size("parts").alias("size"), F.posexplode("parts").alias("step", "term"))
-    places = docs.select(*keys, F.posexplode("terms").alias("at", "term"))
-    started = places.join(steps, "term").withColumn("start", F.col("at") - F.col("step"))
-    full = started.groupBy("word", "size", "start", *keys).agg(F.count("*").alias("met")).filter("met = size")
-    phrases = full.groupBy("word", *keys).agg(F.count("*").alias("tf"))
+    started = index.postings.join(phrase, ["part", "term"]).select("word", "parts", *RANKING)
+    lists = started.join(index.docs.select("id", "terms"), "id")
+    size = F.size("parts")
+    last = F.size("terms") - size + 1
+    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    found = F.size(F.filter(at, lambda i: F.slice("terms", i, size) == F.col("parts")))
+    phrases = lists.withColumn("tf", found.cast("bigint")).filter("tf > 0").select("word", "tf", *RANKING)
     return singles.unionByName(phrases)
 
 
-def search_bm25(queries: DataFrame, jobs: DataFrame, candidates: int = fx.CANDIDATES) -> DataFrame:
+def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int = fx.CANDIDATES) -> DataFrame:
     """Per query the first `candidates` jobs whose title has one of its words.
 
     Order and rank: London, UK, exact title, has description, then score, then id.  Term counts are those of the title;
     lengths are over all indexed columns.
     """
     words = query_words(queries)
-    found = hits(jobs, words)
+    found = hits(index, words)
     df = found.groupBy("word").agg(F.count("*").alias("df"))
-    corpus = corpus_stats(jobs)
-    n, avgdl = corpus.select("n").scalar(), corpus.select("avgdl").scalar()
-    asked = queries.select(
-        "query_id", "filters", F.sha2(text.normalise_query(F.col("query")), 256).alias("query_is")
+    n, avgdl = index.corpus.select("n").scalar(), index.corpus.select("avgdl").scalar()
+    asked = flt.with_wanted(queries).select(
+        "query_id", *flt.WANTED, F.sha2(text.normalise_query(F.col("query")), 256).alias("query_is")
     )
-    weighed = words.select("query_id", "word", "times").join(df, "word").join(asked, "query_id")
-    weighed = weighed.withColumn("idf", F.col("times") * idf(n, F.col("df"))).drop("times", "df")
-    met = salted_join(found, weighed, ["word"], F.col("id"))
-    met = met.filter(flt.row_meets_request(F.col("filters"), F.split("cats", ",")))
-    part = F.col("idf") * bm25_weight(F.col("tf"), F.col("dl"), avgdl)
-    exact = (F.col("title_is") == F.col("query_is")).cast("int")
-    keys = ["query_id", "id", "exists_in_london", "exists_in_uk", "has_description", "exact_match"]
-    scored = met.withColumn("exact_match", exact).groupBy(*keys).agg(F.round(F.sum(part), DIGITS).alias("bm25_score"))
-    order = [F.desc(c) for c in ("exists_in_london", "exists_in_uk", "exact_match", "has_description", "bm25_score")]
-    return top_k(scored, ["query_id"], [*order, F.asc("id")], candidates, F.col("id"))
+    weight = F.col("times") * idf(n, F.col("df"))
+    weighed = words.select("query_id", "word", "times").join(df, "word").withColumn("weight", weight)
+    weighed = weighed.drop("times", "df").join(asked, "query_id")
+    met = salted_join(found, weighed, ["word"], F.col("id")).filter(flt.row_meets_request())
+    # All that ranks before the score, in one number, so the sums are kept by three plain numbers per pair.
+    exact = F.col("title_is") == F.col("query_is")
+    bits = (F.col("exists_in_london") == 1, F.col("exists_in_uk") == 1, exact, F.col("has_description") == 1)
+    tier = reduce(lambda high, bit: high * 2 + bit.cast("int"), bits, F.lit(0))
+    part = F.col("weight") * bm25_weight(F.col("tf"), F.col("dl"), avgdl)
+    scored = met.groupBy("query_id", "id", tier.alias("tier")).agg(F.round(F.sum(part), DIGITS).alias("bm25_score"))
+    order = [F.desc("tier"), F.desc("bm25_score"), F.asc("id")]
+    return top_k(scored, ["query_id"], order, candidates, F.col("id")).drop("tier")
 
 
 def score_rrf(rank: Column, k: int = fx.RRF_K) -> Column:
@@ -155,7 +221,7 @@ def _filter_mask(batch: pd.DataFrame, filters: dict[str, str]) -> np.ndarray:
     if category == fx.GLOBAL_CATEGORY:
         keep &= (batch["exists_in_uk"] == 0).to_numpy(bool)
     elif category in fx.SEARCH_CATEGORIES:
-        keep &= batch["cats"].map(lambda cats: category in cats.split(",")).to_numpy(bool)
+        keep &= batch["cats"].str.contains(f",{category},", regex=False).to_numpy(bool)
     return keep
 
 
@@ -192,7 +258,7 @@ def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
 
 def search_semantic(
     queries: DataFrame,
-    jobs: DataFrame,
+    index: SearchIndex,
     vectors: DataFrame,
     candidates: int = fx.CANDIDATES,
     max_broadcast_queries: int = 2048,
@@ -206,9 +272,21 @@ def search_semantic(
     (query block, vector block), so no task holds more than one block of each.  Either way only the best `candidates`
     rows of a block leave it, never all pairs.
     """
-    pool = _searchable(jobs).select("id", *VECTOR_CARRIED).join(
+    pool = index.docs.select("id", *VECTOR_CARRIED).join(
         vectors.filter("embedding IS NOT NULL").select("id", "embedding"), "id"
     )
+    return nearest(queries, pool, candidates, max_broadcast_queries, block_queries, block_vectors)
+
+
+def nearest(
+    queries: DataFrame,
+    pool: DataFrame,
+    candidates: int = fx.CANDIDATES,
+    max_broadcast_queries: int = 2048,
+    block_queries: int = 1024,
+    block_vectors: int = 4096,
+) -> DataFrame:
+    """`search_semantic` over given candidates: id, embedding and the columns their filters need."""
     asked = queries.filter("query_embedding IS NOT NULL").select("query_id", "filters", "query_embedding")
     head = asked.limit(max_broadcast_queries + 1).collect()
     if len(head) <= max_broadcast_queries:
@@ -287,7 +365,7 @@ def fuse(bm25: DataFrame, semantic: DataFrame, weights: tuple[float, float] = fx
 
 def search_hybrid(
     queries: DataFrame,
-    jobs: DataFrame,
+    index: SearchIndex,
     vectors: DataFrame,
     limit: int = 20,
     min_score: Column | float = 0.15,
@@ -298,15 +376,9 @@ def search_hybrid(
     Order: London, UK, exact title, has description, fused score, id.  The score threshold holds for queries of more
     than two words and only if some candidate reaches it.
     """
-    fused = fuse(search_bm25(queries, jobs, candidates), search_semantic(queries, jobs, vectors, candidates))
-    return _order_fused(fused, queries, jobs, limit, min_score)
-
-
-def _order_fused(fused, queries, jobs, limit, min_score) -> DataFrame:
-    facts = _searchable(jobs).select(
-        "id", "exists_in_london", "exists_in_uk", "has_description", F.sha2(F.lower(text.strip(
-            text.value_or_blank(F.col("job_title")))), 256).alias("title_is"),
-        flt.is_course(F.col("job_title")).alias("is_course"),
+    fused = fuse(search_bm25(queries, index, candidates), search_semantic(queries, index, vectors, candidates))
+    facts = index.docs.select(
+        "id", "exists_in_london", "exists_in_uk", "has_description", F.col("title_key").alias("title_is"), "is_course"
     )
     bar = min_score if isinstance(min_score, Column) else F.lit(float(min_score))
     asked = queries.select(
@@ -330,9 +402,9 @@ def _order_fused(fused, queries, jobs, limit, min_score) -> DataFrame:
 
 def search(
     queries: DataFrame,
+    index: SearchIndex,
     jobs: DataFrame,
     vectors: DataFrame,
-    as_of: str,
     limit: int = 20,
     min_score: float = 0.15,
     candidates: int = fx.CANDIDATES,
@@ -344,59 +416,82 @@ def search(
     fetch = F.col("fetch") if "fetch" in queries.columns else F.lit(limit)
     asked = queries.withColumn("fetch", fetch)
     blank = text.strip(text.value_or_blank(F.col("query"))) == ""
-    browsed = listing.browse_requests(asked.filter(blank), jobs, as_of)
     typed = asked.filter(~blank)
+    answers = []
+    if not asked.filter(blank).isEmpty():
+        most = limit if "fetch" not in queries.columns else max(fx.TIER_FETCH.values())
+        answers.append(listing.browse_requests(asked.filter(blank), jobs, max_limit=most))
+    if not answers or not typed.isEmpty():
+        answers.append(_search_typed(typed, index, vectors, min_score, candidates))
+    return reduce(DataFrame.unionByName, answers)
+
+
+def _search_typed(
+    typed: DataFrame, index: SearchIndex, vectors: DataFrame, min_score: float, candidates: int
+) -> DataFrame:
     n_words = F.size(text.words(F.col("query")))
     bar = F.when(n_words <= 2, F.greatest(F.lit(0.05), F.lit(min_score * 0.5))).otherwise(F.lit(float(min_score)))
     # A query has at most 2 * candidates rows, so this many cover any fetch; twice the fetch is cut exactly below.
-    found = search_hybrid(typed, jobs, vectors, 2 * candidates, bar, candidates)
+    found = search_hybrid(typed, index, vectors, 2 * candidates, bar, candidates)
     limits = typed.select("query_id", "fetch")
     kept = found.join(limits, "query_id").filter(F.col("place") <= 2 * F.col("fetch")).filter(~F.col("is_course"))
     ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place")).cast("bigint"))
-    found = ranked.filter(F.col("rank") <= F.col("fetch")).select("query_id", "id", "rank", "hybrid_score")
-    return found.unionByName(browsed)
+    return ranked.filter(F.col("rank") <= F.col("fetch")).select("query_id", "id", "rank", "hybrid_score")
 
 
 def search_listing(
-    requests: DataFrame, users: DataFrame, jobs: DataFrame, vectors: DataFrame, as_of: str
+    requests: DataFrame, users: DataFrame, index: SearchIndex, jobs: DataFrame, vectors: DataFrame
 ) -> DataFrame:
     """A table of listing requests answered end to end.
 
     Requests are (query_id, query, filters, user_id, page, page_limit, location_filter, query_embedding).  Tier gives
     the fetch limit; then search, location scope, tier cap, page; free first pages get placeholder rows.
+
+    Blank requests with the same filters, scope and fetch limit share one result list, so many requests cost as much as
+    the few lists they ask for.  A list is at most 3000 rows long; a request takes its slice of it.
     """
-    tiers = requests.join(users.select("user_id", "membership_status"), "user_id", "left").withColumn(
-        "tier", F.coalesce("membership_status", F.lit(0))
+    tier = F.coalesce("membership_status", F.lit(0))
+    asked = requests.join(users.select("user_id", "membership_status"), "user_id", "left").withColumn("tier", tier)
+    asked = asked.withColumn("fetch", listing.tier_fetch(F.col("tier")))
+    blank = text.strip(text.value_or_blank(F.col("query"))) == ""
+    shared = F.to_json(F.struct(listing.sorted_filters(F.col("filters")).alias("f"), "location_filter", "fetch"))
+    own = F.concat(F.lit("q"), F.col("query_id").cast("string"))
+    asked = asked.withColumn("list_key", F.when(blank, shared).otherwise(own))
+    lists = asked.drop("query_id", "user_id", "page", "page_limit", "tier", "membership_status")
+    lists = lists.withColumnRenamed("list_key", "query_id").dropDuplicates(["query_id"])
+
+    answers = search(lists, index, jobs, vectors, min_score=0.10)
+    facts = jobs.select("id", "exists_in_uk", "exists_in_london", "job_title", "organisation_name", "location")
+    scoped = answers.join(facts, "id").join(lists.select("query_id", "location_filter"), "query_id")
+    scoped = scoped.filter(flt.row_in_scope(F.col("location_filter")))
+    shown = F.struct(
+        "rank", F.col("id").cast("string").alias("id"), "job_title", "organisation_name", "location", "hybrid_score"
     )
-    asked = tiers.withColumn("fetch", listing.tier_fetch(F.col("tier")))
-    answers = search(asked, jobs, vectors, as_of, min_score=0.10)
-    plan = asked.select("query_id", "tier", "page", "page_limit", "location_filter")
-    flags = jobs.select("id", "exists_in_uk", "exists_in_london")
-    scoped = answers.join(plan, "query_id").join(flags, "id").filter(flt.row_in_scope(F.col("location_filter")))
-    order = W.partitionBy("query_id").orderBy("rank")
-    placed = scoped.withColumn("rank", F.row_number().over(order).cast("bigint"))
-    totals = placed.groupBy("query_id").agg(F.count("*").alias("found"))
-    cap = listing.tier_cap(F.col("tier"))
+    found = scoped.groupBy(F.col("query_id").alias("list_key")).agg(F.array_sort(F.collect_list(shown)).alias("found"))
+
+    pages = asked.select("query_id", "tier", "page", "page_limit", "list_key").join(found, "list_key", "left")
+    pages = pages.withColumn("n_found", F.coalesce(F.array_size("found"), F.lit(0)))
+    pages = pages.withColumn("total", F.least(F.col("n_found"), listing.tier_cap(F.col("tier"))))
     first = (F.col("page") - 1) * F.col("page_limit")
-    shown = placed.filter(
-        (F.col("rank") <= cap) & (F.col("rank") > first) & (F.col("rank") <= first + F.col("page_limit"))
-    )
-    pages = plan.join(totals, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    pages = pages.withColumn("total", F.least(F.col("found"), cap))
     on_page = F.greatest(F.lit(0), F.least(F.col("page_limit"), F.col("total") - first))
-    teasers = listing.teaser_rows(
-        pages.select("query_id", "tier", "page", F.col("page_limit").alias("size"), on_page.alias("shown"),
-                     F.col("found").alias("total"))
+    none = F.array().cast(scoped.select(F.array(shown).alias("a")).schema["a"].dataType)
+    rows = F.transform(
+        F.coalesce(F.slice("found", first + 1, on_page), none),
+        lambda x, i: F.struct(
+            x["id"].alias("id"), x["job_title"].alias("job_title"), x["organisation_name"].alias("organisation_name"),
+            x["location"].alias("location"), (first + i + 1).cast("bigint").alias("rank"),
+            x["hybrid_score"].alias("hybrid_score"), F.lit(False).alias("is_blurred"),
+        ),
     )
-    facts = jobs.select("id", "job_title", "organisation_name", "location")
-    rows = shown.select("query_id", "id", "rank", "hybrid_score").join(facts, "id")
-    rows = rows.withColumns({"id": F.col("id").cast("string"), "is_blurred": F.lit(False)})
-    every = rows.unionByName(teasers, allowMissingColumns=True)
-    counts = pages.select(
-        "query_id", "total",
-        F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("page_limit"))).cast("bigint").alias("total_pages"),
-    )
-    return every.join(counts, "query_id")
+    counts = F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("page_limit"))).cast("bigint")
+    sized = pages.withColumns({"total_pages": counts, "shown": on_page})
+    listed = sized.select("query_id", "total", "total_pages", F.inline(rows))
+    teasers = listing.teaser_rows(
+        sized.select("query_id", "tier", "page", F.col("page_limit").alias("size"), "shown",
+                     F.col("n_found").alias("total"), F.col("total").alias("allowed"), "total_pages"),
+        keep=["allowed", "total_pages"],
+    ).withColumnRenamed("allowed", "total")
+    return listed.unionByName(teasers, allowMissingColumns=True)
 
 
 def embed_backlog(

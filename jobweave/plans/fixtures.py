@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text
+from jobweave.operators.retrieval import SearchIndex
 from jobweave.sources import imports, workdir
 
+# Tables whose rows are long texts, with their key.
+HEAVY = {"documents": "doc_id", "pages": "page_id"}
+INDEXES: dict[tuple[str, str, str], SearchIndex] = {}
 JOBS_AS_OF = "2024-02-10 00:00:00"
 DAY_AS_OF = "2024-01-20 12:00:00"
 
@@ -161,12 +165,20 @@ class Fixtures:
 
     def table(self, name: str) -> DataFrame:
         if name not in ADAPTERS:
-            return imports.read_table(self.spark, self.folder, name)
+            rows = imports.read_table(self.spark, self.folder, name)
+            return imports.spread(rows, HEAVY[name]) if name in HEAVY else rows
         sql = ADAPTERS[name]
         return self.spark.sql(sql, **{n: self.table(n) for n in _names(sql)})
 
     __getattr__ = table
 
+    def index(self, jobs: str) -> SearchIndex:
+        """Search index of an adapter, written once per session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, jobs)
+        if key not in INDEXES:
+            INDEXES[key] = SearchIndex.build(self.table(jobs), self.work_folder())
+        return INDEXES[key]
+
     def requests_table(self) -> DataFrame:
         """Search requests with their filter map."""
         pairs = {"location": "f_location", "job_source": "f_source", "category": "f_category"}

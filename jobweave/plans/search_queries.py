@@ -87,7 +87,7 @@ def join_index_jobs(t):
 
 @query("search_bm25", D + INDEX_SQL + " SELECT query_id, id, rank, round(bm25_score, 6) AS bm25_score FROM bm")
 def search_bm25(t):
-    found = retrieval.search_bm25(t.requests_table(), t.jobs_docs)
+    found = retrieval.search_bm25(t.requests_table(), t.index("jobs_docs"))
     return found.select("query_id", "id", "rank", F.round("bm25_score", 6).alias("bm25_score"))
 
 
@@ -108,7 +108,7 @@ def vec_cosine(t):
     D + INDEX_SQL + SEMANTIC_SQL + " SELECT query_id, id, rank, round(semantic_score, 6) AS semantic_score FROM sm",
 )
 def search_semantic(t):
-    found = retrieval.search_semantic(t.requests_table(), t.jobs_docs, t.vectors)
+    found = retrieval.search_semantic(t.requests_table(), t.index("jobs_docs"), t.vectors)
     return found.select("query_id", "id", "rank", F.round("semantic_score", 6).alias("semantic_score"))
 
 
@@ -121,18 +121,17 @@ PLAIN_SEMANTIC_SQL = """SELECT query_id, id, round(semantic_score, 6) AS semanti
 @query("join_query_vectors", with_("vectors", "requests") + " " + PLAIN_SEMANTIC_SQL)
 def join_query_vectors(t):
     """Every query against every vector, by blocks: each task keeps its best 50 per query."""
-    blank = {c: F.lit(None).cast("string") for c in retrieval.CARRIED if not c.startswith(("exists", "has"))}
-    flags = {c: F.lit(0) for c in ("exists_in_uk", "exists_in_london", "has_description")}
-    columns = {**blank, **flags, "job_title": F.lit(""), "is_active": F.lit(1)}
-    all_jobs = t.vectors.select("id").withColumns(columns)
+    blank = {c: F.lit("") for c in retrieval.VECTOR_CARRIED}
+    pool = t.vectors.withColumns({**blank, "exists_in_uk": F.lit(0)})
     asked = t.requests_table().withColumn("filters", F.create_map().cast("map<string,string>"))
-    found = retrieval.search_semantic(asked, all_jobs, t.vectors, max_broadcast_queries=0, block_queries=64, block_vectors=1024)
+    found = retrieval.nearest(asked, pool, max_broadcast_queries=0, block_queries=64, block_vectors=1024)
     return found.select("query_id", "id", F.round("semantic_score", 6).alias("semantic_score"), "rank")
 
 
 def _lists(t):
     asked = t.requests_table()
-    return retrieval.search_bm25(asked, t.jobs_docs), retrieval.search_semantic(asked, t.jobs_docs, t.vectors)
+    index = t.index("jobs_docs")
+    return retrieval.search_bm25(asked, index), retrieval.search_semantic(asked, index, t.vectors)
 
 
 HEAD = D + INDEX_SQL + SEMANTIC_SQL + FUSE_SQL
@@ -149,7 +148,7 @@ def join_rank_lists(t):
     HEAD + " SELECT query_id, id, rank, round(1.0 / (60 + rank), 9) AS rrf FROM sm",
 )
 def score_rrf(t):
-    found = retrieval.search_semantic(t.requests_table(), t.jobs_docs, t.vectors)
+    found = retrieval.search_semantic(t.requests_table(), t.index("jobs_docs"), t.vectors)
     return found.select("query_id", "id", "rank", F.round(retrieval.score_rrf(F.col("rank")), 9).alias("rrf"))
 
 
@@ -173,7 +172,7 @@ def win_rank(t):
 
 @query("sort_search", HEAD + " SELECT query_id, id, place FROM pl WHERE place <= 100")
 def sort_search(t):
-    found = retrieval.search_hybrid(t.requests_table(), t.jobs_docs, t.vectors, limit=100, min_score=0.0)
+    found = retrieval.search_hybrid(t.requests_table(), t.index("jobs_docs"), t.vectors, limit=100, min_score=0.0)
     return found.select("query_id", "id", "place")
 
 
@@ -182,7 +181,7 @@ def sort_search(t):
     HEAD + " SELECT query_id, id, place, br AS bm25_rank, sr AS semantic_rank, round(hybrid_score, 9) AS hybrid_score FROM pl WHERE place <= 20",
 )
 def search_hybrid(t):
-    found = retrieval.search_hybrid(t.requests_table(), t.jobs_docs, t.vectors)
+    found = retrieval.search_hybrid(t.requests_table(), t.index("jobs_docs"), t.vectors)
     return found.select(
         "query_id", "id", "place", "bm25_rank", "semantic_rank", F.round("hybrid_score", 9).alias("hybrid_score")
     )
@@ -199,7 +198,7 @@ def search_hybrid(t):
     UNION ALL SELECT query_id, id, rank, 1.0 FROM br WHERE rank <= 20""",
 )
 def search(t):
-    found = retrieval.search(t.requests_table(), t.jobs_docs, t.vectors, JOBS_AS_OF)
+    found = retrieval.search(t.requests_table(), t.index("jobs_docs"), t.jobs_docs, t.vectors)
     return found.withColumn("hybrid_score", F.round("hybrid_score", 9))
 
 
@@ -282,7 +281,7 @@ def search_listing(t):
     full = F.create_map(*[x for name, col in pairs.items() for x in (F.lit(name), F.col(col))])
     asked = asked.withColumn("filters", F.map_filter(full, lambda k, v: v.isNotNull())).drop(*pairs.values())
     asked = asked.join(t.vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id", "left")
-    rows = retrieval.search_listing(asked, t.users, t.jobs_part, t.vectors, JOBS_AS_OF)
+    rows = retrieval.search_listing(asked, t.users, t.index("jobs_part"), t.jobs_part, t.vectors)
     return rows.select(
         "query_id", "id", "job_title", "organisation_name", "location", "rank", "is_blurred", "total", "total_pages"
     )

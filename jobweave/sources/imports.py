@@ -27,6 +27,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table scan over at least as many tasks as there are cores.
+
+    For per-row work such as parsing.  A table in enough files or row groups, as any large one, is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A model table from a relational database, when its driver is on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()

@@ -154,6 +154,8 @@ def apply_checkouts(
     once = events.withWatermark("event_time", "1 day").dropDuplicatesWithinWatermark(["transaction_id"])
 
     def apply(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
         fresh = batch.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
         touched = fresh.select("user_id").distinct()
         old_users = people.read(number).join(touched, "user_id", "left_semi")
