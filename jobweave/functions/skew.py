@@ -12,6 +12,23 @@ HOT_SHARE = 1000
 GROUP_LIMIT = 1000
 
 
+BROADCAST_ROWS = 200_000
+
+
+def is_small(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Has the table at most `max_rows` rows?  Counts no further than that."""
+    return rows.limit(max_rows + 1).count() <= max_rows
+
+
+def small_side(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if its counted size allows, else as it is for a shuffled join.
+
+    Spark's own estimate of an exploded or aggregated table is too high to choose this by itself before the other side
+    has been shuffled.
+    """
+    return F.broadcast(rows) if is_small(rows, max_rows) else rows
+
+
 def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that own more than 1/1000 of the rows: never more than 1000 of them, so they may be broadcast."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -34,9 +51,9 @@ def join_unique(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> Data
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, salts: int = 16) -> DataFrame:
-    """Inner join where neither side is unique: each key is cut into `salts` pieces by `spread`.
+    """Shuffled inner join where neither side is unique: each key is cut into `salts` pieces by `spread`.
 
-    The small side is copied once per piece.  Spark still broadcasts it when its statistics allow.
+    The small side is copied once per piece.
     """
     cut = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

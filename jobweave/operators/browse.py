@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text
-from jobweave.functions.skew import first_rows, top_k
+from jobweave.functions.skew import first_rows, small_side, top_k
 from jobweave.operators import filters as flt
+from jobweave.sources import workdir
 
 
 def sort_keys(sort_by: str = "relevance") -> list[Column]:
@@ -155,7 +156,7 @@ def browse_requests(requests: DataFrame, jobs: DataFrame, max_limit: int = 3000)
     pairs = containing(asked_texts.select("kind", "pattern").distinct(), values)
     resolved = asked_texts.join(pairs, ["kind", "pattern"]).select("shape", "kind", "value")
     anchors = exact.select("shape", "kind", F.col("wanted").alias("value")).unionByName(resolved)
-    anchors = anchors.join(flt.with_wanted(shapes).select("shape", "fetch", *flt.WANTED), "shape")
+    anchors = workdir.cut(anchors.join(flt.with_wanted(shapes).select("shape", "fetch", *flt.WANTED), "shape"))
 
     own = [F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ANCHORS]
     own.append(F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")))
@@ -166,7 +167,7 @@ def browse_requests(requests: DataFrame, jobs: DataFrame, max_limit: int = 3000)
         "id", "exists_in_london", "exists_in_uk", "has_description", "added_at", "job_title", "views_count", "salary",
         *ANCHORS, "cats", F.explode(F.concat(F.array(*own), of_category)).alias("anchor"),
     ).select("*", "anchor.kind", "anchor.value").drop("anchor")
-    met = narrow.join(anchors, ["kind", "value"]).filter(flt.row_meets_request())
+    met = narrow.join(small_side(anchors), ["kind", "value"]).filter(flt.row_meets_request())
     ranked = top_k(met, ["shape"], sort_keys("relevance"), max_limit, F.col("id"))
     answers = ranked.filter(F.col("rank") <= F.col("fetch")).select("shape", "id", "rank")
     hits = asked.select("query_id", "shape", "fetch").join(answers, "shape")

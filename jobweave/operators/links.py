@@ -12,6 +12,7 @@ from jobweave import fixed_values as fx
 from jobweave.functions import text, urls
 from jobweave.functions.skew import join_unique, top_k
 from jobweave.operators import filters
+from jobweave.sources import workdir
 
 LINK_SLOTS = 5
 
@@ -177,7 +178,8 @@ def crawl_frontier(
             .withColumn("visit", (F.col("so_far") + F.col("n")).cast("int"))
             .filter(F.col("visit") <= max_pages)
             .select("org", "url", "base", F.lit(depth).alias("depth"), "visit")
-        ).checkpoint()
+        )
+        level = workdir.cut(level)
         levels.append(level)
     return reduce(DataFrame.unionByName, levels).select("org", "url", "depth", "visit")
 

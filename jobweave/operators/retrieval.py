@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text
-from jobweave.functions.skew import salted_join, top_k
+from jobweave.functions.skew import is_small, salted_join, top_k
 from jobweave.operators import browse as listing
 from jobweave.operators import filters as flt
 
 INDEX_COLUMNS = ("job_title", "organisation_name", "location", "remote_type", "experience_level")
 DIGITS = 9
+MAX_QUERIES = 2048
 
 
 def postings(jobs: DataFrame, columns: Sequence[str] = INDEX_COLUMNS) -> DataFrame:
@@ -73,6 +74,7 @@ CARRIED = (
     "exists_in_london", "has_description",
 )
 RANKING = ("id", "dl", "title_is", "cats", *CARRIED)
+VECTOR_CARRIED = (*CARRIED, "cats")
 
 
 def searchable(jobs: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def term_part(term: Column, parts: int) -> Column:
 
 
 class SearchIndex:
-    """Written search index of the active jobs: `docs`, `postings` in folders by term, `corpus`.
+    """Written search index of the active jobs: `docs`, `postings` in folders by term, `vectors`, `corpus`.
 
     Built once for many batches of queries.  A search reads only the posting folders of its words (dynamic partition
     pruning), needs no shuffle to count terms, and never touches the job texts again.
@@ -134,14 +136,17 @@ class SearchIndex:
         self.folder, self.parts = folder, parts
         self.docs = spark.read.parquet(f"{folder}/docs")
         self.postings = spark.read.parquet(f"{folder}/postings")
+        self.vectors = spark.read.parquet(f"{folder}/vectors")
         self.corpus = spark.read.parquet(f"{folder}/corpus")
 
     @classmethod
-    def build(cls, jobs: DataFrame, folder: str, parts: int = 16) -> SearchIndex:
-        """Write the index of a jobs table.
+    def build(cls, jobs: DataFrame, folder: str, vectors: DataFrame | None = None, parts: int = 16) -> SearchIndex:
+        """Write the index of a jobs table and of its vectors (id, embedding).
 
         Postings are sorted into ranges of (folder, term, id): a term that a third of all titles share is spread over
-        as many tasks and files as its rows need.
+        as many tasks and files as its rows need.  Vectors are joined with what their filters need here, so that no
+        search shuffles them.  `parts` folders let a search skip the terms it does not ask for; a large corpus wants
+        thousands.
         """
         spark = jobs.sparkSession
         searchable(jobs).write.mode("overwrite").parquet(f"{folder}/docs")
@@ -150,19 +155,27 @@ class SearchIndex:
         rows.repartitionByRange("part", "term", "id").write.mode("overwrite").partitionBy("part").parquet(
             f"{folder}/postings"
         )
+        if vectors is None:
+            vectors = spark.createDataFrame([], "id bigint, embedding array<float>")
+        filled = vectors.filter("embedding IS NOT NULL").select("id", "embedding")
+        docs.select("id", *VECTOR_CARRIED).join(filled, "id").write.mode("overwrite").parquet(f"{folder}/vectors")
         stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         stats.write.mode("overwrite").parquet(f"{folder}/corpus")
         return cls(spark, folder, parts)
 
 
-def hits(index: SearchIndex, words: DataFrame) -> DataFrame:
+def hits(index: SearchIndex, words: DataFrame, few: bool) -> DataFrame:
     """(word, tf, ranking columns) for every job whose title has a query word or phrase.
 
+    `few` words are sent to the posting scans; more of them meet the postings by a shuffle.
+
     Single words are posting rows as they stand.  A phrase takes the jobs that have its first term and counts its
     occurrences in their term lists; without phrases adaptive execution drops that half.
     """
     parts = words.select("word", "parts").distinct()
     parts = parts.withColumn("term", F.col("parts")[0]).withColumn("part", term_part(F.col("term"), index.parts))
+    if few:
+        parts = F.broadcast(parts)
     met = index.postings.join(parts.filter(F.size("parts") == 1).drop("parts"), ["part", "term"])
     singles = met.select("word", F.col("tf").cast("bigint").alias("tf"), *RANKING)
 
@@ -184,7 +197,8 @@ def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int = fx.CAN
     lengths are over all indexed columns.
     """
     words = query_words(queries)
-    found = hits(index, words)
+    few = is_small(words)
+    found = hits(index, words, few)
     df = found.groupBy("word").agg(F.count("*").alias("df"))
     n, avgdl = index.corpus.select("n").scalar(), index.corpus.select("avgdl").scalar()
     asked = flt.with_wanted(queries).select(
@@ -193,7 +207,9 @@ def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int = fx.CAN
     weight = F.col("times") * idf(n, F.col("df"))
     weighed = words.select("query_id", "word", "times").join(df, "word").withColumn("weight", weight)
     weighed = weighed.drop("times", "df").join(asked, "query_id")
-    met = salted_join(found, weighed, ["word"], F.col("id")).filter(flt.row_meets_request())
+    # A weight per query word: no more rows than `words` has.
+    met = found.join(F.broadcast(weighed), "word") if few else salted_join(found, weighed, ["word"], F.col("id"))
+    met = met.filter(flt.row_meets_request())
     # All that ranks before the score, in one number, so the sums are kept by three plain numbers per pair.
     exact = F.col("title_is") == F.col("query_is")
     bits = (F.col("exists_in_london") == 1, F.col("exists_in_uk") == 1, exact, F.col("has_description") == 1)
@@ -232,7 +248,6 @@ def _unit(rows: Sequence) -> np.ndarray:
 
 
 RESULT_TYPE = "query_id bigint, id bigint, semantic_score double"
-VECTOR_CARRIED = (*CARRIED, "cats")
 
 
 def _best_of_block(query_ids, query_filters, units: np.ndarray, batch: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -259,9 +274,8 @@ def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
 def search_semantic(
     queries: DataFrame,
     index: SearchIndex,
-    vectors: DataFrame,
     candidates: int = fx.CANDIDATES,
-    max_broadcast_queries: int = 2048,
+    max_broadcast_queries: int = MAX_QUERIES,
     block_queries: int = 1024,
     block_vectors: int = 4096,
 ) -> DataFrame:
@@ -272,17 +286,14 @@ def search_semantic(
     (query block, vector block), so no task holds more than one block of each.  Either way only the best `candidates`
     rows of a block leave it, never all pairs.
     """
-    pool = index.docs.select("id", *VECTOR_CARRIED).join(
-        vectors.filter("embedding IS NOT NULL").select("id", "embedding"), "id"
-    )
-    return nearest(queries, pool, candidates, max_broadcast_queries, block_queries, block_vectors)
+    return nearest(queries, index.vectors, candidates, max_broadcast_queries, block_queries, block_vectors)
 
 
 def nearest(
     queries: DataFrame,
     pool: DataFrame,
     candidates: int = fx.CANDIDATES,
-    max_broadcast_queries: int = 2048,
+    max_broadcast_queries: int = MAX_QUERIES,
     block_queries: int = 1024,
     block_vectors: int = 4096,
 ) -> DataFrame:
@@ -366,7 +377,6 @@ def fuse(bm25: DataFrame, semantic: DataFrame, weights: tuple[float, float] = fx
 def search_hybrid(
     queries: DataFrame,
     index: SearchIndex,
-    vectors: DataFrame,
     limit: int = 20,
     min_score: Column | float = 0.15,
     candidates: int = fx.CANDIDATES,
@@ -376,7 +386,7 @@ def search_hybrid(
     Order: London, UK, exact title, has description, fused score, id.  The score threshold holds for queries of more
     than two words and only if some candidate reaches it.
     """
-    fused = fuse(search_bm25(queries, index, candidates), search_semantic(queries, index, vectors, candidates))
+    fused = fuse(search_bm25(queries, index, candidates), search_semantic(queries, index, candidates))
     facts = index.docs.select(
         "id", "exists_in_london", "exists_in_uk", "has_description", F.col("title_key").alias("title_is"), "is_course"
     )
@@ -387,7 +397,9 @@ def search_hybrid(
         F.size(text.words(F.col("query"))).alias("n_words"),
         bar.alias("bar"),
     )
-    rows = fused.join(facts, "id").join(asked, "query_id")
+    # At most 2 * candidates rows per query, so a counted number of queries bounds the broadcast.
+    rows = fused.join(asked, "query_id")
+    rows = (F.broadcast(rows) if is_small(queries.select("query_id"), MAX_QUERIES) else rows).join(facts, "id")
     rows = rows.withColumn("exact_match", (F.col("title_is") == F.col("query_is")).cast("int"))
     # At most 2 * candidates rows per query from here on.
     best = F.max("hybrid_score").over(W.partitionBy("query_id"))
@@ -404,7 +416,6 @@ def search(
     queries: DataFrame,
     index: SearchIndex,
     jobs: DataFrame,
-    vectors: DataFrame,
     limit: int = 20,
     min_score: float = 0.15,
     candidates: int = fx.CANDIDATES,
@@ -422,26 +433,22 @@ def search(
         most = limit if "fetch" not in queries.columns else max(fx.TIER_FETCH.values())
         answers.append(listing.browse_requests(asked.filter(blank), jobs, max_limit=most))
     if not answers or not typed.isEmpty():
-        answers.append(_search_typed(typed, index, vectors, min_score, candidates))
+        answers.append(_search_typed(typed, index, min_score, candidates))
     return reduce(DataFrame.unionByName, answers)
 
 
-def _search_typed(
-    typed: DataFrame, index: SearchIndex, vectors: DataFrame, min_score: float, candidates: int
-) -> DataFrame:
+def _search_typed(typed: DataFrame, index: SearchIndex, min_score: float, candidates: int) -> DataFrame:
     n_words = F.size(text.words(F.col("query")))
     bar = F.when(n_words <= 2, F.greatest(F.lit(0.05), F.lit(min_score * 0.5))).otherwise(F.lit(float(min_score)))
     # A query has at most 2 * candidates rows, so this many cover any fetch; twice the fetch is cut exactly below.
-    found = search_hybrid(typed, index, vectors, 2 * candidates, bar, candidates)
+    found = search_hybrid(typed, index, 2 * candidates, bar, candidates)
     limits = typed.select("query_id", "fetch")
     kept = found.join(limits, "query_id").filter(F.col("place") <= 2 * F.col("fetch")).filter(~F.col("is_course"))
     ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place")).cast("bigint"))
     return ranked.filter(F.col("rank") <= F.col("fetch")).select("query_id", "id", "rank", "hybrid_score")
 
 
-def search_listing(
-    requests: DataFrame, users: DataFrame, index: SearchIndex, jobs: DataFrame, vectors: DataFrame
-) -> DataFrame:
+def search_listing(requests: DataFrame, users: DataFrame, index: SearchIndex, jobs: DataFrame) -> DataFrame:
     """A table of listing requests answered end to end.
 
     Requests are (query_id, query, filters, user_id, page, page_limit, location_filter, query_embedding).  Tier gives
@@ -460,7 +467,7 @@ def search_listing(
     lists = asked.drop("query_id", "user_id", "page", "page_limit", "tier", "membership_status")
     lists = lists.withColumnRenamed("list_key", "query_id").dropDuplicates(["query_id"])
 
-    answers = search(lists, index, jobs, vectors, min_score=0.10)
+    answers = search(lists, index, jobs, min_score=0.10)
     facts = jobs.select("id", "exists_in_uk", "exists_in_london", "job_title", "organisation_name", "location")
     scoped = answers.join(facts, "id").join(lists.select("query_id", "location_filter"), "query_id")
     scoped = scoped.filter(flt.row_in_scope(F.col("location_filter")))
@@ -513,19 +520,3 @@ def embed_backlog(
                 )
 
     return texts.mapInPandas(run, "id bigint, embedding array<float>, embedding_dimension int")
-
-
-def hashing_embedder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """Deterministic stand-in for a model: signed word hashes, unit length."""
-    import zlib
-
-    def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), size), dtype="float32")
-        for row, value in enumerate(texts):
-            for word in value.lower().split():
-                code = zlib.crc32(word.encode())
-                out[row, code % size] += 1.0 if code & 0x10000 else -1.0
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, length, out=out, where=length > 0)
-
-    return embed

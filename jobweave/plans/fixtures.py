@@ -102,9 +102,13 @@ FROM {supplier} s JOIN {nation} n ON n.n_nationkey = s.s_nationkey JOIN {region}
 SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS organisation_name FROM {pages}
 """,
     "candidate_links": """
-SELECT organisation_name, CAST(row_number() OVER (PARTITION BY organisation_name ORDER BY page_id) AS INTEGER) AS rank,
-  url, 'page ' || CAST(page_id AS STRING) AS title
+SELECT organisation_name, CAST(page_id AS INTEGER) AS rank, url, 'page ' || CAST(page_id AS STRING) AS title
 FROM {page_urls}
+""",
+    "ranked_links": """
+SELECT organisation_name, rank, url, title FROM (SELECT organisation_name, url, title,
+    CAST(row_number() OVER (PARTITION BY organisation_name ORDER BY rank) AS INTEGER) AS rank FROM {candidate_links}) x
+WHERE rank <= 5
 """,
     "org_links": """
 SELECT organisation_name,
@@ -115,7 +119,7 @@ SELECT organisation_name,
   coalesce(max(CASE WHEN rank = 4 THEN url END), '') AS link_4_url,
   max(CASE WHEN rank = 4 THEN title END) AS link_4_title,
   max(CASE WHEN rank = 5 THEN url END) AS link_5_url, max(CASE WHEN rank = 5 THEN title END) AS link_5_title
-FROM {candidate_links} GROUP BY organisation_name
+FROM {ranked_links} GROUP BY organisation_name
 """,
     "fetch_log": """
 SELECT page_id AS job_id, CASE WHEN page_id % 17 = 0 THEN '' ELSE url END AS job_link,
@@ -176,7 +180,7 @@ class Fixtures:
         """Search index of an adapter, written once per session and folder."""
         key = (self.spark.sparkContext.applicationId, self.folder, jobs)
         if key not in INDEXES:
-            INDEXES[key] = SearchIndex.build(self.table(jobs), self.work_folder())
+            INDEXES[key] = SearchIndex.build(self.table(jobs), self.work_folder(), self.table("vectors"))
         return INDEXES[key]
 
     def requests_table(self) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from jobweave import fixed_values as fx
 from jobweave.functions import urls
 from jobweave.operators import links, pages, parsing
-from jobweave.plans.fixtures import holds_any, with_
+from jobweave.plans.fixtures import holds_any, host_sql, with_
 from jobweave.plans.registry import query
 
 # The given pages have links in their navigation only, so it is read along here; the operator's default leaves it out.
@@ -20,19 +20,61 @@ LINKS_SQL = """raw AS (SELECT page_id, url AS page_url, regexp_extract_all(html,
   links AS (SELECT page_id, page_url, position, regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || href AS url, text, href FROM lk)"""
 
 
-@query("page_text")
+def _unescape(col: str) -> str:
+    # `&amp;` last, so that an escaped entity is not read twice.
+    for entity, char in (("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        col = f"replace({col}, '{entity}', '{char}')"
+    return col
+
+
+def _without(col: str, tags) -> str:
+    for tag in tags:
+        col = f"regexp_replace({col}, '<{tag}[^>]*>.*?</{tag}>', '', 'gs')"
+    return col
+
+
+def _strip(col: str) -> str:
+    return f"regexp_replace({col}, '^\\s+|\\s+$', '', 'g')"
+
+
+SHOWN = _without("html", ("script", "style", "nav", "footer", "header"))
+FLAT_SQL = _strip(_unescape(f"regexp_replace(regexp_replace({SHOWN}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')"))
+
+
+@query(
+    "page_text",
+    f"""SELECT page_id, url, {_unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
+      substr(regexp_replace({FLAT_SQL}, '\\s+', ' ', 'g'), 1, 10000) AS text FROM pages""",
+)
 def page_text(t):
     return pages.page_text(t.pages)
 
 
-@query("page_main_text")
+@query(
+    "page_main_text",
+    f"""WITH a AS (SELECT page_id, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+      s AS (SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(body, '<[^>]*>'), lambda x: {_strip(_unescape('x'))}),
+        lambda x: x <> ''), chr(10)) AS t FROM a),
+      c AS (SELECT page_id, regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM s)
+    SELECT page_id, {_strip("CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || chr(10) || chr(10) || '... [Truncated due to length]' ELSE t END")}
+      AS main_text, 'success' AS main_status FROM c""",
+)
 def page_main_text(t):
     return pages.page_main_text(t.pages)
 
 
-@query("page_forms")
+FORMS = """SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN html || '<form action="/send"><input name="CV"></form>'
+  WHEN 1 THEN html || '<form><input name="q"></form>' ELSE html END AS html FROM {pages}"""
+
+
+@query(
+    "page_forms",
+    f"""SELECT page_id, regexp_matches(html, '<form') AS has_form, regexp_matches(regexp_extract(html, '<form.*</form>', 0, 's'),
+      '(?i){'|'.join(fx.FORM_WORDS)}') AS has_application_form FROM ({FORMS.format(pages='pages')}) p""",
+)
 def page_forms(t):
-    return pages.page_forms(t.pages)
+    """The given pages have no forms; some get one appended."""
+    return pages.page_forms(t.spark.sql(FORMS, pages=t.pages))
 
 
 @query("page_links", f"WITH {LINKS_SQL} SELECT page_id, page_url, CAST(position AS INTEGER) AS position, url, text, href FROM links")
@@ -119,7 +161,24 @@ def crawl_inputs(page_urls):
     return starts, wanted.join(to, "target").select("page_url", (F.col("position") + 1).alias("position"), "url")
 
 
-@query("crawl_frontier")
+def _crawl_sql() -> str:
+    levels = [f"""s AS (SELECT organisation_name AS org, min_by(url, page_id) AS url FROM page_urls GROUP BY 1),
+      k AS (SELECT p.url AS page_url, x.i AS position, q.url FROM page_urls p, (VALUES (1, 2, 1), (2, 2, 2), (3, 3, 1)) x(i, m, c)
+        JOIN page_urls q ON q.page_id = p.page_id * x.m + x.c),
+      l0 AS (SELECT org, url, {host_sql('url')} AS base, 0 AS depth, 1 AS visit FROM s)"""]
+    for depth in (1, 2, 3):
+        seen = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth))
+        levels.append(f"""v{depth} AS ({seen}),
+      f{depth} AS (SELECT org, base, k.url, min(visit * 1000 + position) AS first FROM l{depth - 1} l JOIN k ON k.page_url = l.url
+        WHERE {host_sql('k.url')} = base OR ends_with({host_sql('k.url')}, '.' || base) OR {holds_any(host_sql('k.url'), CRAWL_DOMAINS)} GROUP BY ALL),
+      l{depth} AS (SELECT * FROM (SELECT f.org, f.url, f.base, {depth} AS depth, CAST(m.top + row_number() OVER (PARTITION BY f.org ORDER BY f.first, f.url)
+          AS INTEGER) AS visit FROM f{depth} f JOIN (SELECT org, max(visit) AS top FROM v{depth} GROUP BY 1) m ON m.org = f.org
+          WHERE NOT EXISTS (SELECT 1 FROM v{depth} o WHERE o.org = f.org AND o.url = f.url)) x WHERE visit <= 20)""")
+    every = " UNION ALL ".join(f"SELECT org, url, depth, visit FROM l{d}" for d in range(4))
+    return with_("page_urls") + ", " + ", ".join(levels) + " " + every
+
+
+@query("crawl_frontier", _crawl_sql())
 def crawl_frontier(t):
     starts, stored = crawl_inputs(t.page_urls)
     return links.crawl_frontier(starts, stored, ats=CRAWL_DOMAINS)

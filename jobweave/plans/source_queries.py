@@ -13,7 +13,7 @@ from jobweave.functions import text, urls
 from jobweave.operators import browse, filters, links, parsing, projections, usage
 from jobweave.plans.fixtures import HOST_SQL, JOBS_AS_OF, duck, holds_any, in_category_sql, in_list, quoted, with_
 from jobweave.plans.registry import query
-from jobweave.sources import imports
+from jobweave.sources import imports, workdir
 
 P = with_("jobs_part")
 PLACES = ("nation_1", "nation_20")
@@ -55,7 +55,7 @@ def src_import_mode(t):
     for name, rows, force in (("first", t.jobs_part, False), ("again", active, False), ("forced", active, True)):
         wrote = imports.write_jobs(rows, path, force)
         counted = t.spark.read.parquet(path).agg(F.count("*").alias("jobs"))
-        steps.append(counted.select(F.lit(name).alias("step"), F.lit(int(wrote)).alias("wrote"), "jobs").checkpoint())
+        steps.append(workdir.cut(counted.select(F.lit(name).alias("step"), F.lit(int(wrote)).alias("wrote"), "jobs")))
     return steps[0].unionByName(steps[1]).unionByName(steps[2])
 
 
@@ -162,12 +162,12 @@ def src_links_wide_long(t):
 
 @query(
     "src_links_long_wide",
-    with_("candidate_links") + " SELECT organisation_name, " + ", ".join(
+    with_("ranked_links") + " SELECT organisation_name, " + ", ".join(
         f"coalesce(max(CASE WHEN rank = {i} THEN {c} END), '') AS link_{i}_{c}" for i in range(1, 6) for c in ("url", "title")
-    ) + ", count(*) FILTER (WHERE rank <= 5) AS links_found FROM candidate_links GROUP BY organisation_name",
+    ) + ", count(*) FILTER (WHERE rank <= 5) AS links_found FROM ranked_links GROUP BY organisation_name",
 )
 def src_links_long_wide(t):
-    return links.long_to_wide(t.candidate_links)
+    return links.long_to_wide(t.ranked_links)
 
 
 @query(

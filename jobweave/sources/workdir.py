@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -18,3 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError(f"set {SETTING} to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="jobweave-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the rows written to the shared folder, computed once, with a short lineage."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint()

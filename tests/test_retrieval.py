@@ -1,5 +1,6 @@
 import random
 import sqlite3
+import zlib
 
 import numpy as np
 import pytest
@@ -7,6 +8,22 @@ from pyspark.sql import functions as F
 
 from jobweave.operators import retrieval
 
+
+def hashing_embedder(size):
+    """Deterministic stand-in for a model: signed word hashes, unit length."""
+
+    def embed(texts):
+        out = np.zeros((len(texts), size), dtype="float32")
+        for row, value in enumerate(texts):
+            for word in value.lower().split():
+                code = zlib.crc32(word.encode())
+                out[row, code % size] += 1.0 if code & 0x10000 else -1.0
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, length, out=out, where=length > 0)
+
+    return embed
+
+
 WORDS = ["python", "developer", "senior", "café", "cafe", "data", "data_engineer", "engineer", "nurse", "Über", "uber",
          "c", "lead", "of", "the", "night", "shift"]
 
@@ -37,7 +54,8 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def index(spark, make_jobs, corpus, tmp_path_factory):
-    return retrieval.SearchIndex.build(make_jobs(*corpus), str(tmp_path_factory.mktemp("index")), parts=3)
+    vectors = spark.range(1, 121).select("id", F.array(*[(F.col("id") % k).cast("float") for k in (2, 3, 5)]).alias("embedding"))
+    return retrieval.SearchIndex.build(make_jobs(*corpus), str(tmp_path_factory.mktemp("index")), vectors, parts=3)
 
 
 QUERIES = ["python developer", "CAFÉ", "data_engineer", "the night shift data", "uber uber", "nothing here", "c++ lead!"]
@@ -83,11 +101,10 @@ def test_bm25_orders_by_place_before_score(spark, make_jobs, tmp_path):
 
 
 def test_filters_apply_to_both_lists(spark, index):
-    vectors = index.docs.select("id", F.array(*[(F.col("id") % k).cast("float") for k in (2, 3, 5)]).alias("embedding"))
     wanted = {"location": "london", "remote_type": "Remote", "organisation_name": "ACME"}
     asked = requests(spark, ("data engineer", wanted, [1.0, 0.5, 0.2]), ("data", {"category": "7"}, [1.0, 1.0, 1.0]))
     docs = {r["id"]: r for r in index.docs.collect()}
-    for found in (retrieval.search_bm25(asked, index), retrieval.search_semantic(asked, index, vectors)):
+    for found in (retrieval.search_bm25(asked, index), retrieval.search_semantic(asked, index)):
         rows = found.collect()
         assert rows
         for row in rows:
@@ -140,11 +157,10 @@ def test_fusion_weights_and_missing_ranks(spark):
 
 
 def test_threshold_falls_back_to_all_candidates(spark, index):
-    vectors = index.docs.select("id", F.array(F.lit(1.0).cast("float")).alias("embedding"))
-    asked = requests(spark, ("python developer senior data", {}, [1.0]), ("python", {}, [1.0]))
-    strict = retrieval.search_hybrid(asked, index, vectors, 20, 0.9).groupBy("query_id").count().collect()
+    asked = requests(spark, ("python developer senior data", {}, [1.0, 2.0, 1.0]), ("python", {}, [1.0, 2.0, 1.0]))
+    strict = retrieval.search_hybrid(asked, index, 20, 0.9).groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in strict} == {1: 20, 2: 20}
-    some = retrieval.search_hybrid(asked, index, vectors, 200, 0.0148).collect()
+    some = retrieval.search_hybrid(asked, index, 200, 0.0148).collect()
     assert {r["query_id"] for r in some} == {1, 2}
     assert all(r["hybrid_score"] >= 0.0148 for r in some if r["query_id"] == 1)
     assert any(r["hybrid_score"] < 0.0148 for r in some if r["query_id"] == 2)
@@ -159,9 +175,8 @@ def test_search_drops_courses_and_browses_blank(spark, make_jobs, tmp_path):
         {"job_title": "Nurse without link", "job_link": ""},
     )
     built = retrieval.SearchIndex.build(jobs, str(tmp_path), parts=2)
-    vectors = spark.createDataFrame([], "id bigint, embedding array<float>")
     asked = requests(spark, ("nurse", {}, None), ("  ", {}, None), (None, {"category": "7"}, None), ("", {"location": "x"}, None))
-    rows = retrieval.search(asked, built, jobs, vectors).orderBy("query_id", "rank").collect()
+    rows = retrieval.search(asked, built, jobs).orderBy("query_id", "rank").collect()
     got = {}
     for row in rows:
         got.setdefault(row["query_id"], []).append(row["id"])
@@ -171,6 +186,6 @@ def test_search_drops_courses_and_browses_blank(spark, make_jobs, tmp_path):
 def test_embed_backlog_fills_only_gaps(spark, make_jobs):
     jobs = make_jobs({"job_title": "Nurse"}, {"job_title": "Driver"}, {"job_title": ""}, {"job_title": "Old", "is_active": 0})
     vectors = spark.createDataFrame([(1, [1.0])], "id bigint, embedding array<float>")
-    made = retrieval.embed_backlog(jobs, vectors, retrieval.hashing_embedder(16)).collect()
+    made = retrieval.embed_backlog(jobs, vectors, hashing_embedder(16)).collect()
     assert [(r["id"], r["embedding_dimension"]) for r in made] == [(2, 16)]
     assert np.linalg.norm(made[0]["embedding"]) == pytest.approx(1.0, abs=1e-5)
