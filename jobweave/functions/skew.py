@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1000
-GROUP_LIMIT = 1000
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 BROADCAST_ROWS = 200_000
@@ -29,25 +29,31 @@ def small_side(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if is_small(rows, max_rows) else rows
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that own more than 1/1000 of the rows: never more than 1000 of them, so they may be broadcast."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("total"))
-    return counts.filter(F.col("_n") * HOT_SHARE > total.scalar()).select(*keys)
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
+    """Keys that own more than 1/1000 of all rows, from rows per key: never more than 1000 of them."""
+    total = counts.agg(F.sum(n).alias("total")).scalar()
+    return counts.filter(F.col(n) * HOT_SHARE > total).select(*keys)
 
 
-def join_unique(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_unique(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], hot: DataFrame | None = None, salts: int = 64
+) -> DataFrame:
     """Inner join of rows with a lookup that has each key once.
 
-    Rows of hot keys stay where they are and meet a broadcast of at most 1000 lookup rows; the others are shuffled,
-    and no key among those owns more than 1/1000 of them.
+    Rows of a hot key are cut into `salts` pieces by their content and its one lookup row is copied for each piece; all
+    other rows are shuffled as they are.  So no task gets more than 1/1000 of the rows for a key, or a piece of a hot
+    one.  `hot` saves counting the rows where the counts are known (at most 1000 keys, see `hot_keys`).
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(rows.select(*keys), keys))
-    hot_lookup = lookup.join(hot, keys, "left_semi")
-    hot_part = rows.join(F.broadcast(hot_lookup), keys)
-    cold_part = rows.join(hot, keys, "left_anti").join(lookup, keys)
-    return hot_part.unionByName(cold_part)
+    if hot is None:
+        hot = hot_keys(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hashable = [f.name for f in rows.schema.fields if f.dataType.typeName() != "map"]
+    piece = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
+    cut = rows.join(marks, keys, "left").withColumn("_salt", F.when(F.col("_hot"), piece).otherwise(0)).drop("_hot")
+    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
+    copied = lookup.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return cut.join(copied, [*keys, "_salt"]).drop("_salt")
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, salts: int = 16) -> DataFrame:
@@ -71,10 +77,10 @@ def top_k(
 ) -> DataFrame:
     """First k rows of each key with their 1-based rank.
 
-    Up to 1000 rows Spark cuts each task's rows before the shuffle by itself.  Beyond that, each key is first ranked in
-    salted pieces, so the last ranking sees at most salts * k rows of a key.
+    Up to the session's window group limit Spark cuts each task's rows to k per key before the shuffle by itself.  Beyond
+    that, each key is first ranked in salted pieces, so the last ranking sees at most salts * k rows of a key.
     """
-    if k > GROUP_LIMIT:
+    if k > int(rows.sparkSession.conf.get(GROUP_LIMIT)):
         cut = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
         pieces = W.partitionBy(*keys, "_salt").orderBy(*order)
         rows = cut.withColumn("_r", F.row_number().over(pieces)).filter(F.col("_r") <= k).drop("_r", "_salt")

@@ -161,7 +161,7 @@ def browse_requests(requests: DataFrame, jobs: DataFrame, max_limit: int = 3000)
     own = [F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ANCHORS]
     own.append(F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")))
     listed = F.split(F.trim(F.col("cats"), F.lit(",")), ",")
-    tagged = shown.withColumn("cats", flt.category_list(F.col("job_title")))
+    tagged = shown.withColumn("low", F.lower("job_title")).withColumn("cats", flt.category_list(F.col("low")))
     of_category = F.transform(listed, lambda c: F.struct(F.lit("category").alias("kind"), c.alias("value")))
     narrow = tagged.select(
         "id", "exists_in_london", "exists_in_uk", "has_description", "added_at", "job_title", "views_count", "salary",
@@ -227,7 +227,8 @@ def related(jobs: DataFrame, take: int = 3) -> DataFrame:
     The category's best jobs are ranked once (17 lists at most, so the broadcast is bounded by 18 * take rows); no two
     jobs of a category are paired otherwise.
     """
-    shown = open_jobs(jobs).withColumn("_cats", F.array_append(flt.categories_of(F.col("job_title")), F.lit("*")))
+    shown = open_jobs(jobs).withColumn("low", F.lower("job_title"))
+    shown = shown.withColumn("_cats", F.array_append(flt.categories_of(F.col("low")), F.lit("*")))
     lists = top_k(
         shown.withColumn("list", F.explode("_cats")), ["list"], sort_keys("relevance"), take, F.col("id"), rank="place"
     ).select("list", F.col("id").alias("related_id"), "place")

@@ -43,15 +43,15 @@ def in_category(jobs: DataFrame, category: str) -> DataFrame:
     return jobs.filter(text.any_of(F.col("job_title"), fx.SEARCH_CATEGORIES[category]))
 
 
-def categories_of(title: Column) -> Column:
-    """Ids of all search categories the title belongs to."""
-    marks = [F.when(text.any_of(title, found), F.lit(key)) for key, found in fx.SEARCH_CATEGORIES.items()]
+def categories_of(low: Column) -> Column:
+    """Ids of all search categories a lower-case title belongs to."""
+    marks = [F.when(text.any_in(low, found), F.lit(key)) for key, found in fx.SEARCH_CATEGORIES.items()]
     return F.array_compact(F.array(*marks))
 
 
-def category_list(title: Column) -> Column:
+def category_list(low: Column) -> Column:
     """The same as one text, `,1,14,`, for a plain substring test."""
-    return F.concat(F.lit(","), F.array_join(categories_of(title), ","), F.lit(","))
+    return F.concat(F.lit(","), F.array_join(categories_of(low), ","), F.lit(","))
 
 
 WANTED = tuple(f"want_{c}" for c in (*SUBSTRING_FILTERS, *EXACT_FILTERS, "category"))

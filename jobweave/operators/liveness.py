@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text, urls
-from jobweave.functions.skew import join_unique
+from jobweave.functions.skew import hot_keys, join_unique
 
 
-def expired_reason(body: Column, phrases: Iterable[str] = fx.EXPIRED_PHRASES) -> Column:
-    """First sign, in the given order, that the vacancy has closed; null if none.  Scans the whole body."""
-    low = F.lower(body)
+def expired_reason(low: Column, phrases: Iterable[str] = fx.EXPIRED_PHRASES) -> Column:
+    """First sign, in the given order, that the vacancy has closed; null if none.  Scans the whole lower-case body."""
     closed = F.lit(False)
     for flag in fx.POSTING_CLOSED_FLAGS:
         closed = closed | low.contains(flag)
@@ -41,7 +40,7 @@ def verdicts(fetch_log: DataFrame) -> DataFrame:
     A transport error counts for the HEAD request while `head_status` is null, else for the GET request.
     """
     link, head, get = F.col("job_link"), F.col("head_status"), F.col("get_status")
-    stripped = F.length(text.strip(F.col("body")))
+    stripped = F.col("stripped")
     head_error = F.col("error").isNotNull() & head.isNull()
 
     def http(code: Column) -> Column:
@@ -60,9 +59,11 @@ def verdicts(fetch_log: DataFrame) -> DataFrame:
         .when(get.isin(*fx.DEAD_STATUS) | (get != 200), http(get))
         .when(lost("final_url"), "redirect_to_generic_page")
         .when(stripped < fx.MIN_BODY_CHARS, F.concat(F.lit("tiny_page ("), stripped.cast("string"), F.lit(" chars)")))
-        .otherwise(F.coalesce(expired_reason(F.col("body")), F.lit("alive")))
+        .otherwise(F.coalesce(expired_reason(F.col("low")), F.lit("alive")))
     )
-    judged = fetch_log.select("job_id", reason.alias("reason"))
+    # Folding and trimming a body once, as columns, not once per rule.
+    folded = fetch_log.withColumns({"low": F.lower("body"), "stripped": F.length(text.strip(F.col("body")))})
+    judged = folded.select("job_id", reason.alias("reason"))
     return judged.select("job_id", (F.col("reason") == "alive").cast("int").alias("is_alive"), "reason")
 
 
@@ -115,12 +116,13 @@ def duplicate_groups(jobs: DataFrame) -> DataFrame:
     """One row per job of a group with more than one job: group key, size, kept id and this id.
 
     The group's list of ids stays as rows: a third of the table may be one group.  Counts and kept ids are combined
-    before the shuffle, and hot groups meet their rows by broadcast (`join_unique`).
+    before the shuffle, and hot groups are joined in pieces (`join_unique`).
     """
     missing = "\u0000"
     keyed = _keyed(jobs).select("id", *(F.coalesce(k, F.lit(missing)).alias(k) for k in DUPLICATE_KEY))
     groups = keyed.groupBy(*DUPLICATE_KEY).agg(F.count("*").alias("copies"), F.min("id").alias("kept_id"))
-    rows = join_unique(keyed, groups.filter("copies > 1"), DUPLICATE_KEY)
+    hot = hot_keys(groups, DUPLICATE_KEY, "copies")
+    rows = join_unique(keyed, groups.filter("copies > 1"), DUPLICATE_KEY, hot)
     return rows.withColumns({k: F.nullif(k, F.lit(missing)) for k in DUPLICATE_KEY})
 
 

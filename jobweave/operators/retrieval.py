@@ -362,10 +362,11 @@ def fuse(bm25: DataFrame, semantic: DataFrame, weights: tuple[float, float] = fx
         ["query_id", "id"],
         "full",
     )
-    sizes = lists.groupBy("query_id").agg(
-        F.count("bm25_rank").alias("bm25_rows"), F.count("semantic_rank").alias("semantic_rows")
+    # At most 2 * candidates rows per query.
+    query = W.partitionBy("query_id")
+    rows = lists.withColumns(
+        {"bm25_rows": F.count("bm25_rank").over(query), "semantic_rows": F.count("semantic_rank").over(query)}
     )
-    rows = lists.join(sizes, "query_id")
     only_semantic, only_bm25 = F.col("bm25_rows") == 0, F.col("semantic_rows") == 0
     wb = F.when(only_semantic, 0.0).when(only_bm25, 1.0).otherwise(F.lit(weights[0]))
     ws = F.when(only_semantic, 1.0).when(only_bm25, 0.0).otherwise(F.lit(weights[1]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text
+from jobweave.functions.skew import GROUP_LIMIT
 from jobweave.operators.retrieval import SearchIndex
 from jobweave.sources import imports, workdir
 
@@ -166,6 +167,8 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        # Let Spark cut the longest lists (3000 rows) before the shuffle too.
+        spark.conf.set(GROUP_LIMIT, "3000")
 
     def table(self, name: str) -> DataFrame:
         if name not in ADAPTERS:

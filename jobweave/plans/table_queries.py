@@ -278,7 +278,8 @@ def agg_health_summary(t):
     ) + " END, '') AS reason FROM fetch_log",
 )
 def cls_expired(t):
-    return t.fetch_log.select("job_id", F.coalesce(liveness.expired_reason(F.col("body")), F.lit("")).alias("reason"))
+    folded = t.fetch_log.select("job_id", F.lower("body").alias("low"))
+    return folded.select("job_id", F.coalesce(liveness.expired_reason(F.col("low")), F.lit("")).alias("reason"))
 
 
 @query(

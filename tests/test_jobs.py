@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobweave.functions import text, urls
-from jobweave.functions.skew import join_unique, salted_join, top_k
+from jobweave.functions.skew import GROUP_LIMIT, join_unique, salted_join, top_k
 from jobweave.operators import browse, filters, liveness, projections, usage
 from jobweave.sources import imports
 
@@ -268,6 +268,7 @@ def test_skewed_joins_keep_every_row(spark, values):
 
 @pytest.mark.parametrize("k", [5, 1500])
 def test_top_k_equals_plain_ranking(spark, values, k):
+    spark.conf.set(GROUP_LIMIT, "1000")
     rows = spark.range(9000).select((F.col("id") % 2 * F.col("id") % 3).alias("g"), F.pmod(F.hash("id"), F.lit(99)).alias("s"), "id")
     ranked = top_k(rows, ["g"], [F.desc("s"), F.asc("id")], k, F.col("id"))
     want = []
