@@ -14,6 +14,7 @@ from jobweave import fixed_values as fx
 from jobweave.functions import text
 from jobweave.functions.skew import GROUP_LIMIT
 from jobweave.operators.retrieval import SearchIndex
+from jobweave.session import ship_package
 from jobweave.sources import imports, workdir
 
 # Tables whose rows are long texts, with their key.
@@ -167,6 +168,7 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        ship_package(spark)
         # Let Spark cut the longest lists (3000 rows) before the shuffle too.
         spark.conf.set(GROUP_LIMIT, "3000")
 

@@ -3,6 +3,8 @@
 import glob
 import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -62,6 +64,16 @@ def test_bm25_reads_posting_folders_of_its_words(spark):
     assert "dynamicpruning" in plan(entry.queries()["search_bm25"](spark, FOLDER))
 
 
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    script = (
+        "import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "q = e.queries(); print('rows', q['page_links'](s, sys.argv[2]).count(), q['search_semantic'](s, sys.argv[2]).count())"
+    )
+    done = subprocess.run([sys.executable, "-c", script, ROOT, FOLDER], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
+
+
 def test_source_rules():
     for path in glob.glob(f"{ROOT}/jobweave/**/*.py", recursive=True):
         source = open(path).read()
