@@ -247,7 +247,9 @@ def _unit(rows: Sequence) -> np.ndarray:
     return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
 
-RESULT_TYPE = "query_id bigint, id bigint, semantic_score double"
+def _result_type(queries: DataFrame) -> str:
+    """Block results keep the type of the request ids."""
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, id bigint, semantic_score double"
 
 
 def _best_of_block(query_ids, query_filters, units: np.ndarray, batch: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -301,15 +303,15 @@ def nearest(
     asked = queries.filter("query_embedding IS NOT NULL").select("query_id", "filters", "query_embedding")
     head = asked.limit(max_broadcast_queries + 1).collect()
     if len(head) <= max_broadcast_queries:
-        best = _scan_with_queries(pool, head, candidates)
+        best = _scan_with_queries(pool, head, candidates, _result_type(queries))
     else:
         best = _join_blocks(pool, asked, candidates, block_queries, block_vectors)
     return top_k(best, ["query_id"], [F.desc("semantic_score"), F.asc("id")], candidates, F.col("id"))
 
 
-def _scan_with_queries(pool: DataFrame, rows: list, k: int) -> DataFrame:
+def _scan_with_queries(pool: DataFrame, rows: list, k: int, result_type: str) -> DataFrame:
     if not rows:
-        return pool.sparkSession.createDataFrame([], RESULT_TYPE)
+        return pool.sparkSession.createDataFrame([], result_type)
     block = pool.sparkSession.sparkContext.broadcast(
         ([r["query_id"] for r in rows], [r["filters"] for r in rows], _unit([r["query_embedding"] for r in rows]))
     )
@@ -324,7 +326,7 @@ def _scan_with_queries(pool: DataFrame, rows: list, k: int) -> DataFrame:
         if best is not None:
             yield best
 
-    return pool.mapInPandas(scan, RESULT_TYPE)
+    return pool.mapInPandas(scan, result_type)
 
 
 def _join_blocks(pool: DataFrame, asked: DataFrame, k: int, block_queries: int, block_vectors: int) -> DataFrame:
@@ -349,7 +351,7 @@ def _join_blocks(pool: DataFrame, asked: DataFrame, k: int, block_queries: int,
         maps = [dict(m) if m is not None else {} for m in asked_rows["filters"]]
         return _best_of_block(asked_rows["query_id"], maps, units, batch, k)
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(best, RESULT_TYPE)
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(best, _result_type(asked))
 
 
 def fuse(bm25: DataFrame, semantic: DataFrame, weights: tuple[float, float] = fx.WEIGHTS) -> DataFrame:

@@ -97,13 +97,16 @@ def recent_activity(usage: DataFrame, limit: int = 50) -> DataFrame:
     )
 
 
-def site_stats(jobs: DataFrame, users: DataFrame, active_companies: bool = False) -> DataFrame:
+def site_stats(
+    jobs: DataFrame, users: DataFrame, active_companies: bool = False, approximate: bool = False
+) -> DataFrame:
     """One row of counters, one pass per table.  Companies count over all jobs unless `active_companies`."""
+    distinct = F.approx_count_distinct if approximate else F.countDistinct
     company = F.when(F.col("is_active") == 1, F.col("organisation_name")) if active_companies else F.col("organisation_name")
     members = users.agg(F.count("*").alias("n")).scalar()
     return jobs.agg(
         F.count_if(F.col("is_active") == 1).alias("total_jobs"),
-        F.countDistinct(company).alias("total_companies"),
+        distinct(company).alias("total_companies"),
     ).withColumns({"total_domains": F.col("total_companies"), "total_members": members})
 
 

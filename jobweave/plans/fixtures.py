@@ -169,8 +169,9 @@ class Fixtures:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         ship_package(spark)
-        # Let Spark cut the longest lists (3000 rows) before the shuffle too.
+        # Let Spark cut the longest lists (3000 rows) before the shuffle too; the model's times are UTC.
         spark.conf.set(GROUP_LIMIT, "3000")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         if name not in ADAPTERS:

@@ -22,37 +22,37 @@ def _job_id(props="props"):
 
 
 @query(
-    "st2_view_counts",
+    "stream_view_counts",
     with_("jobs_part") + f""" SELECT {K_SQL} AS id, count(*) AS views FROM events WHERE event_type = 'view'
       AND {K_SQL} IN (SELECT id FROM jobs_part WHERE is_active = 1) GROUP BY 1""",
 )
-def st2_view_counts(t):
+def stream_view_counts(t):
     views = _events(t).filter("event_type = 'view'").select(_job_id().alias("id"))
     return stream.count_views(views, t.jobs_part.filter("is_active = 1"), t.work_folder())
 
 
 @query(
-    "st3_daily_quota",
+    "stream_daily_quota",
     """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS search_count, count(*) >= 10 AS at_limit FROM events
     WHERE event_type IN ('click', 'view') GROUP BY 1, 2""",
 )
-def st3_daily_quota(t):
+def stream_daily_quota(t):
     searches = _events(t).filter("event_type IN ('click', 'view')").select("user_id", "ts")
     return stream.daily_quota(searches, t.work_folder()).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
-    "st4_usage_log",
+    "stream_usage_log",
     """SELECT event_id AS usage_id, user_id, CASE WHEN event_type <> 'purchase' THEN event_type END AS search_keywords,
       CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE event_type IN ('click', 'view', 'purchase')""",
 )
-def st4_usage_log(t):
+def stream_usage_log(t):
     log = stream.append_usage_log(_events(t), t.work_folder())
     return log.select("usage_id", "user_id", "search_keywords", F.col("day").cast("string").alias("day"))
 
 
-@query("st5_resume", "SELECT event_id, user_id, event_type FROM events")
-def st5_resume(t):
+@query("stream_resume", "SELECT event_id, user_id, event_type FROM events")
+def stream_resume(t):
     """Two runs over the same input: the second finds nothing new."""
     folder = t.work_folder()
     stream.only_new(_events(t), folder)
@@ -63,7 +63,7 @@ CHANGED = f"SELECT {K_SQL} AS id, max(event_id) AS last_event FROM events GROUP
 
 
 @query(
-    "st1_index_refresh",
+    "stream_index_refresh",
     with_("jobs_part") + f""", ch AS (SELECT {K_SQL} AS id, max_by(event_type, event_id) AS event_type FROM events GROUP BY 1),
       j AS (SELECT j.id, CASE WHEN ch.id IS NULL THEN job_title ELSE 'changed ' || ch.event_type END AS job_title,
         CASE WHEN ch.event_type = 'error' THEN 0 WHEN ch.id IS NULL THEN is_active ELSE 1 END AS is_active
@@ -71,7 +71,7 @@ CHANGED = f"SELECT {K_SQL} AS id, max(event_id) AS last_event FROM events GROUP
     SELECT term, id, field, count(*) AS tf FROM (SELECT id, 'job_title' AS field, unnest({tokens_sql('job_title')}) AS term FROM j WHERE is_active = 1) x
     GROUP BY 1, 2, 3""",
 )
-def st1_index_refresh(t):
+def stream_index_refresh(t):
     first = retrieval.postings(t.jobs_part, ["job_title"])
     changes = _events(t).select(
         _job_id().alias("id"),
@@ -89,7 +89,7 @@ PAID = """SELECT event_id, user_id, CAST(event_id % 3 + 1 AS BIGINT) AS tier, 'p
 
 
 @query(
-    "st6_checkout_events",
+    "stream_checkout_events",
     with_("users", "payments") + f""", c AS ({PAID.format(events='events')}),
       f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_time, event_id) AS a FROM c),
       pend AS (SELECT DISTINCT user_id FROM payments WHERE status = 'pending')
@@ -100,7 +100,7 @@ PAID = """SELECT event_id, user_id, CAST(event_id % 3 + 1 AS BIGINT) AS tier, 'p
     UNION ALL SELECT CAST(-1 AS BIGINT), user_id, CAST(round(amount_total / 100.0, 2) AS DOUBLE), transaction_id, 'success'
     FROM f WHERE NOT (a = 1 AND user_id IN (SELECT user_id FROM pend))""",
 )
-def st6_checkout_events(t):
+def stream_checkout_events(t):
     bought = _events(t).filter("event_type = 'purchase'")
     events = bought.select(
         "event_id", "user_id", (F.col("event_id") % 3 + 1).alias("tier"),

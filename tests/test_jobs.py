@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from jobweave.functions import text, urls
 from jobweave.functions.skew import GROUP_LIMIT, join_unique, salted_join, top_k
 from jobweave.operators import browse, filters, liveness, projections, usage
-from jobweave.sources import imports
+from jobweave.sources import imports, schema
 
 AS_OF = "2024-03-01 00:00:00"
 
@@ -276,3 +276,12 @@ def test_top_k_equals_plain_ranking(spark, values, k):
         group = sorted(((-r["s"], r["id"]) for r in rows.filter(F.col("g") == g).collect()))[:k]
         want += [(g, i, n) for n, (_, i) in enumerate(group, 1)]
     assert values(ranked, "g", "id", "rank") == sorted(want, key=repr)
+
+
+def test_declared_columns(spark, make_jobs, tmp_path):
+    path = str(tmp_path / "jobs")
+    make_jobs({"job_title": "Nurse"}).select("id", "job_title").write.parquet(path)
+    row = schema.read_model(spark, path, "jobs").first()
+    assert (row["job_title"], row["deactivation_reason"]) == ("Nurse", None)
+    for name, columns in schema.SCHEMAS.items():
+        assert spark.createDataFrame([], columns).columns, name

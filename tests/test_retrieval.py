@@ -189,3 +189,32 @@ def test_embed_backlog_fills_only_gaps(spark, make_jobs):
     made = retrieval.embed_backlog(jobs, vectors, hashing_embedder(16)).collect()
     assert [(r["id"], r["embedding_dimension"]) for r in made] == [(2, 16)]
     assert np.linalg.norm(made[0]["embedding"]) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_listing_tiers_pages_and_teasers(spark, make_jobs, tmp_path):
+    titles = [f"nurse {i:02d}" for i in range(12)] + ["driver"]
+    jobs = make_jobs(*[{"job_title": t, "exists_in_uk": int(i % 2), "added_at": "2024-01-01"} for i, t in enumerate(titles)])
+    built = retrieval.SearchIndex.build(jobs, str(tmp_path), parts=2)
+    users = spark.createDataFrame([(1, 0), (2, 1)], "user_id bigint, membership_status int")
+    asked = spark.createDataFrame(
+        [(1, " ", None, 1, 1, 5, ""), (2, " ", None, 2, 2, 5, ""), (3, None, None, 1, 2, 2, "uk"), (4, "nurse", None, 2, 2, 5, "uk"),
+         (5, "nurse", None, None, 1, 5, ""), (6, "nothing", None, 2, 1, 5, ""), (7, "", {"location": "x"}, 1, 1, 5, "")],
+        "query_id bigint, query string, filters map<string,string>, user_id bigint, page int, page_limit int, location_filter string",
+    ).withColumn("query_embedding", F.lit(None).cast("array<float>"))
+    got = {}
+    for r in retrieval.search_listing(asked, users, built, jobs).collect():
+        got.setdefault(r["query_id"], []).append(r)
+
+    def shown(number):
+        return [r["id"] for r in sorted(got[number], key=lambda r: (r["is_blurred"], r["rank"] or 0))]
+
+    browse_order = [2, 4, 6, 8, 10, 12, 13, 1, 3, 5, 7, 9, 11]
+    assert shown(1) == ["2", "4", "6", "dummy-0", "dummy-1"]
+    assert shown(2) == [str(i) for i in browse_order[5:10]]
+    assert shown(3) == ["6"]
+    assert shown(4) == ["12"]
+    assert shown(5)[:3] == ["2", "4", "6"] and shown(5)[3:] == ["dummy-0", "dummy-1"]
+    assert 6 not in got and 7 not in got
+    assert {(r["total"], r["total_pages"]) for r in got[2]} == {(13, 3)}
+    assert {(r["total"], r["total_pages"]) for r in got[1]} == {(3, 1)}
+    assert {(r["total"], r["total_pages"]) for r in got[4]} == {(6, 2)}
