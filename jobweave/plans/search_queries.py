@@ -287,6 +287,44 @@ def search_listing(t):
     )
 
 
+FETCH_SQL = "CASE WHEN tier = 0 THEN 200 WHEN tier = 1 THEN 1000 ELSE 3000 END"
+CAP_SQL = "CASE tier WHEN 0 THEN 3 WHEN 1 THEN 1000 WHEN 2 THEN 3000 ELSE 1000000 END"
+
+
+@query(
+    "search_listing_text",
+    with_("jobs_docs", "vectors", "requests", "users") + INDEX_SQL + SEMANTIC_SQL + FUSE_SQL + f""",
+      r AS (SELECT q.query_id, query, u.membership_status AS tier, CAST(1 + q.query_id % 2 AS INTEGER) AS page, 10 AS page_limit,
+        CASE WHEN q.query_id % 3 = 0 THEN 'uk' ELSE '' END AS location_filter FROM q JOIN users u ON u.user_id = q.query_id),
+      an AS (SELECT pl.query_id, id, row_number() OVER (PARTITION BY pl.query_id ORDER BY place) AS n FROM pl JOIN q ON q.query_id = pl.query_id
+          WHERE trim(query) <> '' AND NOT {holds_any('job_title', fx.COURSE_WORDS)}
+        UNION ALL SELECT query_id, j.id, row_number() OVER (PARTITION BY query_id ORDER BY {ORDERS['relevance'].replace(' id ', ' j.id ')})
+          FROM q JOIN jobs_docs j ON trim(query) = '' AND {OPEN_SQL} AND {FILTER_SQL}),
+      s AS (SELECT r.*, an.id, row_number() OVER (PARTITION BY r.query_id ORDER BY n) AS rank, count(*) OVER (PARTITION BY r.query_id) AS found
+        FROM an JOIN r ON r.query_id = an.query_id JOIN jobs_docs j ON j.id = an.id
+        WHERE n <= {FETCH_SQL} AND (location_filter <> 'uk' OR exists_in_uk = 1)),
+      p AS (SELECT r.*, coalesce(f.found, 0) AS found, least(coalesce(f.found, 0), {CAP_SQL}) AS total FROM r
+        LEFT JOIN (SELECT DISTINCT query_id, found FROM s) f ON f.query_id = r.query_id),
+      z AS (SELECT *, CAST(greatest(1, ceil(total / CAST(page_limit AS DOUBLE))) AS BIGINT) AS total_pages FROM p)
+    SELECT s.query_id, CAST(s.id AS VARCHAR) AS id, s.rank, FALSE AS is_blurred, z.total, z.total_pages FROM s JOIN z ON z.query_id = s.query_id
+      WHERE rank <= total AND rank > (s.page - 1) * s.page_limit AND rank <= s.page * s.page_limit
+    UNION ALL SELECT query_id, 'dummy-' || CAST(k AS VARCHAR), NULL, TRUE, total, total_pages FROM (
+      SELECT *, unnest(generate_series(0, least(page_limit - total, found - 3) - 1)) AS k FROM z WHERE tier = 0 AND page = 1 AND found > 3) d""",
+)
+def search_listing_text(t):
+    """Text and blank requests together, over the documents."""
+    asked = t.requests_table().withColumns(
+        {
+            "user_id": F.col("query_id"),
+            "page": (F.col("query_id") % 2 + 1).cast("int"),
+            "page_limit": F.lit(10),
+            "location_filter": F.when(F.col("query_id") % 3 == 0, "uk").otherwise(""),
+        }
+    )
+    rows = retrieval.search_listing(asked, t.users, t.index("jobs_docs"), t.jobs_docs)
+    return rows.select("query_id", "id", "rank", "is_blurred", "total", "total_pages")
+
+
 def letter_counts(texts):
     """Stand-in for a model: how often each of a to z occurs."""
     return [[value.lower().count(letter) for letter in "abcdefghijklmnopqrstuvwxyz"] for value in texts]

@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from jobweave.session import local_session  # noqa: E402
+from jobweave.session import local_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(4, "jobweave-tests", memory="4g")
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     if session.sparkContext.getCheckpointDir() is None:
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
