@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,13 +37,18 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
 
 
 def join_unique(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], hot: DataFrame | None = None, salts: int = 64
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    hot: DataFrame | None = None,
+    salts: int = 64,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of rows with a lookup that has each key once.
+    """Inner or left join of rows with a lookup that has each key once.
 
     Rows of a hot key are cut into `salts` pieces by their content and its one lookup row is copied for each piece; all
     other rows are shuffled as they are.  So no task gets more than 1/1000 of the rows for a key, or a piece of a hot
-    one.  `hot` saves counting the rows where the counts are known (at most 1000 keys, see `hot_keys`).
+    one; rows without a key are cut too.  `hot` saves counting the rows where the counts are known (at most 1000 keys, see `hot_keys`).
     """
     keys = list(keys)
     if hot is None:
@@ -50,10 +56,11 @@ def join_unique(
     marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     hashable = [f.name for f in rows.schema.fields if f.dataType.typeName() != "map"]
     piece = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-    cut = rows.join(marks, keys, "left").withColumn("_salt", F.when(F.col("_hot"), piece).otherwise(0)).drop("_hot")
+    apart = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys), F.col("_hot"))
+    cut = rows.join(marks, keys, "left").withColumn("_salt", F.when(apart, piece).otherwise(0)).drop("_hot")
     copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
     copied = lookup.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return cut.join(copied, [*keys, "_salt"]).drop("_salt")
+    return cut.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, salts: int = 16) -> DataFrame:

@@ -42,12 +42,16 @@ def apply_checkouts(
     new_users = new_users.withColumn("membership_status", F.coalesce("new_tier", "membership_status")).drop("new_tier")
 
     pending = payments.filter("status = 'pending'")
-    settled_by = per_user.select("user_id", F.col("first.transaction_id").alias("new_transaction"))
-    settled = join_unique(pending, settled_by, ["user_id"])
-    settled = settled.withColumns({"status": F.lit("success"), "transaction_id": F.col("new_transaction")})
-    untouched = payments.filter("status <> 'pending' OR status IS NULL").unionByName(
-        pending.join(per_user.select("user_id"), "user_id", "left_anti").select(*payments.columns)
+    settled_by = per_user.select("user_id", F.struct(F.col("first.transaction_id").alias("id")).alias("paid"))
+    settled = join_unique(pending, settled_by, ["user_id"], how="left")
+    paid = F.col("paid").isNotNull()
+    settled = settled.withColumns(
+        {
+            "status": F.when(paid, "success").otherwise(F.col("status")),
+            "transaction_id": F.when(paid, F.col("paid.id")).otherwise(F.col("transaction_id")),
+        }
     )
+    untouched = payments.filter("status <> 'pending' OR status IS NULL")
 
     with_pending = pending.select("user_id").distinct().withColumn("settles", F.lit(True))
     firsts = per_user.select("user_id", F.col("first.event_id").alias("first_event")).join(

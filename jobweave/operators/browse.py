@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text
-from jobweave.functions.skew import first_rows, small_side, top_k
+from jobweave.functions.skew import first_rows, is_small, salted_join, top_k
 from jobweave.operators import filters as flt
 from jobweave.sources import workdir
 
@@ -80,8 +80,6 @@ def containing(patterns: DataFrame, values: DataFrame, salts: int = 16) -> DataF
     test, instead of comparing every pattern with every value.  Both inputs are distinct; a piece that many values share
     is cut by value.
     """
-    from jobweave.functions.skew import salted_join
-
     keys = ["kind", "gram"]
     indexed = values.select("kind", "value", F.explode(grams(F.col("value"))).alias("gram"))
     sizes = indexed.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -106,7 +104,7 @@ def suggest(queries: DataFrame, jobs: DataFrame, column: str, limit: int = 8) ->
     kind = F.lit(column).alias("kind")
     pairs = containing(typed.select(kind, "pattern").distinct(), values.select(kind, "value")).drop("kind")
     best = top_k(pairs, ["pattern"], [F.asc("value")], limit, F.col("value"))
-    return typed.join(best, "pattern").select("query_id", F.col("pattern").alias("query"), "value", "rank")
+    return salted_join(typed, best, ["pattern"], F.col("query_id")).select("query_id", F.col("pattern").alias("query"), "value", "rank")
 
 
 def sorted_filters(filters: Column) -> Column:
@@ -167,10 +165,15 @@ def browse_requests(requests: DataFrame, jobs: DataFrame, max_limit: int = 3000)
         "id", "exists_in_london", "exists_in_uk", "has_description", "added_at", "job_title", "views_count", "salary",
         *ANCHORS, "cats", F.explode(F.concat(F.array(*own), of_category)).alias("anchor"),
     ).select("*", "anchor.kind", "anchor.value").drop("anchor")
-    met = narrow.join(small_side(anchors), ["kind", "value"]).filter(flt.row_meets_request())
+    # The anchor `all` is on every job, so the shuffled form needs its keys cut.
+    if is_small(anchors):
+        met = narrow.join(F.broadcast(anchors), ["kind", "value"])
+    else:
+        met = salted_join(narrow, anchors, ["kind", "value"], F.col("id"), salts=64)
+    met = met.filter(flt.row_meets_request())
     ranked = top_k(met, ["shape"], sort_keys("relevance"), max_limit, F.col("id"))
     answers = ranked.filter(F.col("rank") <= F.col("fetch")).select("shape", "id", "rank")
-    hits = asked.select("query_id", "shape", "fetch").join(answers, "shape")
+    hits = salted_join(asked.select("query_id", "shape", "fetch"), answers, ["shape"], F.col("query_id"))
     return hits.filter(F.col("rank") <= F.col("fetch")).select("query_id", "id", "rank", F.lit(1.0).alias("hybrid_score"))
 
 

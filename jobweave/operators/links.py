@@ -101,10 +101,9 @@ def titles_to_links(jobs: DataFrame, page_links: DataFrame) -> DataFrame:
     low = F.lower(F.col("job_title"))
     hit = F.filter("job_links", lambda x: F.lower(x["text"]).contains(low))
     missing = F.coalesce(F.col("job_link"), F.lit("")) == ""
-    without = join_unique(jobs.filter(missing), page_links.select("page_id", "job_links"), ["page_id"])
+    without = join_unique(jobs.filter(missing), page_links.select("page_id", "job_links"), ["page_id"], how="left")
     found = without.withColumn("job_link", F.try_element_at(hit, F.lit(1))["url"]).drop("job_links")
-    orphans = jobs.filter(missing).join(page_links.select("page_id"), "page_id", "left_anti")
-    return jobs.filter(~missing).unionByName(found).unionByName(orphans.select(*found.columns))
+    return jobs.filter(~missing).unionByName(found)
 
 
 def org_status(pages: DataFrame, key: str) -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text
-from jobweave.functions.skew import is_small, salted_join, top_k
+from jobweave.functions.skew import is_small, join_unique, salted_join, top_k
 from jobweave.operators import browse as listing
 from jobweave.operators import filters as flt
+from jobweave.sources import workdir
 
 INDEX_COLUMNS = ("job_title", "organisation_name", "location", "remote_type", "experience_level")
 DIGITS = 9
@@ -402,7 +403,10 @@ def search_hybrid(
     )
     # At most 2 * candidates rows per query, so a counted number of queries bounds the broadcast.
     rows = fused.join(asked, "query_id")
-    rows = (F.broadcast(rows) if is_small(queries.select("query_id"), MAX_QUERIES) else rows).join(facts, "id")
+    if is_small(queries.select("query_id"), MAX_QUERIES):
+        rows = F.broadcast(rows).join(facts, "id")
+    else:
+        rows = join_unique(rows, facts, ["id"])
     rows = rows.withColumn("exact_match", (F.col("title_is") == F.col("query_is")).cast("int"))
     # At most 2 * candidates rows per query from here on.
     best = F.max("hybrid_score").over(W.partitionBy("query_id"))
@@ -461,25 +465,28 @@ def search_listing(requests: DataFrame, users: DataFrame, index: SearchIndex, jo
     the few lists they ask for.  A list is at most 3000 rows long; a request takes its slice of it.
     """
     tier = F.coalesce("membership_status", F.lit(0))
-    asked = requests.join(users.select("user_id", "membership_status"), "user_id", "left").withColumn("tier", tier)
-    asked = asked.withColumn("fetch", listing.tier_fetch(F.col("tier")))
+    # Many requests may come from one user, or from none.
+    asked = join_unique(requests, users.select("user_id", "membership_status"), ["user_id"], how="left")
+    asked = asked.withColumn("tier", tier).withColumn("fetch", listing.tier_fetch(F.col("tier")))
     blank = text.strip(text.value_or_blank(F.col("query"))) == ""
     shared = F.to_json(F.struct(listing.sorted_filters(F.col("filters")).alias("f"), "location_filter", "fetch"))
     own = F.concat(F.lit("q"), F.col("query_id").cast("string"))
-    asked = asked.withColumn("list_key", F.when(blank, shared).otherwise(own))
+    # Requests and answers are read several times below; written once, they are worked out once.
+    asked = workdir.cut(asked.withColumn("list_key", F.when(blank, shared).otherwise(own)))
     lists = asked.drop("query_id", "user_id", "page", "page_limit", "tier", "membership_status")
     lists = lists.withColumnRenamed("list_key", "query_id").dropDuplicates(["query_id"])
 
-    answers = search(lists, index, jobs, min_score=0.10)
+    answers = workdir.cut(search(lists, index, jobs, min_score=0.10))
     facts = jobs.select("id", "exists_in_uk", "exists_in_london", "job_title", "organisation_name", "location")
-    scoped = answers.join(facts, "id").join(lists.select("query_id", "location_filter"), "query_id")
+    scoped = join_unique(answers, facts, ["id"]).join(lists.select("query_id", "location_filter"), "query_id")
     scoped = scoped.filter(flt.row_in_scope(F.col("location_filter")))
     shown = F.struct(
         "rank", F.col("id").cast("string").alias("id"), "job_title", "organisation_name", "location", "hybrid_score"
     )
     found = scoped.groupBy(F.col("query_id").alias("list_key")).agg(F.array_sort(F.collect_list(shown)).alias("found"))
 
-    pages = asked.select("query_id", "tier", "page", "page_limit", "list_key").join(found, "list_key", "left")
+    pages = asked.select("query_id", "tier", "page", "page_limit", "list_key")
+    pages = join_unique(pages, found, ["list_key"], how="left")
     pages = pages.withColumn("n_found", F.coalesce(F.array_size("found"), F.lit(0)))
     pages = pages.withColumn("total", F.least(F.col("n_found"), listing.tier_cap(F.col("tier"))))
     first = (F.col("page") - 1) * F.col("page_limit")

@@ -263,6 +263,9 @@ def test_skewed_joins_keep_every_row(spark, values):
     )
     plain = rows.join(lookup, "k")
     assert values(join_unique(rows, lookup, ["k"]), "k", "id", "v") == values(plain, "k", "id", "v")
+    gaps = rows.withColumn("k", F.when(F.col("id") % 5 != 0, F.col("k")))
+    got = values(join_unique(gaps, lookup, ["k"], how="left"), "k", "id", "v")
+    assert got == values(gaps.join(lookup, "k", "left"), "k", "id", "v")
     assert values(salted_join(rows, lookup, ["k"], F.col("id")), "k", "id", "v") == values(plain, "k", "id", "v")
 
 
