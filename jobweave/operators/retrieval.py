@@ -477,13 +477,11 @@ def search_listing(requests: DataFrame, users: DataFrame, index: SearchIndex, jo
     lists = lists.withColumnRenamed("list_key", "query_id").dropDuplicates(["query_id"])
 
     answers = workdir.cut(search(lists, index, jobs, min_score=0.10))
-    facts = jobs.select("id", "exists_in_uk", "exists_in_london", "job_title", "organisation_name", "location")
-    scoped = join_unique(answers, facts, ["id"]).join(lists.select("query_id", "location_filter"), "query_id")
+    flags = jobs.select("id", "exists_in_uk", "exists_in_london")
+    scoped = join_unique(answers, flags, ["id"]).join(lists.select("query_id", "location_filter"), "query_id")
     scoped = scoped.filter(flt.row_in_scope(F.col("location_filter")))
-    shown = F.struct(
-        "rank", F.col("id").cast("string").alias("id"), "job_title", "organisation_name", "location", "hybrid_score"
-    )
-    found = scoped.groupBy(F.col("query_id").alias("list_key")).agg(F.array_sort(F.collect_list(shown)).alias("found"))
+    row = F.struct("rank", "id", "hybrid_score")
+    found = scoped.groupBy(F.col("query_id").alias("list_key")).agg(F.array_sort(F.collect_list(row)).alias("found"))
 
     pages = asked.select("query_id", "tier", "page", "page_limit", "list_key")
     pages = join_unique(pages, found, ["list_key"], how="left")
@@ -491,18 +489,19 @@ def search_listing(requests: DataFrame, users: DataFrame, index: SearchIndex, jo
     pages = pages.withColumn("total", F.least(F.col("n_found"), listing.tier_cap(F.col("tier"))))
     first = (F.col("page") - 1) * F.col("page_limit")
     on_page = F.greatest(F.lit(0), F.least(F.col("page_limit"), F.col("total") - first))
-    none = F.array().cast(scoped.select(F.array(shown).alias("a")).schema["a"].dataType)
+    none = F.array().cast("array<struct<rank:bigint,id:bigint,hybrid_score:double>>")
     rows = F.transform(
         F.coalesce(F.slice("found", first + 1, on_page), none),
         lambda x, i: F.struct(
-            x["id"].alias("id"), x["job_title"].alias("job_title"), x["organisation_name"].alias("organisation_name"),
-            x["location"].alias("location"), (first + i + 1).cast("bigint").alias("rank"),
-            x["hybrid_score"].alias("hybrid_score"), F.lit(False).alias("is_blurred"),
+            x["id"].alias("id"), (first + i + 1).cast("bigint").alias("rank"), x["hybrid_score"].alias("hybrid_score")
         ),
     )
     counts = F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("page_limit"))).cast("bigint")
     sized = pages.withColumns({"total_pages": counts, "shown": on_page})
     listed = sized.select("query_id", "total", "total_pages", F.inline(rows))
+    # Texts only for rows that are shown; the same few jobs may lead very many pages.
+    listed = join_unique(listed, jobs.select("id", "job_title", "organisation_name", "location"), ["id"])
+    listed = listed.withColumns({"id": F.col("id").cast("string"), "is_blurred": F.lit(False)})
     teasers = listing.teaser_rows(
         sized.select("query_id", "tier", "page", F.col("page_limit").alias("size"), "shown",
                      F.col("n_found").alias("total"), F.col("total").alias("allowed"), "total_pages"),
