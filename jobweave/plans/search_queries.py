@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
-from jobweave.functions import text, vectors
-from jobweave.operators import browse, filters, projections, retrieval
-from jobweave.plans.fixtures import DAY_AS_OF, JOBS_AS_OF, holds_any, in_category_sql, in_list, tokens_sql, with_
+from jobweave.functions import vectors
+from jobweave.operators import browse, retrieval
+from jobweave.plans.fixtures import JOBS_AS_OF, holds_any, in_category_sql, tokens_sql, with_
 from jobweave.plans.registry import query
 from jobweave.plans.table_queries import OPEN_SQL, ORDERS, P
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobweave.functions import urls
 from jobweave.operators import retrieval
-from jobweave.plans.fixtures import duck, tokens_sql, with_
+from jobweave.plans.fixtures import tokens_sql, with_
 from jobweave.plans.registry import query
 from jobweave.streaming import jobs as stream
 

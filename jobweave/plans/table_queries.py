@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
-from jobweave.functions import text, urls
+from jobweave.functions import urls
 from jobweave.functions.skew import first_rows, top_k
-from jobweave.operators import billing, browse, filters, links, liveness, projections, usage
+from jobweave.operators import billing, browse, links, liveness, usage
 from jobweave.plans.fixtures import (
-    DAY_AS_OF, JOBS_AS_OF, duck, holds_any, host_sql, in_category_sql, in_list, path_sql, quoted, with_,
+    DAY_AS_OF, duck, holds_any, host_sql, in_category_sql, in_list, path_sql, quoted, with_,
 )
 from jobweave.plans.registry import query
-from jobweave.plans.source_queries import BLOCKED, CHECKED, P, PLACES, SAVED_SQL, VIEWS
+from jobweave.plans.source_queries import BLOCKED, P, PLACES, SAVED_SQL
 
 OPEN_SQL = f"""is_active = 1 AND job_link <> '' AND NOT {holds_any('job_title', fx.COURSE_WORDS_BROWSE)}"""
 ORDERS = {

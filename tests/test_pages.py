@@ -2,7 +2,6 @@ from collections import deque
 from urllib.parse import urlparse
 
 import pytest
-from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.operators import links, pages, parsing
