@@ -120,3 +120,10 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     hashes = mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
     return hashes, np.searchsorted(starts, offsets), starts, ends, data
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows whose key is not among the distinct `ids`; null counts as a key.  Up to `limit` ids (counted) are broadcast."""
+    ids = ids.select(F.col(key).alias("_id")).distinct()
+    small = F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+    return rows.join(small, rows[key].eqNullSafe(F.col("_id")), "left_anti")

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import host_rules
+from jobweave.llm import host_rules, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_benchmark_decontamination": templates.query,
     "op5_quality_rules": host_rules.query,
 }
 SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": templates.SQL.strip(),
     "op5_quality_rules": host_rules.SQL.strip(),
 }
