@@ -127,3 +127,20 @@ def without(rows: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_RO
     ids = ids.select(F.col(key).alias("_id")).distinct()
     small = F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
     return rows.join(small, rows[key].eqNullSafe(F.col("_id")), "left_anti")
+
+
+def shared_file(spark: SparkSession, data: bytes, name: str) -> str:
+    """Write bytes below the shared folder and hand the file to every executor; returns its name for `SparkFiles.get`."""
+    context = spark.sparkContext
+    folder = shared_folder(spark)
+    unique = f"{folder.rsplit('/', 1)[1]}-{name}"
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{unique}")
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    out = system.create(path)
+    try:
+        for start in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[start : start + (1 << 20)]))
+    finally:
+        out.close()
+    context.addFile(system.makeQualified(path).toString())
+    return unique

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import host_rules, templates
+from jobweave.llm import bpe_lexicon, host_rules, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": templates.query,
+    "op4_bpe_encoding": bpe_lexicon.query,
     "op5_quality_rules": host_rules.query,
 }
 SQL: dict[str, str] = {
