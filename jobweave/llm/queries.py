@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import bpe_lexicon, host_rules, line_dedup, templates
+from jobweave.llm import bpe_lexicon, host_rules, line_dedup, templates, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": templates.query,
     "op4_bpe_encoding": bpe_lexicon.query,
     "op5_quality_rules": host_rules.query,
     "op6_line_dedup": line_dedup.query,
+    "op9_warc": warc_zip.query,
 }
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": templates.SQL.strip(),
     "op5_quality_rules": host_rules.SQL.strip(),
     "op6_line_dedup": line_dedup.SQL.strip(),
+    "op9_warc": warc_zip.SQL.strip(),
 }
