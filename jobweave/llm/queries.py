@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import bpe_lexicon, host_rules, line_dedup, templates, warc_zip
+from jobweave.llm import bpe_lexicon, chat_windows, host_rules, line_dedup, templates, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": templates.query,
     "op4_bpe_encoding": bpe_lexicon.query,
     "op5_quality_rules": host_rules.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_chat_formatting": chat_windows.query,
     "op9_warc": warc_zip.query,
 }
 SQL: dict[str, str] = {
