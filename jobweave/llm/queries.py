@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import bpe_lexicon, chat_windows, ctw, host_rules, line_dedup, templates, warc_zip
+from jobweave.llm import bpe_lexicon, chat_windows, ctw, host_rules, line_dedup, setsketch, templates, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": ctw.query,
@@ -16,10 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": line_dedup.query,
     "op7_chat_formatting": chat_windows.query,
     "op9_warc": warc_zip.query,
+    "op10_minhash_near_dedup": setsketch.query,
 }
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": templates.SQL.strip(),
     "op5_quality_rules": host_rules.SQL.strip(),
     "op6_line_dedup": line_dedup.SQL.strip(),
     "op9_warc": warc_zip.SQL.strip(),
+    "op10_minhash_near_dedup": setsketch.SQL.strip(),
 }
