@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import bpe_lexicon, chat_windows, ctw, host_rules, line_dedup, setsketch, templates, warc_zip
+from jobweave.llm import bpe_lexicon, chat_windows, ctw, host_rules, line_dedup, setsketch, templates, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": ctw.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": host_rules.query,
     "op6_line_dedup": line_dedup.query,
     "op7_chat_formatting": chat_windows.query,
+    "op8_toxicity": toxicity.query,
     "op9_warc": warc_zip.query,
     "op10_minhash_near_dedup": setsketch.query,
 }
