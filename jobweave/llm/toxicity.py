@@ -25,7 +25,7 @@ SAMPLE_WINDOWS = 24
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 WORD_ROWS, CHAR_ROWS, WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 8192, 4096, 8, 8, 8, 8
-EPOCHS, BATCH, RATE, DECAY = 5, 256, 0.01, 1e-5
+ROUNDS, UPDATES, BATCH, RATE, DECAY = 5, 80, 256, 0.01, 1e-5
 CHUNK_BYTES = 1 << 20
 SCORE_BATCH = 4096
 
@@ -257,10 +257,10 @@ def calibration(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, f
     return float(max(a, 0.05)), float(b)
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def train(texts: list[list[bytes]], labels: np.ndarray, rounds: int = ROUNDS, updates: int = UPDATES, seed: int = 7) -> Model:
     """Fit the network to labelled texts, each a list of windows.
 
-    A fifth of the texts is kept for the calibration.  In the first epoch every window of a text has the text's label; after
+    A fifth of the texts is kept for the calibration.  Each round has the same number of updates.  In the first one every window of a text has the text's label; after
     that, of toxic texts only the two strongest windows count as toxic, and the strongest windows of clean texts are
     preferred as clean ones, since a toxic text need not be toxic all over.
     """
@@ -277,7 +277,7 @@ def train(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, se
     adam = Adam(p)
     use = ~kept_out[owner] & (windows[:, 0] >= 0)
     toxic = labels[owner] > 0
-    for epoch in range(epochs):
+    for turn in range(rounds):
         bad, good = np.flatnonzero(use & toxic), np.flatnonzero(use & ~toxic)
         if scores is not None:
             order = np.lexsort((-scores, owner))
@@ -289,13 +289,14 @@ def train(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, se
             good = np.concatenate([hard, rng.choice(good, min(len(good), len(hard)), replace=False)])
         elif len(good) > 2 * len(bad):
             good = rng.choice(good, 2 * len(bad), replace=False)
-        chosen = rng.permutation(np.concatenate([bad, good]))
-        for i in range(0, len(chosen), BATCH):
-            own, part = part_of(words, windows[chosen[i : i + BATCH]])
+        pool = np.concatenate([bad, good])
+        for _ in range(updates):
+            chosen = rng.choice(pool, min(BATCH, len(pool)), replace=False)
+            own, part = part_of(words, windows[chosen])
             vectors, kept = inputs(p, own), {}
             q = sigmoid(forward(p, vectors, part, kept))
-            d = ((q - toxic[chosen[i : i + BATCH]]) / len(part)).astype(np.float32)
-            adam.step(p, backward(p, own, vectors, part, kept, d), RATE * (1 - 0.8 * epoch / epochs))
+            d = ((q - toxic[chosen]) / len(part)).astype(np.float32)
+            adam.step(p, backward(p, own, vectors, part, kept, d), RATE * (1 - 0.8 * turn / rounds))
         scores = window_scores(p, words, windows)
     top = strongest(scores[windows[:, 0] >= 0], owner[windows[:, 0] >= 0], len(texts))
     judged = kept_out & np.isfinite(top)
