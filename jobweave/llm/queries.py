@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from jobweave.llm import bpe_lexicon, chat_windows, ctw, host_rules, html_extract, line_dedup, setsketch, templates, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_lm_scoring": ctw.query,
     "op2_html_extraction": html_extract.query,
     "op3_benchmark_decontamination": templates.query,
