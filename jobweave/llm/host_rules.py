@@ -129,8 +129,9 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that pass, with their own columns."""
-    return judged(docs).filter("kept").select(*docs.columns)
+    """Documents that pass, with their own columns, whatever their names are."""
+    packed = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"))
+    return judged(packed, columns=["doc_id", "_own"]).filter("kept").select("_own.*")
 
 
 SQL = r"""

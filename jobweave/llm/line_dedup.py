@@ -262,9 +262,9 @@ class LineIndex:
         `refs` may give the references of these documents if they are at hand.  A null or empty text is one empty line.
         """
         drops = self.drops(line_refs(docs, self.min_chars) if refs is None else refs)
-        lists = drops.groupBy("doc_id").agg(F.collect_list("digest").alias("_digests")).withColumnRenamed("doc_id", "_id")
+        lists = drops.groupBy("doc_id").agg(F.collect_list("digest").alias("__digests")).withColumnRenamed("doc_id", "__id")
         own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-        rows = docs.select(*own).join(lists, docs["doc_id"].eqNullSafe(lists["_id"]), "left").drop("_id")
+        rows = docs.select(*own).join(lists, docs["doc_id"].eqNullSafe(lists["__id"]), "left").drop("__id")
         place, min_chars = own.index("text"), self.min_chars
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,10 +299,12 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents without repeated lines; `n_chars` follows the text."""
-    rows = deduplicated(docs)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0), *(F.col(f"`{c}`") for c in others)).alias("_own"))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return deduplicated(packed).select(*(made.get(c, F.col("_own")[c]).alias(c) for c in docs.columns))
 
 
 SQL = r"""
