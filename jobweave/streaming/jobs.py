@@ -8,8 +8,9 @@ repeated batch writes the same folder again.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,30 +52,66 @@ def run_batches(stream: DataFrame, folder: str, apply: Callable[[DataFrame, int]
 
 
 class ChangeLog:
-    """Append-only table of key states: batch n writes the full new state of the keys it touched as `batch=<n>`.
+    """Table of key states: batch n writes the full new state of the keys it touched, as one folder.
 
-    Readers see, per key, the rows of its newest batch, so nothing that did not change is rewritten, and a batch that
-    runs again replaces its own folder only.  The first state is batch -1.
+    Readers see, per key, the rows of its newest batch.  Every `compact_every`-th batch writes the state of all keys
+    instead, so no reader opens more than that many folders; folders are cut by key hash into `parts`, and a reader that
+    names its keys opens their parts only.  A folder counts once its writer has finished it: what a broken write leaves
+    is replaced when the batch, or the first state, is written again.
     """
 
-    def __init__(self, first: DataFrame, folder: str, key: Sequence[str]) -> None:
+    def __init__(self, first: DataFrame, folder: str, key: Sequence[str], parts: int = 16, compact_every: int = 16) -> None:
         self.spark, self.folder, self.key = first.sparkSession, folder, list(key)
-        self.schema = first.schema
-        first.write.mode("ignore").parquet(self._path(-1))
-
-    def _path(self, number: int) -> str:
-        return f"{self.folder}/batch={number}"
+        self.schema, self.parts, self.compact_every = first.schema, parts, compact_every
+        if not any(kind == "full" for kind, _ in self._finished()):
+            self._write(first, "full", -1)
+
+    def _finished(self) -> list[tuple[str, int]]:
+        """(kind, number) of the folders that are complete."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path
+        system = path(self.folder).getFileSystem(context._jsc.hadoopConfiguration())
+        if not system.exists(path(self.folder)):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(path(self.folder))]
+        done = [n.split("=") for n in names if "=" in n and system.exists(path(f"{self.folder}/{n}/_SUCCESS"))]
+        return [(kind, int(number)) for kind, number in done if kind in ("full", "batch")]
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
+
+    def _write(self, rows: DataFrame, kind: str, number: int) -> None:
+        cut = rows.select(*self.schema.names, self._part().alias("part"))
+        cut.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{kind}={number}")
 
     def write(self, rows: DataFrame, number: int) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(self._path(number))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.IntegerType())])
-        rows = self.spark.read.schema(schema).parquet(self.folder)
-        if before is not None:
-            rows = rows.filter(F.col("batch") < before)
-        newest = rows.groupBy(*self.key).agg(F.max("batch").alias("batch"))
-        return join_unique(rows, newest, [*self.key, "batch"]).select(*self.schema.names)
+        rows = rows.select(*self.schema.names)
+        if (number + 1) % self.compact_every:
+            self._write(rows, "batch", number)
+            return
+        same = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in self.key]
+        left = self.read(number).alias("old").join(rows.select(*self.key).distinct().alias("new"), same, "left_anti")
+        self._write(left.unionByName(rows), "full", number)
+
+    def folders(self, before: int | None = None) -> list[tuple[str, int]]:
+        """The newest complete state and the batches after it."""
+        done = [(kind, n) for kind, n in self._finished() if before is None or n < before]
+        start = max(n for kind, n in done if kind == "full")
+        return sorted((kind, n) for kind, n in done if n > start or kind == "full" and n == start)
+
+    def read(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """State after all batches, or before one of them; with `keys`, of the parts that hold these keys."""
+        schema = T.StructType([*self.schema.fields, T.StructField("part", T.IntegerType())])
+        folders = self.folders(before)
+        read = [self.spark.read.schema(schema).parquet(f"{self.folder}/{k}={n}").withColumn("batch", F.lit(n)) for k, n in folders]
+        rows = reduce(DataFrame.unionByName, read)
+        if keys is not None:
+            parts = [r["part"] for r in keys.select(self._part().alias("part")).distinct().collect()]  # at most `parts`
+            rows = rows.filter(F.col("part").isin(parts))
+        if len(folders) > 1:
+            newest = rows.groupBy(*self.key).agg(F.max("batch").alias("batch"))
+            rows = join_unique(rows, newest, [*self.key, "batch"])
+        return rows.select(*self.schema.names)
 
 
 def append_usage_log(events: DataFrame, folder: str) -> DataFrame:
@@ -111,18 +148,21 @@ def count_views(views: DataFrame, active: DataFrame, folder: str) -> DataFrame:
 
 
 def daily_quota(searches: DataFrame, folder: str, limit: int = fx.DAILY_SEARCHES) -> DataFrame:
-    """Searches per user and UTC day with the limit flag, kept current in update mode."""
+    """Searches per user and UTC day with the limit flag; a search counts for its day however late it comes."""
     empty = searches.sparkSession.createDataFrame(
         [], "user_id bigint, day date, search_count bigint, at_limit boolean"
     )
     quota = ChangeLog(empty, f"{folder}/quota", ["user_id", "day"])
-    days = F.window("ts", "1 day")
-    counts = searches.withWatermark("ts", "1 day").groupBy("user_id", days).agg(F.count("*").alias("search_count"))
-    counts = counts.select(
-        "user_id", F.to_date("window.start").alias("day"), "search_count",
-        (F.col("search_count") >= limit).alias("at_limit"),
-    )
-    run_batches(counts, folder, lambda batch, number: quota.write(batch, number), "update")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        day = F.to_date(F.window("ts", "1 day").getField("start"))
+        new = batch.groupBy("user_id", day.alias("day")).agg(F.count("*").alias("search_count"))
+        old = quota.read(number, new).select("user_id", "day", "search_count")
+        touched = old.join(new.select("user_id", "day"), ["user_id", "day"], "left_semi")
+        total = touched.unionByName(new).groupBy("user_id", "day").agg(F.sum("search_count").alias("search_count"))
+        quota.write(total.withColumn("at_limit", F.col("search_count") >= limit), number)
+
+    run_batches(searches, folder, apply)
     return quota.read()
 
 
@@ -148,23 +188,29 @@ def refresh_index(changes: DataFrame, first_index: DataFrame, folder: str) -> Da
 def apply_checkouts(
     events: DataFrame, users: DataFrame, payments: DataFrame, folder: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Apply completed checkout events once each, repeats within a day dropped by transaction id."""
+    """Apply completed checkout events once each, however late they come.
+
+    A repeat is known by its transaction id, in the same batch or among the payments that are already applied.  Events
+    without one are taken as they are.
+    """
     people = ChangeLog(users, f"{folder}/users", ["user_id"])
     paid = ChangeLog(payments, f"{folder}/payments", ["user_id"])
-    once = events.withWatermark("event_time", "1 day").dropDuplicatesWithinWatermark(["transaction_id"])
 
     def apply(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        fresh = batch.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
-        touched = fresh.select("user_id").distinct()
-        old_users = people.read(number).join(touched, "user_id", "left_semi")
-        old_payments = paid.read(number).join(touched, "user_id", "left_semi")
+        own = F.coalesce(F.concat(F.lit("t"), "transaction_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")))
+        once = batch.withColumn("_own", own).dropDuplicates(["user_id", "_own"]).drop("_own")
+        once = once.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+        touched = once.select("user_id").distinct()
+        old_users = people.read(number, touched).join(touched, "user_id", "left_semi")
+        old_payments = paid.read(number, touched).join(touched, "user_id", "left_semi")
+        fresh = once.join(old_payments.select("user_id", "transaction_id"), ["user_id", "transaction_id"], "left_anti")
         new_users, new_payments = billing.apply_checkouts(old_users, old_payments, fresh)
         people.write(new_users, number)
         paid.write(new_payments, number)
 
-    run_batches(once, folder, apply)
+    run_batches(events, folder, apply)
     return people.read(), paid.read()
 
 

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -135,3 +136,47 @@ def test_repeated_checkout_counts_once(spark, folders, values):
     people, paid = run()
     assert people == [(1, 0), (2, 2), (3, 2)]
     assert [p for p in paid if p[0] != 1] == [(2, None, "7", "success"), (3, 4, "8", "success")]
+
+
+def checkouts(spark, source):
+    return stream.read_events(spark, str(source)).select(
+        "event_id", "user_id", F.lit(2).cast("bigint").alias("tier"), F.get_json_object("props", "$.k").alias("transaction_id"),
+        (F.col("value") * 100).cast("bigint").alias("amount_total"), F.col("ts").alias("event_time"),
+    )
+
+
+def test_late_checkouts_and_searches_count(spark, folders, values):
+    source, work = folders
+    users, payments = tables(spark)
+    write_events(spark, source, [event(1, 1, "click", day=9, key=1)])
+    stream.apply_checkouts(checkouts(spark, source), users, payments, work + "/c")
+    stream.daily_quota(stream.read_events(spark, str(source)).select("user_id", "ts"), work + "/q")
+    write_events(spark, source, [event(2, 2, "click", day=2, key=2), event(3, 1, "click", day=1, key=1)])
+    people, paid = stream.apply_checkouts(checkouts(spark, source), users, payments, work + "/c")
+    assert values(people) == [(1, 2), (2, 2), (3, 0)]
+    assert [r for r in values(paid, "user_id", "transaction_id", "status") if r[0] == 2] == [(2, "2", "success")]
+    quota = stream.daily_quota(stream.read_events(spark, str(source)).select("user_id", "ts"), work + "/q")
+    assert values(quota.select("user_id", F.col("day").cast("string"), "search_count")) == [(1, "2024-01-01", 1), (1, "2024-01-09", 1), (2, "2024-01-02", 1)]
+
+
+def test_first_state_survives_a_broken_write(spark, folders, values):
+    _, work = folders
+    os.makedirs(f"{work}/log/full=-1/_temporary/0")
+    log = stream.ChangeLog(spark.createDataFrame([(1, 5)], "id bigint, views bigint"), f"{work}/log", ["id"])
+    assert values(log.read()) == [(1, 5)]
+
+
+def test_log_opens_few_folders(spark, folders, values):
+    _, work = folders
+    log = stream.ChangeLog(spark.createDataFrame([(i, 0) for i in range(20)], "id bigint, views bigint"), work, ["id"], parts=4, compact_every=3)
+    want = {i: 0 for i in range(20)}
+    for number in range(10):
+        rows = [(number % 5, number), (number, number)][: 1 if number % 5 == number else 2]
+        log.write(spark.createDataFrame(rows, "id bigint, views bigint"), number)
+        want |= dict(rows)
+        assert len(log.folders()) <= 3
+        assert values(log.read()) == sorted(want.items(), key=repr)
+    log.write(spark.createDataFrame([(9, 99)], "id bigint, views bigint"), 9)
+    assert values(log.read()) == sorted((want | {4: 4, 9: 99}).items(), key=repr)
+    some = spark.createDataFrame([(3,)], "id bigint")
+    assert (3, want[3]) in values(log.read(keys=some)) and log.read(keys=some).count() < 20
