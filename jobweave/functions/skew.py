@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
-
 BROADCAST_ROWS = 200_000
+#: Rows of one key that one task may hold, and most keys that are marked as hot.
+PIECE_ROWS = 1_000_000
+HOT_KEYS = 100_000
 
 
 def is_small(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -21,19 +21,14 @@ def is_small(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return rows.limit(max_rows + 1).count() <= max_rows
 
 
-def small_side(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast if its counted size allows, else as it is for a shuffled join.
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Keys with more than `piece_rows` rows, from rows per key, with the number of `_pieces` to cut them into.
 
-    Spark's own estimate of an exploded or aggregated table is too high to choose this by itself before the other side
-    has been shuffled.
+    A key also needs more than 1 / `HOT_KEYS` of all rows, so that there are never more than `HOT_KEYS` of them.
     """
-    return F.broadcast(rows) if is_small(rows, max_rows) else rows
-
-
-def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
-    """Keys that own more than 1/1000 of all rows, from rows per key: never more than 1000 of them."""
     total = counts.agg(F.sum(n).alias("total")).scalar()
-    return counts.filter(F.col(n) * HOT_SHARE > total).select(*keys)
+    hot = (F.col(n) > piece_rows) & (F.col(n) * HOT_KEYS > total)
+    return counts.filter(hot).select(*keys, F.ceil(F.col(n) / piece_rows).cast("int").alias("_pieces"))
 
 
 def join_unique(
@@ -41,25 +36,28 @@ def join_unique(
     lookup: DataFrame,
     keys: Sequence[str],
     hot: DataFrame | None = None,
-    salts: int = 64,
+    piece_rows: int = PIECE_ROWS,
     how: str = "inner",
 ) -> DataFrame:
     """Inner or left join of rows with a lookup that has each key once.
 
-    Rows of a hot key are cut into `salts` pieces by their content and its one lookup row is copied for each piece; all
-    other rows are shuffled as they are.  So no task gets more than 1/1000 of the rows for a key, or a piece of a hot
-    one; rows without a key are cut too.  `hot` saves counting the rows where the counts are known (at most 1000 keys, see `hot_keys`).
+    Rows of a key with more than `piece_rows` rows are cut into as many pieces as its count asks for, by their content
+    and the input partition they come from, so that equal rows part too; both are the same again when a lost task is
+    repeated.  The one lookup row of such a key is copied for each piece; all other rows are shuffled as they are.  Rows
+    without a key match nothing and are spread over all tasks.  `hot` saves counting where the counts are known.
     """
     keys = list(keys)
     if hot is None:
-        hot = hot_keys(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
-    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        hot = hot_keys(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys, piece_rows=piece_rows)
     hashable = [f.name for f in rows.schema.fields if f.dataType.typeName() != "map"]
-    piece = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-    apart = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys), F.col("_hot"))
-    cut = rows.join(marks, keys, "left").withColumn("_salt", F.when(apart, piece).otherwise(0)).drop("_hot")
-    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
-    copied = lookup.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    spread = F.xxhash64(*hashable, F.spark_partition_id())
+    apart = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    hot = F.broadcast(hot)  # at most HOT_KEYS rows
+    marked = rows.withColumn("_spread", spread).join(hot, keys, "left")
+    piece = F.when(apart, F.pmod("_spread", F.lit(1 << 20))).otherwise(F.pmod("_spread", F.coalesce("_pieces", F.lit(1))))
+    cut = marked.withColumn("_salt", piece.cast("int")).drop("_pieces", "_spread")
+    copies = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
+    copied = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_pieces")
     return cut.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -84,13 +82,11 @@ def top_k(
 ) -> DataFrame:
     """First k rows of each key with their 1-based rank.
 
-    Up to the session's window group limit Spark cuts each task's rows to k per key before the shuffle by itself.  Beyond
-    that, each key is first ranked in salted pieces, so the last ranking sees at most salts * k rows of a key.
+    Each key is ranked in salted pieces first, cut by `spread`, so the last ranking sees at most salts * k rows of a key.
     """
-    if k > int(rows.sparkSession.conf.get(GROUP_LIMIT)):
-        cut = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-        pieces = W.partitionBy(*keys, "_salt").orderBy(*order)
-        rows = cut.withColumn("_r", F.row_number().over(pieces)).filter(F.col("_r") <= k).drop("_r", "_salt")
+    cut = rows.withColumn("_salt", F.pmod(F.xxhash64(spread, F.spark_partition_id()), F.lit(salts)))
+    pieces = W.partitionBy(*keys, "_salt").orderBy(*order)
+    rows = cut.withColumn("_r", F.row_number().over(pieces)).filter(F.col("_r") <= k).drop("_r", "_salt")
     ranked = rows.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("bigint"))
 

@@ -437,8 +437,7 @@ def search(
     typed = asked.filter(~blank)
     answers = []
     if not asked.filter(blank).isEmpty():
-        most = limit if "fetch" not in queries.columns else max(fx.TIER_FETCH.values())
-        answers.append(listing.browse_requests(asked.filter(blank), jobs, max_limit=most))
+        answers.append(listing.browse_requests(asked.filter(blank), jobs))
     if not answers or not typed.isEmpty():
         answers.append(_search_typed(typed, index, min_score, candidates))
     return reduce(DataFrame.unionByName, answers)

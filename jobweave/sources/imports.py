@@ -60,7 +60,7 @@ def import_jobs(
     if "is_active" in named.columns:
         active = F.coalesce(F.upper(F.col("is_active").cast("string")) == "TRUE", F.lit(False)).cast("int")
     if "views_count" in named.columns:
-        views = F.coalesce(F.expr("CAST(try_cast(views_count AS double) AS int)"), F.lit(0))
+        views = F.coalesce(F.expr("try_cast(try_cast(views_count AS double) AS int)"), F.lit(0))
     typed = titled.withColumns({"is_active": active, "views_count": views})
     lists = {k: v for k, v in (("uk_places", uk_places), ("london_places", london_places)) if v is not None}
     return liveness.tag_location(typed, **lists)

@@ -267,6 +267,41 @@ def test_skewed_joins_keep_every_row(spark, values):
     got = values(join_unique(gaps, lookup, ["k"], how="left"), "k", "id", "v")
     assert got == values(gaps.join(lookup, "k", "left"), "k", "id", "v")
     assert values(salted_join(rows, lookup, ["k"], F.col("id")), "k", "id", "v") == values(plain, "k", "id", "v")
+    assert values(join_unique(rows, lookup, ["k"], piece_rows=100), "k", "id", "v") == values(plain, "k", "id", "v")
+
+
+def test_no_task_holds_a_hot_key(spark):
+    """A key on a third of the rows, equal rows and null keys: the largest partition of the join."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        base = spark.range(0, 30_000, 1, 16)
+        third = base.select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+        equal = base.select(F.lit(-1).cast("bigint").alias("k"))
+        empty = base.select(F.lit(None).cast("bigint").alias("k"), "id")
+        lookup = spark.range(-1, 30_000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+        for rows in (third, equal, empty):
+            joined = join_unique(rows, lookup, ["k"], piece_rows=500, how="left")
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 30_000 and max(sizes) < 6_000
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_import_survives_bad_cells(spark, values):
+    cells = ["nan", "inf", "1e20", "-1", "12.7", " ", None, "7"]
+    raw = spark.createDataFrame([(f"t{i}", "Leeds", c) for i, c in enumerate(cells)], "job_title string, location string, views_count string")
+    assert values(imports.import_jobs(raw), "job_title", "views_count") == [(f"t{i}", n) for i, n in enumerate([0, 0, 0, -1, 12, 0, 0, 7])]
+
+
+def test_fetch_has_no_ceiling(spark, make_jobs):
+    jobs = make_jobs({"job_title": "Nurse"}).drop("id").crossJoin(spark.range(4000).select("id"))
+    requests = spark.createDataFrame([(1, {}, 3500), (2, {}, 10)], "query_id bigint, filters map<string,string>, fetch int")
+    got = {r["query_id"]: r["count"] for r in browse.browse_requests(requests, jobs.select(*make_jobs({}).columns)).groupBy("query_id").count().collect()}
+    assert got == {1: 3500, 2: 10}
 
 
 @pytest.mark.parametrize("k", [5, 1500])
