@@ -158,10 +158,11 @@ def embedding_backlog(jobs: DataFrame, vectors: DataFrame) -> DataFrame:
     return jobs.filter("is_active = 1").join(vectors.select("id"), "id", "left_anti").orderBy("id")
 
 
-def description_backlog(jobs: DataFrame, batch: int = 2000) -> DataFrame:
-    """Jobs with a link and no description, newest id first, one batch."""
+def description_backlog(jobs: DataFrame, batch: int | None = None) -> DataFrame:
+    """Jobs with a link and no description, newest id first; one batch of them if a size is given."""
     missing = F.col("job_description").isNull() | (F.col("job_description") == "")
-    return jobs.filter(F.col("job_link").isNotNull() & missing).orderBy(F.col("id").desc()).limit(batch)
+    waiting = jobs.filter(F.col("job_link").isNotNull() & missing).orderBy(F.col("id").desc())
+    return waiting if batch is None else waiting.limit(batch)
 
 
 def blocked_domain(url: Column, domains: Iterable[str] = fx.BLOCKED_DOMAINS) -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text, urls
-from jobweave.functions.skew import join_unique, top_k
+from jobweave.functions.skew import hot_keys, join_unique, top_k
 from jobweave.operators import filters
 from jobweave.sources import workdir
 
@@ -143,23 +145,23 @@ def crawl_frontier(
     starts: DataFrame,
     page_links: DataFrame,
     ats: Iterable[str] = fx.ATS_DOMAINS,
-    max_depth: int = 4,
-    max_pages: int = 20,
-    links_per_page: int = 100,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
+    links_per_page: int | None = None,
 ) -> DataFrame:
     """Breadth-first visit order over stored links: (org, url, depth, visit).
 
-    `starts` is (org, url), `page_links` is (page_url, position, url).  A fixed number of joins, one per level.  Per
-    organisation at most `max_pages` pages are open at a time and each holds at most `links_per_page` links, so no group
-    grows beyond their product; the visited table is cut with a reliable checkpoint after each level.
+    `starts` is (org, url), `page_links` is (page_url, position, url).  One join per level, until a level finds nothing new
+    or `max_depth` levels are done; `max_pages` bounds the pages of an organisation, `links_per_page` the links read of a
+    page.  Each level is written before the next one is planned.
     """
-    links = page_links.filter(F.col("position") <= links_per_page).select(
-        F.col("page_url").alias("from_url"), "position", F.col("url").alias("to_url")
-    )
+    links = page_links.select(F.col("page_url").alias("from_url"), "position", F.col("url").alias("to_url"))
+    if links_per_page is not None:
+        links = links.filter(F.col("position") <= links_per_page)
     base = urls.host(F.col("url"))
     level = starts.select("org", "url", base.alias("base"), F.lit(0).alias("depth"), F.lit(1).alias("visit"))
     levels = [level]
-    for depth in range(1, max_depth):
+    for depth in range(1, max_depth) if max_depth is not None else count(1):
         found = join_links(level, links)
         link_host = urls.host(F.col("to_url"))
         same = (link_host == F.col("base")) | F.endswith(link_host, F.concat(F.lit("."), F.col("base")))
@@ -171,14 +173,17 @@ def crawl_frontier(
         visited = reduce(DataFrame.unionByName, levels)
         new = first_seen.join(visited.select("org", "url"), ["org", "url"], "left_anti")
         so_far = visited.groupBy("org").agg(F.max("visit").alias("so_far"))
-        ranked = top_k(new, ["org"], [F.col("seen"), F.col("url")], max_pages, F.col("url"), rank="n")
-        level = (
-            ranked.join(so_far, "org")
-            .withColumn("visit", (F.col("so_far") + F.col("n")).cast("int"))
-            .filter(F.col("visit") <= max_pages)
-            .select("org", "url", "base", F.lit(depth).alias("depth"), "visit")
-        )
-        level = workdir.cut(level)
+        if max_pages is None:
+            order = W.partitionBy("org").orderBy("seen", "url")
+            ranked = new.withColumn("n", F.row_number().over(order))
+        else:
+            ranked = top_k(new, ["org"], [F.col("seen"), F.col("url")], max_pages, F.col("url"), rank="n")
+        level = ranked.join(so_far, "org").withColumn("visit", (F.col("so_far") + F.col("n")).cast("int"))
+        if max_pages is not None:
+            level = level.filter(F.col("visit") <= max_pages)
+        level = workdir.cut(level.select("org", "url", "base", F.lit(depth).alias("depth"), "visit"))
+        if max_depth is None and level.isEmpty():
+            break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels).select("org", "url", "depth", "visit")
 
@@ -186,10 +191,14 @@ def crawl_frontier(
 def join_links(level: DataFrame, links: DataFrame) -> DataFrame:
     """Links of the pages of a level.
 
-    A stored page holds at most `links_per_page` links, so the link side has no hot key; the level side has one when
-    many organisations open the same page, and is then cut by organisation.
+    Only links of pages that the level opens are shuffled with it.  A page that very many organisations open has its links
+    copied for each piece of those organisations; other links are not copied.
     """
-    from jobweave.functions.skew import salted_join
-
     level = level.withColumnRenamed("url", "from_url")
-    return salted_join(level, links, ["from_url"], F.col("org"), salts=8)
+    opened = level.groupBy("from_url").agg(F.count("*").alias("n"))
+    hot = F.broadcast(hot_keys(opened, ["from_url"]))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    cut = level.join(hot, "from_url", "left").withColumn("_salt", F.pmod(F.xxhash64("org"), pieces).cast("int")).drop("_pieces")
+    wanted = links.join(opened.select("from_url"), "from_url", "left_semi").join(hot, "from_url", "left")
+    copies = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
+    return cut.join(copies, ["from_url", "_salt"]).drop("_salt")

@@ -7,6 +7,7 @@ no shuffle.  Everything after the parse is Spark expressions.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -24,119 +25,158 @@ PAGE_TYPE = (
     f"has_form boolean, has_application_form boolean, links {LINK_TYPE}"
 )
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+MAIN_TAGS = ("main", "article", "div", "body")
+MAIN_DIV = re.compile(fx.MAIN_DIV_CLASS, re.I)
 
 
-class _Outline(HTMLParser):
-    """Document order events of a page: ('open', tag, attrs), ('close', tag), ('text', data)."""
+class _Strings:
+    """Texts of an element, joined where only notes lie between them, empty ones left out."""
 
-    def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.events: list[tuple] = []
-        self._open: list[str] = []
-        self.feed(html)
-        self.close()
-        self._close_down_to(0)
+    def __init__(self) -> None:
+        self.parts: list[str] = []
 
-    def handle_starttag(self, tag, attrs):
-        self.events.append(("open", tag, {name: value or "" for name, value in attrs}))
-        if tag in VOID:
-            self.events.append(("close", tag))
-        else:
-            self._open.append(tag)
+    def stripped(self) -> list[str]:
+        return [t for t in (p.strip() for p in self.parts) if t]
 
-    def handle_endtag(self, tag):
-        if tag in self._open:
-            self._close_down_to(len(self._open) - 1 - self._open[::-1].index(tag))
 
-    def handle_data(self, data):
-        if self.events and self.events[-1][0] == "text":
-            self.events[-1] = ("text", self.events[-1][1] + data)
-        else:
-            self.events.append(("text", data))
-
-    def handle_comment(self, data):
-        self.events.append(("note", data))
+class _Region:
+    """Is the reader outside the skipped elements?"""
 
-    def _close_down_to(self, size):
-        while len(self._open) > size:
-            self.events.append(("close", self._open.pop()))
+    def __init__(self, skipped: Iterable[str]) -> None:
+        self.skipped, self.depth = frozenset(skipped), 0
 
+    def opens(self, tag: str) -> bool:
+        if self.depth or tag in self.skipped:
+            self.depth += 1
+        return not self.depth
 
-def _inside(events: list[tuple], start: int) -> list[tuple]:
-    """Events of the element opened at `start`, both ends included."""
-    level = 0
-    for end in range(start, len(events)):
-        level += {"open": 1, "close": -1}.get(events[end][0], 0)
-        if level == 0:
-            return events[start : end + 1]
-    return events[start:]
+    def closes(self) -> bool:
+        shown = not self.depth
+        self.depth -= not shown
+        return shown
 
 
-def _without(events: list[tuple], tags: Iterable[str]) -> list[tuple]:
-    """Events outside the given tags."""
-    kept, hidden = [], 0
-    for event in events:
-        if event[0] == "open" and (hidden or event[1] in tags):
-            hidden += 1
-        elif event[0] == "close" and hidden:
-            hidden -= 1
-        elif not hidden:
-            kept.append(event)
-    return kept
+class _Reader(HTMLParser):
+    """One pass over a page that fills its texts, links, forms, title and main element as their tags close.
 
+    An element ends with its own end tag or with that of an element around it; a link also ends where the next one
+    begins, and a form within a form is part of the outer one.
+    """
 
-def _strings(events: list[tuple]) -> list[str]:
-    return [e[1].strip() for e in events if e[0] == "text" and e[1].strip()]
+    def __init__(self, url: str, skip: Iterable[str], main_skip: Iterable[str]) -> None:
+        super().__init__(convert_charrefs=True)
+        self.url, self.shown, self.main_shown = url, _Region(skip), _Region(main_skip)
+        self.text, self.links, self.forms, self.title = _Strings(), [], [], None
+        self._open: list[str] = []
+        self._counts: Counter[str] = Counter()
+        self._link: tuple[str, _Strings, int] | None = None
+        self._form: tuple[list[str], int] | None = None
+        self._title: tuple[_Strings, int] | None = None
+        self._mains: dict[str, tuple[_Strings, int | None]] = {}
+        self._run: list[str] = []
+
+    def read(self, html: str) -> _Reader:
+        self.feed(html)
+        self.close()
+        self._pop_to(0)
+        return self
 
+    def handle_starttag(self, tag, attrs):
+        self._flush()
+        level, given = len(self._open), {name: value or "" for name, value in attrs}
+        if self.shown.opens(tag):
+            if tag == "a":
+                self._end_link()
+                self._link = (given["href"], _Strings(), level) if "href" in given else None
+            if tag == "title" and self.title is None:
+                self.title = ""
+                self._title = (_Strings(), level)
+            if tag == "form" and self._form is None:
+                self._form = ([], level)
+            if self._form:
+                self._form[0].extend([tag, *(f'{k}="{v}"' for k, v in given.items())])
+        if self.main_shown.opens(tag) and tag in MAIN_TAGS and tag not in self._mains:
+            # A class list matches if any one class does, or the whole attribute does.
+            if tag != "div" or MAIN_DIV.search(given.get("class", "")):
+                self._mains[tag] = (_Strings(), level)
+        self._open.append(tag)
+        self._counts[tag] += 1
+        if tag in VOID:
+            self._pop_to(level)
 
-def _elements(events: list[tuple], tag: str) -> Iterator[list[tuple]]:
-    return (_inside(events, i) for i, e in enumerate(events) if e[0] == "open" and e[1] == tag)
+    def handle_endtag(self, tag):
+        if self._counts[tag]:
+            self._flush()
+            size = len(self._open) - 1
+            while self._open[size] != tag:
+                size -= 1
+            self._pop_to(size)
 
+    def handle_data(self, data):
+        self._run.append(data)
 
-def _links(events: list[tuple], page_url: str) -> list[dict]:
-    found = []
-    for element in _elements(events, "a"):
-        href = element[0][2].get("href")
-        if href is None:
-            continue
+    def handle_comment(self, data):
+        self._flush()
+
+    def _flush(self) -> None:
+        """Hand a run of text to all elements that hold it."""
+        if not self._run:
+            return
+        data = "".join(self._run)
+        self._run.clear()
+        if not self.shown.depth:
+            self.text.parts.append(data)
+            if self._link:
+                self._link[1].parts.append(data)
+            if self._title:
+                self._title[0].parts.append(data)
+            if self._form:
+                self._form[0].append(data)
+        if not self.main_shown.depth:
+            for strings, level in self._mains.values():
+                if level is not None:
+                    strings.parts.append(data)
+
+    def _pop_to(self, size: int) -> None:
+        self._flush()
+        while len(self._open) > size:
+            self._counts[self._open.pop()] -= 1
+            level = len(self._open)
+            if self.shown.closes():
+                if self._link and self._link[2] == level:
+                    self._end_link()
+                if self._title and self._title[1] == level:
+                    self.title = "".join(self._title[0].parts)
+                    self._title = None
+                if self._form and self._form[1] == level:
+                    self.forms.append(" ".join(self._form[0]).lower())
+                    self._form = None
+            self.main_shown.closes()
+            for tag, (strings, begun) in self._mains.items():
+                if begun == level:
+                    self._mains[tag] = (strings, None)
+
+    def _end_link(self) -> None:
+        if self._link is None:
+            return
+        href, strings, _ = self._link
+        self._link = None
         try:
-            full = urljoin(page_url, href)
+            full = urljoin(self.url, href)
         except ValueError:
-            continue
-        if full and full != page_url:
-            label = "".join(_strings(element))
-            found.append({"position": len(found) + 1, "url": full, "text": label, "href": href})
-    return found
-
-
-def _markup(events: list[tuple]) -> str:
-    pieces = []
-    for event in events:
-        if event[0] == "open":
-            pieces += [event[1], *(f'{k}="{v}"' for k, v in event[2].items())]
-        elif event[0] == "text":
-            pieces.append(event[1])
-    return " ".join(pieces).lower()
-
-
-def _main_element(events: list[tuple]) -> list[tuple] | None:
-    wanted = re.compile(fx.MAIN_DIV_CLASS, re.I)
-    for tag in ("main", "article", "div", "body"):
-        for element in _elements(events, tag):
-            # A class list matches if any one class does, or the whole attribute does.
-            if tag != "div" or wanted.search(element[0][2].get("class", "")):
-                return element
-    return None
-
+            return
+        if full and full != self.url:
+            label = "".join(strings.stripped())
+            self.links.append({"position": len(self.links) + 1, "url": full, "text": label, "href": href})
 
-def _main_text(events: list[tuple], limit: int) -> tuple[str | None, str]:
-    element = _main_element(events)
-    if element is None:
-        return None, "missing_main_container"
-    body = re.sub(r"\n{3,}", "\n\n", "\n".join(_strings(element)))
-    if len(body) > limit:
-        body = body[:limit] + fx.TRUNCATED_SUFFIX
-    return body.strip(), "success"
+    def main_text(self, limit: int | None) -> tuple[str | None, str]:
+        found = next((self._mains[tag][0] for tag in MAIN_TAGS if tag in self._mains), None)
+        if found is None:
+            return None, "missing_main_container"
+        body = re.sub(r"\n{3,}", "\n\n", "\n".join(found.stripped()))
+        if limit is not None and len(body) > limit:
+            body = body[:limit] + fx.TRUNCATED_SUFFIX
+        return body.strip(), "success"
 
 
 def read_pages(
@@ -144,28 +184,28 @@ def read_pages(
     skip_tags: Iterable[str] = fx.TEXT_SKIP_TAGS,
     main_skip_tags: Iterable[str] = fx.MAIN_SKIP_TAGS,
     form_words: Iterable[str] = fx.FORM_WORDS,
-    text_chars: int = fx.PAGE_TEXT_CHARS,
-    main_chars: int = fx.MAIN_TEXT_CHARS,
+    text_chars: int | None = None,
+    main_chars: int | None = None,
 ) -> DataFrame:
-    """(page_id, url, html) to text, main text, links and form flags, one row per page."""
+    """(page_id, url, html) to text, main text, links and form flags, one row per page.
+
+    Whole texts; `text_chars` and `main_chars` cut them, the latter with a mark.
+    """
     skip, main_skip, form_words = set(skip_tags), set(main_skip_tags), tuple(form_words)
 
     def read(page_id, url, html):
-        outline = _Outline(html or "").events
-        shown = _without(outline, skip)
-        title = next(_elements(shown, "title"), None)
-        main, status = _main_text(_without(outline, main_skip), main_chars)
-        forms = [_markup(f) for f in _elements(shown, "form")]
+        page = _Reader(url or "", skip, main_skip).read(html or "")
+        main, status = page.main_text(main_chars)
         return {
             "page_id": page_id,
             "url": url,
-            "title": "".join(e[1] for e in title if e[0] == "text") if title else "",
-            "text": " ".join(" ".join(_strings(shown)).split())[:text_chars],
+            "title": page.title or "",
+            "text": " ".join(" ".join(page.text.stripped()).split())[:text_chars],
             "main_text": main,
             "main_status": status,
-            "has_form": bool(forms),
-            "has_application_form": any(w in f for f in forms for w in form_words),
-            "links": _links(shown, url or ""),
+            "has_form": bool(page.forms),
+            "has_application_form": any(w in f for f in page.forms for w in form_words),
+            "links": page.links,
         }
 
     def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,11 +240,10 @@ def is_job_link(href: Column, label: Column, words: Iterable[str] = fx.JOB_LINK_
 
 
 def link_caps(
-    read: DataFrame, words: Iterable[str] = fx.JOB_LINK_WORDS, job_links: int = 50, all_links: int = 100
+    read: DataFrame, words: Iterable[str] = fx.JOB_LINK_WORDS, job_links: int | None = None, all_links: int | None = None
 ) -> DataFrame:
-    """First job links and first links of each page: slices of the page's own array, no shuffle."""
+    """Job links and links of each page, the first ones only where a limit is given: the page's own array, no shuffle."""
     words = tuple(words)
     jobs = F.filter("links", lambda x: is_job_link(x["href"], x["text"], words))
-    return read.withColumns(
-        {"job_links": F.slice(jobs, 1, job_links), "all_links": F.slice("links", 1, all_links)}
-    )
+    first = lambda links, n: links if n is None else F.slice(links, 1, n)
+    return read.withColumns({"job_links": first(jobs, job_links), "all_links": first(F.col("links"), all_links)})

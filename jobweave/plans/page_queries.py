@@ -47,7 +47,7 @@ FLAT_SQL = _strip(_unescape(f"regexp_replace(regexp_replace({SHOWN}, '<[^>]*>',
       substr(regexp_replace({FLAT_SQL}, '\\s+', ' ', 'g'), 1, 10000) AS text FROM pages""",
 )
 def page_text(t):
-    return pages.page_text(t.pages)
+    return pages.page_text(t.pages, text_chars=fx.PAGE_TEXT_CHARS)
 
 
 @query(
@@ -60,7 +60,7 @@ def page_text(t):
       AS main_text, 'success' AS main_status FROM c""",
 )
 def page_main_text(t):
-    return pages.page_main_text(t.pages)
+    return pages.page_main_text(t.pages, main_chars=fx.MAIN_TEXT_CHARS)
 
 
 FORMS = """SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN html || '<form action="/send"><input name="CV"></form>'
@@ -106,15 +106,16 @@ def win_link_caps(t):
 
 @query(
     "join_title_link",
-    f"""WITH {LINKS_SQL}, jobs AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'th' WHEN 1 THEN 'DE' ELSE 'no such title' END AS job_title FROM pages)
-    SELECT jobs.page_id, job_title, (SELECT min_by(url, position) FROM links l WHERE l.page_id = jobs.page_id AND position <= 50
+    f"""WITH {LINKS_SQL}, jobs AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'th' WHEN 1 THEN 'DE' ELSE 'no such title' END AS job_title FROM pages),
+      j AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n FROM links WHERE {holds_any('href || chr(32) || text', JOB_WORDS)})
+    SELECT jobs.page_id, job_title, (SELECT min_by(url, position) FROM j l WHERE l.page_id = jobs.page_id AND n <= 50
       AND contains(lower(l.text), lower(job_title))) AS job_link FROM jobs""",
 )
 def join_title_link(t):
     title = F.when(F.col("page_id") % 3 == 0, "th").when(F.col("page_id") % 3 == 1, "DE").otherwise("no such title")
     jobs = t.pages.select("page_id", title.alias("job_title"), F.lit(None).cast("string").alias("job_link"))
-    read = pages.read_pages(t.pages, skip_tags=WITH_NAV)
-    per_page = read.select("page_id", F.slice("links", 1, 50).alias("job_links"))
+    read = pages.link_caps(pages.read_pages(t.pages, skip_tags=WITH_NAV), JOB_WORDS, job_links=50)
+    per_page = read.select("page_id", "job_links")
     return links.titles_to_links(jobs, per_page).select("page_id", "job_title", "job_link")
 
 
@@ -181,4 +182,4 @@ def _crawl_sql() -> str:
 @query("crawl_frontier", _crawl_sql())
 def crawl_frontier(t):
     starts, stored = crawl_inputs(t.page_urls)
-    return links.crawl_frontier(starts, stored, ats=CRAWL_DOMAINS)
+    return links.crawl_frontier(starts, stored, ats=CRAWL_DOMAINS, max_depth=4, max_pages=20, links_per_page=100)

@@ -195,7 +195,7 @@ def src_postings_flatten(t):
     )
     base = F.concat(F.lit("https://"), F.lower(F.replace("org", F.lit("#"), F.lit(""))), F.lit(".example.org"))
     payload = F.to_json(F.struct(F.size("jobPostings").alias("total"), "jobPostings"))
-    return parsing.postings(feeds.select("org", "feed_no", base.alias("base_url"), payload.alias("payload")))
+    return parsing.postings(feeds.select("org", "feed_no", base.alias("base_url"), payload.alias("payload")), cap=200)
 
 
 # Filters ------------------------------------------------------------------------------------------------------------
@@ -333,7 +333,7 @@ def flt_embed_backlog(t):
       AND (job_description IS NULL OR job_description = '') ORDER BY id DESC LIMIT 2000""",
 )
 def flt_desc_backlog(t):
-    return filters.description_backlog(t.jobs_docs).select("id", "job_link")
+    return filters.description_backlog(t.jobs_docs, batch=2000).select("id", "job_link")
 
 
 BLOCKED = fx.BLOCKED_DOMAINS + ("example.net", "spam-farm")

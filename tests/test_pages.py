@@ -1,3 +1,4 @@
+import time
 from collections import deque
 from urllib.parse import urlparse
 
@@ -23,7 +24,7 @@ def read(spark):
         (5, "https://a.org/five", "<body><article>art</article><main>one<br>two</main></body>"),
     ]
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    return {r["page_id"]: r for r in pages.read_pages(frame).collect()}
+    return {r["page_id"]: r for r in pages.read_pages(frame, main_chars=5000).collect()}
 
 
 def test_text_and_title(read):
@@ -131,10 +132,12 @@ def test_crawl_equals_breadth_first_search(spark):
     stored = spark.createDataFrame(rows, "page_url string, position int, url string")
     starts = spark.createDataFrame([(f"org{n}", url(n)) for n in (0, 3, 6, 11)], "org string, url string")
     got = {}
-    for r in links.crawl_frontier(starts, stored, ats=("never.org",)).collect():
+    for r in links.crawl_frontier(starts, stored, ats=("never.org",), max_depth=4, max_pages=20, links_per_page=100).collect():
         got.setdefault(r["org"], []).append((r["url"], r["depth"], r["visit"]))
     for n in (0, 3, 6, 11):
         assert sorted(got[f"org{n}"], key=lambda x: x[2]) == breadth_first(url(n), edges, ("never.org",))
+    whole = links.crawl_frontier(starts.filter("org = 'org3'"), stored, ats=("never.org",)).collect()
+    assert sorted((r["url"], r["depth"]) for r in whole) == sorted(x[:2] for x in breadth_first(url(3), edges, ("never.org",), 99, 999))
 
 
 def test_links_wide_and_long(spark, values):
@@ -165,6 +168,21 @@ def test_postings_cap(spark):
 
     feed = json.dumps({"total": 300, "jobPostings": [{"title": f" t{i}", "externalPath": f"/job/{i}" if i % 2 else ""} for i in range(500)]})
     feeds = spark.createDataFrame([("A", 0, "https://a.org", feed), ("A", 1, "https://a.org", "broken")], "org string, feed_no int, base_url string, payload string")
-    rows = parsing.postings(feeds).orderBy("posting_no").collect()
-    assert len(rows) == 200
+    rows = parsing.postings(feeds, cap=200).orderBy("posting_no").collect()
+    assert len(rows) == 200 and parsing.postings(feeds).count() == 250
     assert (rows[0]["job_title"], rows[0]["job_link"], rows[199]["job_link"]) == ("t1", "https://a.org/job/1", "https://a.org/job/399")
+
+
+@pytest.mark.parametrize("part", ['<a href="/x">', "<div>", "<form>", "<p>", "<main>", "</b><b>", "<title>"])
+def test_large_broken_pages_take_linear_time(part):
+    start = time.process_time()
+    page = pages._Reader("https://a.org", fx.TEXT_SKIP_TAGS, fx.MAIN_SKIP_TAGS).read((part + "word ") * (1_000_000 // (len(part) + 5)))
+    page.main_text(None)
+    assert time.process_time() - start < 10
+
+
+def test_whole_texts_by_default(spark):
+    html = "<body><article>" + "word " * 5000 + '</article><a href="/1">one<a href="/2">two</a></body>'
+    row = pages.read_pages(spark.createDataFrame([(1, "https://a.org", html)], "page_id bigint, url string, html string")).first()
+    assert len(row["main_text"]) == 24_999 and len(row["text"]) > 24_999
+    assert [(x["url"], x["text"]) for x in row["links"]] == [("https://a.org/1", "one"), ("https://a.org/2", "two")]
