@@ -74,15 +74,16 @@ def best_url(
 
 
 def _validation(url: Column, rank: Column) -> list[Column]:
-    ok = url.isNotNull()
+    """Verdict of the rule on the best acceptable link of an organisation, null if it has none."""
+    ok, words = url.isNotNull(), fx.LINK_VERDICTS
+    before, after = words["passed"].split("{}")
+    passed = F.concat(F.lit(before), rank.cast("string"), F.lit(after))
     return [
         ok.alias("is_valid"),
         url.alias("best_url"),
         F.when(ok, "ACCEPT").otherwise("REJECT").alias("decision"),
-        F.when(ok, "Own Website (Fallback)").otherwise("Missing URL").alias("category"),
-        F.when(ok, F.concat(F.lit("Passed rule-based validation (Rank "), rank.cast("string"), F.lit(")")))
-        .otherwise("All provided URLs are blacklisted or invalid")
-        .alias("reason"),
+        F.when(ok, words["accepted"]).otherwise(words["missing"]).alias("category"),
+        F.when(ok, passed).otherwise(words["failed"]).alias("reason"),
         F.when(ok, "Medium").otherwise("High").alias("confidence"),
     ]
 

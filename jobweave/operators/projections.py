@@ -77,10 +77,21 @@ def age_label(posted: Column, as_of: str) -> Column:
     return F.when(days.isNull(), "").when(days == 0, "Today").otherwise(F.concat(days.cast("string"), unit))
 
 
+def without_label(place: Column) -> Column:
+    """A place without the word that announces it: `Location: x`, `locations - x` and `[location] x` give x."""
+    low, signs = F.lower(place), " \t\n\r:-"
+    out = F.when(low.startswith("[location]"), F.substr(place, F.lit(len("[location]") + 1)))
+    for word in ("locations", "location"):
+        after = F.substr(place, F.lit(len(word) + 1))
+        announced = low.startswith(word) & F.substring(after, 1, 1).isin(*signs)
+        out = out.when(announced, F.ltrim(after, F.lit(signs)))
+    return out.otherwise(place)
+
+
 def card(jobs: DataFrame, as_of: str) -> DataFrame:
     """Display columns of a job card and of its detail page."""
     place = F.coalesce(F.nullif("location", F.lit("")), F.nullif("org_location", F.lit("")), F.lit("UK"))
-    place = text.strip(F.regexp_replace(place, r"(?i)^(?:locations?[\s:\n-]+|\[location\]\s*)", ""))
+    place = text.strip(without_label(place))
     link = F.col("job_link")
     mail = F.contains(link, F.lit("@")) & ~F.contains(link, F.lit("http")) & ~F.contains(link, F.lit("mailto:"))
     return jobs.select(

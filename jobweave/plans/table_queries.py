@@ -37,8 +37,8 @@ def join_saved_jobs(t):
 
 
 NAMES_SQL = "CASE job_category_id " + " ".join(
-    f"WHEN {k} THEN {quoted(v)}" for k, v in fx.CATEGORY_NAMES.items() if k != 9
-) + " WHEN 9 THEN 'Creative & Design' ELSE 'Other' END"
+    f"WHEN {k} THEN {quoted(v)}" for k, v in fx.CATEGORY_NAMES.items()
+) + " ELSE 'Other' END"
 
 
 @query(
