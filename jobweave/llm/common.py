@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,9 +129,9 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def without(rows: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows whose key is not among the distinct `ids`; null counts as a key.  Up to `limit` ids (counted) are broadcast."""
-    ids = ids.select(F.col(key).alias("_id")).distinct()
+    ids = ids.select(F.col(key).alias("__without")).distinct()
     small = F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
-    return rows.join(small, rows[key].eqNullSafe(F.col("_id")), "left_anti")
+    return rows.join(small, rows[key].eqNullSafe(F.col("__without")), "left_anti")
 
 
 def shared_file(spark: SparkSession, data: bytes, name: str) -> str:
@@ -144,3 +149,27 @@ def shared_file(spark: SparkSession, data: bytes, name: str) -> str:
         out.close()
     context.addFile(system.makeQualified(path).toString())
     return unique
+
+
+def size_step(n: str) -> Column:
+    """Sizes in steps of a sixteenth of a power of two."""
+    return F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
+
+
+def most(rows: DataFrame, n: str, limit: int) -> float:
+    """Smallest `size_step` such that at most `limit` rows reach it; the driver sees one row per step, under 1100."""
+    sizes = sorted(rows.groupBy(size_step(n).alias("step")).count().collect(), reverse=True)
+    total, bound = 0, math.inf
+    for at, count in sizes:
+        if total + count > limit:
+            break
+        total, bound = total + count, at
+    return bound
+
+
+def released() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers stay for later tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
