@@ -256,10 +256,29 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
 def test_encoder_forgets_rare_words_only(vocabulary):
     encoder = bpe_lexicon.Encoder(vocabulary, bpe_lexicon.Lexicon(bpe_lexicon.compile_lexicon({b" the": vocabulary.merge(b" the")})), limit=2)
     for word in ("zzxq", "qqxz", "xxyy", " the", "yyxx", "zyzy"):
-        assert encoder[word] == vocabulary.merge(word.encode())
+        assert encoder.encode(word) == list(vocabulary.merge(word.encode()))
     assert " the" in encoder and len(encoder) <= 3
 
 
+def test_words_are_merged_alike_in_any_company(vocabulary):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("theaingor é½") for _ in range(rng.randint(1, 40))).encode() for _ in range(500)]
+    one_by_one = [vocabulary.merge(w) for w in plain]
+    assert vocabulary.merge_all(plain) == one_by_one
+    assert [tuple(vocabulary._merge_long([vocabulary.byte_ids[b] for b in w])) for w in plain] == one_by_one
+    lexicon = bpe_lexicon.Lexicon(bpe_lexicon.compile_lexicon(dict(zip(plain[::2], one_by_one[::2]))))
+    assert lexicon.find_all([*plain, b"", b"zz"]) == [lexicon.find(w) for w in [*plain, b"", b"zz"]]
+
+
+def test_word_counts(spark):
+    texts = ["the cat. The cat's 12 cats", "a\nb the", "", "the"]
+    with open(bpe_lexicon.tokenizer_path(), "rb") as file:
+        raw = spark.sparkContext.broadcast(file.read())
+    rows = bpe_lexicon.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"), raw, limit=2).collect()
+    split = bpe_lexicon.Vocabulary(raw.value).split
+    assert {r["word"]: r["n"] for r in rows} == Counter(w for t in texts for w in split.findall(t))
+
+
 @needs_data
 def test_encoding_of_documents(spark, library):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
