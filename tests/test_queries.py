@@ -3,6 +3,7 @@
 import glob
 import os
 import re
+import shutil
 import subprocess
 import sys
 
@@ -11,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 import verify
+from jobweave.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -25,7 +27,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, db, name):
     frame = entry.queries()[name](spark, FOLDER)
     rows = frame.collect()
@@ -39,6 +41,19 @@ def test_query(spark, db, name):
     assert verify.rows_of(frame.columns, rows) == verify.rows_of(names, result.fetchall())
 
 
+def test_entry_lists_all_queries():
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.SQL) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_works_without_the_optional_subpackage(tmp_path):
+    """A copy without it still imports and lists all other queries."""
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    script = "import __spark_entry__ as e; print('names', len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120)
+    assert f"names {len(registry.QUERIES)} {len(registry.SQL)}" in done.stdout, done.stderr[-2000:]
+
+
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
