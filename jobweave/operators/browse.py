@@ -116,9 +116,11 @@ def sorted_filters(filters: Column) -> Column:
 ANCHORS = (*flt.EXACT_FILTERS, *flt.SUBSTRING_FILTERS)
 
 
-def browse_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+def browse_requests(requests: DataFrame, jobs: DataFrame, sort_by: str = "relevance") -> DataFrame:
     """Browse for a whole table of requests (query_id, filters, fetch): the first `fetch` jobs of each with their rank.
 
+    `sort_by` is the order of all of them, as in `browse`.
+
     Equal filter maps are answered once.  Each filter map meets the jobs by one equality, its anchor: an exact filter,
     the location values that hold the wanted text, a search category, or, for none of these, the table as a whole; the
     other filters are tested on the joined rows.
@@ -172,7 +174,7 @@ def browse_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
         met = salted_join(narrow, anchors, ["kind", "value"], F.col("id"), salts=64)
     met = met.filter(flt.row_meets_request())
     most = requests.agg(F.max("fetch")).first()[0] or 0
-    ranked = top_k(met, ["shape"], sort_keys("relevance"), int(most), F.col("id"))
+    ranked = top_k(met, ["shape"], sort_keys(sort_by), int(most), F.col("id"))
     answers = ranked.filter(F.col("rank") <= F.col("fetch")).select("shape", "id", "rank")
     hits = salted_join(asked.select("query_id", "shape", "fetch"), answers, ["shape"], F.col("query_id"))
     return hits.filter(F.col("rank") <= F.col("fetch")).select("query_id", "id", "rank", F.lit(1.0).alias("hybrid_score"))

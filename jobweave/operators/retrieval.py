@@ -426,10 +426,12 @@ def search(
     limit: int = 20,
     min_score: float = 0.15,
     candidates: int = fx.CANDIDATES,
+    sort_by: str = "relevance",
 ) -> DataFrame:
     """Answers to a table of requests: blank queries browse, the others search without course titles.
 
-    (query_id, id, rank, hybrid_score); a column `fetch` of the requests overrides `limit`.
+    (query_id, id, rank, hybrid_score); a column `fetch` of the requests overrides `limit`.  `sort_by` orders what blank
+    queries see; text queries are always ordered by their score.
     """
     fetch = F.col("fetch") if "fetch" in queries.columns else F.lit(limit)
     asked = queries.withColumn("fetch", fetch)
@@ -437,7 +439,7 @@ def search(
     typed = asked.filter(~blank)
     answers = []
     if not asked.filter(blank).isEmpty():
-        answers.append(listing.browse_requests(asked.filter(blank), jobs))
+        answers.append(listing.browse_requests(asked.filter(blank), jobs, sort_by))
     if not answers or not typed.isEmpty():
         answers.append(_search_typed(typed, index, min_score, candidates))
     return reduce(DataFrame.unionByName, answers)
@@ -454,8 +456,10 @@ def _search_typed(typed: DataFrame, index: SearchIndex, min_score: float, candid
     return ranked.filter(F.col("rank") <= F.col("fetch")).select("query_id", "id", "rank", "hybrid_score")
 
 
-def search_listing(requests: DataFrame, users: DataFrame, index: SearchIndex, jobs: DataFrame) -> DataFrame:
-    """A table of listing requests answered end to end.
+def search_listing(
+    requests: DataFrame, users: DataFrame, index: SearchIndex, jobs: DataFrame, sort_by: str = "relevance"
+) -> DataFrame:
+    """A table of listing requests answered end to end; `sort_by` orders what blank queries see.
 
     Requests are (query_id, query, filters, user_id, page, page_limit, location_filter, query_embedding).  Tier gives
     the fetch limit; then search, location scope, tier cap, page; free first pages get placeholder rows.
@@ -475,7 +479,7 @@ def search_listing(requests: DataFrame, users: DataFrame, index: SearchIndex, jo
     lists = asked.drop("query_id", "user_id", "page", "page_limit", "tier", "membership_status")
     lists = lists.withColumnRenamed("list_key", "query_id").dropDuplicates(["query_id"])
 
-    answers = workdir.cut(search(lists, index, jobs, min_score=0.10))
+    answers = workdir.cut(search(lists, index, jobs, min_score=0.10, sort_by=sort_by))
     flags = jobs.select("id", "exists_in_uk", "exists_in_london")
     scoped = join_unique(answers, flags, ["id"]).join(lists.select("query_id", "location_filter"), "query_id")
     scoped = scoped.filter(flt.row_in_scope(F.col("location_filter")))

@@ -323,3 +323,16 @@ def test_declared_columns(spark, make_jobs, tmp_path):
     assert (row["job_title"], row["deactivation_reason"]) == ("Nurse", None)
     for name, columns in schema.SCHEMAS.items():
         assert spark.createDataFrame([], columns).columns, name
+
+
+@pytest.mark.parametrize("mode", ["relevance", "popular", "company", "newest", "date"])
+def test_requests_are_sorted_like_one_browse(spark, make_jobs, mode):
+    jobs = make_jobs(*[
+        {"job_title": f"t{i % 7}", "organisation_name": f"o{i % 5}", "views_count": i * 7 % 11, "added_at": f"2024-01-{i % 9 + 1:02d}",
+         "has_description": i % 2, "remote_type": "Remote" if i % 3 else "Hybrid", "salary": "1" if i % 4 else ""} for i in range(60)
+    ])
+    requests = spark.createDataFrame([(1, {"remote_type": "Remote"}, 25), (2, {}, 50)], "query_id bigint, filters map<string,string>, fetch int")
+    got = browse.browse_requests(requests, jobs, mode).orderBy("query_id", "rank").collect()
+    for query, filters, n in ((1, {"remote_type": "Remote"}, 25), (2, {}, 50)):
+        want = [r["id"] for r in browse.browse(jobs, AS_OF, filters, mode, n).collect()]
+        assert [r["id"] for r in got if r["query_id"] == query] == want
