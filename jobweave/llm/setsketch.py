@@ -4,8 +4,9 @@ Each register keeps the smallest exponential draw over the set, truncated to a p
 and two registers are equal about as often as the sets are similar.  Bands of registers find candidates, the joint likelihood
 of which of two registers is larger estimates their similarity, and what passes is verified on the whole sets.
 
-Equal sets are one node.  A bucket of a band is never expanded into all pairs: members that already are in one component
-need no test, so that only members outside the bucket's largest component are tested against the others.
+Equal sets are one node.  A bucket of a band is never expanded into all pairs.  Nodes meet one other node first, which joins
+most near copies; members that are in one component need no test any more, and only the few that stay outside their bucket's
+largest component are tested against all others.
 """
 
 from __future__ import annotations
@@ -25,12 +26,15 @@ SHINGLE = 2
 STAGE_SHINGLE = 5
 #: Links need 100 * shared >= PERCENT * united shingles.
 PERCENT = 80
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 66, 7
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Candidates whose estimate is this far below the threshold are not verified: more than six standard deviations.
-MARGIN = 0.18
-#: Members of a bucket that are tested against its others in one round.
-CENTERS = 64
+MARGIN = 0.12
+#: Rounds in which a node is tested against one other node only, members of a bucket that meet one center in such a round,
+#: and members that are tested against all others of their bucket in each later round.
+QUICK_ROUNDS, QUICK_GROUP, CENTERS = 2, 32, 64
+#: Tables of up to this many rows of a few numbers are broadcast after they were counted.
+SMALL_ROWS = 200_000
 CHUNK_BYTES = 1 << 20
 CHUNK_SHINGLES = 1 << 16
 
@@ -172,78 +176,88 @@ def set_table(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ components
 
 
+def small(rows: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if its count allows."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, label) after links (a, b) are added; a component's label is its smallest one.
 
-    Links between labels are contracted round by round: each label points to the smallest label that it meets, pointers are
-    followed twice, and links within one label vanish.
+    Links between labels are contracted round by round: each label points to the smallest label that it meets, a pointer is
+    followed once, and links within one label vanish.
     """
-    one = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
-    two = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
-    edges = links.join(one, "a").join(two, "b").filter("x <> y").select("x", "y").distinct()
-    edges = stored(edges, "edges")
+    own = small(labels)
+    one = own.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    two = own.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    edges = stored(links.join(one, "a").join(two, "b").filter("x <> y").select("x", "y").distinct(), "edges")
     while edges.limit(1).count():
         both = edges.unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         points = stored(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("to")), "pointers")
-        follow = points.select(F.col("x").alias("to"), F.col("to").alias("then"))
-        for _ in range(2):
-            points = points.join(follow, "to", "left").select("x", F.coalesce("then", "to").alias("to"))
-        points = stored(points, "pointers")
-        moved = points.select(F.col("x").alias("label"), "to")
+        follow = small(points).select(F.col("x").alias("to"), F.col("to").alias("then"))
+        points = stored(points.join(follow, "to", "left").select("x", F.coalesce("then", "to").alias("to")), "pointers")
+        ends = small(points)
+        moved = ends.select(F.col("x").alias("label"), "to")
         labels = stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        x, y = points.select("x", F.col("to").alias("p")), points.select(F.col("x").alias("y"), F.col("to").alias("q"))
+        x, y = ends.select("x", F.col("to").alias("p")), ends.select(F.col("x").alias("y"), F.col("to").alias("q"))
         edges = stored(edges.join(x, "x").join(y, "y").filter("p <> q").select(F.col("p").alias("x"), F.col("q").alias("y")).distinct(), "edges")
     return labels
 
 
 def buckets(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """hash, node of the buckets that hold two nodes or more."""
+    """hash, node, size of the buckets that hold two nodes or more."""
     kind = nodes.schema["node"].dataType.simpleString()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, bands * rows)
-            hashes = band_hashes(registers, bands, rows).view(np.int64).ravel()
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), ids], ["hash", "node"])
+            for low in range(0, batch.num_rows, 2000):
+                part = batch.slice(low, 2000)
+                registers = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, bands * rows)
+                hashes = band_hashes(registers, bands, rows).view(np.int64).ravel()
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), bands)))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), ids], ["hash", "node"])
 
-    all_rows = stored(nodes.select("node", "registers").mapInArrow(explode, f"hash bigint, node {kind}"), "bands")
-    shared = all_rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").withColumn("shared", F.lit(True))
-    return stored(attach(all_rows, shared, "hash", "n", ["node"]).filter("shared").select("hash", "node"), "buckets")
+    all_rows = nodes.select("node", "registers").mapInArrow(explode, f"hash bigint, node {kind}")
+    shared = all_rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = stored(shared.filter("low <> high").select("hash", "n", F.col("n").alias("size")), "shared")
+    return stored(attach(all_rows, shared, "hash", "n", ["node"], limit=1_000_000).filter("size IS NOT NULL").distinct(), "buckets")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, registers: int, least: float) -> DataFrame:
     """Pairs (a, b) whose estimated similarity is at least `least`."""
     kind = nodes.schema["node"].dataType.simpleString()
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("registers").alias(f"r_{name}"), F.col("n_shingles").alias(f"n_{name}"))
-    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b")
+    rows = side("a").join(small(pairs.select("a", "b")), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
                 r_a, r_b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, registers) for i in (2, 3))
                 n_a, n_b = (part.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (4, 5))
                 good = pa.array(estimate(r_a, r_b, n_a, n_b) >= least)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["a", "b"])
 
-    return rows.mapInArrow(keep, f"a {kind}, b {kind}").distinct()
+    return stored(rows.mapInArrow(keep, f"a {kind}, b {kind}").distinct(), "likely")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the test on their whole sets.
 
-    A node with very many pairs is cut into pieces by its partners; its set is copied once per piece.
+    Few pairs are broadcast to the sets of their first nodes.  With many, a node with very many pairs is cut into pieces by
+    its partners, and its set is copied once per piece.
     """
     kind = pairs.schema["a"].dataType.simpleString()
-    pairs = stored(pairs, "pairs")
-    nodes = stored(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "nodes")
-    sets = stored(set_table(docs, nodes, size), "sets")
-    rows = pairs
-    for name, other in (("a", "b"), ("b", "a")):
-        counts = pairs.groupBy(name).agg(F.count("*").alias("n"))
-        lookup = sets.select(F.col("node").alias(name), F.col("items").alias(f"s_{name}")).join(counts, name)
-        rows = attach(rows, lookup, name, "n", [other], limit=0, target=20_000)
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    sets = stored(set_table(docs, stored(nodes, "nodes"), size), "sets")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("items").alias(f"s_{name}"))
+    if pairs.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        rows = side("a").join(F.broadcast(pairs), "a").join(side("b"), "b")
+    else:
+        rows = pairs
+        for name, other in (("a", "b"), ("b", "a")):
+            counts = pairs.groupBy(name).agg(F.count("*").alias("n"))
+            rows = attach(rows, side(name).join(counts, name), name, "n", [other], limit=0, target=20_000)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,40 +268,71 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return stored(rows.select("a", "b", "s_a", "s_b").mapInArrow(test, f"a {kind}, b {kind}").distinct(), "links")
 
 
+def one_each(members: DataFrame, turn: int) -> DataFrame:
+    """At most one pair (a, b) for each member: itself and a center of another label from one of its buckets.
+
+    Buckets are cut into groups of about `QUICK_GROUP` members, other ones in each turn; each has one center.  In the first
+    turn a bucket is one group, whose center is its smallest member.
+    """
+    pieces = F.ceil(F.col("size") / QUICK_GROUP).cast("int") if turn else F.lit(1)
+    cut = members.withColumn("group", F.pmod(F.xxhash64("node", F.lit(turn)), pieces).cast("int"))
+    draw = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+    centers = cut.groupBy("hash", "group").agg(F.min(F.struct(draw.alias("draw"), "node", "label")).alias("center"), F.count("*").alias("n"))
+    centers = stored(centers.filter("n > 1").select(F.struct("hash", "group").alias("place"), "n", "center.node", "center.label"), "centers")
+    centers = centers.select("place", "n", F.col("node").alias("other"), F.col("label").alias("own"))
+    met = attach(cut.withColumn("place", F.struct("hash", "group")), centers, "place", "n", ["node"], limit=SMALL_ROWS).filter("label <> own")
+    best = met.groupBy("node").agg(F.min_by("other", F.struct(F.xxhash64("hash", F.lit(turn)), "other") if turn else F.struct("other")).alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def all_of_few(members: DataFrame, centers: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of up to `centers` members of each bucket outside its largest label with its members of other labels.
+
+    Also the (hash, node) that are done in their bucket when these pairs are tested.
+    """
+    sizes = members.groupBy("hash", "label").agg(F.count("*").alias("n"))
+    largest = stored(sizes.groupBy("hash").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n")), "largest")
+    minor = attach(members, largest, "hash", "n", ["node"], limit=SMALL_ROWS).filter("label <> largest")
+    place = F.row_number().over(W.partitionBy("hash").orderBy("node"))
+    chosen = minor.withColumn("place", place).filter(F.col("place") <= centers).select("hash", F.col("node").alias("center"), F.col("label").alias("own"))
+    chosen = stored(chosen, "centers")
+    met = members.join(small(chosen), "hash").filter("label <> own")
+    pairs = met.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    return pairs, chosen.select("hash", F.col("center").alias("node"))
+
+
 def labelled_nodes(nodes: DataFrame, docs: DataFrame, size: int, percent: int, bands: int, rows: int, centers: int) -> DataFrame:
     """node, label: the smallest node of its component, for all nodes that share a bucket with another one.
 
-    First each node is tested against the smallest node of one of its buckets.  Then, as long as a bucket holds more than
-    one component, up to `centers` of its members outside its largest component are tested against all members of other
-    components, and are done in this bucket.  It ends when every pair in every bucket is tested or connected.
+    It ends when every pair in every bucket is tested or connected.  Buckets of one label are done.
     """
     members = buckets(nodes, bands, rows)
     least = percent / 100 - MARGIN
     labels = stored(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    firsts = members.groupBy("hash").agg(F.min("node").alias("a"), F.count("*").alias("n"))
-    pairs = attach(members, firsts, "hash", "n", ["node"]).filter("a <> node").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
-    tested = stored(pairs.select("a", "b"), "tested")
-    links = verified(likely(tested, nodes, bands * rows, least), docs, size, percent)
-    labels = components(labels, links)
+    members, tested, turn = members.withColumn("label", F.col("node")), None, 0
     while True:
-        marked = members.join(labels, "node")
-        mixed_buckets = marked.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        marked = stored(attach(marked, mixed_buckets.select("hash", "n", F.lit(True).alias("mixed")), "hash", "n", ["node"]).filter("mixed").select("hash", "node", "label"), "mixed")
-        if not marked.limit(1).count():
-            return labels
-        sizes = marked.groupBy("hash", "label").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("hash").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"))
-        minor = attach(marked, largest, "hash", "n", ["node"]).filter("label <> largest")
-        place = F.row_number().over(W.partitionBy("hash").orderBy("node"))
-        chosen = stored(minor.withColumn("place", place).filter(F.col("place") <= centers).select("hash", F.col("node").alias("center"), F.col("label").alias("own")), "centers")
-        met = marked.join(chosen, "hash").filter("label <> own")
-        pairs = met.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = stored(tested.unionAll(pairs), "tested")
+        done = None
+        if turn <= QUICK_ROUNDS:
+            pairs = one_each(members, turn)
+        else:
+            pairs, done = all_of_few(members, centers)
+        if tested is not None:
+            pairs = pairs.join(small(tested), ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        tested = pairs if tested is None else stored(tested.unionAll(pairs), "tested")
         links = verified(likely(pairs, nodes, bands * rows, least), docs, size, percent)
         labels = components(labels, links)
-        done = chosen.select("hash", F.col("center").alias("node"))
-        members = stored(marked.select("hash", "node").join(done, ["hash", "node"], "left_anti"), "buckets")
+        left = members.drop("label")
+        if done is not None:
+            left = left.join(small(done), ["hash", "node"], "left_anti")
+        marked = stored(left.join(small(labels), "node"), "marked")
+        open_ = marked.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+        open_ = stored(open_.select("hash", "n", F.col("n").alias("now")), "open")
+        members = attach(marked, open_, "hash", "n", ["node"], limit=SMALL_ROWS).filter("now IS NOT NULL")
+        members = stored(members.select("hash", "node", F.col("now").alias("size"), "label"), "buckets")
+        turn += 1
+        if not members.limit(1).count():
+            return labels
 
 
 def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, centers: int = CENTERS) -> DataFrame:
@@ -302,9 +347,9 @@ def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands:
     signed = stored(signatures(docs, size, bands, rows), "signatures")
     whole = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     groups = stored(whole.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "groups")
-    keys = whole.select("doc_id", "digest", "n_shingles", "registers")
-    firsts = groups.select(F.col("node").alias("doc_id"), "digest")
-    nodes = stored(keys.join(firsts, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n_shingles", "registers"), "nodes")
+    copies = attach(whole.select("doc_id", "digest"), groups.filter("n > 1"), "digest", "n", ["doc_id"]).filter("doc_id <> node")
+    copies = stored(copies.select("doc_id", "digest"), "copies")
+    nodes = whole.join(small(copies), ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias("node"), "n_shingles", "registers")
     labels = labelled_nodes(nodes, docs, size, percent, bands, rows, centers)
     lookup = groups.join(labels, "node", "left").select("digest", "n", F.coalesce("label", "node").alias("component_id"))
     by_row = attach(signed.select("doc_id", "n_shingles", "digest"), stored(lookup, "groups"), "digest", "n", ["doc_id"])
