@@ -255,10 +255,12 @@ def record_ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
 def read_archives(archives: DataFrame, payloads: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All records of the packages: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload.
 
-    Ranges are spread over all tasks.  Revisits have no payload and no size here; without `payloads` none is returned.
+    Ranges are spread over tasks by number: the table of ranges is tiny, what it stands for is not.  Revisits have no payload
+    and no size here; without `payloads` none is returned.
     """
-    ranges = record_ranges(archives, range_bytes)
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    ranges = stored(record_ranges(archives, range_bytes), "ranges")
+    tasks = max(1, min(-(-ranges.count() // 2), 100_000))
+    ranges = ranges.repartition(tasks, "path", "start")
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
