@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import mmap
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
@@ -23,14 +24,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from jobweave.llm.common import shared_file, shipped, table
+from jobweave.llm.common import most, released, shared_file, shipped, size_step, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
-LEXICON_WORDS = 32_768
+LEXICON_WORDS = 1 << 16
 #: Words that one worker keeps with their ids, and distinct words that it counts before it hands them on.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Longer words are merged with a heap.
 SHORT = 64
+NONE = 1 << 60
+#: Texts that are encoded together.
+TEXTS = 200
 # The byte-level split of words and the printable stand-ins of bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,7 +57,9 @@ class Vocabulary:
             raise ValueError("only byte-level BPE without normalizer, prefix space and unknown token is supported")
         signs, ids = byte_signs(), kind["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in kind["merges"]]
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.merges = {ids[a] << 20 | ids[b]: rank << 20 | ids[a + b] for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.pairs = np.array(sorted(self.merges), np.int64)
+        self.hits = np.array([self.merges[k] for k in self.pairs.tolist()], np.int64)
         self.byte_ids = [0] * 256
         for sign, byte in signs.items():
             self.byte_ids[byte] = ids[sign]
@@ -77,41 +83,76 @@ class Vocabulary:
         ids = [self.byte_ids[b] for b in word]
         return tuple(self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids))
 
+    def merge_all(self, words: Sequence[bytes]) -> list[tuple[int, ...]]:
+        """Ids of many short words at once: in every step each word that has a pair left merges its best one.
+
+        Tokens stay at their first byte's place and point to the places after and before them; a merge changes two ranks.
+        """
+        if not words:
+            return []
+        n, sizes = len(words), np.array([len(w) for w in words])
+        width = int(sizes.max()) + 1
+        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        inside = np.arange(width) < sizes[:, None]
+        ids = np.where(inside, np.array(self.byte_ids, np.int64)[data], -1)
+        after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
+        ranks = np.full((n, width), NONE)
+        ranks[:, :-1] = self._hits(ids[:, :-1], ids[:, 1:])
+        rows = np.arange(n)
+        while len(rows):
+            at = ranks[rows].argmin(axis=1)
+            best = ranks[rows, at]
+            alive = best < NONE
+            rows, at, best = rows[alive], at[alive], best[alive]
+            gone = after[rows, at]
+            ids[rows, at], ids[rows, gone], ranks[rows, gone] = best & 0xFFFFF, -1, NONE
+            follow = after[rows, gone]
+            after[rows, at] = follow
+            before[rows, np.minimum(follow, width - 1)] = at
+            ranks[rows, at] = self._hits(ids[rows, at], ids[rows, np.minimum(follow, width - 1)])
+            lead = before[rows, at]
+            has = lead >= 0
+            ranks[rows[has], lead[has]] = self._hits(ids[rows[has], lead[has]], ids[rows[has], at[has]])
+        kept = ids >= 0
+        ends = np.cumsum(kept.sum(axis=1))
+        flat, starts = ids[kept].tolist(), np.concatenate(([0], ends[:-1])).tolist()
+        return [tuple(flat[a:b]) for a, b in zip(starts, ends.tolist())]
+
+    def _hits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and result of pairs of ids, `NONE` where they do not merge or one of them is missing."""
+        key = np.where((left >= 0) & (right >= 0), left << 20 | right, -1)
+        place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == key, self.hits[place], NONE)
+
     def _merge_short(self, ids: list[int]) -> list[int]:
-        merges, none = self.merges, (1 << 60, 0)
-        while len(ids) > 1:
-            found = [merges.get(pair, none) for pair in zip(ids, ids[1:])]
-            best = min(found)
-            if best is none or best[0] == none[0]:
-                break
-            at, out = 0, []
-            while at < len(ids):
-                if at < len(found) and found[at][0] == best[0]:
-                    out.append(best[1])
-                    at += 2
-                else:
-                    out.append(ids[at])
-                    at += 1
-            ids = out
+        find, none = self.merges.get, NONE
+        ranks = [find(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            ids[at] = best & 0xFFFFF
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = find(ids[at - 1] << 20 | ids[at], none)
+            if at < len(ranks):
+                ranks[at] = find(ids[at] << 20 | ids[at + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n, merges = len(ids), self.merges
+        n, find = len(ids), self.merges.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*merges[pair], i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in merges]
-        heap = [(rank, i, new, pair) for rank, new, i, pair in heap]
+        heap = [(hit, i, a << 20 | b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (hit := find(a << 20 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, pair = heapq.heappop(heap)
+            hit, i, pair = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or (ids[i], ids[j]) != pair:
+            if ids[i] < 0 or j < 0 or ids[i] << 20 | ids[j] != pair:
                 continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
+            ids[i], ids[j], after[i] = hit & 0xFFFFF, -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (hit := merges.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (hit[0], left, hit[1], (ids[left], ids[right])))
+                if left >= 0 and right >= 0 and (hit := find(ids[left] << 20 | ids[right])) is not None:
+                    heapq.heappush(heap, (hit, left, ids[left] << 20 | ids[right]))
         return [i for i in ids if i >= 0]
 
     def text(self, ids: Sequence[int]) -> str:
@@ -122,7 +163,7 @@ class Vocabulary:
 
 
 def compile_lexicon(words: dict[bytes, Sequence[int]]) -> bytes:
-    """The transducer as one block: header, edge keys (state * 256 + byte, in order), targets, numbers, ends, id table.
+    """The transducer as one block: sizes, then first edges of the states, targets and numbers of the edges, id table, ends, labels.
 
     Words are added in order of their bytes.  When a word leaves the path of the one before, the states of the part left
     behind are final and each is replaced by an equal state if there is one.  An edge's number is the count of words that
@@ -151,7 +192,7 @@ def compile_lexicon(words: dict[bytes, Sequence[int]]) -> bytes:
             node = child
         node["end"], last = True, word
     settle(0)
-    root["id"], queue, keys, targets, numbers, ends = 0, [root], [], [], [], []
+    root["id"], queue, first, labels, targets, numbers, ends = 0, [root], [0], bytearray(), [], [], bytearray()
     for node in queue:  # grows while it runs
         ends.append(node["end"])
         number = int(node["end"])
@@ -159,71 +200,122 @@ def compile_lexicon(words: dict[bytes, Sequence[int]]) -> bytes:
             if child["id"] is None:
                 child["id"] = len(queue)
                 queue.append(child)
-            keys.append(node["id"] * 256 + byte)
+            labels.append(byte)
             targets.append(child["id"])
             numbers.append(number)
             number += child["count"]
+        first.append(len(labels))
     ids = [words[w] for w in order]
-    arrays = [np.array(keys, "<i8"), np.array(targets, "<i4"), np.array(numbers, "<i4"), np.array(ends, "u1"), np.cumsum([0, *map(len, ids)], dtype="<i8"), np.fromiter(chain.from_iterable(ids), "<i4")]
-    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
+    places = np.cumsum([0, *map(len, ids)])
+    arrays = [np.array(a, "<i4").tobytes() for a in (first, targets, numbers, places, list(chain.from_iterable(ids)))]
+    arrays += [bytes(ends), bytes(labels)]
+    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a + b"\0" * (-len(a) % 8) for a in arrays)
 
 
 class Lexicon:
-    """A compiled transducer, mapped into memory."""
-
-    def __init__(self, block: np.ndarray) -> None:
-        sizes, at, arrays = block[:48].view("<i8"), 48, []
-        for size, kind in zip(sizes, ("<i8", "<i4", "<i4", "u1", "<i8", "<i4")):
-            n = int(size) * np.dtype(kind).itemsize
-            arrays.append(block[at : at + n].view(kind))
-            at += n + -n % 8
-        self.keys, self.targets, self.numbers, self.ends, self.offsets, self.ids = arrays
+    """A compiled transducer over bytes or a mapped file."""
+
+    def __init__(self, block: bytes | mmap.mmap) -> None:
+        view, at, parts = memoryview(block), 56, []
+        for size in view[:56].cast("q"):
+            parts.append((at, size))
+            at += size + -size % 8
+        self.first, self.targets, self.numbers, self.places, self.ids = (view[a : a + n].cast("i") for a, n in parts[:5])
+        self.ends = view[parts[5][0] : parts[5][0] + parts[5][1]]
+        self.block, self.labels = block, parts[6][0]
+        states = np.repeat(np.arange(len(self.ends), dtype=np.int64), np.diff(np.asarray(self.first)))
+        self.keys = states * 256 + np.asarray(view[self.labels : self.labels + parts[6][1]])
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
-        return cls(np.memmap(path, np.uint8, "r"))
+        with open(path, "rb") as file:
+            return cls(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
     def find(self, word: bytes) -> tuple[int, ...] | None:
         """Ids of a word, or None if the lexicon does not have it."""
-        state, place, keys = 0, 0, self.keys
+        state, place, first, labels, seek = 0, 0, self.first, self.labels, self.block.find
         for byte in word:
-            key = state * 256 + byte
-            edge = int(keys.searchsorted(key))
-            if edge == len(keys) or keys[edge] != key:
+            edge = seek(byte.to_bytes(), labels + first[state], labels + first[state + 1]) - labels
+            if edge < 0:
                 return None
-            place += int(self.numbers[edge])
-            state = int(self.targets[edge])
+            place += self.numbers[edge]
+            state = self.targets[edge]
         if not self.ends[state]:
             return None
-        return tuple(self.ids[self.offsets[place] : self.offsets[place + 1]].tolist())
+        return tuple(self.ids[self.places[place] : self.places[place + 1]])
+
+
+    def find_all(self, words: Sequence[bytes]) -> list[tuple[int, ...] | None]:
+        """`find` for many words, which go through the states in step."""
+        out: list[tuple[int, ...] | None] = [None] * len(words)
+        if not words or not len(self.keys):
+            return [self.find(w) for w in words]
+        targets, numbers, ends = (np.asarray(x) for x in (self.targets, self.numbers, self.ends))
+        sizes = np.array([len(w) for w in words])
+        width = int(sizes.max()) + 1
+        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        rows, state, place = np.arange(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for at in range(width):
+            done = sizes[rows] == at
+            for row, ended, spot in zip(rows[done].tolist(), ends[state[done]].tolist(), place[done].tolist()):
+                if ended:
+                    out[row] = tuple(self.ids[self.places[spot] : self.places[spot + 1]])
+            rows, state, place = rows[~done], state[~done], place[~done]
+            key = state * 256 + data[rows, at]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[edge] == key
+            rows, state, place = rows[on], targets[edge[on]].astype(np.int64), place[on] + numbers[edge[on]]
+        return out
 
 
 class Encoder(dict):
-    """word -> ids: a bounded memory of words in front of the lexicon, and exact merging behind it."""
+    """word -> ids: words met so far in front of the lexicon, and exact merging behind it.
+
+    Words of the lexicon stay, other words are forgotten when there are `limit` of them.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, limit: int = CACHED_WORDS) -> None:
         super().__init__()
-        self.vocabulary, self.lexicon, self.limit = vocabulary, lexicon, limit
+        self.vocabulary, self.lexicon, self.limit, self.rare = vocabulary, lexicon, limit, []
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         data = word.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.find(data) if self.lexicon else None
-        if ids is None:
-            ids = self.vocabulary.merge(data)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= SHORT:
-            self[word] = ids
-        return ids
+        ids = self.lexicon.find(data) if self.lexicon and len(data) <= SHORT else None
+        return self.vocabulary.merge(data) if ids is None else ids
+
+    def learn(self, words: set[str]) -> None:
+        """Take in the words that are short and not known yet; forget rare ones if there are too many."""
+        new = [w for w in words.difference(self) if len(w) <= SHORT]
+        data = [w.encode("utf-8", "surrogatepass") for w in new]
+        fit = [i for i, d in enumerate(data) if len(d) <= SHORT]
+        new, data = [new[i] for i in fit], [data[i] for i in fit]
+        found = self.lexicon.find_all(data) if self.lexicon else [None] * len(data)
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.rare) + len(rest) > self.limit:
+            for old in self.rare:
+                del self[old]
+            self.rare.clear()
+        for i, ids in zip(rest, self.vocabulary.merge_all([data[i] for i in rest])):
+            found[i] = ids
+            self.rare.append(new[i])
+        self.update(zip(new, found))
+
+    def encode_all(self, texts: Sequence[str]) -> Iterator[list[int]]:
+        """Ids of each text; the words of all of them are looked up together."""
+        split, special = self.vocabulary.split.findall, self.vocabulary.special
+        cut = [[special[p] if i % 2 else split(p) for i, p in enumerate(self.vocabulary.parts(t))] for t in texts]
+        self.learn({word for parts in cut for part in parts[::2] for word in part})
+        for parts in cut:
+            ids: list[int] = []
+            for i, part in enumerate(parts):
+                if i % 2:
+                    ids.append(part)
+                else:
+                    ids.extend(chain.from_iterable(map(self.__getitem__, part)))
+            yield ids
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for i, part in enumerate(self.vocabulary.parts(text)):
-            if i % 2:
-                ids.append(self.vocabulary.special[part])
-            else:
-                ids.extend(chain.from_iterable(map(self.__getitem__, self.vocabulary.split.findall(part))))
-        return ids
+        return next(self.encode_all([text]))
 
 
 _LOADED: dict[tuple, object] = {}
@@ -246,32 +338,55 @@ def _loaded(raw: bytes, lexicon: str | None = None):
 
 
 def word_counts(texts: DataFrame, raw, limit: int = CACHED_WORDS) -> DataFrame:
-    """How often each word of the split occurs in all texts: counted per task first, then summed."""
+    """How often each word of the split occurs in all texts.
+
+    Pieces between blanks are counted first, per task and then over all of them; the split then goes over distinct pieces,
+    each with its blank, instead of over all texts.  Words at runs of blanks may be counted with one blank less or more.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts = _loaded(raw.value), Counter()
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, heads = Counter(), Counter()
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            names = [*counts, *heads]
+            n, after = [*counts.values(), *heads.values()], [True] * len(counts) + [False] * len(heads)
+            counts.clear()
+            heads.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(after, pa.bool_()), pa.array(n, pa.int64())], ["piece", "after", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part in vocabulary.parts(text or "")[::2]:
-                    counts.update(vocabulary.split.findall(part))
-                if len(counts) >= limit:
+            for low in range(0, batch.num_rows, TEXTS):
+                for text in batch.column(0).slice(low, TEXTS).to_pylist():
+                    first, *others = text.split(" ")
+                    heads[first] += 1
+                    counts.update(others)
+                if len(counts) + len(heads) >= limit:
                     yield rows()
-                    counts.clear()
         yield rows()
+        released()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _loaded(raw.value)
+        for batch in batches:
+            words, times = [], []
+            for piece, after, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for part in vocabulary.parts(f" {piece}" if after else piece)[::2]:
+                    found = vocabulary.split.findall(part)
+                    words.extend(found)
+                    times.extend([n] * len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], ["word", "n"])
+        released()
 
-    return texts.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(pieces, "piece string, after boolean, n bigint").groupBy("piece", "after").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(split, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(texts: DataFrame, raw_bytes: bytes, words: int = LEXICON_WORDS) -> str:
-    """Compile the `words` most frequent words of all texts and give the file to every executor; returns its name."""
+    """Compile the most frequent words of all texts, `words` at most, and give the file to every executor; returns its name."""
     spark = texts.sparkSession
     raw = spark.sparkContext.broadcast(raw_bytes)
-    counts = word_counts(texts.filter(F.col("text") != ""), raw)
-    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    counts = stored(word_counts(texts.filter(F.col("text") != ""), raw), "words")
+    top = counts.filter(size_step("n") >= most(counts, "n", words)).select("word").collect()
     vocabulary = Vocabulary(raw_bytes)
     lexicon = {(w := row["word"].encode()): vocabulary.merge(w) for row in top if len(row["word"]) <= SHORT}
     return shared_file(spark, compile_lexicon(lexicon), "lexicon")
@@ -300,10 +415,13 @@ def encoded(docs: DataFrame, path: str, keep: Sequence[str], finish: Finish, sch
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(raw.value, name)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            made = [finish(encoder.vocabulary, encoder.encode(text)) for text in texts.to_pylist()]
-            columns = [pa.array([m[i] for m in made], f.type) for i, f in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *arrow.names])
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                made = [finish(encoder.vocabulary, ids) for ids in encoder.encode_all(texts)]
+                columns = [pa.array([m[i] for m in made], f.type) for i, f in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], *arrow.names])
+        released()
 
     return kept.mapInArrow(encode, StructType([*fields, *added.fields]))
 
