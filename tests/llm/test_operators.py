@@ -212,6 +212,22 @@ def test_template_finds_other_values(spark, make_docs):
     assert {tuple(r) for r in templates.contaminated(docs, items, block_rows=3).collect()} == {tuple(r) for r in found.values()}
 
 
+def test_template_finds_any_case(spark, make_docs):
+    item = "A train travels 60 km in 2 hours and then 90 km in 3 hours so how far did Anna and Bert get in total"
+    swapped = item.replace("60", "75").replace("Anna", "Carla").replace("Bert", "Dirk")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    docs = make_docs([(1, f"Intro words. {swapped}.", "a"), (4, f"SOME WORDS {item.upper()} AND MORE", "a"), (5, f"and {item.lower()} end", "a"), (6, "NOTHING OF THE KIND IS IN THIS LONGER TEXT AT ALL", "a")])
+    found = {r["doc_id"]: r["covered_tokens"] for r in templates.contaminated(docs, items, any_case=True).collect()}
+    assert found == dict.fromkeys((1, 4, 5), len(item.split()))
+
+
+def test_stage_drops_any_case(spark, make_docs, tmp_path):
+    item = "A train travels 60 km in 2 hours and then 90 km in 3 hours so how far did Anna and Bert get in total"
+    spark.createDataFrame([(7, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make_docs([(1, item.upper(), "a"), (2, "Other words of a text that is kept.", "a")])
+    assert [r["doc_id"] for r in templates.stage(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 # ------------------------------------------------------------------------------------------------ 4
 
 @pytest.fixture(scope="module")
