@@ -6,7 +6,8 @@ Every window of eight template tokens of every document meets the windows of the
 counted, and a document that covers enough of an item is contaminated.  Only DataFrame functions are used.
 
 The registered query follows its SQL, where a passage in another letter case is another passage.  With `any_case` every window
-also has a plain form, in which words are only lower-cased, and counts if either form meets the item's.
+also has a plain form, in which words are only lower-cased, and counts if either form meets the item's.  With `by_window` the
+values are judged window by window, and two values of the item may stand for one of the document.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ NOISE = r"[^\p{L}\p{N}.!?\x20\x09-\x0D]+"
 
 
 def tokens(rows: DataFrame) -> DataFrame:
-    """The rows with `_core`, the tokens of `text` without punctuation in lower case, `_canon`, their template, and `_plain`,
-    the template without names.
+    """The rows with `_core`, the tokens of `text` without punctuation in lower case, `_canon`, their template, `_plain`,
+    the template without names, and `_lead`, the template whose first token is a name too if it begins with a capital.
 
     Signs other than sentence ends vanish, so `1,000` is one token.  A token that begins with a digit is a number; a unit
     follows a number; a name begins with a capital and does not begin a sentence.  Null texts have no tokens.
@@ -61,14 +62,23 @@ def tokens(rows: DataFrame) -> DataFrame:
         unit = (i > 0) & digit(F.get("_core", i - 1)) & core.isin(*UNITS)
         return F.when(digit(core), NUM).when(unit, UNIT).when((first != F.lower(first)) & inside, NAME).otherwise(core)
 
-    return rows.withColumn("_canon", F.transform("_core", template)).withColumn("_plain", F.transform("_core", plain)).drop("_raw", "_cased")
+    rows = rows.withColumn("_canon", F.transform("_core", template))
+    initial = F.substring(F.get("_cased", F.lit(0)), 1, 1)
+    rows = rows.withColumn("_lead", F.transform("_canon", lambda t, i: F.when((i == 0) & (initial != F.lower(initial)), NAME).otherwise(t)))
+    return rows.withColumn("_plain", F.transform("_core", plain)).drop("_raw", "_cased")
 
 
-def window_hashes(length: int, any_case: bool = False) -> Column:
-    """Place and hash of every window; with `any_case` the hash of its plain form too where that differs."""
+def window_hashes(length: int) -> Column:
+    n = F.size("_canon")
+    each = F.transform(F.sequence(F.lit(1), n - (length - 1)), lambda i: F.xxhash64(F.slice("_canon", i, length)))
+    return F.when(n >= length, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def window_spots(length: int) -> Column:
+    """Place and hash of every window, and of its plain form too where that differs."""
     n = F.size("_canon")
     spot = lambda form, i: F.struct((i - 1).alias("_pos"), F.xxhash64(F.slice(form, i, length)).alias("hash"))
-    each = lambda i: F.array_distinct(F.array(spot("_canon", i), spot("_plain", i))) if any_case else F.array(spot("_canon", i))
+    each = lambda i: F.array_distinct(F.array(spot("_canon", i), spot("_plain", i)))
     spots = F.flatten(F.transform(F.sequence(F.lit(1), n - (length - 1)), each))
     return F.when(n >= length, spots).otherwise(F.array().cast("array<struct<_pos:int,hash:bigint>>"))
 
@@ -76,13 +86,15 @@ def window_hashes(length: int, any_case: bool = False) -> Column:
 def benchmark_windows(items: DataFrame, window: int = WINDOW, any_case: bool = False) -> DataFrame:
     """Windows of the items: item_id, item_tokens, length, at, plain, hash, template, slots.  A shorter item is one window.
 
-    With `any_case` each window is there twice, `plain` telling which form its template has.
+    With `any_case` each window is there in each of its forms, `plain` telling which form its template has; a first token
+    with a capital is a word in one of them and a name in another, as it may stand inside a sentence of a document.
     """
     rows = stored(tokens(items.select("item_id", "text")).withColumn("item_tokens", F.size("_canon")), "items").filter("item_tokens > 0")
     rows = rows.withColumn("length", F.least(F.lit(window), F.col("item_tokens")))
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("item_tokens") - F.col("length"))))
-    rows = rows.withColumn("plain", F.explode(F.array(*map(F.lit, (False, True) if any_case else (False,)))))
-    rows = rows.withColumn("template", F.slice(F.when(F.col("plain"), F.col("_plain")).otherwise(F.col("_canon")), F.col("at") + 1, F.col("length")))
+    forms = {"_canon": False, "_plain": True, "_lead": False} if any_case else {"_canon": False}
+    cut = [F.struct(F.lit(plain).alias("plain"), F.slice(form, F.col("at") + 1, F.col("length")).alias("template")) for form, plain in forms.items()]
+    rows = rows.withColumn("_form", F.explode(F.array_distinct(F.array(*cut)))).select("*", "_form.plain", "_form.template")
     slot = lambda t, i: F.when(t.isin(NUM, NAME, UNIT), F.struct(i.alias("offset"), t.alias("kind"), F.get("_core", F.col("at") + i).alias("asked")))
     slots = F.filter(F.transform("template", slot), lambda s: s.isNotNull())
     return rows.select("item_id", "item_tokens", "length", "at", "plain", F.xxhash64("template").alias("hash"), "template", slots.alias("slots"))
@@ -101,11 +113,15 @@ def aligned_windows(docs: DataFrame, windows: DataFrame, block_rows: int = BLOCK
     texts = tokens(docs.select("doc_id", "text"))
     for length, n in sorted(counts):
         blocks = -(-n // block_rows)
-        spots = texts.withColumn("_hashes", window_hashes(length, any_case)).select("doc_id", "_core", "_canon", "_plain", F.inline_outer("_hashes"))
+        each = F.inline_outer("_hashes") if any_case else F.posexplode_outer("_hashes").alias("_pos", "hash")
+        spots = texts.withColumn("_hashes", window_spots(length) if any_case else window_hashes(length)).select("doc_id", "_core", "_canon", each)
         for block in range(blocks):
             part = windows.filter((F.col("length") == length) & (F.pmod("hash", F.lit(blocks)) == block))
             hits = spots.join(F.broadcast(part.drop("length")), "hash")
-            seen = F.slice(F.when(F.col("plain"), F.col("_plain")).otherwise(F.col("_canon")), F.col("_pos") + 1, F.lit(length))
+            seen = F.slice("_canon", F.col("_pos") + 1, F.lit(length))
+            if any_case:
+                words = F.zip_with(seen, F.slice("_core", F.col("_pos") + 1, F.lit(length)), lambda t, w: F.when(t == NAME, w).otherwise(t))
+                seen = F.when(F.col("plain"), words).otherwise(seen)
             said = F.transform("slots", lambda s: F.struct(s["kind"], s["asked"], F.get("_core", F.col("_pos") + s["offset"]).alias("said")))
             same = (seen == F.col("template")).alias("same")
             found.append(hits.select("doc_id", "item_id", "item_tokens", F.lit(length).alias("length"), "at", (F.col("_pos") - F.col("at")).alias("shift"), said.alias("slots"), same))
@@ -123,19 +139,23 @@ def covered(at: Column, length: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_tokens: int = MIN_TOKENS, min_percent: int = MIN_PERCENT, block_rows: int = BLOCK_ROWS, any_case: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_tokens: int = MIN_TOKENS, min_percent: int = MIN_PERCENT, block_rows: int = BLOCK_ROWS, any_case: bool = False, by_window: bool = False) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds: doc_id, item_id, item_tokens, covered_tokens, n_slots.
 
     Windows on one alignment count only if the values behind their placeholders are consistent: one value of the item always
     stands for one value of the document and the other way round.  Rows of one doc_id count as one document, null ids too;
     null, empty and token-free texts and items find nothing; an empty table gives no pairs.  With `any_case` a passage is found
-    in every letter case; without it a capital inside a sentence always makes a name.
+    in every letter case; without it a capital inside a sentence always makes a name.  With `by_window` a window counts if one
+    value of the item always stands for one value of the document inside it.
     """
     hits = aligned_windows(docs, benchmark_windows(items, window, any_case), block_rows, any_case)
-    keys = ["doc_id", "item_id", "item_tokens", "length"]
-    by_shift = hits.groupBy(*keys, "shift").agg(F.collect_set(F.when(F.col("same"), F.col("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("same"), F.col("slots"))))).alias("slots"))
     distinct = lambda *fields: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(*[s[f] for f in fields]))))
-    same = (distinct("kind", "asked") == F.size("slots")) & (distinct("kind", "said") == F.size("slots"))
+    counts = F.col("same")
+    if by_window:  # tested inside the aggregate: as a filter it would move below the join
+        counts = counts & (distinct("kind", "asked") == distinct("kind", "asked", "said"))
+    keys = ["doc_id", "item_id", "item_tokens", "length"]
+    by_shift = hits.groupBy(*keys, "shift").agg(F.collect_set(F.when(counts, F.col("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.when(counts, F.col("slots"))))).alias("slots"))
+    same = F.lit(True) if by_window else (distinct("kind", "asked") == F.size("slots")) & (distinct("kind", "said") == F.size("slots"))
     whole = by_shift.filter(same).groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max(F.size("slots")).cast("bigint").alias("n_slots"))
     rows = whole.withColumn("covered_tokens", covered(F.col("at"), F.col("length")))
     enough = (F.col("covered_tokens") >= min_tokens) & (100 * F.col("covered_tokens") >= min_percent * F.col("item_tokens"))
@@ -149,13 +169,13 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def query_any_case(spark: SparkSession, folder: str) -> DataFrame:
-    """Contaminated documents with the items that they hold in any letter case."""
-    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), any_case=True)
+    """Contaminated documents with the items that they hold in any letter case and with any values."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), any_case=True, by_window=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no benchmark item, in any letter case."""
-    found = stored(contaminated(docs, table(spark, folder, "benchmark"), any_case=True), "contaminated")
+    """Documents that hold no benchmark item, in any letter case and with any values."""
+    found = stored(contaminated(docs, table(spark, folder, "benchmark"), any_case=True, by_window=True), "contaminated")
     return without(docs, found, "doc_id").select(*docs.columns)
 
 

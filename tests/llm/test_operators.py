@@ -221,6 +221,19 @@ def test_template_finds_any_case(spark, make_docs):
     assert found == dict.fromkeys((1, 4, 5), len(item.split()))
 
 
+def test_template_finds_short_items_and_joined_values(spark, make_docs):
+    items = [(1, "Anna has 3 apples and buys 2 more pears"), (2, "What is the height"), (3, "A cart drives 60 km in the morning and then one more long way of 90 km in the evening")]
+    texts = [
+        (1, "Question: Carla has 5 apples and buys 7 more pears. End.", "a"), (2, "Question: What is the height of it", "a"),
+        (3, "It says: A cart drives 75 km in the morning and then one more long way of 75 km in the evening.", "a"),
+        (4, "Carla had 5 apples, and what was the height? A cart drove 75 km in the morning.", "a"),
+    ]
+    items, docs = spark.createDataFrame(items, "item_id bigint, text string"), make_docs(texts)
+    found = {(r["doc_id"], r["item_id"]): r for r in templates.contaminated(docs, items, any_case=True, by_window=True).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 3)}
+    assert all(r["covered_tokens"] == r["item_tokens"] for r in found.values())
+
+
 def test_stage_drops_any_case(spark, make_docs, tmp_path):
     item = "A train travels 60 km in 2 hours and then 90 km in 3 hours so how far did Anna and Bert get in total"
     spark.createDataFrame([(7, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
