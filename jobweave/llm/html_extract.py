@@ -30,10 +30,14 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+UNFINISHED = re.compile(r"<(?=[a-zA-Z/!?])")
 HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # How elements of HTML behave.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")
-UNSEEN = ("head", "svg", "math", "object", "audio", "video", "canvas", "select", "datalist")
+UNSEEN = ("svg", "math", "object", "audio", "video", "canvas", "select", "datalist")
+UNSEEN_TAG = re.compile(rf"<(/?)({'|'.join(UNSEEN)})(?=[\s/>])[^>]*>", re.IGNORECASE)
+#: Tags that leave an open head open; any other opening tag ends it.
+IN_HEAD = ("html", "head", "base", "basefont", "bgsound", "link", "meta", *RAW)
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 BLOCKS = (
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
@@ -79,15 +83,30 @@ class Page:
         return ((i, n) for i, n in enumerate(self.nodes) if n.tag == "#text")
 
 
+def closed_at(html: str) -> dict[int, int]:
+    """Ends of the unseen elements that are closed, by the end of their opening tag."""
+    ends, waiting = {}, defaultdict(list)
+    for match in UNSEEN_TAG.finditer(html):
+        tag = match[2].lower()
+        if not match[1]:
+            if not match[0].endswith("/>"):
+                waiting[tag].append(match.end())
+        elif waiting[tag]:
+            ends[waiting[tag].pop()] = match.end()
+    return ends
+
+
 def parse(html: str) -> Page:
     """The block tree of a page in one pass; broken markup never fails.
 
     Texts between two block tags are one run, its white space turned into single blanks; `br` counts as white space.  Missing
     end tags are implied as far as they bound blocks, unmatched ones are ignored, raw elements end at their end tag or the end.
+    A head ends at the first tag or text that it may not hold.  Another unseen element that is never closed ends where a block
+    begins, or where the block around it closes.
     """
     page = Page([Node(-1, "#root")])
     nodes, stack, opened = page.nodes, [0], Counter()
-    run, links, linked, hidden = [], 0, 0, 0
+    run, links, linked, head, hidden, ends = [], 0, 0, False, False, None
     at, size, last = 0, len(html), html.rfind(">")
 
     def flush() -> None:
@@ -106,10 +125,13 @@ def parse(html: str) -> Page:
                 return
 
     while at < size:
-        match = TOKEN.match(html, at) if at <= last else None
+        start, match = at, TOKEN.match(html, at) if at <= last else None
         at = match.end() if match else size
-        text = match["text"] if match else html[last + 1 :].partition("<")[0]
+        text = match["text"] if match else UNFINISHED.split(html[start:], maxsplit=1)[0]
         if text is not None:
+            head = head and text.isspace()
+            if head:
+                continue
             if not hidden:
                 text = entities.unescape(text) if "&" in text else text
                 run.append(text)
@@ -125,11 +147,19 @@ def parse(html: str) -> Page:
                 end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>|\\Z", re.IGNORECASE).search(html, at)
                 at = end.end()
             continue
+        if tag == "head":
+            head = not closing
+            continue
+        head = head and (tag in IN_HEAD if not closing else tag not in ("body", "html"))
+        if head:
+            continue
         if tag in UNSEEN:
-            hidden = max(0, hidden + (-1 if closing else 0 if attrs.endswith("/") else 1))
+            if not closing and not attrs.endswith("/"):
+                ends = closed_at(html) if ends is None else ends
+                at, hidden = ends.get(at, at), hidden or at not in ends
             continue
-        if tag == "body":
-            hidden = 0
+        if hidden and tag in KIND and tag != "option":
+            hidden = closing and not opened[tag]
         if hidden:
             continue
         if tag == "a":

@@ -189,7 +189,23 @@ def test_extraction_keeps_the_article_only():
     assert html_extract.extract(model, html) == "Head <1>\nFirst bold text.\nShort\nLine two"
 
 
-@pytest.mark.parametrize("part", ["<a href='x>", "<div>", "<p>", "<li>", "<", "<!--", "</div>", '<a "', "<ul><li>", "<td>"])
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        ("<html><head><meta charset=utf-8><title>T</title><article><p>All of it.</article>", ["All of it."]),
+        ("<head><link rel=x> <title>T</title> Bare words.<p>More.", ["Bare words.", "More."]),
+        ("<body><div><svg><path d=x><text>label</div><p>After.</p><svg><p>shape</p></svg><p>End.", ["After.", "End."]),
+        ("<p>Pick <select><option>one<option>two<div>After.</div><video src=x>no video<main>End.", ["Pick", "After.", "End."]),
+        ("<p>Seen <object data=x><p>unseen</p></object> again</p>", ["Seen again"]),
+        ("<p>Now 3 < 5 and 7 < 9 euros", ["Now 3 < 5 and 7 < 9 euros"]),
+        ("<p>5 > 3 and 2 < 4 <a href='x", ["5 > 3 and 2 < 4"]),
+    ],
+)
+def test_left_out_end_tags_hide_nothing(html, texts):
+    assert [node.text for _, node in html_extract.parse(html).texts()] == texts
+
+
+@pytest.mark.parametrize("part", ["<svg>", "<svg><p>", "<select><option>", "<head>", "<a href='x>", "<div>", "<p>", "<li>", "<", "<!--", "</div>", '<a "', "<ul><li>", "<td>"])
 def test_broken_markup_takes_linear_time(part):
     model = html_extract.Model({}, {})
     html_extract.extract(model, part * 30_000 + "x")
