@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from jobweave.llm import bpe_lexicon, chat_windows, ctw, host_rules, html_extract, line_dedup, setsketch, templates, toxicity, warc_zip
+from jobweave.llm import bpe_lexicon, chat_windows, ctw, host_rules, html_extract, line_dedup, periodic_runs, resident_codes, setsketch, suffix_runs
+from jobweave.llm import templates, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -22,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_warc": warc_zip.query,
     "op10_minhash_near_dedup": setsketch.query,
+    "op11_suffix_dedup": suffix_runs.query,
+    "op12_vector_codes": resident_codes.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": templates.SQL.strip(),
@@ -29,4 +33,5 @@ SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.SQL.strip(),
     "op9_warc": warc_zip.SQL.strip(),
     "op10_minhash_near_dedup": setsketch.SQL.strip(),
+    "op12_vector_codes": resident_codes.SQL,
 }

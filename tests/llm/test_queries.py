@@ -26,4 +26,4 @@ def test_query(spark, name):
 
 
 def test_every_number_has_a_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
