@@ -96,3 +96,27 @@ def first_rows(rows: DataFrame, order: Sequence[Column], limit: int, rank: str =
     top = rows.orderBy(*order).limit(limit)
     ranked = top.withColumn(rank, F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))
     return ranked.withColumn(rank, F.col(rank).cast("bigint"))
+
+
+def number_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Every row with its 1-based number within its key, for keys of any size.
+
+    Rows are cut into ranges of (keys, order) and written.  A running sum over the few counts per key and range gives each
+    piece its first number, and rows are numbered inside pieces only, so no task sees more of a key than one range.
+    Rows that are equal in `order` share a piece and are numbered in any order.
+    """
+    from jobweave.sources import workdir
+
+    keys = list(keys)
+    ranged = rows.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
+    pieces = workdir.cut(ranged)
+    counts = pieces.groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
+    before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    firsts = counts.withColumn("_first", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    inside = F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(*order))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*keys, "_piece")]
+    firsts = firsts.filter("_first > 0")
+    placed = pieces.withColumn("_place", inside).alias("r")
+    joined = placed.join(F.broadcast(firsts).alias("f") if is_small(firsts) else firsts.alias("f"), same, "left")
+    number = (F.coalesce("f._first", F.lit(0)) + F.col("r._place")).cast("bigint")
+    return joined.select(*(F.col(f"r.{c}") for c in rows.columns), number.alias(name))

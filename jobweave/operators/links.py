@@ -7,12 +7,11 @@ from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text, urls
-from jobweave.functions.skew import hot_keys, join_unique, top_k
+from jobweave.functions.skew import hot_keys, join_unique, number_rows, top_k
 from jobweave.operators import filters
 from jobweave.sources import workdir
 
@@ -175,8 +174,7 @@ def crawl_frontier(
         new = first_seen.join(visited.select("org", "url"), ["org", "url"], "left_anti")
         so_far = visited.groupBy("org").agg(F.max("visit").alias("so_far"))
         if max_pages is None:
-            order = W.partitionBy("org").orderBy("seen", "url")
-            ranked = new.withColumn("n", F.row_number().over(order))
+            ranked = number_rows(new, ["org"], ["seen", "url"], "n")
         else:
             ranked = top_k(new, ["org"], [F.col("seen"), F.col("url")], max_pages, F.col("url"), rank="n")
         level = ranked.join(so_far, "org").withColumn("visit", (F.col("so_far") + F.col("n")).cast("int"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,41 +16,13 @@ from jobweave.functions import text
 from jobweave.functions.skew import is_small, join_unique, salted_join, top_k
 from jobweave.operators import browse as listing
 from jobweave.operators import filters as flt
+from jobweave.operators.search_index import INDEX_COLUMNS, RANKING, TITLE, VECTOR_CARRIED, SearchIndex, part_of  # noqa: F401
 from jobweave.sources import workdir
 
-INDEX_COLUMNS = ("job_title", "organisation_name", "location", "remote_type", "experience_level")
 DIGITS = 9
 MAX_QUERIES = 2048
 
 
-def postings(jobs: DataFrame, columns: Sequence[str] = INDEX_COLUMNS) -> DataFrame:
-    """Inverted index rows (term, id, field, tf) of the active jobs.
-
-    A job's tokens sit in one task, so the count per (job, field, term) is finished before the shuffle.
-    """
-    active = jobs.filter("is_active = 1")
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), text.tokens(F.col(c)).alias("terms")) for c in columns])
-    cells = active.select("id", F.inline(fields))
-    return cells.select("id", "field", F.explode("terms").alias("term")).groupBy("term", "id", "field").agg(
-        F.count("*").alias("tf")
-    )
-
-
-def doc_stats(jobs: DataFrame, columns: Sequence[str] = INDEX_COLUMNS) -> DataFrame:
-    """Tokens per active job over all indexed columns."""
-    length = sum((F.size(text.tokens(F.col(c))) for c in columns[1:]), F.size(text.tokens(F.col(columns[0]))))
-    return jobs.filter("is_active = 1").select("id", length.alias("dl"))
-
-
-def corpus_stats(jobs: DataFrame, columns: Sequence[str] = INDEX_COLUMNS) -> DataFrame:
-    return doc_stats(jobs, columns).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def term_stats(index: DataFrame, field: str = "job_title") -> DataFrame:
-    """Documents per term of one field."""
-    return index.filter(F.col("field") == field).groupBy("term").agg(F.count("*").alias("df"))
-
-
 def idf(n: Column, df: Column) -> Column:
     raw = F.log((n - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(fx.MIN_IDF))
@@ -69,126 +41,36 @@ def query_words(queries: DataFrame) -> DataFrame:
     return counted.withColumn("parts", text.tokens(F.col("word"))).filter(F.size("parts") > 0)
 
 
-# What a hit needs to be filtered and ranked, so that hits never go back to the jobs table.
-CARRIED = (
-    "location", "org_location", "organisation_name", "experience_level", "remote_type", "job_source", "exists_in_uk",
-    "exists_in_london", "has_description",
-)
-RANKING = ("id", "dl", "title_is", "cats", *CARRIED)
-VECTOR_CARRIED = (*CARRIED, "cats")
-
-
-def searchable(jobs: DataFrame) -> DataFrame:
-    """One row per active job with its title terms and what ranking needs.
-
-    The title itself stays behind: only its equality with a query and the course rule are asked for later, and a digest
-    and a flag answer those.
-    """
-    flags = {f: F.coalesce(F.col(f), F.lit(0)) for f in ("exists_in_uk", "exists_in_london", "has_description")}
-    title = text.value_or_blank(F.col("job_title"))
-    others = sum((F.size(text.tokens(F.col(c))) for c in INDEX_COLUMNS[2:]), F.size(text.tokens(F.col(INDEX_COLUMNS[1]))))
-    rows = jobs.filter("is_active = 1").withColumns({**flags, "terms": text.tokens(title), "low": F.lower(title)})
-    rows = rows.withColumns(
-        {
-            "dl": F.size("terms") + others,
-            "title_is": F.sha2("low", 256),
-            "title_key": F.sha2(text.strip(F.col("low")), 256),
-            "cats": flt.category_list(F.col("low")),
-            "is_course": flt.is_course(F.col("low")),
-        }
-    )
-    return rows.select(*RANKING, "title_key", "is_course", "terms")
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """One row per (document, term) with tf, from the document's own term list: sorted, then one row per run.
-
-    The sorted list and the run starts are columns of their own; inside the lambdas they would be worked out again for
-    every element.
-    """
-    ordered = docs.withColumn("ordered", F.array_sort("terms")).filter(F.size("terms") > 0)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size("ordered")),
-        lambda i: (i == 1) | (F.get("ordered", i - 1) != F.get("ordered", i - 2)),
-    )
-    runs = ordered.withColumn("starts", starts)
-    counts = F.transform(
-        "starts",
-        lambda at, n: F.struct(
-            F.get("ordered", at - 1).alias("term"),
-            (F.coalesce(F.get("starts", n + 1), F.size("ordered") + 1) - at).alias("tf"),
-        ),
-    )
-    return runs.select(*RANKING, F.inline(counts))
-
-
-def term_part(term: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
-
-
-class SearchIndex:
-    """Written search index of the active jobs: `docs`, `postings` in folders by term, `vectors`, `corpus`.
-
-    Built once for many batches of queries.  A search reads only the posting folders of its words (dynamic partition
-    pruning), needs no shuffle to count terms, and never touches the job texts again.
-    """
+def hits(index: SearchIndex, words: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    """(word, tf, ranking columns) for every job whose title has a query word or phrase; and (word, df).
 
-    def __init__(self, spark: SparkSession, folder: str, parts: int) -> None:
-        self.folder, self.parts = folder, parts
-        self.docs = spark.read.parquet(f"{folder}/docs")
-        self.postings = spark.read.parquet(f"{folder}/postings")
-        self.vectors = spark.read.parquet(f"{folder}/vectors")
-        self.corpus = spark.read.parquet(f"{folder}/corpus")
-
-    @classmethod
-    def build(cls, jobs: DataFrame, folder: str, vectors: DataFrame | None = None, parts: int = 16) -> SearchIndex:
-        """Write the index of a jobs table and of its vectors (id, embedding).
-
-        Postings are sorted into ranges of (folder, term, id): a term that a third of all titles share is spread over
-        as many tasks and files as its rows need.  Vectors are joined with what their filters need here, so that no
-        search shuffles them.  `parts` folders let a search skip the terms it does not ask for; a large corpus wants
-        thousands.
-        """
-        spark = jobs.sparkSession
-        searchable(jobs).write.mode("overwrite").parquet(f"{folder}/docs")
-        docs = spark.read.parquet(f"{folder}/docs")
-        rows = term_counts(docs).withColumn("part", term_part(F.col("term"), parts))
-        rows.repartitionByRange("part", "term", "id").write.mode("overwrite").partitionBy("part").parquet(
-            f"{folder}/postings"
-        )
-        if vectors is None:
-            vectors = spark.createDataFrame([], "id bigint, embedding array<float>")
-        filled = vectors.filter("embedding IS NOT NULL").select("id", "embedding")
-        docs.select("id", *VECTOR_CARRIED).join(filled, "id").write.mode("overwrite").parquet(f"{folder}/vectors")
-        stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        stats.write.mode("overwrite").parquet(f"{folder}/corpus")
-        return cls(spark, folder, parts)
-
-
-def hits(index: SearchIndex, words: DataFrame, few: bool) -> DataFrame:
-    """(word, tf, ranking columns) for every job whose title has a query word or phrase.
-
-    `few` words are sent to the posting scans; more of them meet the postings by a shuffle.
-
-    Single words are posting rows as they stand.  A phrase takes the jobs that have its first term and counts its
-    occurrences in their term lists; without phrases adaptive execution drops that half.
+    `few` words are sent to the posting scans; more of them meet the postings by a shuffle that cuts every term.  Single words
+    are posting rows as they stand, and the index knows their number of documents.  A phrase joins the rows of its terms by
+    document and counts the places where all follow each other; without phrases adaptive execution drops that half.
     """
     parts = words.select("word", "parts").distinct()
-    parts = parts.withColumn("term", F.col("parts")[0]).withColumn("part", term_part(F.col("term"), index.parts))
-    if few:
-        parts = F.broadcast(parts)
-    met = index.postings.join(parts.filter(F.size("parts") == 1).drop("parts"), ["part", "term"])
-    singles = met.select("word", F.col("tf").cast("bigint").alias("tf"), *RANKING)
-
-    phrase = parts.filter(F.size("parts") > 1)
-    started = index.postings.join(phrase, ["part", "term"]).select("word", "parts", *RANKING)
-    lists = started.join(index.docs.select("id", "terms"), "id")
-    size = F.size("parts")
-    last = F.size("terms") - size + 1
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    found = F.size(F.filter(at, lambda i: F.slice("terms", i, size) == F.col("parts")))
-    phrases = lists.withColumn("tf", found.cast("bigint")).filter("tf > 0").select("word", "tf", *RANKING)
-    return singles.unionByName(phrases)
+    terms = parts.select("word", F.size("parts").alias("size"), F.posexplode("parts").alias("offset", "term"))
+    terms = terms.withColumn("part", part_of(F.col("term"), index.parts))
+    title = index.postings.filter(F.col("field") == TITLE).drop("field")
+
+    def met(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        if few:
+            return rows.join(F.broadcast(asked), ["part", "term"])
+        return salted_join(rows, asked, ["part", "term"], F.col("id"))
+
+    one = terms.filter("size = 1")
+    singles = met(title, one.select("word", "part", "term")).select("word", F.col("tf").cast("bigint").alias("tf"), *RANKING)
+    known = index.terms.filter(F.col("field") == TITLE).join(F.broadcast(one) if few else one, ["part", "term"])
+
+    placed = met(title, terms.filter("size > 1"))
+    first = F.when(F.col("offset") == 0, F.struct(*RANKING[1:]))
+    starts = F.transform("at", lambda x: x - F.col("offset"))
+    joined = placed.groupBy("word", "id", "size").agg(F.max(first).alias("job"), F.collect_list(starts).alias("starts"))
+    both = F.aggregate("starts", F.get("starts", F.lit(0)), F.array_intersect)
+    phrases = joined.filter(F.size("starts") == F.col("size")).withColumn("tf", F.size(both).cast("bigint")).filter("tf > 0")
+    phrases = phrases.select("word", "tf", "id", *(F.col(f"job.{c}").alias(c) for c in RANKING[1:]))
+    counts = known.select("word", "df").unionByName(phrases.groupBy("word").agg(F.count("*").alias("df")))
+    return singles.unionByName(phrases), counts
 
 
 def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int = fx.CANDIDATES) -> DataFrame:
@@ -199,8 +81,7 @@ def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int = fx.CAN
     """
     words = query_words(queries)
     few = is_small(words)
-    found = hits(index, words, few)
-    df = found.groupBy("word").agg(F.count("*").alias("df"))
+    found, df = hits(index, words, few)
     n, avgdl = index.corpus.select("n").scalar(), index.corpus.select("avgdl").scalar()
     asked = flt.with_wanted(queries).select(
         "query_id", *flt.WANTED, F.sha2(text.normalise_query(F.col("query")), 256).alias("query_is")

@@ -44,10 +44,10 @@ FLAT_SQL = _strip(_unescape(f"regexp_replace(regexp_replace({SHOWN}, '<[^>]*>',
 @query(
     "page_text",
     f"""SELECT page_id, url, {_unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
-      substr(regexp_replace({FLAT_SQL}, '\\s+', ' ', 'g'), 1, 10000) AS text FROM pages""",
+      regexp_replace({FLAT_SQL}, '\\s+', ' ', 'g') AS text FROM pages""",
 )
 def page_text(t):
-    return pages.page_text(t.pages, text_chars=fx.PAGE_TEXT_CHARS)
+    return pages.page_text(t.pages)
 
 
 @query(
@@ -56,11 +56,10 @@ def page_text(t):
       s AS (SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(body, '<[^>]*>'), lambda x: {_strip(_unescape('x'))}),
         lambda x: x <> ''), chr(10)) AS t FROM a),
       c AS (SELECT page_id, regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM s)
-    SELECT page_id, {_strip("CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || chr(10) || chr(10) || '... [Truncated due to length]' ELSE t END")}
-      AS main_text, 'success' AS main_status FROM c""",
+    SELECT page_id, {_strip("t")} AS main_text, 'success' AS main_status FROM c""",
 )
 def page_main_text(t):
-    return pages.page_main_text(t.pages, main_chars=fx.MAIN_TEXT_CHARS)
+    return pages.page_main_text(t.pages)
 
 
 FORMS = """SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN html || '<form action="/send"><input name="CV"></form>'
@@ -107,18 +106,39 @@ def win_link_caps(t):
 @query(
     "join_title_link",
     f"""WITH {LINKS_SQL}, jobs AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'th' WHEN 1 THEN 'DE' ELSE 'no such title' END AS job_title FROM pages),
-      j AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n FROM links WHERE {holds_any('href || chr(32) || text', JOB_WORDS)})
-    SELECT jobs.page_id, job_title, (SELECT min_by(url, position) FROM j l WHERE l.page_id = jobs.page_id AND n <= 50
+      j AS (SELECT * FROM links WHERE {holds_any('href || chr(32) || text', JOB_WORDS)})
+    SELECT jobs.page_id, job_title, (SELECT min_by(url, position) FROM j l WHERE l.page_id = jobs.page_id
       AND contains(lower(l.text), lower(job_title))) AS job_link FROM jobs""",
 )
 def join_title_link(t):
     title = F.when(F.col("page_id") % 3 == 0, "th").when(F.col("page_id") % 3 == 1, "DE").otherwise("no such title")
     jobs = t.pages.select("page_id", title.alias("job_title"), F.lit(None).cast("string").alias("job_link"))
-    read = pages.link_caps(pages.read_pages(t.pages, skip_tags=WITH_NAV), JOB_WORDS, job_links=50)
+    read = pages.link_caps(pages.read_pages(t.pages, skip_tags=WITH_NAV), JOB_WORDS)
     per_page = read.select("page_id", "job_links")
     return links.titles_to_links(jobs, per_page).select("page_id", "job_title", "job_link")
 
 
+@query(
+    "agg_org_status",
+    f"""WITH shaped AS ({FORMS.format(pages='pages')}), {LINKS_SQL},
+      f AS (SELECT page_id, {host_sql('url')} AS organisation_name, regexp_matches(html, '<form') AS form FROM shaped),
+      j AS (SELECT DISTINCT page_id FROM links WHERE page_id % 5 = 0 AND {holds_any('href || chr(32) || text', JOB_WORDS)}),
+      a AS (SELECT organisation_name, max(CASE WHEN j.page_id IS NULL THEN 0 ELSE 1 END) AS job, max(CASE WHEN form THEN 1 ELSE 0 END) AS form
+        FROM f LEFT JOIN j ON j.page_id = f.page_id GROUP BY 1)
+    SELECT organisation_name, CASE WHEN job = 1 THEN 'Job Openings' WHEN form = 1 THEN 'Only Form' ELSE 'No Jobs and No Form' END AS application_type,
+      CASE WHEN job = 1 OR form = 1 THEN 'Yes' ELSE 'Yes (Validated) - No Data' END AS career_page_available FROM a""",
+)
+def agg_org_status(t):
+    """Flags come from the parsed pages.  Their only links are in the navigation, which every fifth page is read with."""
+    shaped = t.spark.sql(FORMS, pages=t.pages)
+    read = [
+        pages.link_caps(pages.read_pages(shaped.filter(rule), skip_tags=tags), JOB_WORDS)
+        for rule, tags in (("page_id % 5 = 0", WITH_NAV), ("page_id % 5 <> 0", (*WITH_NAV, "nav")))
+    ]
+    flags = {"organisation_name": urls.host(F.col("url")), "has_job": F.size("job_links") > 0}
+    return links.org_status(read[0].unionByName(read[1]).withColumns(flags), "organisation_name")
+
+
 @query(
     "parse_job_lines",
     """SELECT p_partkey AS org_id, 0 AS line_no, p_name AS job_title, 'https://' || CASE WHEN p_partkey % 4 = 1 THEN 'www.jobs.example.org/jobs/'
@@ -150,6 +170,8 @@ def parse_validation(t):
 
 
 CRAWL_DOMAINS = ("example.net", "example.org")
+# Levels that the SQL writes out; page numbers double with every level, so this is enough for 130,000 pages.
+LEVELS = 18
 
 
 def crawl_inputs(page_urls):
@@ -163,23 +185,23 @@ def crawl_inputs(page_urls):
 
 
 def _crawl_sql() -> str:
-    levels = [f"""s AS (SELECT organisation_name AS org, min_by(url, page_id) AS url FROM page_urls GROUP BY 1),
-      k AS (SELECT p.url AS page_url, x.i AS position, q.url FROM page_urls p, (VALUES (1, 2, 1), (2, 2, 2), (3, 3, 1)) x(i, m, c)
+    levels = [f"""s AS MATERIALIZED (SELECT organisation_name AS org, min_by(url, page_id) AS url FROM page_urls GROUP BY 1),
+      k AS MATERIALIZED (SELECT p.url AS page_url, x.i AS position, q.url FROM page_urls p, (VALUES (1, 2, 1), (2, 2, 2), (3, 3, 1)) x(i, m, c)
         JOIN page_urls q ON q.page_id = p.page_id * x.m + x.c),
-      l0 AS (SELECT org, url, {host_sql('url')} AS base, 0 AS depth, 1 AS visit FROM s)"""]
-    for depth in (1, 2, 3):
+      l0 AS MATERIALIZED (SELECT org, url, {host_sql('url')} AS base, 0 AS depth, 1 AS visit FROM s)"""]
+    for depth in range(1, LEVELS):
         seen = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth))
-        levels.append(f"""v{depth} AS ({seen}),
-      f{depth} AS (SELECT org, base, k.url, min(visit * 1000 + position) AS first FROM l{depth - 1} l JOIN k ON k.page_url = l.url
+        levels.append(f"""v{depth} AS MATERIALIZED ({seen}),
+      f{depth} AS MATERIALIZED (SELECT org, base, k.url, min(visit * 1000 + position) AS first FROM l{depth - 1} l JOIN k ON k.page_url = l.url
         WHERE {host_sql('k.url')} = base OR ends_with({host_sql('k.url')}, '.' || base) OR {holds_any(host_sql('k.url'), CRAWL_DOMAINS)} GROUP BY ALL),
-      l{depth} AS (SELECT * FROM (SELECT f.org, f.url, f.base, {depth} AS depth, CAST(m.top + row_number() OVER (PARTITION BY f.org ORDER BY f.first, f.url)
+      l{depth} AS MATERIALIZED (SELECT f.org, f.url, f.base, {depth} AS depth, CAST(m.top + row_number() OVER (PARTITION BY f.org ORDER BY f.first, f.url)
           AS INTEGER) AS visit FROM f{depth} f JOIN (SELECT org, max(visit) AS top FROM v{depth} GROUP BY 1) m ON m.org = f.org
-          WHERE NOT EXISTS (SELECT 1 FROM v{depth} o WHERE o.org = f.org AND o.url = f.url)) x WHERE visit <= 20)""")
-    every = " UNION ALL ".join(f"SELECT org, url, depth, visit FROM l{d}" for d in range(4))
+          WHERE NOT EXISTS (SELECT 1 FROM v{depth} o WHERE o.org = f.org AND o.url = f.url))""")
+    every = " UNION ALL ".join(f"SELECT org, url, depth, visit FROM l{d}" for d in range(LEVELS))
     return with_("page_urls") + ", " + ", ".join(levels) + " " + every
 
 
 @query("crawl_frontier", _crawl_sql())
 def crawl_frontier(t):
     starts, stored = crawl_inputs(t.page_urls)
-    return links.crawl_frontier(starts, stored, ats=CRAWL_DOMAINS, max_depth=4, max_pages=20, links_per_page=100)
+    return links.crawl_frontier(starts, stored, ats=CRAWL_DOMAINS)

@@ -59,7 +59,9 @@ FUSE_SQL = """, fu AS (SELECT *, count(br) OVER (PARTITION BY query_id) AS nb, c
     ) + ") x GROUP BY 1, 2, 3",
 )
 def idx_build(t):
-    return retrieval.postings(t.jobs_docs)
+    """The index is written anew each time; its postings are the answer."""
+    index = retrieval.SearchIndex.build(t.jobs_docs, t.work_folder())
+    return index.postings.select("term", "id", "field", F.col("tf").cast("bigint").alias("tf"))
 
 
 @query(
@@ -69,9 +71,9 @@ def idx_build(t):
     SELECT term, df, (SELECT count(*) FROM act) AS n, round((SELECT avg(dl) FROM act), 6) AS avgdl FROM d""",
 )
 def agg_corpus_stats(t):
-    corpus = retrieval.corpus_stats(t.jobs_docs)
-    terms = retrieval.term_stats(retrieval.postings(t.jobs_docs, ["job_title"]))
-    return terms.withColumns({"n": corpus.select("n").scalar(), "avgdl": F.round(corpus.select("avgdl").scalar(), 6)})
+    index = t.index("jobs_docs")
+    terms = index.terms.filter(F.col("field") == "job_title").select("term", "df")
+    return terms.withColumns({"n": index.corpus.select("n").scalar(), "avgdl": F.round(index.corpus.select("avgdl").scalar(), 6)})
 
 
 @query(
@@ -80,9 +82,9 @@ def agg_corpus_stats(t):
       FROM jobs_docs WHERE is_active = 1) x JOIN jobs_docs j ON j.id = x.id WHERE x.term IN ('the', 'de', 'thnd') GROUP BY ALL""",
 )
 def join_index_jobs(t):
-    index = retrieval.postings(t.jobs_docs, ["job_title"]).filter(F.col("term").isin("the", "de", "thnd"))
-    jobs = t.jobs_docs.select("id", "organisation_name", "location")
-    return index.join(jobs, "id").select("id", "term", "tf", "organisation_name", "location")
+    index = t.index("jobs_docs")
+    found = index.of_terms(("the", "de", "thnd")).select("id", "term", F.col("tf").cast("bigint").alias("tf"))
+    return found.join(index.docs.select("id", "organisation_name", "location"), "id")
 
 
 @query("search_bm25", D + INDEX_SQL + " SELECT query_id, id, rank, round(bm25_score, 6) AS bm25_score FROM bm")
@@ -91,6 +93,62 @@ def search_bm25(t):
     return found.select("query_id", "id", "rank", F.round("bm25_score", 6).alias("bm25_score"))
 
 
+CHANGED_SQL = """, changed AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN 0 ELSE is_active END AS is_active) FROM jobs_docs)"""
+
+
+def refreshed(t):
+    """An index of two thirds of the jobs, some with titles of old, after two refreshes with all that is new, changed or gone."""
+    now = t.jobs_docs.withColumn("is_active", F.when(F.col("id") % 11 == 0, 0).otherwise(F.col("is_active")))
+    stale = F.when(F.col("id") % 7 == 0, F.concat(F.lit("the old title of data_"), "job_title")).otherwise(F.col("job_title"))
+    index = retrieval.SearchIndex.build(t.jobs_docs.filter("id % 3 <> 0").withColumn("job_title", stale), t.work_folder(), t.vectors.filter("id % 5 <> 0"))
+    changes = now.filter("id % 3 = 0 OR id % 5 = 0 OR id % 7 = 0 OR id % 11 = 0")
+    for half in (0, 1):
+        index = index.refresh(changes.filter(F.col("id") % 2 == half), t.vectors)
+    return index
+
+
+@query(
+    "search_bm25_refreshed",
+    D + CHANGED_SQL + INDEX_SQL.replace("FROM jobs_docs", "FROM changed") + " SELECT query_id, id, rank, round(bm25_score, 6) AS bm25_score FROM bm",
+)
+def search_bm25_refreshed(t):
+    found = retrieval.search_bm25(t.requests_table(), refreshed(t))
+    return found.select("query_id", "id", "rank", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+@query(
+    "search_semantic_refreshed",
+    D + CHANGED_SQL + (INDEX_SQL + SEMANTIC_SQL).replace("FROM jobs_docs", "FROM changed")
+    + " SELECT query_id, id, rank, round(semantic_score, 6) AS semantic_score FROM sm",
+)
+def search_semantic_refreshed(t):
+    found = retrieval.search_semantic(t.requests_table(), refreshed(t))
+    return found.select("query_id", "id", "rank", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+PHRASES = ((101, "the_old thnd"), (102, "de_the"), (103, "of_the the_of data"), (104, "in_the_city"))
+PHRASE_SQL = f""", act AS (SELECT *, {DL_SQL} AS dl FROM jobs_docs WHERE is_active = 1),
+  cs AS (SELECT count(*) AS n, avg(dl) AS a FROM act),
+  toks AS (SELECT id, {tokens_sql('job_title')} AS x FROM act),
+  q AS (SELECT query_id, unnest(string_split(query, ' ')) AS word FROM (VALUES {', '.join(f"(CAST({i} AS BIGINT), '{w}')" for i, w in PHRASES)}) v(query_id, query)),
+  ws AS (SELECT DISTINCT word, string_split(word, '_') AS parts FROM q),
+  tf AS (SELECT word, id, len(list_filter(range(1, len(x) + 1), lambda i: x[i:i + len(parts) - 1] = parts)) AS f FROM ws, toks),
+  df AS (SELECT word, count(*) AS c FROM tf WHERE f > 0 GROUP BY 1),
+  w AS (SELECT word, CASE WHEN ln((n - c + 0.5) / (c + 0.5)) > 0 THEN ln((n - c + 0.5) / (c + 0.5)) ELSE 1e-6 END AS idf, a FROM df, cs),
+  sc AS (SELECT query_id, tf.id, round(sum(idf * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)))), 9) AS bm25_score
+    FROM q JOIN tf ON tf.word = q.word AND f > 0 JOIN w ON w.word = q.word JOIN act ON act.id = tf.id GROUP BY 1, 2)
+  SELECT query_id, id, round(bm25_score, 6) AS bm25_score FROM sc"""
+
+
+@query("search_phrases", with_("jobs_docs") + PHRASE_SQL)
+def search_phrases(t):
+    """Words with `_` are phrases; all hits of each request."""
+    rows = [(i, q) for i, q in PHRASES]
+    asked = t.spark.createDataFrame(rows, "query_id bigint, query string").withColumn("filters", F.create_map().cast("map<string,string>"))
+    found = retrieval.search_bm25(asked, t.index("jobs_docs"), candidates=1_000_000)
+    return found.select("query_id", "id", F.round("bm25_score", 6).alias("bm25_score"))
+
+
 @query(
     "vec_cosine",
     """SELECT a.vec_id AS id, b.vec_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine

@@ -179,7 +179,7 @@ def src_links_long_wide(t):
     SELECT org, feed_no, CAST(position AS INTEGER) AS position, p_name AS job_title,
       'https://' || lower(replace(org, '#', '')) || '.example.org/job/' || CAST(p_partkey AS VARCHAR) AS job_link,
       CASE WHEN p_partkey % 5 <> 0 THEN 'Leeds' END AS location, CAST(NULL AS VARCHAR) AS dateposted, posting_no
-    FROM kept WHERE posting_no <= 200""",
+    FROM kept""",
 )
 def src_postings_flatten(t):
     """Feeds are pages of one brand's neighbouring parts, 500 keys wide."""
@@ -195,7 +195,7 @@ def src_postings_flatten(t):
     )
     base = F.concat(F.lit("https://"), F.lower(F.replace("org", F.lit("#"), F.lit(""))), F.lit(".example.org"))
     payload = F.to_json(F.struct(F.size("jobPostings").alias("total"), "jobPostings"))
-    return parsing.postings(feeds.select("org", "feed_no", base.alias("base_url"), payload.alias("payload")), cap=200)
+    return parsing.postings(feeds.select("org", "feed_no", base.alias("base_url"), payload.alias("payload")))
 
 
 # Filters ------------------------------------------------------------------------------------------------------------
@@ -330,10 +330,10 @@ def flt_embed_backlog(t):
 @query(
     "flt_desc_backlog",
     with_("jobs_docs") + """ SELECT id, job_link FROM jobs_docs WHERE job_link IS NOT NULL
-      AND (job_description IS NULL OR job_description = '') ORDER BY id DESC LIMIT 2000""",
+      AND (job_description IS NULL OR job_description = '') ORDER BY id DESC""",
 )
 def flt_desc_backlog(t):
-    return filters.description_backlog(t.jobs_docs, batch=2000).select("id", "job_link")
+    return filters.description_backlog(t.jobs_docs).select("id", "job_link")
 
 
 BLOCKED = fx.BLOCKED_DOMAINS + ("example.net", "spam-farm")

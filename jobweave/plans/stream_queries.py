@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobweave.operators import retrieval
+from jobweave.operators.search_index import INDEX_COLUMNS, SearchIndex
 from jobweave.plans.fixtures import tokens_sql, with_
 from jobweave.plans.registry import query
 from jobweave.streaming import jobs as stream
@@ -71,16 +71,21 @@ CHANGED = f"SELECT {K_SQL} AS id, max(event_id) AS last_event FROM events GROUP
     GROUP BY 1, 2, 3""",
 )
 def stream_index_refresh(t):
-    first = retrieval.postings(t.jobs_part, ["job_title"])
+    """The index that searches read, after the changes of the stream."""
+    folder = t.work_folder()
+    SearchIndex.build(t.jobs_part, f"{folder}/index")
+    fixed = {c: F.lit(None).cast("string") for c in (*INDEX_COLUMNS[1:], "org_location", "job_source")}
+    flags = {c: F.lit(0) for c in ("exists_in_uk", "exists_in_london", "has_description")}
     changes = _events(t).select(
         _job_id().alias("id"),
         F.col("event_id").alias("change_no"),
         F.concat(F.lit("changed "), "event_type").alias("job_title"),
         (F.col("event_type") != "error").cast("int").alias("is_active"),
-        *[F.lit(None).cast("string").alias(c) for c in retrieval.INDEX_COLUMNS[1:]],
+        *[value.alias(name) for name, value in (fixed | flags).items()],
     )
-    index = stream.refresh_index(changes, first, t.work_folder())
-    return index.filter("field = 'job_title'").select("term", "id", "field", "tf")
+    index = stream.refresh_index(changes.filter("id IS NOT NULL"), folder)
+    rows = index.postings.filter("field = 'job_title'")
+    return rows.select("term", "id", "field", F.col("tf").cast("bigint").alias("tf"))
 
 
 PAID = """SELECT event_id, user_id, CAST(event_id % 3 + 1 AS BIGINT) AS tier, 'pi-' || CAST(event_id AS STRING) AS transaction_id,

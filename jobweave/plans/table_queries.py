@@ -341,23 +341,6 @@ def agg_engine_share(t):
     return usage.engine_share(t.events.select(F.col("event_type").alias("search_engine")))
 
 
-@query(
-    "agg_org_status",
-    with_("page_urls") + """, g AS (SELECT u.organisation_name, max(CASE WHEN u.page_id % 3 = 1 AND contains(p.html, 'nav') THEN 1 ELSE 0 END) AS job,
-        max(CASE WHEN u.page_id % 5 = 2 THEN 1 ELSE 0 END) AS form FROM page_urls u JOIN pages p ON p.page_id = u.page_id GROUP BY 1)
-    SELECT organisation_name, CASE WHEN job = 1 THEN 'Job Openings' WHEN form = 1 THEN 'Only Form' ELSE 'No Jobs and No Form' END AS application_type,
-      CASE WHEN job = 1 OR form = 1 THEN 'Yes' ELSE 'Yes (Validated) - No Data' END AS career_page_available FROM g""",
-)
-def agg_org_status(t):
-    pages = t.pages.select(
-        urls.host(F.col("url")).alias("organisation_name"),
-        ((F.col("page_id") % 3 == 1) & F.col("html").contains("nav")).alias("has_job"),
-        (F.col("page_id") % 5 == 2).alias("has_form"),
-        F.lit(False).alias("has_application_form"),
-    )
-    return links.org_status(pages, "organisation_name")
-
-
 CODES = "SELECT CASE event_type WHEN 'click' THEN 200 WHEN 'view' THEN 404 WHEN 'error' THEN 403 ELSE 500 END AS code FROM {events}"
 
 

@@ -1,22 +1,21 @@
 """Incremental behaviours as Structured Streaming jobs over file sources.
 
 Every job takes a streaming DataFrame and a folder, runs what has arrived (`availableNow`), and can be started again on
-the same folder: the checkpoint remembers what has been read, and every write is a function of the batch id, so a
-repeated batch writes the same folder again.
+the same folder: the checkpoint remembers what has been read and holds Spark's own state, and every write is a function of
+the batch id, so a repeated batch writes the same folder again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobweave import fixed_values as fx
-from jobweave.functions.skew import join_unique
-from jobweave.operators import billing, retrieval
+from jobweave.operators import billing
+from jobweave.operators.search_index import SearchIndex
 
 EVENTS_SCHEMA = T.StructType(
     [
@@ -51,67 +50,34 @@ def run_batches(stream: DataFrame, folder: str, apply: Callable[[DataFrame, int]
     _finish(stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(apply))
 
 
-class ChangeLog:
-    """Table of key states: batch n writes the full new state of the keys it touched, as one folder.
+def write_snapshot(rows: DataFrame, folder: str, number: int) -> None:
+    """The table after batch `number`, as plain Parquet.  It takes the place of the last but one, so that a batch that is
+    repeated still finds the state before it, and writes the same again."""
+    rows.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/turn={number % 2}")
+
+
+def read_snapshot(first: DataFrame, folder: str, before: int | None = None) -> DataFrame:
+    """The newest snapshot, or the one before a batch; `first` is the table before the first batch."""
+    spark = first.sparkSession
+    if before is not None:
+        if before == 0:
+            return first
+        paths = [f"{folder}/turn={(before - 1) % 2}"]
+    else:
+        paths = [p for p in (f"{folder}/turn=0", f"{folder}/turn=1") if _exists(spark, p)]
+        if not paths:
+            return first
+    schema = T.StructType([*first.schema.fields, T.StructField("_batch", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(*paths)
+    if len(paths) > 1:
+        rows = rows.filter(F.col("_batch") == rows.agg(F.max("_batch").alias("newest")).scalar())
+    return rows.select(*first.schema.names)
 
-    Readers see, per key, the rows of its newest batch.  Every `compact_every`-th batch writes the state of all keys
-    instead, so no reader opens more than that many folders; folders are cut by key hash into `parts`, and a reader that
-    names its keys opens their parts only.  A folder counts once its writer has finished it: what a broken write leaves
-    is replaced when the batch, or the first state, is written again.
-    """
 
-    def __init__(self, first: DataFrame, folder: str, key: Sequence[str], parts: int = 16, compact_every: int = 16) -> None:
-        self.spark, self.folder, self.key = first.sparkSession, folder, list(key)
-        self.schema, self.parts, self.compact_every = first.schema, parts, compact_every
-        if not any(kind == "full" for kind, _ in self._finished()):
-            self._write(first, "full", -1)
-
-    def _finished(self) -> list[tuple[str, int]]:
-        """(kind, number) of the folders that are complete."""
-        context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path
-        system = path(self.folder).getFileSystem(context._jsc.hadoopConfiguration())
-        if not system.exists(path(self.folder)):
-            return []
-        names = [status.getPath().getName() for status in system.listStatus(path(self.folder))]
-        done = [n.split("=") for n in names if "=" in n and system.exists(path(f"{self.folder}/{n}/_SUCCESS"))]
-        return [(kind, int(number)) for kind, number in done if kind in ("full", "batch")]
-
-    def _part(self) -> Column:
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
-
-    def _write(self, rows: DataFrame, kind: str, number: int) -> None:
-        cut = rows.select(*self.schema.names, self._part().alias("part"))
-        cut.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{kind}={number}")
-
-    def write(self, rows: DataFrame, number: int) -> None:
-        rows = rows.select(*self.schema.names)
-        if (number + 1) % self.compact_every:
-            self._write(rows, "batch", number)
-            return
-        same = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in self.key]
-        left = self.read(number).alias("old").join(rows.select(*self.key).distinct().alias("new"), same, "left_anti")
-        self._write(left.unionByName(rows), "full", number)
-
-    def folders(self, before: int | None = None) -> list[tuple[str, int]]:
-        """The newest complete state and the batches after it."""
-        done = [(kind, n) for kind, n in self._finished() if before is None or n < before]
-        start = max(n for kind, n in done if kind == "full")
-        return sorted((kind, n) for kind, n in done if n > start or kind == "full" and n == start)
-
-    def read(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-        """State after all batches, or before one of them; with `keys`, of the parts that hold these keys."""
-        schema = T.StructType([*self.schema.fields, T.StructField("part", T.IntegerType())])
-        folders = self.folders(before)
-        read = [self.spark.read.schema(schema).parquet(f"{self.folder}/{k}={n}").withColumn("batch", F.lit(n)) for k, n in folders]
-        rows = reduce(DataFrame.unionByName, read)
-        if keys is not None:
-            parts = [r["part"] for r in keys.select(self._part().alias("part")).distinct().collect()]  # at most `parts`
-            rows = rows.filter(F.col("part").isin(parts))
-        if len(folders) > 1:
-            newest = rows.groupBy(*self.key).agg(F.max("batch").alias("batch"))
-            rows = join_unique(rows, newest, [*self.key, "batch"])
-        return rows.select(*self.schema.names)
+def _exists(spark: SparkSession, folder: str) -> bool:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
 
 
 def append_usage_log(events: DataFrame, folder: str) -> DataFrame:
@@ -135,54 +101,48 @@ def usage_rows(events: DataFrame) -> DataFrame:
 
 
 def count_views(views: DataFrame, active: DataFrame, folder: str) -> DataFrame:
-    """Views per active job; each update-mode batch holds the new totals of the jobs it touched."""
+    """Views per active job.  Spark's state store holds the running counts; every batch writes them as one snapshot."""
     empty = views.sparkSession.createDataFrame([], "id bigint, views bigint")
-    totals = ChangeLog(empty, f"{folder}/views", ["id"])
     counts = views.groupBy("id").agg(F.count("*").alias("views"))
 
     def apply(batch: DataFrame, number: int) -> None:
-        totals.write(batch.join(active.select("id"), "id", "left_semi"), number)
+        write_snapshot(batch, f"{folder}/views", number)
 
-    run_batches(counts, folder, apply, "update")
-    return totals.read()
+    run_batches(counts, folder, apply, "complete")
+    return read_snapshot(empty, f"{folder}/views").join(active.select("id"), "id", "left_semi")
 
 
 def daily_quota(searches: DataFrame, folder: str, limit: int = fx.DAILY_SEARCHES) -> DataFrame:
-    """Searches per user and UTC day with the limit flag; a search counts for its day however late it comes."""
-    empty = searches.sparkSession.createDataFrame(
-        [], "user_id bigint, day date, search_count bigint, at_limit boolean"
-    )
-    quota = ChangeLog(empty, f"{folder}/quota", ["user_id", "day"])
+    """Searches per user and UTC day with the limit flag; a search counts for its day however late it comes.
+
+    The counts are state of Spark's state store, without a watermark, so that no day is ever closed.
+    """
+    empty = searches.sparkSession.createDataFrame([], "user_id bigint, day date, search_count bigint")
+    counts = searches.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("search_count"))
 
     def apply(batch: DataFrame, number: int) -> None:
-        day = F.to_date(F.window("ts", "1 day").getField("start"))
-        new = batch.groupBy("user_id", day.alias("day")).agg(F.count("*").alias("search_count"))
-        old = quota.read(number, new).select("user_id", "day", "search_count")
-        touched = old.join(new.select("user_id", "day"), ["user_id", "day"], "left_semi")
-        total = touched.unionByName(new).groupBy("user_id", "day").agg(F.sum("search_count").alias("search_count"))
-        quota.write(total.withColumn("at_limit", F.col("search_count") >= limit), number)
+        write_snapshot(batch, f"{folder}/quota", number)
 
-    run_batches(searches, folder, apply)
-    return quota.read()
+    run_batches(counts, folder, apply, "complete")
+    return read_snapshot(empty, f"{folder}/quota").withColumn("at_limit", F.col("search_count") >= limit)
 
 
-def refresh_index(changes: DataFrame, first_index: DataFrame, folder: str) -> DataFrame:
-    """Keep the inverted index in step with changed jobs: the newest postings of an id replace its older ones.
+def refresh_index(changes: DataFrame, folder: str) -> SearchIndex:
+    """Keep the search index of a folder in step with changed jobs: each batch is one refresh of it.
 
-    `changes` has the jobs columns plus `change_no`; the last change of an id in a batch counts, and an inactive or
-    deleted job leaves a row without a term, which hides its older postings.
+    `changes` has the columns of jobs plus `change_no`; the last change of an id in a batch counts, and a job that is not
+    active leaves the index.  A batch that is repeated refreshes with the same rows again, which changes nothing.
     """
-    index = ChangeLog(first_index.select("term", "id", "field", "tf"), f"{folder}/postings", ["id"])
+    spark = changes.sparkSession
     columns = [c for c in changes.columns if c not in ("id", "change_no")]
 
     def apply(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("id").agg(F.max_by(F.struct(*columns), "change_no").alias("job")).select("id", "job.*")
-        touched = last.select("id").withColumn("tf", F.lit(0).cast("bigint"))
-        new = retrieval.postings(last).select("term", "id", "field", "tf")
-        index.write(new.unionByName(touched, allowMissingColumns=True), number)
+        SearchIndex(spark, f"{folder}/index").refresh(last.persist())
+        last.unpersist()
 
     run_batches(changes, folder, apply)
-    return index.read().filter("term IS NOT NULL")
+    return SearchIndex(spark, f"{folder}/index")
 
 
 def apply_checkouts(
@@ -190,28 +150,24 @@ def apply_checkouts(
 ) -> tuple[DataFrame, DataFrame]:
     """Apply completed checkout events once each, however late they come.
 
-    A repeat is known by its transaction id, in the same batch or among the payments that are already applied.  Events
-    without one are taken as they are.
+    Repeats are known by user and transaction id: Spark's state store keeps all that were seen, without a watermark, and
+    those of the first payments table count as seen.  Events without a transaction id are taken as they are.  Each batch
+    writes one snapshot of users and one of payments.
     """
-    people = ChangeLog(users, f"{folder}/users", ["user_id"])
-    paid = ChangeLog(payments, f"{folder}/payments", ["user_id"])
+    own = F.coalesce(F.concat(F.lit("t"), "transaction_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    once = events.withColumn("_own", own).dropDuplicates(["user_id", "_own"]).drop("_own")
 
     def apply(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        own = F.coalesce(F.concat(F.lit("t"), "transaction_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")))
-        once = batch.withColumn("_own", own).dropDuplicates(["user_id", "_own"]).drop("_own")
-        once = once.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
-        touched = once.select("user_id").distinct()
-        old_users = people.read(number, touched).join(touched, "user_id", "left_semi")
-        old_payments = paid.read(number, touched).join(touched, "user_id", "left_semi")
-        fresh = once.join(old_payments.select("user_id", "transaction_id"), ["user_id", "transaction_id"], "left_anti")
-        new_users, new_payments = billing.apply_checkouts(old_users, old_payments, fresh)
-        people.write(new_users, number)
-        paid.write(new_payments, number)
-
-    run_batches(events, folder, apply)
-    return people.read(), paid.read()
+        batch = batch.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+        paid = payments.select("user_id", "transaction_id").distinct()
+        fresh = batch.join(paid, ["user_id", "transaction_id"], "left_anti")
+        old = (read_snapshot(users, f"{folder}/users", number), read_snapshot(payments, f"{folder}/payments", number))
+        new_users, new_payments = billing.apply_checkouts(*old, fresh)
+        write_snapshot(new_users.select(*users.columns), f"{folder}/users", number)
+        write_snapshot(new_payments.select(*payments.columns), f"{folder}/payments", number)
+
+    run_batches(once, folder, apply)
+    return read_snapshot(users, f"{folder}/users"), read_snapshot(payments, f"{folder}/payments")
 
 
 def only_new(stream: DataFrame, folder: str) -> DataFrame:

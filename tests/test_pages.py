@@ -3,8 +3,11 @@ from collections import deque
 from urllib.parse import urlparse
 
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
+from jobweave.functions.skew import number_rows
 from jobweave.operators import links, pages, parsing
 
 PAGE = """<!DOCTYPE html><html><head><title>Jobs &amp; more</title><style>p{}</style><script>var t="</p><a href='/no'>";</script></head>
@@ -173,6 +176,19 @@ def test_postings_cap(spark):
     assert (rows[0]["job_title"], rows[0]["job_link"], rows[199]["job_link"]) == ("t1", "https://a.org/job/1", "https://a.org/job/399")
 
 
+def test_numbers_of_hot_keys_come_from_pieces(spark):
+    """Numbers equal one window over all, and no task numbers more of a key than one range."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 30 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("org"),
+                                      (F.col("id") * 7919 % 20_011).alias("at"), "id")
+    got = number_rows(rows.repartition(5), ["org"], ["at", "id"], "n")
+    want = rows.withColumn("n", F.row_number().over(W.partitionBy("org").orderBy("at", "id")))
+    assert got.columns == ["org", "at", "id", "n"]
+    assert got.exceptAll(want.withColumn("n", F.col("n").cast("bigint"))).count() == 0 and got.count() == 20_000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(org" in plan and "_piece" in plan.split("windowspecdefinition(", 1)[1][:60]
+    assert number_rows(rows.limit(0), ["org"], ["at"], "n").count() == 0
+
+
 @pytest.mark.parametrize("part", ['<a href="/x">', "<div>", "<form>", "<p>", "<main>", "</b><b>", "<title>"])
 def test_large_broken_pages_take_linear_time(part):
     start = time.process_time()

@@ -1,3 +1,4 @@
+import os
 import random
 import sqlite3
 import zlib
@@ -82,8 +83,82 @@ def test_bm25_equals_fts5(spark, corpus, index, make_jobs):
 
 def test_index_counts_terms(index, spark):
     spread = index.docs.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-    both = index.postings.join(spread, ["id", "term"], "full")
+    title = index.postings.filter("field = 'job_title'")
+    both = title.join(spread, ["id", "term"], "full")
     assert both.filter("tf IS NULL OR n IS NULL OR tf <> n").count() == 0
+    df = title.groupBy("term").agg(F.countDistinct("id").alias("n")).join(index.terms.filter("field = 'job_title'"), "term", "full")
+    assert df.filter("df IS NULL OR n IS NULL OR df <> n").count() == 0
+    places = title.join(index.docs.select("id", "terms"), "id")
+    assert places.filter(~F.forall("at", lambda p: F.get("terms", p - 1) == F.col("term")) | (F.size("at") != F.col("tf"))).count() == 0
+
+
+def test_phrases_do_not_read_documents(spark, index):
+    asked = requests(spark, ("data_engineer night_shift", {}, None), ("of_the_night", {}, None))
+    found, _ = retrieval.hits(index, retrieval.query_words(asked), True)
+    assert "terms" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r["word"], r["id"]): r["tf"] for r in found.collect()}
+    want = {}
+    for r in index.docs.select("id", "terms").collect():
+        for word in ("data_engineer", "night_shift", "of_the_night"):
+            parts = word.split("_")
+            n = sum(r["terms"][i : i + len(parts)] == parts for i in range(len(r["terms"])))
+            if n:
+                want[word, r["id"]] = n
+    assert rows == want
+    more, _ = retrieval.hits(index, retrieval.query_words(asked), False)
+    assert {(r["word"], r["id"]): r["tf"] for r in more.collect()} == want
+
+
+def contents(index):
+    docs = sorted(map(tuple, index.docs.select(sorted(index.docs.columns)).collect()), key=repr)
+    rows = index.postings.select("field", "term", "id", "tf", "at", "dl", "title_is", "location", "cats")
+    vectors = index.vectors.select(sorted(index.vectors.columns))
+    return docs, *(sorted(map(tuple, t.collect()), key=repr) for t in (rows, index.terms.select("field", "term", "df"), vectors, index.corpus))
+
+
+def files(folder):
+    return {os.path.join(at, f) for at, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+
+def test_refresh_equals_a_new_index(spark, make_jobs, corpus, tmp_path):
+    vectors = spark.range(1, 121).select("id", F.array(*[(F.col("id") % k).cast("float") for k in (2, 3, 5)]).alias("embedding"))
+    now = [dict(r) for r in corpus]
+    for i in range(0, 120, 7):
+        now[i]["job_title"] = "brand new title " + now[i]["job_title"]
+    for i in range(0, 120, 11):
+        now[i]["is_active"] = 0
+    for i in range(3, 120, 25):
+        now[i]["location"] = "Paris"
+    changed = [i for i in range(120) if now[i] != corpus[i]] + [110]
+    index = retrieval.SearchIndex.build(make_jobs(*corpus[:110]), f"{tmp_path}/a", vectors, parts=5)
+    before, seen = contents(index), files(tmp_path)
+    every = make_jobs(*now)
+    fresh = vectors.withColumn("embedding", F.array(*[F.lit(float(k)).cast("float") for k in (1, 2, 3)])).filter("id % 2 = 0")
+    after = index.refresh(every.filter(F.col("id").isin([i + 1 for i in changed]) | (F.col("id") > 110)), fresh)
+    touched = {i + 1 for i in changed} | set(range(111, 121))
+    mixed = vectors.filter(~(F.col("id").isin(list(touched)) & (F.col("id") % 2 == 0)) & ((F.col("id") <= 110))).unionByName(fresh.filter(F.col("id").isin(list(touched))))
+    assert contents(after) == contents(retrieval.SearchIndex.build(every, f"{tmp_path}/b", mixed, parts=5))
+    assert contents(index) == before and seen <= files(tmp_path), "an open reader keeps its version"
+    assert contents(retrieval.SearchIndex(spark, f"{tmp_path}/a")) == contents(after)
+    again = after.refresh(every.filter("id = 4"))
+    assert contents(again) == contents(after)
+    assert contents(again.refresh(every.filter("id < 0"))) == contents(after)
+
+
+def test_refresh_writes_only_touched_folders(spark, make_jobs, corpus, tmp_path):
+    index = retrieval.SearchIndex.build(make_jobs(*corpus), str(tmp_path), parts=64)
+    one = make_jobs({"job_title": "zebra", "organisation_name": None, "location": "", "remote_type": "", "experience_level": None})
+    index.refresh(one.withColumn("id", F.lit(500).cast("bigint")))
+    written = {os.path.relpath(f, tmp_path) for f in files(tmp_path) if "version=1" in f}
+    assert len({os.path.dirname(f) for f in written if f.startswith("postings")}) == 1
+    assert len({os.path.dirname(f) for f in written if f.startswith("docs")}) == 1
+
+
+def test_empty_index(spark, make_jobs, tmp_path):
+    index = retrieval.SearchIndex.build(make_jobs({"is_active": 0, "job_title": "x"}), str(tmp_path))
+    assert retrieval.search_bm25(requests(spark, ("x", {}, None)), index).count() == 0
+    full = index.refresh(make_jobs({"job_title": "x"}))
+    assert [r["id"] for r in retrieval.search_bm25(requests(spark, ("x", {}, None)), full).collect()] == [1]
 
 
 def test_bm25_orders_by_place_before_score(spark, make_jobs, tmp_path):

@@ -1,10 +1,9 @@
-import os
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from jobweave.operators import billing, retrieval
+from jobweave.operators import billing, retrieval, search_index
 from jobweave.streaming import jobs as stream
 
 
@@ -67,19 +66,23 @@ def test_usage_log_is_partitioned_by_day(spark, folders, values):
     assert values(log.select("usage_id", F.col("day").cast("string"))) == [(1, "2024-01-01"), (2, "2024-01-02")]
 
 
+def changed_jobs(spark, source):
+    others = [c for c in retrieval.INDEX_COLUMNS[1:]] + ["org_location", "job_source"]
+    return stream.read_events(spark, str(source)).select(
+        F.get_json_object("props", "$.k").cast("bigint").alias("id"), F.col("event_id").alias("change_no"),
+        F.col("event_type").alias("job_title"), F.col("value").cast("int").alias("is_active"),
+        *[F.lit(None).cast("string").alias(c) for c in others],
+        *[F.lit(0).alias(c) for c in ("exists_in_uk", "exists_in_london", "has_description")],
+    )
+
+
 def test_index_follows_changes(spark, folders, values, make_jobs):
     source, work = folders
-    before = make_jobs({"job_title": "nurse nurse"}, {"job_title": "chef"}, {"job_title": "cook"})
-    first = retrieval.postings(before, ["job_title"])
+    retrieval.SearchIndex.build(make_jobs({"job_title": "nurse nurse"}, {"job_title": "chef"}, {"job_title": "cook"}), f"{work}/index", parts=3)
 
     def run():
-        events = stream.read_events(spark, str(source))
-        changes = events.select(
-            F.get_json_object("props", "$.k").cast("bigint").alias("id"), F.col("event_id").alias("change_no"),
-            F.col("event_type").alias("job_title"), F.col("value").cast("int").alias("is_active"),
-            *[F.lit(None).cast("string").alias(c) for c in retrieval.INDEX_COLUMNS[1:]],
-        )
-        return values(stream.refresh_index(changes, first, work), "term", "id", "tf")
+        index = stream.refresh_index(changed_jobs(spark, source), work)
+        return values(index.postings.filter("field = 'job_title'"), "term", "id", "tf")
 
     write_events(spark, source, [event(1, 0, "old", key=1), event(2, 0, "night nurse", key=1), event(3, 0, "gone", 0.0, key=2)])
     assert run() == [("cook", 3, 1), ("night", 1, 1), ("nurse", 1, 1)]
@@ -87,6 +90,71 @@ def test_index_follows_changes(spark, folders, values, make_jobs):
     assert run() == [("cook", 3, 1), ("job", 9, 1), ("new", 9, 1), ("night", 1, 1), ("nurse", 1, 1)]
 
 
+class Broken(Exception):
+    pass
+
+
+def broken_once(monkeypatch, module, name, after):
+    """Let a function fail once: before it does anything, or after it is done."""
+    real, left = getattr(module, name), [1]
+
+    def run(*args, **how):
+        if left and not after:
+            left.pop()
+            raise Broken
+        out = real(*args, **how)
+        if left:
+            left.pop()
+            raise Broken
+        return out
+
+    monkeypatch.setattr(module, name, run)
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_index_refresh_that_breaks_off_is_done_again(spark, folders, values, make_jobs, monkeypatch, after):
+    source, work = folders
+    retrieval.SearchIndex.build(make_jobs({"job_title": "nurse"}, {"job_title": "chef"}), f"{work}/index", parts=3)
+    write_events(spark, source, [event(1, 0, "night nurse", key=1), event(2, 0, "baker", key=5)])
+    broken_once(monkeypatch, search_index, "_commit", after)
+    with pytest.raises(Exception):
+        stream.refresh_index(changed_jobs(spark, source), work)
+    index = stream.refresh_index(changed_jobs(spark, source), work)
+    assert values(index.postings.filter("field = 'job_title'"), "term", "id", "tf") == [("baker", 5, 1), ("chef", 2, 1), ("night", 1, 1), ("nurse", 1, 1)]
+    assert values(index.terms.filter("field = 'job_title'"), "term", "df") == [("baker", 1), ("chef", 1), ("night", 1), ("nurse", 1)]
+    assert index.corpus.select("n").first()[0] == 3
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_counts_of_a_repeated_batch(spark, folders, values, make_jobs, monkeypatch, after):
+    """A batch that breaks off before or after its snapshot is written counts once."""
+    source, work = folders
+    write_events(spark, source, [event(i, i % 2, "click", key=1) for i in range(6)])
+    searches = lambda: stream.read_events(spark, str(source)).select("user_id", "ts")
+    stream.daily_quota(searches(), work)
+    write_events(spark, source, [event(9, 1, "click", key=1), event(10, 7, "click", key=1)])
+    broken_once(monkeypatch, stream, "write_snapshot", after)
+    with pytest.raises(Exception):
+        stream.daily_quota(searches(), work)
+    assert values(stream.daily_quota(searches(), work), "user_id", "search_count") == [(0, 3), (1, 4), (7, 1)]
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_checkouts_of_a_repeated_batch(spark, folders, values, monkeypatch, after):
+    source, work = folders
+    users, payments = tables(spark)
+    write_events(spark, source, [event(1, 1, "buy", key=1)])
+    stream.apply_checkouts(checkouts(spark, source), users, payments, work)
+    write_events(spark, source, [event(2, 2, "buy", key=2), event(3, 2, "buy", key=3), event(4, 1, "buy", key=1)])
+    broken_once(monkeypatch, stream, "write_snapshot", after)
+    with pytest.raises(Exception):
+        stream.apply_checkouts(checkouts(spark, source), users, payments, work)
+    people, paid = stream.apply_checkouts(checkouts(spark, source), users, payments, work)
+    assert values(people) == [(1, 2), (2, 2), (3, 0)]
+    assert [r for r in values(paid, "user_id", "transaction_id", "status") if r[0] == 2] == [(2, "2", "success"), (2, "3", "success")]
+    assert [r[1] for r in values(paid, "user_id", "transaction_id") if r[0] == 1] == ["1", "1", "t"]
+
+
 PAYMENTS = "payment_id bigint, user_id bigint, amount decimal(12,2), transaction_id string, status string, created_at timestamp_ntz"
 CHECKOUTS = "event_id bigint, user_id bigint, tier bigint, transaction_id string, amount_total bigint, event_time timestamp_ntz"
 USERS = "user_id bigint, membership_status bigint"
@@ -157,26 +225,3 @@ def test_late_checkouts_and_searches_count(spark, folders, values):
     assert [r for r in values(paid, "user_id", "transaction_id", "status") if r[0] == 2] == [(2, "2", "success")]
     quota = stream.daily_quota(stream.read_events(spark, str(source)).select("user_id", "ts"), work + "/q")
     assert values(quota.select("user_id", F.col("day").cast("string"), "search_count")) == [(1, "2024-01-01", 1), (1, "2024-01-09", 1), (2, "2024-01-02", 1)]
-
-
-def test_first_state_survives_a_broken_write(spark, folders, values):
-    _, work = folders
-    os.makedirs(f"{work}/log/full=-1/_temporary/0")
-    log = stream.ChangeLog(spark.createDataFrame([(1, 5)], "id bigint, views bigint"), f"{work}/log", ["id"])
-    assert values(log.read()) == [(1, 5)]
-
-
-def test_log_opens_few_folders(spark, folders, values):
-    _, work = folders
-    log = stream.ChangeLog(spark.createDataFrame([(i, 0) for i in range(20)], "id bigint, views bigint"), work, ["id"], parts=4, compact_every=3)
-    want = {i: 0 for i in range(20)}
-    for number in range(10):
-        rows = [(number % 5, number), (number, number)][: 1 if number % 5 == number else 2]
-        log.write(spark.createDataFrame(rows, "id bigint, views bigint"), number)
-        want |= dict(rows)
-        assert len(log.folders()) <= 3
-        assert values(log.read()) == sorted(want.items(), key=repr)
-    log.write(spark.createDataFrame([(9, 99)], "id bigint, views bigint"), 9)
-    assert values(log.read()) == sorted((want | {4: 4, 9: 99}).items(), key=repr)
-    some = spark.createDataFrame([(3,)], "id bigint")
-    assert (3, want[3]) in values(log.read(keys=some)) and log.read(keys=some).count() < 20
