@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 import mmap
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
@@ -28,8 +29,8 @@ from jobweave.llm.common import most, released, shared_file, shipped, size_step,
 
 TOKENIZER = "byte_bpe_50k.json"
 LEXICON_WORDS = 1 << 16
-#: Words that one worker keeps with their ids, and distinct words that it counts before it hands them on.
-CACHED_WORDS = 100_000
+#: Words that one worker keeps with their ids, and distinct pieces that it counts before it hands them on.
+CACHED_WORDS, COUNTED_PIECES = 250_000, 100_000
 #: Longer words are merged with a heap.
 SHORT = 64
 NONE = 1 << 60
@@ -46,6 +47,14 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[start : start + size] of all codes one after another, and where each of them ends."""
+    own = sizes[codes]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[codes] - (ends - own), own) + np.arange(total)], ends
+
+
 class Vocabulary:
     """Merges and special tokens of a byte-level BPE file of the tokenizers library."""
 
@@ -70,6 +79,10 @@ class Vocabulary:
                 raise ValueError("added tokens that take their surroundings are not supported")
             self.special[token["content"]] = token["id"]
             self.bytes_of[token["id"]] = token["content"].encode()
+        tokens = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.token_sizes = np.array([len(t) for t in tokens])
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.split = regex.compile(SPLIT)
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
@@ -156,7 +169,8 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
     def text(self, ids: Sequence[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        made, _ = gathered(self.token_bytes, self.token_starts, self.token_sizes, np.asarray(ids, np.int64))
+        return made.tobytes().decode("utf-8", "replace")
 
 
 # ------------------------------------------------------------------------------------------------ the transducer
@@ -337,7 +351,7 @@ def _loaded(raw: bytes, lexicon: str | None = None):
 # ------------------------------------------------------------------------------------------------ Spark
 
 
-def word_counts(texts: DataFrame, raw, limit: int = CACHED_WORDS) -> DataFrame:
+def word_counts(texts: DataFrame, raw, limit: int = COUNTED_PIECES) -> DataFrame:
     """How often each word of the split occurs in all texts.
 
     Pieces between blanks are counted first, per task and then over all of them; the split then goes over distinct pieces,
@@ -428,7 +442,8 @@ def encoded(docs: DataFrame, path: str, keep: Sequence[str], finish: Finish, sch
 
 def digests(vocabulary: Vocabulary, ids: list[int]) -> tuple:
     """Number of ids, digest of the ids, digest of the text that they decode to."""
-    data = np.array(ids, "<u4").tobytes()
+    ids = np.frombuffer(array("I", ids), np.uint32)
+    data = ids.astype("<u4", copy=False).tobytes()
     text = vocabulary.text(ids).encode("utf-8", "surrogatepass")
     return len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(text).hexdigest()
 
@@ -442,7 +457,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     @F.pandas_udf("string")
     def decode(column):
         vocabulary = _loaded(raw.value)
-        return column.map(lambda x: None if x is None else vocabulary.text(x.tolist()))
+        return column.map(lambda x: None if x is None else vocabulary.text(x))
 
     return rows.withColumn("text", decode(ids))
 
