@@ -5,8 +5,9 @@ and two registers are equal about as often as the sets are similar.  Bands of re
 of which of two registers is larger estimates their similarity, and what passes is verified on the whole sets.
 
 Equal sets are one node.  A bucket of a band is never expanded into all pairs.  Nodes meet one other node first, which joins
-most near copies; members that are in one component need no test any more, and only the few that stay outside their bucket's
-largest component are tested against all others.
+most near copies; members that are in one component need no test any more.  Of what is left, members of small buckets meet as
+pairs; large buckets that share members are compared in tiles of two blocks of whole sets, each inside one task, in which only
+members outside the largest component meet all others, and only links that join components leave a tile.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobweave.llm.common import attach, lowered, mixed, shipped, stored, table, without, word_hashes
@@ -31,8 +31,10 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Candidates whose estimate is this far below the threshold are not verified: more than six standard deviations.
 MARGIN = 0.12
 #: Rounds in which a node is tested against one other node only, members of a bucket that meet one center in such a round,
-#: and members that are tested against all others of their bucket in each later round.
+#: and members of a bucket up to which all pairs are tested afterwards; larger ones are compared in tiles.
 QUICK_ROUNDS, QUICK_GROUP, CENTERS = 2, 32, 64
+#: Members of one block of a tile and bytes of its sets, and distinct shingles that one matrix product takes.
+BLOCK, BLOCK_BYTES, TILE_SHINGLES = 256, 16 << 20, 4096
 #: Tables of up to this many rows of a few numbers are broadcast after they were counted.
 SMALL_ROWS = 200_000
 CHUNK_BYTES = 1 << 20
@@ -241,15 +243,15 @@ def likely(pairs: DataFrame, nodes: DataFrame, registers: int, least: float) ->
     return stored(rows.mapInArrow(keep, f"a {kind}, b {kind}").distinct(), "likely")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass the test on their whole sets.
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass the test on their whole sets (node, items).
 
     Few pairs are broadcast to the sets of their first nodes.  With many, a node with very many pairs is cut into pieces by
     its partners, and its set is copied once per piece.
     """
     kind = pairs.schema["a"].dataType.simpleString()
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    sets = stored(set_table(docs, stored(nodes, "nodes"), size), "sets")
+    nodes = stored(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "nodes")
+    sets = sets.join(small(nodes), "node", "left_semi")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("items").alias(f"s_{name}"))
     if pairs.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         rows = side("a").join(F.broadcast(pairs), "a").join(side("b"), "b")
@@ -285,54 +287,120 @@ def one_each(members: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def all_of_few(members: DataFrame, centers: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of up to `centers` members of each bucket outside its largest label with its members of other labels.
-
-    Also the (hash, node) that are done in their bucket when these pairs are tested.
-    """
+def all_pairs(members: DataFrame, centers: int) -> DataFrame:
+    """Pairs (a, b) of members of other labels in buckets of at most `centers` members, without those of the largest label."""
     sizes = members.groupBy("hash", "label").agg(F.count("*").alias("n"))
     largest = stored(sizes.groupBy("hash").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n")), "largest")
     minor = attach(members, largest, "hash", "n", ["node"], limit=SMALL_ROWS).filter("label <> largest")
-    place = F.row_number().over(W.partitionBy("hash").orderBy("node"))
-    chosen = minor.withColumn("place", place).filter(F.col("place") <= centers).select("hash", F.col("node").alias("center"), F.col("label").alias("own"))
-    chosen = stored(chosen, "centers")
-    met = members.join(small(chosen), "hash").filter("label <> own")
-    pairs = met.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    return pairs, chosen.select("hash", F.col("center").alias("node"))
+    minor = minor.select("hash", F.col("node").alias("other"), F.col("label").alias("own"))
+    met = members.join(minor, "hash").filter("label <> own")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def joining_links(labels: list, sets: list[np.ndarray], outer: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(i, j) of similar sets, one for each pair of labels that such sets join.
+
+    One of the two is marked in `outer`, the other one is not, or all are marked and all pairs count.
+    """
+    rows = np.flatnonzero(outer)
+    columns = rows if outer.all() else np.flatnonzero(~outer)
+    sizes = np.array([len(x) for x in sets])
+    shingles, where = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(where, minlength=len(shingles)) > 1
+    place = np.cumsum(shared) - 1
+    mine = shared[where]
+    owner, where = owner[mine], place[where[mine]]
+    by = np.argsort(where, kind="stable")
+    owner, where = owner[by], where[by]
+    both = np.zeros((len(rows), len(columns)), np.float64)
+    total = int(shared.sum())
+    for low in range(0, total, TILE_SHINGLES):
+        at = slice(*np.searchsorted(where, [low, low + TILE_SHINGLES]))
+        has = np.zeros((len(sets), min(TILE_SHINGLES, total - low)), np.float32)
+        has[owner[at], where[at] - low] = 1
+        both += has[rows] @ has[columns].T
+    _, number = np.unique(np.array(labels), return_inverse=True)
+    good = 100 * both >= percent * (sizes[rows][:, None] + sizes[columns][None, :] - both)
+    good &= number[rows][:, None] != number[columns][None, :]
+    i, j = np.nonzero(good)
+    _, first = np.unique(number[rows[i]] * (len(labels) + 1) + number[columns[j]], return_index=True)
+    return [(int(rows[i[k]]), int(columns[j[k]])) for k in first]
+
+
+def tile_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the labels of `members` (hash, node, label) wherever buckets share members.
+
+    Every member outside the largest label of its group of buckets meets all others of the group, in tiles of two blocks; the
+    number of blocks follows from the counted members and the bytes of their sets.
+    """
+    kind = members.schema["node"].dataType.simpleString()
+    lows = stored(members.groupBy("hash").agg(F.min("node").alias("a")), "lows")
+    nodes = stored(members.select("node", "label").distinct(), "members")
+    meet = members.join(small(lows), "hash").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    groups = components(nodes.select("node", F.col("node").alias("label")), stored(meet, "meet"))
+    placed = nodes.join(small(groups.select("node", F.col("label").alias("group"))), "node")
+    sizes = stored(placed.groupBy("group", "label").agg(F.count("*").alias("n")), "sizes")
+    largest = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    placed = placed.join(small(stored(largest, "largest")), "group").withColumn("outer", F.col("label") != F.col("largest")).drop("largest")
+    rows = stored(placed.join(sets, "node"), "rows")
+    needed = lambda side: F.greatest(F.ceil(F.count_if(side) / block), F.ceil(F.coalesce(F.sum(F.when(side, F.length("items"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
+    blocks = rows.groupBy("group").agg(needed(F.col("outer")).alias("n_outer"), needed(~F.col("outer")).alias("n_inner"))
+    rows = rows.join(small(stored(blocks, "blocks")), "group")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("outer"), F.col("n_outer")).otherwise(F.col("n_inner"))).cast("int")
+    every = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda inner, i, j: F.struct(F.lit(inner).alias("inner"), i.alias("i"), j.alias("j"))
+    rows = rows.withColumn("own", own)
+    among = F.transform(every(F.col("n_outer")), lambda j: tile(False, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    against = F.transform(every(F.col("n_inner")), lambda j: tile(True, F.col("own"), j))
+    inner = F.transform(every(F.col("n_outer")), lambda i: tile(True, i, F.col("own")))
+    tiles = F.when(F.col("outer"), F.concat(among, against)).otherwise(inner)
+    copies = rows.select("group", F.explode(tiles).alias("tile"), "node", "label", "outer", "items").select("group", "tile.inner", "tile.i", "tile.j", "node", "label", "outer", "items")
+
+    def compare(part: pa.Table) -> pa.Table:
+        outer = part.column("outer").to_numpy(zero_copy_only=False)
+        found = []
+        if outer.any() and len(outer) > 1 and not (part.column("inner")[0].as_py() and outer.all()):
+            own_sets = [np.frombuffer(x, np.uint64) for x in part.column("items").to_pylist()]
+            found = joining_links(part.column("label").to_pylist(), own_sets, outer, percent)
+        node = part.column("node")
+        pick = lambda k: node.take(pa.array([pair[k] for pair in found], pa.int64()))
+        return pa.table([pick(0), pick(1)], ["a", "b"])
+
+    return stored(copies.groupBy("group", "inner", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"), "links")
 
 
 def labelled_nodes(nodes: DataFrame, docs: DataFrame, size: int, percent: int, bands: int, rows: int, centers: int) -> DataFrame:
     """node, label: the smallest node of its component, for all nodes that share a bucket with another one.
 
-    It ends when every pair in every bucket is tested or connected.  Buckets of one label are done.
+    After it, every pair in every bucket is tested or connected.  Buckets of one label are done.  The sets of the members are
+    written once.
     """
     members = buckets(nodes, bands, rows)
     least = percent / 100 - MARGIN
     labels = stored(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    members, tested, turn = members.withColumn("label", F.col("node")), None, 0
-    while True:
-        done = None
-        if turn <= QUICK_ROUNDS:
-            pairs = one_each(members, turn)
-        else:
-            pairs, done = all_of_few(members, centers)
-        if tested is not None:
-            pairs = pairs.join(small(tested), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else stored(tested.unionAll(pairs), "tested")
-        links = verified(likely(pairs, nodes, bands * rows, least), docs, size, percent)
-        labels = components(labels, links)
-        left = members.drop("label")
-        if done is not None:
-            left = left.join(small(done), ["hash", "node"], "left_anti")
-        marked = stored(left.join(small(labels), "node"), "marked")
+    sets = stored(set_table(docs, labels, size), "sets")
+    members, tested = members.withColumn("label", F.col("node")), None
+
+    def still_open(members: DataFrame) -> DataFrame:
+        marked = stored(members.drop("label").join(small(labels), "node"), "marked")
         open_ = marked.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         open_ = stored(open_.select("hash", "n", F.col("n").alias("now")), "open")
-        members = attach(marked, open_, "hash", "n", ["node"], limit=SMALL_ROWS).filter("now IS NOT NULL")
-        members = stored(members.select("hash", "node", F.col("now").alias("size"), "label"), "buckets")
-        turn += 1
-        if not members.limit(1).count():
-            return labels
+        left = attach(marked, open_, "hash", "n", ["node"], limit=SMALL_ROWS).filter("now IS NOT NULL")
+        return stored(left.select("hash", "node", F.col("now").alias("size"), "label"), "buckets")
+
+    for turn in range(QUICK_ROUNDS + 1):
+        pairs = one_each(members, turn)
+        pairs = stored(pairs if tested is None else pairs.join(small(tested), ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else stored(tested.unionAll(pairs), "tested")
+        labels = components(labels, verified(likely(pairs, nodes, bands * rows, least), sets, percent))
+        members = still_open(members)
+    large = members.filter(F.col("size") > centers)
+    if large.limit(1).count():
+        labels = components(labels, tile_links(large, sets, percent))
+        members = still_open(members.filter(F.col("size") <= centers))
+    pairs = stored(all_pairs(members, centers).join(small(tested), ["a", "b"], "left_anti"), "pairs")
+    return components(labels, verified(likely(pairs, nodes, bands * rows, least), sets, percent))
 
 
 def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, centers: int = CENTERS) -> DataFrame:

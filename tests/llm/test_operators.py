@@ -617,6 +617,34 @@ def test_components(make_docs, size, centers):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def test_hundreds_of_copies_around_the_threshold(make_docs, monkeypatch):
+    """Most pairs of the group are just below or above the threshold; what tiles find equals brute force."""
+    monkeypatch.setattr(setsketch, "BLOCK", 40)
+    monkeypatch.setattr(setsketch, "TILE_SHINGLES", 64)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    texts = {}
+    for at in range(220):
+        own = list(base)
+        for _ in range(rng.randint(1, 9)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10_000)}"
+        texts[at] = " ".join(own)
+    want, _ = brute_components(texts, 2)
+    rows = setsketch.grouped(make_docs([(i, t, "s") for i, t in texts.items()]), 2, centers=16).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want
+    assert 5 < len(set(want.values())) < 215
+
+
+def test_links_of_a_tile_join_labels():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(50)]
+    for outer in (np.ones(50, bool), rng.random(50) < 0.3):
+        labels = rng.integers(0, 20, 50).tolist()
+        got = {tuple(sorted((labels[i], labels[j]))) for i, j in setsketch.joining_links(labels, sets, outer, 50)}
+        pairs = [(i, j) for i in range(50) for j in range(50) if i != j and (outer.all() or (outer[i] and not outer[j]))]
+        assert got == {tuple(sorted((labels[i], labels[j]))) for i, j in pairs if labels[i] != labels[j] and setsketch.similar(sets[i], sets[j], 50)}
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     items = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
