@@ -15,7 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": ctw.query,
     "op2_html_extraction": html_extract.query,
     "op3_benchmark_decontamination": templates.query,
-    "op3_decontamination_any_case": templates.query_any_case,
     "op4_bpe_encoding": bpe_lexicon.query,
     "op5_quality_rules": host_rules.query,
     "op6_line_dedup": line_dedup.query,

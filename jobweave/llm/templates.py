@@ -1,13 +1,10 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders, so that a question asked again with other values keeps its template.
-Every window of eight template tokens of every document meets the windows of the benchmark by hash.  On each alignment
-(document position minus item position) the values behind the placeholders must map one to one; aligned windows that pass are
-counted, and a document that covers enough of an item is contaminated.  Only DataFrame functions are used.
-
-The registered query follows its SQL, where a passage in another letter case is another passage.  With `any_case` every window
-also has a plain form, in which words are only lower-cased, and counts if either form meets the item's.  With `by_window` the
-values are judged window by window, and two values of the item may stand for one of the document.
+Every window of eight template tokens of every document meets the windows of the benchmark by hash.  A window also has a plain
+form, in which words are only lower-cased, and counts if either form meets the item's: a passage is found in any letter case.
+On each alignment (document position minus item position) the windows whose values are consistent are counted, and a document
+that covers enough of an item is contaminated.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -23,6 +20,8 @@ WINDOW = 8
 #: An item is found in a document that covers all its tokens, or at least this many and this share of them.
 MIN_TOKENS = 13
 MIN_PERCENT = 50
+#: A window with fewer tokens beside its placeholders must repeat the item's values as they are.
+MIN_LITERALS = 3
 #: Rows of the benchmark side in one broadcast; a larger benchmark is taken in blocks.
 BLOCK_ROWS = 50_000
 ENDS = ".!?"
@@ -39,15 +38,15 @@ NOISE = r"[^\p{L}\p{N}.!?\x20\x09-\x0D]+"
 
 
 def tokens(rows: DataFrame) -> DataFrame:
-    """The rows with `_core`, the tokens of `text` without punctuation in lower case, `_canon`, their template, `_plain`,
-    the template without names, and `_lead`, the template whose first token is a name too if it begins with a capital.
+    """The rows with `_core`, the tokens of `text` without punctuation in lower case, `_plain`, their template without names,
+    `_canon`, their template, and `_lead`, the template whose first token is a name too if it begins with a capital.
 
     Signs other than sentence ends vanish, so `1,000` is one token.  A token that begins with a digit is a number; a unit
     follows a number; a name begins with a capital and does not begin a sentence.  Null texts have no tokens.
     """
     ends = F.lit(ENDS)
-    raw = F.filter(words_of(F.regexp_replace(F.coalesce("text", F.lit("")), NOISE, "")), lambda t: F.btrim(t, ends) != "")
-    rows = rows.withColumn("_raw", raw)
+    rows = rows.withColumn("_text", F.regexp_replace(F.coalesce("text", F.lit("")), NOISE, ""))
+    rows = rows.withColumn("_raw", F.filter(words_of(F.col("_text")), lambda t: F.btrim(t, ends) != ""))
     rows = rows.withColumn("_cased", F.transform("_raw", lambda t: F.btrim(t, ends)))
     rows = rows.withColumn("_core", F.transform("_cased", lambda t: F.lower(t)))
     digit = lambda t: (t >= "0") & (t < ":")
@@ -56,79 +55,82 @@ def tokens(rows: DataFrame) -> DataFrame:
         unit = (i > 0) & digit(F.get("_core", i - 1)) & core.isin(*UNITS)
         return F.when(digit(core), NUM).when(unit, UNIT).otherwise(core)
 
-    def template(core: Column, i: Column) -> Column:
+    def named(kind: Column, i: Column) -> Column:
         first, before = F.substring(F.get("_cased", i), 1, 1), F.get("_raw", i - 1)
         inside = (i > 0) & ~F.right(before, F.lit(1)).isin(*ENDS)
-        unit = (i > 0) & digit(F.get("_core", i - 1)) & core.isin(*UNITS)
-        return F.when(digit(core), NUM).when(unit, UNIT).when((first != F.lower(first)) & inside, NAME).otherwise(core)
+        return F.when((first != F.lower(first)) & ~kind.isin(NUM, UNIT) & inside, NAME).otherwise(kind)
 
-    rows = rows.withColumn("_canon", F.transform("_core", template))
+    rows = rows.withColumn("_plain", F.transform("_core", plain))
+    rows = rows.withColumn("_canon", F.transform("_plain", named))
     initial = F.substring(F.get("_cased", F.lit(0)), 1, 1)
     rows = rows.withColumn("_lead", F.transform("_canon", lambda t, i: F.when((i == 0) & (initial != F.lower(initial)), NAME).otherwise(t)))
-    return rows.withColumn("_plain", F.transform("_core", plain)).drop("_raw", "_cased")
+    return rows.drop("_text", "_raw", "_cased")
 
 
-def window_hashes(length: int) -> Column:
-    n = F.size("_canon")
-    each = F.transform(F.sequence(F.lit(1), n - (length - 1)), lambda i: F.xxhash64(F.slice("_canon", i, length)))
-    return F.when(n >= length, each).otherwise(F.array().cast("array<bigint>"))
+def window_hash(hashes: str, at: Column, length: int) -> Column:
+    """Hash of the window of `length` tokens at place `at` (0 is the first) from the hashes of the tokens."""
+    return F.xxhash64(*[F.get(hashes, at + k) for k in range(length)])
 
 
-def window_spots(length: int) -> Column:
-    """Place and hash of every window, and of its plain form too where that differs."""
-    n = F.size("_canon")
-    spot = lambda form, i: F.struct((i - 1).alias("_pos"), F.xxhash64(F.slice(form, i, length)).alias("hash"))
-    each = lambda i: F.array_distinct(F.array(spot("_canon", i), spot("_plain", i)))
-    spots = F.flatten(F.transform(F.sequence(F.lit(1), n - (length - 1)), each))
-    return F.when(n >= length, spots).otherwise(F.array().cast("array<struct<_pos:int,hash:bigint>>"))
+def window_hashes(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row for each window of each of the lengths: doc_id, _core, _plain, _canon, _pos and hash.
 
-
-def benchmark_windows(items: DataFrame, window: int = WINDOW, any_case: bool = False) -> DataFrame:
+    Tokens are hashed once; a window is hashed from those numbers after the explode, where no lambda is interpreted.  Names make
+    the template form of a window differ from the plain one; where they do not, there is one row.
+    """
+    each = lambda form: F.transform(form, lambda t: F.xxhash64(t))
+    hashed = texts.select("doc_id", "_core", "_plain", "_canon", each("_plain").alias("_words"), each("_canon").alias("_kinds"))
+    spots = hashed.select("*", F.posexplode_outer("_words").alias("_pos", "_word"))
+    forms = []
+    for length in lengths:
+        inside = F.col("_pos") + length <= F.size("_words")
+        plain, canon = (window_hash(hashes, F.col("_pos"), length) for hashes in ("_words", "_kinds"))
+        forms += [F.when(inside, plain), F.when(inside & (plain != canon), canon)]
+    return spots.select("doc_id", "_core", "_plain", "_canon", "_pos", F.explode(F.array(*forms)).alias("hash"))
+
+
+def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows of the items: item_id, item_tokens, length, at, plain, hash, template, slots.  A shorter item is one window.
 
-    With `any_case` each window is there in each of its forms, `plain` telling which form its template has; a first token
-    with a capital is a word in one of them and a name in another, as it may stand inside a sentence of a document.
+    Each window is there in each of its forms, `plain` telling which form its template has; a first token with a capital is a
+    word in one of them and a name in another, as it may stand inside a sentence of a document.
     """
     rows = stored(tokens(items.select("item_id", "text")).withColumn("item_tokens", F.size("_canon")), "items").filter("item_tokens > 0")
     rows = rows.withColumn("length", F.least(F.lit(window), F.col("item_tokens")))
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("item_tokens") - F.col("length"))))
-    forms = {"_canon": False, "_plain": True, "_lead": False} if any_case else {"_canon": False}
+    forms = {"_canon": False, "_plain": True, "_lead": False}
     cut = [F.struct(F.lit(plain).alias("plain"), F.slice(form, F.col("at") + 1, F.col("length")).alias("template")) for form, plain in forms.items()]
     rows = rows.withColumn("_form", F.explode(F.array_distinct(F.array(*cut)))).select("*", "_form.plain", "_form.template")
     slot = lambda t, i: F.when(t.isin(NUM, NAME, UNIT), F.struct(i.alias("offset"), t.alias("kind"), F.get("_core", F.col("at") + i).alias("asked")))
     slots = F.filter(F.transform("template", slot), lambda s: s.isNotNull())
-    return rows.select("item_id", "item_tokens", "length", "at", "plain", F.xxhash64("template").alias("hash"), "template", slots.alias("slots"))
+    rows = rows.withColumn("_hashes", F.transform("template", lambda t: F.xxhash64(t)))
+    hashed = reduce(lambda other, n: F.when(F.col("length") == n, window_hash("_hashes", F.lit(0), n)).otherwise(other), range(1, window + 1), F.lit(None))
+    return rows.select("item_id", "item_tokens", "length", "at", "plain", hashed.alias("hash"), "template", slots.alias("slots"))
 
 
-def aligned_windows(docs: DataFrame, windows: DataFrame, block_rows: int = BLOCK_ROWS, any_case: bool = False) -> DataFrame:
+def aligned_windows(docs: DataFrame, windows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every window of every document that equals a benchmark window: doc_id, item_id, item_tokens, length, at, shift, slots,
     and `same`, whether the templates are equal beyond their hash (tested after the join, so that only hits are cut out).
 
-    The benchmark is the stated query set: it is broadcast in blocks of about `block_rows` windows.  The outer form of
-    explode keeps Spark from testing `size(windows) > 0` below the columns that it would then have to compute again.
+    The benchmark is the stated query set: it is broadcast in blocks of about `block_rows` windows, and all lengths of
+    windows are taken in one pass over the documents.  The outer form of explode keeps Spark from testing
+    `size(windows) > 0` below the columns that it would then have to compute again.
     """
     windows = stored(windows, "benchmark")
     counts = windows.groupBy("length").count().collect()  # at most WINDOW rows
-    found = []
-    texts = tokens(docs.select("doc_id", "text"))
-    for length, n in sorted(counts):
-        blocks = -(-n // block_rows)
-        each = F.inline_outer("_hashes") if any_case else F.posexplode_outer("_hashes").alias("_pos", "hash")
-        spots = texts.withColumn("_hashes", window_spots(length) if any_case else window_hashes(length)).select("doc_id", "_core", "_canon", each)
-        for block in range(blocks):
-            part = windows.filter((F.col("length") == length) & (F.pmod("hash", F.lit(blocks)) == block))
-            hits = spots.join(F.broadcast(part.drop("length")), "hash")
-            seen = F.slice("_canon", F.col("_pos") + 1, F.lit(length))
-            if any_case:
-                words = F.zip_with(seen, F.slice("_core", F.col("_pos") + 1, F.lit(length)), lambda t, w: F.when(t == NAME, w).otherwise(t))
-                seen = F.when(F.col("plain"), words).otherwise(seen)
-            said = F.transform("slots", lambda s: F.struct(s["kind"], s["asked"], F.get("_core", F.col("_pos") + s["offset"]).alias("said")))
-            same = (seen == F.col("template")).alias("same")
-            found.append(hits.select("doc_id", "item_id", "item_tokens", F.lit(length).alias("length"), "at", (F.col("_pos") - F.col("at")).alias("shift"), said.alias("slots"), same))
-    if not found:
+    if not counts:
         empty = "item_tokens int, length int, at int, shift int, slots array<struct<kind:string,asked:string,said:string>>, same boolean"
         kinds = {f.name: f.dataType.simpleString() for f in [*docs.schema.fields, *windows.schema.fields]}
         return docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, {empty}")
+    spots = window_hashes(tokens(docs.select("doc_id", "text")), sorted(n for n, _ in counts))
+    blocks = -(-sum(n for _, n in counts) // block_rows)
+    found = []
+    for block in range(blocks):
+        hits = spots.join(F.broadcast(windows.filter(F.pmod("hash", F.lit(blocks)) == block)), "hash")
+        cut = lambda form: F.slice(form, F.col("_pos") + 1, F.col("length"))
+        said = F.transform("slots", lambda s: F.struct(s["kind"], s["asked"], F.get("_core", F.col("_pos") + s["offset"]).alias("said")))
+        same = F.when(F.col("plain"), cut("_plain")).otherwise(cut("_canon")) == F.col("template")
+        found.append(hits.select("doc_id", "item_id", "item_tokens", "length", "at", (F.col("_pos") - F.col("at")).alias("shift"), said.alias("slots"), same.alias("same")))
     return reduce(DataFrame.unionAll, found)
 
 
@@ -139,24 +141,22 @@ def covered(at: Column, length: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_tokens: int = MIN_TOKENS, min_percent: int = MIN_PERCENT, block_rows: int = BLOCK_ROWS, any_case: bool = False, by_window: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_tokens: int = MIN_TOKENS, min_percent: int = MIN_PERCENT, block_rows: int = BLOCK_ROWS, min_literals: int = MIN_LITERALS) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds: doc_id, item_id, item_tokens, covered_tokens, n_slots.
 
-    Windows on one alignment count only if the values behind their placeholders are consistent: one value of the item always
-    stands for one value of the document and the other way round.  Rows of one doc_id count as one document, null ids too;
-    null, empty and token-free texts and items find nothing; an empty table gives no pairs.  With `any_case` a passage is found
-    in every letter case; without it a capital inside a sentence always makes a name.  With `by_window` a window counts if one
-    value of the item always stands for one value of the document inside it.
+    A window counts if one value of the item always stands for one value of the document inside it (two values of the item may
+    stand for one of the document), and if it has `min_literals` tokens beside its placeholders or repeats the item's values as
+    they are.  Rows of one doc_id count as one document, null ids too; null, empty and token-free texts and items find nothing;
+    an empty table gives no pairs.
     """
-    hits = aligned_windows(docs, benchmark_windows(items, window, any_case), block_rows, any_case)
+    hits = aligned_windows(docs, benchmark_windows(items, window), block_rows)
     distinct = lambda *fields: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(*[s[f] for f in fields]))))
-    counts = F.col("same")
-    if by_window:  # tested inside the aggregate: as a filter it would move below the join
-        counts = counts & (distinct("kind", "asked") == distinct("kind", "asked", "said"))
+    literal = (F.col("length") - F.size("slots") >= min_literals) | F.forall("slots", lambda s: s["asked"] == s["said"])
+    # tested inside the aggregate: as a filter it would move below the join
+    counts = F.col("same") & literal & (distinct("kind", "asked") == distinct("kind", "asked", "said"))
     keys = ["doc_id", "item_id", "item_tokens", "length"]
     by_shift = hits.groupBy(*keys, "shift").agg(F.collect_set(F.when(counts, F.col("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.when(counts, F.col("slots"))))).alias("slots"))
-    same = F.lit(True) if by_window else (distinct("kind", "asked") == F.size("slots")) & (distinct("kind", "said") == F.size("slots"))
-    whole = by_shift.filter(same).groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max(F.size("slots")).cast("bigint").alias("n_slots"))
+    whole = by_shift.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max(F.size("slots")).cast("bigint").alias("n_slots"))
     rows = whole.withColumn("covered_tokens", covered(F.col("at"), F.col("length")))
     enough = (F.col("covered_tokens") >= min_tokens) & (100 * F.col("covered_tokens") >= min_percent * F.col("item_tokens"))
     rows = rows.filter(enough | (F.col("covered_tokens") == F.col("item_tokens")))
@@ -164,18 +164,13 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_to
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    """Contaminated documents with the items that they hold."""
+    """Contaminated documents with the items that they hold, in any letter case and with any values."""
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-def query_any_case(spark: SparkSession, folder: str) -> DataFrame:
-    """Contaminated documents with the items that they hold in any letter case and with any values."""
-    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), any_case=True, by_window=True)
-
-
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no benchmark item, in any letter case and with any values."""
-    found = stored(contaminated(docs, table(spark, folder, "benchmark"), any_case=True, by_window=True), "contaminated")
+    found = stored(contaminated(docs, table(spark, folder, "benchmark")), "contaminated")
     return without(docs, found, "doc_id").select(*docs.columns)
 
 
@@ -191,32 +186,46 @@ WITH src AS (
   SELECT k, id, i, r, trim(r, '.!?') AS cased, lower(trim(r, '.!?')) AS core, lag(r) OVER o AS before, lower(trim(lag(r) OVER o, '.!?')) AS last
   FROM u WINDOW o AS (PARTITION BY k, id ORDER BY i)
 ), d AS (
-  SELECT k, id, i, core, CASE WHEN core >= '0' AND core < ':' THEN '<num>'
-    WHEN last >= '0' AND last < ':' AND core IN (@units) THEN '<unit>'
-    WHEN cased[1] <> lower(cased[1]) AND right(before, 1) NOT IN ('.', '!', '?') THEN '<name>' ELSE core END AS canon FROM c
-), w AS (
-  SELECT k, id, i, string_agg(canon, ' ') OVER o AS s, count(*) OVER o AS n, count(*) OVER (PARTITION BY k, id) AS total
-  FROM d WINDOW o AS (PARTITION BY k, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+  SELECT k, id, i, core, cased[1] <> lower(cased[1]) AS capital, core >= '0' AND core < ':' AS num,
+    coalesce(last >= '0' AND last < ':' AND core IN (@units), false) AS unit, coalesce(right(before, 1) NOT IN ('.', '!', '?'), false) AS inside FROM c
+), e AS (
+  SELECT k, id, i, core, capital, CASE WHEN num THEN '<num>' WHEN unit THEN '<unit>' ELSE core END AS plain,
+    CASE WHEN num THEN '<num>' WHEN unit THEN '<unit>' WHEN capital AND inside THEN '<name>' ELSE core END AS canon FROM d
+), a AS (
+  SELECT k, id, count(*) AS total, list(core ORDER BY i) AS cores, list(plain ORDER BY i) AS plains, list(canon ORDER BY i) AS canons,
+    list(CASE WHEN i = 0 AND capital THEN '<name>' ELSE canon END ORDER BY i) AS leads FROM e GROUP BY k, id
+), items AS (
+  SELECT id AS item_id, total, least(8, total) AS len, unnest(range(total - least(8, total) + 1)) AS pos, cores, plains, canons, leads FROM a WHERE k = 1
+), forms AS (
+  SELECT item_id, total, len, pos, true AS p, plains[pos + 1:pos + len] AS tpl, cores[pos + 1:pos + len] AS asked FROM items
+  UNION ALL SELECT item_id, total, len, pos, false, canons[pos + 1:pos + len], cores[pos + 1:pos + len] FROM items
+  UNION ALL SELECT item_id, total, len, pos, false, leads[pos + 1:pos + len], cores[pos + 1:pos + len] FROM items WHERE pos = 0
+), texts AS (
+  SELECT id AS doc_id, i AS spot, len, core, plain, canon FROM e, (SELECT DISTINCT len FROM items) WHERE k = 0
+), spans AS (
+  SELECT doc_id, spot, len, list(core) OVER o AS said, string_agg(plain, ' ') OVER o AS plains, string_agg(canon, ' ') OVER o AS canons FROM texts
+  WINDOW o AS (PARTITION BY doc_id, len ORDER BY spot ROWS BETWEEN CURRENT ROW AND len - 1 FOLLOWING)
+), said AS (
+  SELECT doc_id, len, spot, true AS p, plains AS s, said FROM spans WHERE len(said) = spans.len
+  UNION ALL SELECT doc_id, len, spot, false, canons, said FROM spans WHERE len(said) = spans.len
 ), hit AS (
-  SELECT DISTINCT a.id AS doc_id, b.id AS item_id, b.total AS item_tokens, b.i AS pos, a.i - b.i AS shift
-  FROM w a JOIN w b ON a.k = 0 AND b.k = 1 AND a.n = 8 AND b.n = 8 AND a.s = b.s
-), slot AS (
-  SELECT DISTINCT h.doc_id, h.item_id, h.shift, x.canon AS kind, x.core AS asked, y.core AS said
-  FROM hit h JOIN d x ON x.k = 1 AND x.id = h.item_id AND x.i BETWEEN h.pos AND h.pos + 7 AND x.canon IN ('<num>', '<unit>', '<name>')
-  JOIN d y ON y.k = 0 AND y.id = h.doc_id AND y.i = x.i + h.shift
-), agreed AS (
-  SELECT doc_id, item_id, shift, count(*) AS n, count(DISTINCT (kind, asked)) AS n_asked, count(DISTINCT (kind, said)) AS n_said FROM slot GROUP BY ALL
+  SELECT DISTINCT doc_id, item_id, total, len, pos, spot - pos AS shift, p, tpl, asked, said
+  FROM said JOIN forms USING (len, p) WHERE s = array_to_string(tpl, ' ')
+), judged AS (
+  SELECT *, [{'kind': tpl[j], 'asked': asked[j], 'said': said[j]} FOR j IN range(1, len + 1) IF tpl[j] IN ('<num>', '<unit>', '<name>')] AS slots FROM hit
 ), good AS (
-  SELECT h.*, coalesce(a.n, 0) AS n_slots FROM hit h LEFT JOIN agreed a USING (doc_id, item_id, shift)
-  WHERE coalesce(a.n = a.n_asked AND a.n = a.n_said, true)
+  SELECT * FROM judged WHERE len(list_distinct([{'kind': x.kind, 'asked': x.asked} FOR x IN slots])) = len(list_distinct(slots))
+    AND (judged.len - len(slots) >= 3 OR len([x FOR x IN slots IF x.asked <> x.said]) = 0)
+), slotted AS (
+  SELECT doc_id, item_id, max(len(list_distinct(flatten(all_slots)))) AS n_slots
+  FROM (SELECT doc_id, item_id, list(slots) AS all_slots FROM good GROUP BY doc_id, item_id, shift) GROUP BY ALL
 ), spots AS (
-  SELECT doc_id, item_id, item_tokens, pos, max(n_slots) AS n_slots FROM good GROUP BY ALL
+  SELECT DISTINCT doc_id, item_id, total, len, pos FROM good
 ), steps AS (
   SELECT *, lead(pos) OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS nxt FROM spots
-), total AS (
-  SELECT doc_id, item_id, item_tokens, CAST(sum(least(8, coalesce(nxt - pos, 8))) AS BIGINT) AS covered_tokens, max(n_slots) AS n_slots
-  FROM steps GROUP BY ALL
+), covers AS (
+  SELECT doc_id, item_id, total AS item_tokens, CAST(sum(least(len, coalesce(nxt - pos, len))) AS BIGINT) AS covered_tokens FROM steps GROUP BY ALL
 )
-SELECT doc_id, item_id, item_tokens, covered_tokens, n_slots FROM total
+SELECT doc_id, item_id, item_tokens, covered_tokens, CAST(n_slots AS BIGINT) AS n_slots FROM covers JOIN slotted USING (doc_id, item_id)
 WHERE covered_tokens = item_tokens OR covered_tokens >= 13 AND 100 * covered_tokens >= 50 * item_tokens
 """.replace("@units", ", ".join(f"'{u}'" for u in UNITS))
