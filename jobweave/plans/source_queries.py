@@ -148,6 +148,21 @@ def src_schema_evolve(t):
     return wider.unionByName(new, allowMissingColumns=True).drop("last_health_check")
 
 
+@query(
+    "src_schema_versions",
+    P + """ SELECT CAST(id AS BIGINT) AS id, job_title, CAST(id % 100 AS BIGINT) AS views_count, CAST(NULL AS VARCHAR) AS deactivation_reason,
+      CAST(NULL AS VARCHAR) AS note FROM jobs_part WHERE id % 2 = 0
+    UNION ALL SELECT id, job_title, CAST(id AS BIGINT) * 4000000000, 'checked', NULL FROM jobs_part WHERE id % 2 = 1""",
+)
+def src_schema_versions(t):
+    jobs, folder = t.jobs_part.select("id", "job_title"), workdir.shared_folder(t.spark)
+    old = jobs.filter("id % 2 = 0").selectExpr("CAST(id AS INT) AS id", "job_title", "CAST(id % 100 AS INT) AS views_count")
+    new = jobs.filter("id % 2 = 1").selectExpr("CAST(id AS BIGINT) AS id", "job_title", "id * 4000000000L AS views_count", "'checked' AS deactivation_reason")
+    old.write.parquet(f"{folder}/v1")
+    new.write.parquet(f"{folder}/v2")
+    return imports.read_versions(t.spark, [f"{folder}/v1", f"{folder}/v2"], {"note": "string"})
+
+
 @query(
     "src_links_wide_long",
     with_("org_links") + ", l AS (" + " UNION ALL ".join(

@@ -98,6 +98,47 @@ def with_columns(rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return rows.withColumns(missing) if missing else rows
 
 
+#: Types that a column may take over the versions of a table, each read into the next without loss.
+WIDER = (("tinyint", "smallint", "int", "bigint"), ("tinyint", "smallint", "int", "double"), ("float", "double"), ("date", "timestamp_ntz"))
+
+
+def wider_type(one: T.DataType, other: T.DataType) -> T.DataType | None:
+    """The type that holds the values of both, or None."""
+    if one == other or isinstance(other, T.NullType):
+        return one
+    if isinstance(one, T.NullType):
+        return other
+    names = {one.simpleString(): one, other.simpleString(): other}
+    for line in WIDER:
+        if all(name in line for name in names):
+            return names[max(names, key=line.index)]
+    return None
+
+
+def merged_schema(schemas: Iterable[T.StructType]) -> T.StructType:
+    """Nullable columns of all versions in order of first sight; names differ by more than case, the first spelling stays.
+
+    Numbers and dates take the wider type; nested types must be equal. Types without a common one raise ValueError.
+    """
+    merged: dict[str, T.StructField] = {}
+    for field in (f for schema in schemas for f in schema.fields):
+        known = merged.get(field.name.lower(), T.StructField(field.name, field.dataType))
+        kind = wider_type(known.dataType, field.dataType)
+        if kind is None:
+            raise ValueError(f"column {known.name} is {known.dataType.simpleString()} in one version and {field.dataType.simpleString()} in another")
+        merged[field.name.lower()] = T.StructField(known.name, kind)
+    return T.StructType(list(merged.values()))
+
+
+def read_versions(spark: SparkSession, paths: list[str], columns: Mapping[str, str] | None = None) -> DataFrame:
+    """Stored Parquet versions of one table as a single scan: what a version lacks is null, as are the given extra columns.
+
+    Only the footers are read to agree on the columns; filters and column choice reach the files of every version.
+    """
+    schema = merged_schema(spark.read.parquet(path).schema for path in paths)
+    return with_columns(spark.read.schema(schema).parquet(*paths), columns or {})
+
+
 def decode_embeddings(rows: DataFrame, column: str = "embedding_base64") -> DataFrame:
     """Base64 text of little-endian float32 values to vector and dimension; unreadable rows keep a null vector."""
     read = rows.select("id", F.try_to_binary(F.col(column), F.lit("base64")).alias("raw"))

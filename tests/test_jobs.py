@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,3 +338,28 @@ def test_requests_are_sorted_like_one_browse(spark, make_jobs, mode):
     for query, filters, n in ((1, {"remote_type": "Remote"}, 25), (2, {}, 50)):
         want = [r["id"] for r in browse.browse(jobs, AS_OF, filters, mode, n).collect()]
         assert [r["id"] for r in got if r["query_id"] == query] == want
+
+
+def test_versions_of_a_table_are_read_together(spark, tmp_path):
+    versions = [
+        ("v1", "1 AS id, CAST(1.5 AS FLOAT) AS score, DATE'2024-01-02' AS seen, 'a' AS title"),
+        ("v2", "3000000000 AS id, 0.1D AS score, TIMESTAMP_NTZ'2024-05-06 07:08:09' AS seen, 'kept' AS reason"),
+    ]
+    for name, columns in versions:
+        spark.sql(f"SELECT {columns}").write.parquet(f"{tmp_path}/{name}")
+    rows = imports.read_versions(spark, [f"{tmp_path}/v1", f"{tmp_path}/v2"], {"note": "string", "title": "string"})
+    assert rows.dtypes == [("id", "bigint"), ("score", "double"), ("seen", "timestamp_ntz"), ("title", "string"), ("reason", "string"), ("note", "string")]
+    first, second = sorted(tuple(r) for r in rows.collect())
+    assert first == (1, 1.5, datetime.datetime(2024, 1, 2), "a", None, None)
+    assert second == (3_000_000_000, 0.1, datetime.datetime(2024, 5, 6, 7, 8, 9), None, "kept", None)
+    plan = rows.filter("id > 5").select("reason")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "GreaterThan(id,5)" in plan and "score" not in plan
+    assert rows.filter("id > 5").select("reason").collect() == [("kept",)]
+
+
+def test_clashing_versions_are_an_error(spark, tmp_path):
+    for name, columns in [("v1", "1 AS id, 'x' AS title"), ("v2", "1 AS ID, 5 AS Title")]:
+        spark.sql(f"SELECT {columns}").write.parquet(f"{tmp_path}/{name}")
+    with pytest.raises(ValueError, match="title"):
+        imports.read_versions(spark, [f"{tmp_path}/v1", f"{tmp_path}/v2"])
+    assert imports.read_versions(spark, [f"{tmp_path}/v1"]).collect() == [(1, "x")]
