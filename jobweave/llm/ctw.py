@@ -4,29 +4,37 @@ Every byte is eight binary decisions.  For each decision a tree of contexts, the
 and ones; each context's Krichevsky-Trofimov estimate is mixed with what its longer contexts say, with the weights that the
 training text itself gives.
 
-Counts come from all training documents.  The tree keeps at most `nodes` contexts, those with the most bytes; the bytes
-of a context whose longer context is not kept go to that context's rest leaf, so that no count is lost.  The tree is
-therefore bounded, is compiled once, and travels to the tasks as tables in which each byte of a text is one look-up.
+The tree has every context of up to `depth` bytes that occurs at least `least` times in the training documents; the bytes
+of rarer contexts go to the rest leaf of the context above, so that no count is lost.  The model therefore grows with the
+corpus, and no process holds it: the counts are a table of runs of depth + 1 bytes, tasks own whole subtrees below a context of
+three bytes (at most 2 ** 24 runs), and only the contexts of up to two bytes, bounded by the number of byte pairs, are put
+together on the driver.  What comes out is a table with the price of every run; texts take the prices of the most used runs from a
+broadcast of bounded size and those of all other runs by a join.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import lowered, most, shipped, size_step, stored, table, word_hashes
+from jobweave.llm.common import lowered, most, released, shipped, size_step, stored, table, word_hashes
 
 DEPTH = 5
-#: Most contexts that the tree keeps, over all depths.
-NODES = 1 << 15
-#: Words whose counts every task holds; the counts of all other words are joined.
+#: A context seen less often is not split off from the context above it.
+LEAST = 4
+#: Context bytes of the subtrees that tasks own; contexts shorter than that are put together on the driver.
+TOP = 3
+#: Words and runs whose counts and prices every task holds; those of all others are joined.
 FREQUENT_WORDS = 1 << 18
+FREQUENT_RUNS = 1 << 20
+#: Runs that a task is meant to get, and runs whose subtrees are worked on at once.
+TASK_RUNS = 1 << 19
+SLICE_RUNS = 1 << 16
 FOLDS, HELD_OUT = 7, 2
 #: Bytes that are counted or scored at once, and distinct keys that a task holds before it hands counts on.
 CHUNK_BYTES = 1 << 20
@@ -44,16 +52,17 @@ def sequence(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum([0] + [len(t) + depth + 1 for t in texts])
 
 
-def grams(texts: list[bytes], depth: int) -> np.ndarray:
-    """One number for each byte of the texts and their ends: the byte lowest, then the bytes before it."""
+def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each byte of the texts and their ends -- the byte lowest, above it the bytes before it, the nearest highest --
+    and the first of every text, and the total."""
     data, first = sequence(texts, depth)
-    code = data[depth:].astype(np.uint64)
+    code = data[depth:].astype(np.int64)
     for k in range(1, depth + 1):
-        code |= data[depth - k : len(data) - k].astype(np.uint64) << np.uint64(8 * k)
+        code |= data[depth - k : len(data) - k].astype(np.int64) << (8 * (depth + 1 - k))
     real = np.ones(len(data), bool)
     for start in first[:-1]:
         real[start : start + depth] = False
-    return code[real[depth:]]
+    return code[real[depth:]], first - depth * np.arange(len(first))
 
 
 # ------------------------------------------------------------------------------------------------ the tree
@@ -83,179 +92,164 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma_half(zeros) + log_gamma_half(ones) - np.log(np.pi) - log_factorial(zeros + ones)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 256 symbols -> zeros and ones of the 255 decisions, decision 1 being the highest bit, 2j and 2j+1 below j."""
-    zeros, ones = np.zeros((len(counts), 256)), np.zeros((len(counts), 256))
-    for level in range(8):
-        parts = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3)
-        zeros[:, 1 << level : 2 << level] = parts[:, :, 0]
-        ones[:, 1 << level : 2 << level] = parts[:, :, 1]
-    return zeros, ones
+def share_of_ones(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
 
 
-@dataclass
-class Tree:
-    """A compiled model: context tables and log10 probabilities.
+def decisions(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight decisions of each run, highest bit first: context * 256 + place in the tree of bits, and the bit taken."""
+    byte, steps = codes & 255, np.arange(8)
+    places = (byte[:, None] | 256) >> (8 - steps)
+    return (codes >> 8 << 8)[:, None] | places, (byte[:, None] >> (7 - steps)) & 1
 
-    `edges` are sorted numbers node * 256 + byte with the node that they lead to; node 0 is the empty context.  `log10`
-    has a row for each node -- its own distribution at full depth, else that of its rest leaf -- and a column for each byte of
-    `column`; bytes never seen in training share the last one.
-    """
 
-    depth: int
-    edges: np.ndarray
-    targets: np.ndarray
-    column: np.ndarray
-    log10: np.ndarray
+def summed(ids: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct ids in order, the place of each id among them, and sums of the weights."""
+    names, place = np.unique(ids, return_inverse=True)
+    return names, place, [np.bincount(place, w, len(names)) for w in weights]
 
 
-def compile_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], depth: int, part: int = 512) -> Tree:
-    """The tree from, for each depth, its contexts in order, and rows (place of the context, byte, count).
+class Level:
+    """Decisions of all contexts of one length, by id; what is known of them upward (`weight`, `log`) and downward.
 
-    Upward: the weighted probability of a context is half its own estimate, half the product over its longer contexts and
-    its rest.  Downward: own estimates are mixed with the posterior weight that the context is a leaf.  Both passes go
-    decision by decision over all contexts of a depth, `part` contexts at a time.
+    `weight` is the posterior weight that the context is a leaf, `log` its weighted log probability.  Going down, `mixed` is
+    what the contexts so far say, `left` the share that longer ones have to say, and `rest` what the rest leaf says.
     """
-    sizes = [len(contexts) for contexts, *_ in levels]
-    first = np.cumsum([0, *sizes])
-    parents = [None]
-    for d in range(1, len(levels)):
-        short = levels[d][0] & np.uint64((1 << (8 * (d - 1))) - 1) if d > 1 else np.zeros(sizes[d], np.uint64)
-        parents.append(np.searchsorted(levels[d - 1][0], short))
-
-    def dense(d: int, low: int, high: int) -> np.ndarray:
-        _, place, byte, n = levels[d]
-        a, b = np.searchsorted(place, (low, high))
-        out = np.zeros((high - low, 256))
-        out[place[a:b] - low, byte[a:b]] = n[a:b]
-        return out
 
-    parts = lambda d: [(low, min(low + part, sizes[d])) for low in range(0, sizes[d], part)]
-    rests: list[tuple] = [()] * len(levels)
-    for d in range(len(levels)):  # counts of a context that none of its longer contexts has
-        _, place, byte, n = levels[d]
-        left = n.astype(np.int64).copy()
-        if d + 1 < len(levels) and sizes[d + 1]:
-            _, place2, byte2, n2 = levels[d + 1]
-            key, key2 = place.astype(np.int64) * 256 + byte, parents[d + 1][place2].astype(np.int64) * 256 + byte2
-            np.subtract.at(left, np.searchsorted(key, key2), n2)
-        rests[d] = (place, byte, left)
-
-    def rest(d: int, low: int, high: int) -> np.ndarray:
-        place, byte, n = rests[d]
-        a, b = np.searchsorted(place, (low, high))
-        out = np.zeros((high - low, 256))
-        out[place[a:b] - low, byte[a:b]] = n[a:b]
-        return out
-
-    weights: list[np.ndarray] = [np.zeros((0, 256), np.float32)] * len(levels)
-    below = None  # sum of the log weighted probabilities of the longer contexts
-    for d in reversed(range(len(levels))):
-        up = np.zeros((sizes[d - 1], 256), np.float32) if d else None
-        weight = np.ones((sizes[d], 256), np.float32)
-        for low, high in parts(d):
-            own = log_kt(*decisions(dense(d, low, high)))
-            if d < depth:
-                longer = log_kt(*decisions(rest(d, low, high))) + (below[low:high] if below is not None else 0)
-                total = np.logaddexp(own, longer) - np.log(2)
-                weight[low:high] = np.exp(own - np.log(2) - total)
-            else:
-                total = own
-            if d:
-                np.add.at(up, parents[d][low:high], total.astype(np.float32))
-        weights[d], below = weight, up
-    del below, up
-
-    seen = np.unique(np.concatenate([byte for _, _, byte, _ in levels[:1]] or [np.zeros(0, np.int64)])).astype(np.int64)
-    column = np.full(256, len(seen), np.int64)
-    column[seen] = np.arange(len(seen))
-    steps = [((seen | 256) >> (8 - level), (seen >> (7 - level)) & 1) for level in range(8)]
-    table10 = np.zeros((int(first[-1]), len(seen) + 1), np.float32)
-    mixed_above, left_above = None, None
-    one = lambda zeros, ones: (ones + 0.5) / (zeros + ones + 1)
-    for d in range(len(levels)):
-        mixed = np.zeros((sizes[d], 256), np.float32)
-        left = np.zeros((sizes[d], 256), np.float32)
-        for low, high in parts(d):
-            above = np.zeros((high - low, 256)) if d == 0 else mixed_above[parents[d][low:high]]
-            share = np.ones((high - low, 256)) if d == 0 else left_above[parents[d][low:high]]
-            weight = weights[d][low:high]
-            mixed[low:high] = above + share * weight * one(*decisions(dense(d, low, high)))
-            left[low:high] = share * (1 - weight)
-            final = mixed[low:high].astype(np.float64)
-            if d < depth:
-                final = final + left[low:high] * one(*decisions(rest(d, low, high)))
-            logs = np.zeros((high - low, len(seen)))
-            for node, bit in steps:
-                p = final[:, node]
-                logs += np.log10(np.clip(np.where(bit, p, 1 - p), 1e-12, 1))
-            unseen = np.clip(1 - (10**logs).sum(axis=1), 1e-9, 1) / max(1, 256 - len(seen))
-            table10[first[d] + low : first[d] + high, :-1] = logs
-            table10[first[d] + low : first[d] + high, -1] = np.log10(unseen)
-        mixed_above, left_above, weights[d] = mixed, left, None
-    edges, targets = [], []
-    for d in range(1, len(levels)):
-        byte = (levels[d][0] >> np.uint64(8 * (d - 1))).astype(np.int64) & 255
-        edges.append((first[d - 1] + parents[d]) * 256 + byte)
-        targets.append(first[d] + np.arange(sizes[d]))
-    edges, targets = np.concatenate([np.zeros(0, np.int64), *edges]), np.concatenate([np.zeros(0, np.int64), *targets])
-    order = np.argsort(edges)
-    return Tree(depth, edges[order], targets[order].astype(np.int32), column, table10)
-
-
-class Scorer:
-    """A tree with its look-up table; a context that is not kept ends the walk."""
-
-    def __init__(self, tree: Tree) -> None:
-        self.tree = tree
-        size = 1 << max(4, int(4 * max(1, len(tree.edges)) - 1).bit_length())
+    def __init__(self, ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray, least: int, longer: tuple | None = None) -> None:
+        self.ids, self.zeros, self.ones = ids, zeros, ones
+        head = (ids & 255) == 1  # the first decision of a context has all its counts
+        self.rare = ((zeros + ones)[head] < least)[np.cumsum(head) - 1] if len(ids) else np.zeros(0, bool)
+        own, self.up = log_kt(zeros, ones), None
+        if longer is None:
+            self.weight, self.log, self.rest = np.ones(len(ids)), own, np.full(len(ids), 0.5)
+        else:
+            rest_zeros, rest_ones, below = longer
+            self.log = np.logaddexp(own, log_kt(rest_zeros, rest_ones) + below) - np.log(2)
+            self.weight = np.exp(own - np.log(2) - self.log)
+            self.rest = share_of_ones(rest_zeros, rest_ones)
+
+    def shorter(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Ids of the contexts one byte shorter; zeros, ones, those of their rest leaves, and the logs of their longer contexts."""
+        rare = self.rare.astype(np.float64)
+        above = (self.ids >> 16 << 8) | (self.ids & 255)
+        ids, self.up, sums = summed(above, self.zeros, self.ones, self.zeros * rare, self.ones * rare, np.where(self.rare, 0, self.log))
+        return ids, sums
+
+    def mix(self, above: "Level | None") -> None:
+        if above is None:
+            self.mixed, self.left = self.weight * share_of_ones(self.zeros, self.ones), 1 - self.weight
+            return
+        if self.up is None:
+            self.up = np.searchsorted(above.ids, (self.ids >> 16 << 8) | (self.ids & 255))
+        mixed, left, rest = above.mixed[self.up], above.left[self.up], above.rest[self.up]
+        own = np.where(self.rare, rest, self.weight * share_of_ones(self.zeros, self.ones))
+        self.mixed, self.left = mixed + left * own, np.where(self.rare, 0.0, left * (1 - self.weight))
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.ids):
+            return np.zeros(ids.shape, np.int64), np.zeros(ids.shape, bool)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return at, self.ids[at] == ids
+
+
+def climbed(level: Level, steps: int, least: int) -> list[Level]:
+    """The level and as many shorter ones, the shortest first."""
+    levels = [level]
+    for _ in range(steps):
+        ids, (zeros, ones, *longer) = levels[0].shorter()
+        levels.insert(0, Level(ids, zeros, ones, least, longer))
+    return levels
+
+
+def subtrees(codes: np.ndarray, n: np.ndarray, depth: int, least: int) -> list[Level]:
+    """Levels from the owned contexts to the longest, from runs in order that have all runs of their owned contexts."""
+    seen = n > 0
+    ids, bits = decisions(codes[seen])
+    times = np.broadcast_to(n[seen, None], bits.shape).ravel().astype(np.float64)
+    names, _, (total, ones) = summed(ids.ravel(), times, times * bits.ravel())
+    return climbed(Level(names, total - ones, ones, least), depth - min(TOP, depth), least)
+
+
+def top_of(ids: np.ndarray, sums: list[np.ndarray], depth: int, least: int) -> list[Level]:
+    """Levels of the contexts above the subtrees, from what `Level.shorter` says of all subtrees."""
+    zeros, ones, *longer = sums
+    levels = climbed(Level(ids, zeros, ones, least, longer), min(TOP, depth) - 1, least)
+    for above, level in zip([None, *levels], levels, strict=False):
+        level.mix(above)
+    return levels
+
+
+def prices(codes: np.ndarray, n: np.ndarray, top: list[Level], depth: int, least: int) -> np.ndarray:
+    """log10 probability of the byte of each run after the bytes before it; runs as in `subtrees`, unseen ones among them."""
+    levels = subtrees(codes, n, depth, least)
+    for above, level in zip([top[-1], *levels], levels, strict=False):
+        level.mix(above)
+    ids, bits = decisions(codes)
+    at, hit = levels[-1].find(ids)
+    share = levels[-1].mixed[at] if len(levels[-1].ids) else np.full(at.shape, 0.5)
+    new = np.flatnonzero(~hit.all(axis=1))
+    if len(new):
+        share[new] = unseen(codes[new], [*top, *levels], depth)
+    return np.log10(np.clip(np.where(bits == 1, share, 1 - share), 1e-12, 1)).sum(axis=1)
+
+
+def unseen(codes: np.ndarray, levels: list[Level], depth: int) -> np.ndarray:
+    """Share of ones in the decisions of any runs, walked from the empty context to the longest one that has the decision.
+
+    The share left for longer contexts goes to the rest leaf if the next context is rare or new, and is even if that context
+    never met the decision.
+    """
+    share, open_ = np.full((len(codes), 8), 0.5), np.ones((len(codes), 8), bool)
+    mixed, left, rest = np.zeros(share.shape), np.ones(share.shape), np.full(share.shape, 0.5)
+    for length, level in enumerate(levels):
+        context = codes >> (8 * (depth - length + 1)) << 8
+        at, hit = level.find(decisions(context | (codes & 255))[0])
+        head, known = level.find(context | 1)
+        common = known & ~level.rare[head] if len(level.ids) else known
+        ends = open_ & ~hit
+        share = np.where(ends, mixed + left * np.where(common[:, None], 0.5, rest), share)
+        open_ &= hit
+        if open_.any():
+            mixed, left, rest = (np.where(open_, of[at], was) for of, was in ((level.mixed, mixed), (level.left, left), (level.rest, rest)))
+    return np.where(open_, mixed, share)
+
+
+class Lookup:
+    """Numbers by key in a table of open places; keys are not negative."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        size = 1 << max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.shift = np.uint64(64 - size.bit_length() + 1)
-        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.int32)
-        todo, slot = np.arange(len(tree.edges)), self._slot(tree.edges)
-        self.probes = 0
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size)
+        todo, slot, self.probes = np.arange(len(keys)), self._slot(keys), 0
         while len(todo):
             self.probes += 1
-            free = self.keys[slot] < 0
+            free = np.flatnonzero(self.keys[slot] < 0)
             taken, which = np.unique(slot[free], return_index=True)
-            chosen = todo[free][which]
-            self.keys[taken], self.values[taken] = tree.edges[chosen], tree.targets[chosen]
-            rest = ~np.isin(todo, chosen)
+            chosen = free[which]
+            self.keys[taken], self.values[taken] = keys[todo[chosen]], values[todo[chosen]]
+            rest = np.ones(len(todo), bool)
+            rest[chosen] = False
             todo, slot = todo[rest], (slot[rest] + 1) & (size - 1)
 
-    def _slot(self, edges: np.ndarray) -> np.ndarray:
-        return ((edges.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def _step(self, nodes: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The longer context's node, or -1."""
-        edge = nodes * 256 + byte
-        slot, out = self._slot(edge), np.full(len(edge), -1, np.int64)
-        open_ = np.arange(len(edge))
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each key, 0 where there is none, and the places of the keys that are not there."""
+        slot = self._slot(keys)
+        out, open_, lost = np.zeros(len(keys)), np.arange(len(keys)), []
         for _ in range(self.probes):
-            key = self.keys[slot]
-            hit = key == edge
+            have = self.keys[slot]
+            hit = have == keys
             out[open_[hit]] = self.values[slot[hit]]
-            more = ~hit & (key >= 0)
-            if not more.any():
+            lost.append(open_[have < 0])
+            more = ~hit & (have >= 0)
+            open_, keys, slot = open_[more], keys[more], (slot[more] + 1) & (len(self.keys) - 1)
+            if not len(open_):
                 break
-            open_, edge, slot = open_[more], edge[more], (slot[more] + 1) & (len(self.keys) - 1)
-        return out
-
-    def logs(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        if not texts:
-            return np.zeros(0)
-        tree = self.tree
-        data, first = sequence(texts, tree.depth)
-        node = np.zeros(len(data) - tree.depth, np.int64)
-        alive = np.arange(len(node))
-        for k in range(1, tree.depth + 1):
-            longer = self._step(node[alive], data[tree.depth - k + alive])
-            good = longer >= 0
-            alive = alive[good]
-            node[alive] = longer[good]
-        each = tree.log10[node, tree.column[data[tree.depth :]]].astype(np.float64)
-        total = np.concatenate(([0.0], np.cumsum(each)))
-        return total[first[1:] - tree.depth] - total[first[:-1]]
+        return out, np.sort(np.concatenate([*lost, open_]))
 
 
 # ------------------------------------------------------------------------------------------------ Spark
@@ -306,91 +300,129 @@ class Counts:
         return out
 
 
-WORD, GRAM = 0, 1
+WORD, RUN = 0, 1
 
 
-def training_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """kind, key, n: how often every word (its hash) and every run of depth + 1 bytes occurs in the texts."""
+def corpus_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """kind, key, n, uses from (text, held_out): every word (its hash) of the texts to learn from, every run of depth + 1 bytes of
+    all texts; `n` counts the texts to learn from, `uses` all."""
 
-    def rows(kind: int, counts: Counts) -> pa.RecordBatch:
+    def made(kind: int, learned: bool, counts: Counts) -> pa.RecordBatch:
         keys, n = counts.taken()
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+        columns = [np.full(len(keys), kind, np.int8), keys.view(np.int64), n if learned else np.zeros(len(n), np.int64), n]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "n", "uses"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {WORD: Counts(), GRAM: Counts()}
+        held = {(kind, learned): Counts() for kind in (WORD, RUN) for learned in (True, False)}
         for batch in batches:
-            for own in chunks(batch.column(0).to_pylist()):
-                held[WORD].add(word_hashes(own)[0])
-                held[GRAM].add(grams(own, depth))
-                for kind, counts in held.items():
-                    if counts.size > HELD_KEYS:
-                        yield rows(kind, counts)
-        for kind, counts in held.items():
-            yield rows(kind, counts)
-
-    counted = texts.select("text").mapInArrow(count, "kind byte, key bigint, n bigint")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def bytes_tree(gram_counts: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Tree:
-    """Compile the tree from counts of runs of depth + 1 bytes.  What comes to the driver is bounded by `nodes`."""
-    parts, longer = [], gram_counts.select("key", "n")
-    for d in range(depth, -1, -1):
-        if d < depth:
-            longer = longer.withColumn("key", F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))).groupBy("key").agg(F.sum("n").alias("n"))
-        parts.append(longer.withColumn("depth", F.lit(d)))
-    runs = parts[0]
-    for part in parts[1:]:
-        runs = runs.unionByName(part)
-    runs = stored(runs.withColumn("context", F.shiftright("key", 8)), "runs")
-    contexts = stored(runs.groupBy("depth", "context").agg(F.sum("n").alias("total")), "contexts")
-    bound = most(contexts, "total", nodes)
-    kept = contexts.filter(size_step("total") >= bound).select("depth", "context")
-    found = runs.join(F.broadcast(kept), ["depth", "context"]).select("depth", "key", "n").toArrow()
-    at, keys, times = (found.column(c).to_numpy() for c in ("depth", "key", "n"))
-    levels = []
-    for d in range(depth + 1):
-        key, n = keys[at == d].view(np.uint64), times[at == d]
-        order = np.argsort(key)
-        names, place = np.unique(key[order] >> np.uint64(8), return_inverse=True)
-        if d == 0 and not len(names):
-            names = np.zeros(1, np.uint64)
-        levels.append((names, place, (key[order] & np.uint64(255)).astype(np.int64), n[order]))
-    return compile_tree(levels, depth)
-
-
-_SCORERS: dict[int, tuple] = {}
-
-
-def scored(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+            texts, out = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
+            for learned in (True, False):
+                for own in chunks([texts[i] for i in np.flatnonzero(out != learned)]):
+                    if learned:
+                        held[WORD, True].add(word_hashes(own)[0])
+                    held[RUN, learned].add(grams(own, depth)[0])
+                    for (kind, of), counts in held.items():
+                        if counts.size > HELD_KEYS:
+                            yield made(kind, of, counts)
+        for (kind, of), counts in held.items():
+            yield made(kind, of, counts)
+
+    counted = rows.select("text", "held_out").mapInArrow(count, "kind byte, key bigint, n bigint, uses bigint")
+    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
+
+
+def slices(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """key, n, uses of the runs of a task in order, cut between owned contexts into slices of about SLICE_RUNS."""
+    columns = list(zip(*([c.to_numpy() for c in batch.columns] for batch in batches), strict=True))
+    if not columns:
+        return
+    key, n, uses = (np.concatenate(c) for c in columns)
+    order = np.argsort(key)
+    key, n, uses = key[order], n[order], uses[order]
+    owned = key >> (8 * (depth + 1 - min(TOP, depth)))
+    starts = np.concatenate(([0], np.flatnonzero(owned[1:] != owned[:-1]) + 1))
+    low = 0
+    while low < len(key):
+        at = np.searchsorted(starts, low + SLICE_RUNS)
+        high = len(key) if at == len(starts) else int(starts[at])
+        yield key[low:high], n[low:high], uses[low:high]
+        low = high
+
+
+SUMS = ("zeros", "ones", "rest_zeros", "rest_ones", "below")
+
+
+def priced(runs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """key, uses, value: log10 probability of every run of (key, n, uses), n being how often it was learned.
+
+    Two passes over the runs, shared out by their three nearest bytes: the first sums up the subtrees for the contexts above
+    them, the second takes these contexts' say down again.
+    """
+    spark = shipped(runs.sparkSession)
+    parts = max(1, -(-runs.count() // TASK_RUNS))
+    owned = runs.select("key", "n", "uses").repartition(parts, F.shiftright("key", 8 * (depth + 1 - min(TOP, depth))))
+
+    def upward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, _ in slices(batches, depth):
+            ids, sums = subtrees(key, n, depth, least)[0].shorter()
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, sums)], ["id", *SUMS])
+        released()
+
+    found = owned.mapInArrow(upward, "id bigint, " + ", ".join(f"{name} double" for name in SUMS))
+    found = found.groupBy("id").agg(*[F.sum(name).alias(name) for name in SUMS]).toArrow().sort_by("id")
+    top = spark.sparkContext.broadcast(top_of(found["id"].to_numpy(), [found[name].to_numpy() for name in SUMS], depth, least))
+
+    def downward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, uses in slices(batches, depth):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uses), pa.array(prices(key, n, top.value, depth, least))], ["key", "uses", "value"])
+        released()
+
+    return owned.mapInArrow(downward, "key bigint, uses bigint, value double")
+
+
+_LOOKUPS: dict[int, tuple] = {}
+
+
+def pairs_of(text: np.ndarray, keys: np.ndarray, kind: int) -> tuple[np.ndarray, ...]:
+    """Distinct (text, key) with their counts: text, kind, key, times."""
+    order = np.lexsort((keys, text))
+    text, keys = text[order], keys[order]
+    at = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))) if len(keys) else np.zeros(0, np.int64)
+    return text[at], np.full(len(at), kind, np.int8), keys[at], np.diff(np.append(at, len(keys)))
+
+
+def scored(
+    docs: DataFrame, depth: int = DEPTH, least: int = LEAST, frequent_words: int = FREQUENT_WORDS, frequent_runs: int = FREQUENT_RUNS
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every document.
 
     The model learns from the documents that are not held out.  `score` is the tree's log10 probability of the whole text
-    in lower case and of its end; `base_score` is that of its words under counts with one added.  Null texts are empty:
-    they are the end alone.  Repeated rows count and are scored as rows.  Without training documents all bytes are equally
-    likely.  Words are compared by 64-bit hash.
+    in lower case and of its end, `bits_per_byte` its code length over the bytes and the end; `base_score` is the log10 probability
+    of its words under counts with one added.  Null texts are empty: they are the end alone.  Repeated rows count and are
+    scored as rows.  Without training documents all bytes are equally likely.  Words are compared by 64-bit hash.
     """
     spark = shipped(docs.sparkSession)
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    training = rows.filter(~F.col("held_out"))
-    counts = stored(training_counts(training, depth), "counts")
+    counts = stored(corpus_counts(rows, depth), "counts")
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
-    tree = bytes_tree(counts.filter(F.col("kind") == GRAM), depth, nodes)
-    ends = training.count()
+    runs = stored(priced(counts.filter(F.col("kind") == RUN), depth, least), "runs")
+    ends = rows.filter(~F.col("held_out")).count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, vocabulary = total["n"] + ends, total["v"] + (1 if ends else 0)
-    step = size_step("n")
-    bound = most(words, "n", frequent_words)
-    frequent = words.filter(step >= bound).toArrow().sort_by("key")  # at most frequent_words rows
-    model = spark.sparkContext.broadcast((tree, frequent.column("key").to_numpy(), frequent.column("n").to_numpy()))
+    word_step, run_step = size_step("n"), size_step("uses")
+    word_bound, run_bound = most(words, "n", frequent_words), most(runs, "uses", frequent_runs)
+    own_words = words.filter(word_step >= word_bound).toArrow().sort_by("key")  # at most frequent_words rows
+    own_runs = runs.filter(run_step >= run_bound).select("key", "value").toArrow()  # at most frequent_runs rows
+    model = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in (*own_words.columns, *own_runs.columns)))
+    del own_words, own_runs
     per_token, number = math.log10(n_train + vocabulary + 1), model._jbroadcast.id()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _SCORERS:
-            _SCORERS.clear()
-            tree, keys, n = model.value
-            _SCORERS[number] = Scorer(tree), keys, n, np.log10(n + 1.0)
-        scorer, keys, n, logs = _SCORERS[number]
+        if number not in _LOOKUPS:
+            _LOOKUPS.clear()
+            keys, n, run_keys, values = model.value
+            _LOOKUPS[number] = keys, np.log10(n + 1.0), Lookup(run_keys, values)
+        keys, logs, lookup = _LOOKUPS[number]
         for batch in batches:
             done = 0
             for own in chunks(batch.column(1).to_pylist()):
@@ -400,33 +432,42 @@ def scored(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, frequent_wor
                 hit = keys[place] == hashes if len(keys) else np.zeros(len(hashes), bool)
                 sums = np.bincount(text[hit], logs[place[hit]] if len(keys) else None, len(own)).astype(float) + math.log10(ends + 1)
                 known = np.bincount(text[hit], minlength=len(own)) + (1 if ends else 0)
-                rare_text, rare = text[~hit], hashes[~hit]
-                order = np.lexsort((rare, rare_text))
-                rare_text, rare = rare_text[order], rare[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (rare_text[1:] != rare_text[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(rare)))
-                edges = np.searchsorted(rare_text[at], np.arange(len(own) + 1)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(rare[at]), pa.array(times.astype(np.int64))], ["key", "times"])
+                codes, start = grams(own, depth)
+                each, lost = lookup.find(codes)
+                scores = np.diff(np.concatenate(([0.0], np.cumsum(each)))[start])
+                rare_words = pairs_of(text[~hit], hashes[~hit], WORD)
+                rare_runs = pairs_of(np.searchsorted(start, lost, side="right") - 1, codes[lost], RUN)
+                of, kind, key, times = (np.concatenate(c) for c in zip(rare_words, rare_runs, strict=True))
+                order = np.argsort(of, kind="stable")
+                edges = np.searchsorted(of[order], np.arange(len(own) + 1)).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(kind[order]), pa.array(key[order]), pa.array(times[order].astype(np.int32))], ["kind", "key", "times"])
                 columns = [
                     batch.column(0).slice(done, len(own)), batch.column(2).slice(done, len(own)), pa.array(np.diff(first).astype(np.int64) + 1),
-                    pa.array(known.astype(np.int64)), pa.array(sums), pa.array(scorer.logs(own)), pa.ListArray.from_arrays(pa.array(edges), pairs),
-                ]
+                    pa.array(known.astype(np.int64)), pa.array(sums), pa.array(scores), pa.array(np.diff(start) - 1),
+                    pa.ListArray.from_arrays(pa.array(edges), pairs),
+                ]
                 done += len(own)
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "sums", "score", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "sums", "score", "n_bytes", "rare"])
+        released()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, sums double, score double, rare array<struct<key:bigint,times:bigint>>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, sums double, score double, n_bytes bigint, rare array<struct<kind:tinyint,key:bigint,times:int>>"
     made = rows.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id())
     made = stored(made, "scores")
-    pairs = made.select("row", F.explode("rare").alias("pair")).select("row", "pair.key", "pair.times")
-    found = pairs.join(words.filter(step < bound), "key")
-    more = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
+    values = words.filter(word_step < word_bound).select(F.lit(WORD).cast("byte").alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("value"))
+    values = values.unionByName(runs.filter(run_step < run_bound).select(F.lit(RUN).cast("byte").alias("kind"), "key", "value"))
+    pairs = made.select("row", F.inline("rare"))
+    is_word = F.col("kind") == WORD
+    value = F.col("times") * F.col("value")
+    more = pairs.join(values, ["kind", "key"]).groupBy("row").agg(
+        F.sum(F.when(is_word, value)).alias("more"), F.sum(F.when(is_word, F.col("times"))).alias("more_known"), F.sum(F.when(~is_word, value)).alias("more_score")
+    )
     base = F.col("sums") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * per_token
+    score_of = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return made.drop("rare").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(n_train).cast("bigint").alias("train_tokens"), base.alias("base_score"), score_of.alias("score"), "n_bytes",
+        (-score_of * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 

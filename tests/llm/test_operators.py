@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import functools
 import gzip
 import itertools
 import math
@@ -48,7 +49,7 @@ def test_attach_shuffles_as_it_broadcasts(spark):
 
 # ------------------------------------------------------------------------------------------------ 1
 
-def brute_tree(texts, depth):
+def brute_tree(texts, depth, least=1):
     """Counts of (context, decision) kept in dictionaries; weighted probabilities by recursion."""
     counts, children, pad = defaultdict(lambda: [0, 0]), defaultdict(set), bytes([ctw.END])
     for text in texts:
@@ -67,11 +68,19 @@ def brute_tree(texts, depth):
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
+    def kept(context):
+        return sum(counts[context, 1]) >= least
+
+    def rest(context, node):
+        left = [counts[c, node] for c in children[context] if not kept(c)]
+        return sum(a for a, _ in left), sum(b for _, b in left)
+
+    @functools.cache
     def weighted(context, node):
         own = kt(*counts[context, node])
         if len(context) == depth:
             return own
-        below = sum(weighted(c, node) for c in children[context])
+        below = kt(*rest(context, node)) + sum(weighted(c, node) for c in children[context] if kept(c))
         return math.log(0.5) + np.logaddexp(own, below)
 
     def chance(data, i, node, d=0):
@@ -82,8 +91,12 @@ def brute_tree(texts, depth):
             return own
         share = math.exp(math.log(0.5) + kt(a, b) - weighted(context, node))
         longer = data[i - d - 1 : i]
-        rest = chance(data, i, node, d + 1) if longer in children[context] else 0.5
-        return share * own + (1 - share) * rest
+        if longer in children[context] and kept(longer):
+            more = chance(data, i, node, d + 1)
+        else:
+            zeros, ones = rest(context, node)
+            more = (ones + 0.5) / (zeros + ones + 1)
+        return share * own + (1 - share) * more
 
     def score(text):
         data, total = pad * depth + text + pad, 0.0
@@ -99,31 +112,49 @@ def brute_tree(texts, depth):
     return score
 
 
-def levels_of(texts, depth):
-    codes = Counter(ctw.grams(texts, depth).tolist())
-    levels = []
-    for d in range(depth + 1):
-        keys = Counter()
-        for code, n in codes.items():
-            keys[code & (1 << 8 * (d + 1)) - 1] += n
-        order = sorted(keys)
-        names, place = np.unique(np.array([k >> 8 for k in order], np.uint64), return_inverse=True)
-        levels.append((names, place, np.array([k & 255 for k in order], np.int64), np.array([keys[k] for k in order], np.int64)))
-    return levels
+def local_prices(texts, codes, depth, least):
+    """Prices of runs from a model of the texts, all subtrees in one piece."""
+    seen, n = np.unique(ctw.grams(texts, depth)[0], return_counts=True)
+    names = np.union1d(seen, codes)
+    times = np.zeros(len(names), np.int64)
+    times[np.searchsorted(names, seen)] = n
+    top = ctw.top_of(*ctw.subtrees(names, times, depth, least)[0].shorter(), depth, least)
+    return ctw.prices(names, times, top, depth, least)[np.searchsorted(names, codes)]
 
 
-def test_tree_is_context_tree_weighting():
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+@pytest.mark.parametrize("least", [1, 2, 3, 50])
+def test_tree_is_context_tree_weighting(depth, least):
     texts = [b"abracadabra", b"abba cadabra", b"", b"banana ban"]
-    score = brute_tree(texts, 2)
-    scorer = ctw.Scorer(ctw.compile_tree(levels_of(texts, 2), 2, part=3))
-    trial = [b"abra", b"", b"banana", b"cab cab ab"]
-    assert np.allclose(scorer.logs(trial), [score(t) for t in trial], atol=2e-3)
+    score = brute_tree(texts, depth, least)
+    trial = [b"abra", b"", b"banana", b"cab cab ab", b"zebra\xc3\xa4 abracax"]
+    codes, start = ctw.grams(trial, depth)
+    sums = np.add.reduceat(local_prices(texts, codes, depth, least), start[:-1])
+    assert np.allclose(sums, [score(t) for t in trial], atol=1e-6)
+
+
+@pytest.mark.parametrize("context", [b"the", b"dog", b"xyz", b"xhe"])
+def test_prices_of_a_context_sum_to_one(context):
+    codes = np.array([context[2] << 24 | context[1] << 16 | context[0] << 8 | byte for byte in range(256)])
+    assert (10 ** local_prices([b"the cat and the dog", b"a dog"], codes, 3, 2)).sum() == pytest.approx(1)
 
 
-def test_tree_sums_to_one():
-    scorer = ctw.Scorer(ctw.compile_tree(levels_of([b"the cat and the dog", b"a dog"], 3), 3))
-    table = scorer.tree.log10[:, scorer.tree.column]
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
+def test_rare_runs_are_joined(spark, make_docs, monkeypatch):
+    """Any share of runs and words in the broadcast, and any cut into tasks and slices, gives the score of the brute-force tree."""
+    rng = random.Random(5)
+    texts = {i: "".join(rng.choices("abcd eé", k=rng.randrange(60))) for i in range(40)}
+    docs = make_docs([(i, t, "s") for i, t in texts.items()])
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    score = brute_tree([t.encode() for i, t in texts.items() if not out[i]], 4, 2)
+    right = {i: score(t.encode()) for i, t in texts.items()}
+    for options, task, piece in (({}, 1 << 19, 1 << 16), ({"frequent_runs": 60, "frequent_words": 3}, 200, 16), ({"frequent_runs": 0, "frequent_words": 0}, 50, 1)):
+        monkeypatch.setattr(ctw, "TASK_RUNS", task)
+        monkeypatch.setattr(ctw, "SLICE_RUNS", piece)
+        rows = ctw.scored(docs, depth=4, least=2, **options).collect()
+        assert {r["doc_id"]: r["score"] for r in rows} == pytest.approx(right)
+        for r in rows:
+            assert r["n_bytes"] == len(texts[r["doc_id"]].encode())
+            assert r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / (r["n_bytes"] + 1))
 
 
 @needs_data
@@ -134,12 +165,14 @@ def test_scores(spark):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     counts = Counter(itertools.chain.from_iterable(t for i, t in tokens.items() if not held[i]))
     n, v = sum(counts.values()), len(counts)
-    for rows in (ctw.scored(docs).collect(), ctw.scored(docs, frequent_words=50).collect()):
+    for rows in (ctw.scored(docs).collect(), ctw.scored(docs, frequent_words=50, frequent_runs=5000).collect()):
         for r in rows:
             own = tokens[r["doc_id"]]
             assert (r["n_tokens"], r["train_tokens"], r["held_out"]) == (len(own), n, held[r["doc_id"]])
             assert r["n_known"] == sum(counts[w] > 0 for w in own)
             assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+        out_of_sample = [r for r in rows if r["held_out"]]
+        assert -sum(r["score"] for r in out_of_sample) * math.log2(10) / sum(r["n_bytes"] + 1 for r in out_of_sample) < 2.4
 
 
 # ------------------------------------------------------------------------------------------------ 2
