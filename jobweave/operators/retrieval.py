@@ -16,6 +16,7 @@ from jobweave.functions import text
 from jobweave.functions.skew import is_small, join_unique, salted_join, top_k
 from jobweave.operators import browse as listing
 from jobweave.operators import filters as flt
+from jobweave.operators.projections import LISTING, embedding_text
 from jobweave.operators.search_index import INDEX_COLUMNS, RANKING, TITLE, VECTOR_CARRIED, SearchIndex, part_of  # noqa: F401
 from jobweave.sources import workdir
 
@@ -347,6 +348,10 @@ def search_listing(
 
     Blank requests with the same filters, scope and fetch limit share one result list, so many requests cost as much as
     the few lists they ask for.  A list is at most 3000 rows long; a request takes its slice of it.
+
+    Rows have the listing columns (a column that `jobs` lacks is null), their rank, and the request's `total` and
+    `total_pages`; placeholder rows have a title, an organisation and a place only.  `usage.search_log` gives the log rows of
+    the same requests.
     """
     tier = F.coalesce("membership_status", F.lit(0))
     # Many requests may come from one user, or from none.
@@ -384,8 +389,10 @@ def search_listing(
     sized = pages.withColumns({"total_pages": counts, "shown": on_page})
     listed = sized.select("query_id", "total", "total_pages", F.inline(rows))
     # Texts only for rows that are shown; the same few jobs may lead very many pages.
-    listed = join_unique(listed, jobs.select("id", "job_title", "organisation_name", "location"), ["id"])
-    listed = listed.withColumns({"id": F.col("id").cast("string"), "is_blurred": F.lit(False)})
+    listed = join_unique(listed, jobs.select("id", *[c for c in LISTING if c in jobs.columns and c not in ("id", "hybrid_score")]), ["id"])
+    lacking = {c: F.lit(None).cast("string") for c in LISTING if c not in listed.columns}
+    listed = listed.withColumns(lacking | {"id": F.col("id").cast("string"), "is_blurred": F.lit(False)})
+    listed = listed.select("query_id", *LISTING, "rank", "total", "total_pages")
     teasers = listing.teaser_rows(
         sized.select("query_id", "tier", "page", F.col("page_limit").alias("size"), "shown",
                      F.col("n_found").alias("total"), F.col("total").alias("allowed"), "total_pages"),
@@ -398,10 +405,8 @@ def embed_backlog(
     jobs: DataFrame, vectors: DataFrame, embed: Callable[[list[str]], np.ndarray], batch_rows: int = 256
 ) -> DataFrame:
     """Vectors for active jobs that have none: texts go to `embed` in batches inside the tasks."""
-    from jobweave.operators import projections
-
     backlog = jobs.filter("is_active = 1").join(vectors.select("id"), "id", "left_anti")
-    texts = projections.embedding_text(backlog).select("id", "embed_text")
+    texts = embedding_text(backlog).select("id", "embed_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
+from jobweave.functions import text
 from jobweave.functions.skew import join_unique, top_k
 
 
@@ -69,6 +70,23 @@ def quota_columns(count: Column, tier: Column, limit: int = fx.DAILY_SEARCHES) -
     }
 
 
+def search_log(requests: DataFrame, at: Column) -> DataFrame:
+    """Usage rows that a table of listing requests leaves: (user_id, search_keywords, filters_applied, date).
+
+    A request without a user (null or 0) or with a blank text leaves none; filters are a JSON text in key order, null if none
+    are given.  Repeated requests are logged as often as they come.
+    """
+    given = F.map_filter("filters", lambda k, v: text.strip(v) != "")
+    in_order = F.map_from_entries(F.array_sort(F.map_entries(given)))
+    typed = text.strip(text.value_or_blank(F.col("query")))
+    return requests.filter((F.col("user_id") != 0) & (typed != "")).select(
+        "user_id",
+        typed.alias("search_keywords"),
+        F.when(F.size(given) > 0, F.to_json(in_order)).alias("filters_applied"),
+        at.alias("date"),
+    )
+
+
 def user_quota(users: DataFrame, usage: DataFrame, as_of: str) -> DataFrame:
     """Per user: today's count, limit, remaining searches; every paid tier is unlimited."""
     counts = daily_searches(usage, as_of)

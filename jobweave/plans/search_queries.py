@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import vectors
-from jobweave.operators import browse, retrieval
-from jobweave.plans.fixtures import JOBS_AS_OF, holds_any, in_category_sql, tokens_sql, with_
+from jobweave.operators import browse, retrieval, usage
+from jobweave.plans.fixtures import DAY_AS_OF, JOBS_AS_OF, holds_any, in_category_sql, tokens_sql, with_
 from jobweave.plans.registry import query
 from jobweave.plans.table_queries import OPEN_SQL, ORDERS, P
 
@@ -317,20 +317,24 @@ ASKED = """SELECT c_custkey AS query_id, c_custkey AS user_id, ' ' AS query, CAS
     "search_listing",
     with_("jobs_part", "users") + f""", r AS (SELECT a.*, u.membership_status AS tier FROM ({ASKED.format(customer='customer')}) a
         JOIN users u ON u.user_id = a.user_id),
-      m AS (SELECT r.*, j.id, j.job_title, j.organisation_name, j.location, exists_in_uk, exists_in_london, row_number() OVER (PARTITION BY query_id
+      m AS (SELECT r.*, j.id, exists_in_uk, exists_in_london, row_number() OVER (PARTITION BY query_id
           ORDER BY {ORDERS['relevance'].replace(' id ', ' j.id ')}) AS n FROM r JOIN jobs_part j ON {OPEN_SQL}
           AND (f_remote IS NULL OR remote_type = f_remote) AND (f_location IS NULL OR contains(lower(j.location), lower(f_location)))
           AND CASE f_category WHEN '14' THEN {in_category_sql('14')} WHEN 'remote_global' THEN exists_in_uk = 0 ELSE TRUE END),
-      s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) AS rank, count(*) OVER (PARTITION BY query_id) AS found FROM m
+      s AS (SELECT query_id, id, tier, page, page_limit, row_number() OVER (PARTITION BY query_id ORDER BY n) AS rank, count(*) OVER (PARTITION BY query_id) AS found FROM m
         WHERE n <= CASE WHEN tier = 0 THEN 200 WHEN tier = 1 THEN 1000 ELSE 3000 END
           AND CASE location_filter WHEN 'uk' THEN exists_in_uk = 1 WHEN 'london' THEN exists_in_london = 1 ELSE TRUE END),
       c AS (SELECT r.query_id, tier, page, page_limit, coalesce(s.found, 0) AS found, least(coalesce(s.found, 0),
           CASE tier WHEN 0 THEN 3 WHEN 1 THEN 1000 WHEN 2 THEN 3000 ELSE 1000000 END) AS total
         FROM r LEFT JOIN (SELECT DISTINCT query_id, found FROM s) s ON s.query_id = r.query_id),
       p AS (SELECT query_id, total, CAST(greatest(1, ceil(total / CAST(page_limit AS DOUBLE))) AS BIGINT) AS total_pages, tier, page, page_limit, found FROM c)
-    SELECT s.query_id, CAST(s.id AS VARCHAR) AS id, s.job_title, s.organisation_name, s.location, s.rank, FALSE AS is_blurred, p.total, p.total_pages
-      FROM s JOIN p ON p.query_id = s.query_id WHERE rank <= total AND rank > (s.page - 1) * s.page_limit AND rank <= s.page * s.page_limit
-    UNION ALL SELECT query_id, 'dummy-' || CAST(k AS VARCHAR), 'Premium Job Listing', 'Unlock to View', 'Hidden', NULL, TRUE, total, total_pages FROM (
+    SELECT s.query_id, CAST(s.id AS VARCHAR) AS id, job_title, organisation_name, org_location, location, remote_type, experience_level, salary,
+      dateposted, job_description, job_link, company_url, job_source, CAST(1.0 AS DOUBLE) AS hybrid_score, views_count, FALSE AS is_blurred, s.rank,
+      p.total, p.total_pages
+      FROM s JOIN p ON p.query_id = s.query_id JOIN jobs_part j ON j.id = s.id
+      WHERE rank <= total AND rank > (s.page - 1) * s.page_limit AND rank <= s.page * s.page_limit
+    UNION ALL SELECT query_id, 'dummy-' || CAST(k AS VARCHAR), 'Premium Job Listing', 'Unlock to View', NULL, 'Hidden', NULL, NULL, NULL,
+      NULL, NULL, NULL, NULL, NULL, NULL, NULL, TRUE, NULL, total, total_pages FROM (
       SELECT *, unnest(generate_series(0, least(page_limit - total, found - 3) - 1)) AS k FROM p WHERE tier = 0 AND page = 1 AND found > 3) d""",
 )
 def search_listing(t):
@@ -339,10 +343,37 @@ def search_listing(t):
     full = F.create_map(*[x for name, col in pairs.items() for x in (F.lit(name), F.col(col))])
     asked = asked.withColumn("filters", F.map_filter(full, lambda k, v: v.isNotNull())).drop(*pairs.values())
     asked = asked.join(t.vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id", "left")
-    rows = retrieval.search_listing(asked, t.users, t.index("jobs_part"), t.jobs_part)
-    return rows.select(
-        "query_id", "id", "job_title", "organisation_name", "location", "rank", "is_blurred", "total", "total_pages"
-    )
+    return retrieval.search_listing(asked, t.users, t.index("jobs_part"), t.jobs_part)
+
+
+LOG_SQL = """, lg AS (SELECT query_id % 50 AS user_id, trim(query) AS search_keywords, nullif('{' || concat_ws(',',
+    '"category":"' || f_category || '"', '"job_source":"' || f_source || '"', '"location":"' || f_location || '"') || '}', '{}') AS filters_applied
+  FROM requests WHERE query_id % 50 <> 0 AND trim(query) <> '')"""
+
+
+def _logged(t):
+    asked = t.requests_table().withColumn("user_id", F.col("query_id") % 50)
+    return usage.search_log(asked, F.lit(DAY_AS_OF).cast("timestamp_ntz"))
+
+
+@query("search_log", with_("requests") + LOG_SQL + f" SELECT *, TIMESTAMP '{DAY_AS_OF}' AS date FROM lg")
+def search_log(t):
+    """Usage rows that the requests leave."""
+    return _logged(t)
+
+
+@query(
+    "search_quota",
+    with_("requests", "users", "usage") + LOG_SQL + f""", d AS (SELECT user_id, count(*) AS n FROM (SELECT user_id FROM lg
+        UNION ALL SELECT user_id FROM usage WHERE date >= date_trunc('day', TIMESTAMP '{DAY_AS_OF}')) x GROUP BY 1)
+    SELECT u.user_id, coalesce(n, 0) AS search_count, CASE WHEN membership_status >= 1 THEN -1 ELSE 10 END AS "limit",
+      CASE WHEN membership_status >= 1 THEN -1 ELSE greatest(0, 10 - coalesce(n, 0)) END AS remaining, membership_status >= 1 AS is_premium,
+      membership_status < 1 AND coalesce(n, 0) >= 10 AS at_limit FROM users u LEFT JOIN d ON d.user_id = u.user_id""",
+)
+def search_quota(t):
+    """Quotas after the requests: their log rows count beside those that are there."""
+    log = t.usage.unionByName(_logged(t), allowMissingColumns=True)
+    return usage.user_quota(t.users, log, DAY_AS_OF)
 
 
 FETCH_SQL = "CASE WHEN tier = 0 THEN 200 WHEN tier = 1 THEN 1000 ELSE 3000 END"

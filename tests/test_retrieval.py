@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobweave.operators import retrieval
+from jobweave.operators import projections, retrieval, usage
 
 
 def hashing_embedder(size):
@@ -293,3 +293,18 @@ def test_listing_tiers_pages_and_teasers(spark, make_jobs, tmp_path):
     assert {(r["total"], r["total_pages"]) for r in got[2]} == {(13, 3)}
     assert {(r["total"], r["total_pages"]) for r in got[1]} == {(3, 1)}
     assert {(r["total"], r["total_pages"]) for r in got[4]} == {(6, 2)}
+    assert set(got[1][0].asDict()) == {"query_id", *projections.LISTING, "rank", "total", "total_pages"}
+    assert {r["job_link"] is None for r in got[1] if r["is_blurred"]} == {True}
+    assert [r["hybrid_score"] for r in got[2]] == [1.0] * 5 and all(0 < r["hybrid_score"] < 1 for r in got[4])
+
+
+def test_search_log(spark):
+    asked = spark.createDataFrame(
+        [(1, " nurse ", {"location": "x", "category": "6"}), (1, "nurse", {"location": " "}), (1, " ", {"location": "x"}), (None, "nurse", None),
+         (0, "nurse", None), (2, None, None), (2, "cook", None), (2, "cook", None)],
+        "user_id bigint, query string, filters map<string,string>",
+    )
+    rows = usage.search_log(asked, F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
+    got = sorted((r["user_id"], r["search_keywords"], r["filters_applied"] or "") for r in rows.collect())
+    assert got == [(1, "nurse", ""), (1, "nurse", '{"category":"6","location":"x"}'), (2, "cook", ""), (2, "cook", "")]
+    assert {r["user_id"]: r["search_count"] for r in usage.daily_searches(rows, "2024-01-20 15:00:00").collect()} == {1: 2, 2: 2}
