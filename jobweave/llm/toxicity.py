@@ -2,14 +2,14 @@
 
 A word enters as a hashed embedding of the word and the mean of hashed embeddings of its character trigrams.  Two gated
 recurrent layers read a window of words in both directions, attention pools their states, and one number per window comes out.
-All overlapping windows of a text are scored; the strongest one decides, after calibration on labelled texts that the network
-was not trained on.  Labels are learned from a bounded sample; language, source and id are never inputs.
+All overlapping windows of a text are scored; the strongest one decides, after calibration on all windows of labelled texts that
+the network was not trained on.  Labels are learned from a bounded sample; language, source and id are never inputs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -229,12 +229,17 @@ def window_scores(p: dict[str, np.ndarray], words: Words, windows: np.ndarray) -
 
 @dataclass
 class Model:
-    """Network, and the calibration of a text's strongest window; without labels of both kinds only their rate is known."""
+    """Network, and the calibration of a text's strongest window; without labels of both kinds only their rate is known.
+
+    `judges` are the texts of the sample that the calibration looks at: those kept out of the training if both kinds are among
+    them, else all.
+    """
 
     parameters: dict[str, np.ndarray] | None
     slope: float
     offset: float
     rate: float
+    judges: np.ndarray
 
 
 def strongest(scores: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -260,13 +265,13 @@ def calibration(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, f
 def train(texts: list[list[bytes]], labels: np.ndarray, rounds: int = ROUNDS, updates: int = UPDATES, seed: int = 7) -> Model:
     """Fit the network to labelled texts, each a list of windows.
 
-    A fifth of the texts is kept for the calibration.  Each round has the same number of updates.  In the first one every window of a text has the text's label; after
-    that, of toxic texts only the two strongest windows count as toxic, and the strongest windows of clean texts are
+    A fifth of the texts is kept for the calibration, here by the windows given; `calibrated` does it again by whole texts.
+    Each round has the same number of updates.  In the first one every window of a text has the text's label; after that, of toxic texts only the two strongest windows count as toxic, and the strongest windows of clean texts are
     preferred as clean ones, since a toxic text need not be toxic all over.
     """
     rate = float(labels.mean()) if len(labels) else 0.0
     if not 0 < rate < 1:
-        return Model(None, 1.0, 0.0, rate)
+        return Model(None, 1.0, 0.0, rate, np.zeros(len(labels), bool))
     rng = np.random.default_rng(seed)
     words, places, first = words_and_places([w for t in texts for w in t])
     at = first[:-1, None] + np.arange(WINDOW)[None, :]
@@ -300,18 +305,28 @@ def train(texts: list[list[bytes]], labels: np.ndarray, rounds: int = ROUNDS, up
         scores = window_scores(p, words, windows)
     top = strongest(scores[windows[:, 0] >= 0], owner[windows[:, 0] >= 0], len(texts))
     judged = kept_out & np.isfinite(top)
-    both = judged if 0 < labels[judged].sum() < judged.sum() else np.isfinite(top)
-    slope, offset = calibration(np.clip(top[both], -30, 30), labels[both])
-    return Model(p, slope, offset, rate)
+    judges = judged if 0 < labels[judged].sum() < judged.sum() else np.isfinite(top)
+    return calibrated(Model(p, 1.0, 0.0, rate, judges), top[judges], labels[judges])
+
+
+def calibrated(model: Model, top: np.ndarray, labels: np.ndarray) -> Model:
+    """The model with the calibration that these strongest windows and labels of its judges give."""
+    slope, offset = calibration(np.clip(top, -30, 30), labels)
+    return replace(model, slope=slope, offset=offset)
+
+
+def strongest_windows(model: Model, texts: list[bytes]) -> np.ndarray:
+    """Number of the strongest of all windows of each whole text."""
+    words, places, first = words_and_places(texts)
+    windows, owner = windows_of(places, first)
+    return strongest(window_scores(model.parameters, words, windows), owner, len(texts))
 
 
 def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     """Score of each whole text: 0 for texts without words."""
     if model.parameters is None:
         return np.full(len(texts), model.rate)
-    words, places, first = words_and_places(texts)
-    windows, owner = windows_of(places, first)
-    top = strongest(window_scores(model.parameters, words, windows), owner, len(texts))
+    top = strongest_windows(model, texts)
     return np.where(np.isfinite(top), sigmoid(model.slope * np.clip(top, -30, 30) + model.offset), 0.0)
 
 
@@ -322,11 +337,26 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> tuple[list[list[bytes]], np.ndarray]:
-    """Windows and labels of at most `size` labelled documents that are not held out, chosen by the hash of their id."""
+def in_chunks(texts: list[str | None], body, limit: int = CHUNK_BYTES) -> np.ndarray:
+    """`body` of the texts in lower case, about `limit` bytes at a time."""
+    parts, held, size = [], [], 0
+    for text in map(lowered, texts):
+        if held and size + len(text) > limit:
+            parts.append(body(held))
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    return np.concatenate([*parts, body(held)]).astype(float)
+
+
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> tuple[list, list[list[bytes]], np.ndarray]:
+    """Ids, windows and labels of at most `size` labelled documents that are not held out, chosen by the hash of their id.
+
+    Of several rows of one id the greatest text counts, so that copies of a row bring nothing more to the driver.
+    """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_toxic").alias("_toxic"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +371,33 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS, windows:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary())), batch.column(2).cast(pa.int32())], ["doc_id", "windows", "toxic"])
 
     got = rows.mapInArrow(cut, f"doc_id {kind}, windows array<binary>, toxic int").toArrow().sort_by("doc_id")
-    return got.column("windows").to_pylist(), np.array(got.column("toxic").to_pylist(), float)
+    return got.column("doc_id").to_pylist(), got.column("windows").to_pylist(), np.array(got.column("toxic").to_pylist(), float)
+
+
+def judged(docs: DataFrame, model: Model, ids: list, labels: np.ndarray) -> Model:
+    """The model calibrated by all windows of the whole texts of its judges; one number of each comes to the driver."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    label_of = {ids[i]: labels[i] for i in np.flatnonzero(model.judges)}
+    spark = docs.sparkSession
+    network = spark.sparkContext.broadcast(model)
+    judges = F.broadcast(spark.createDataFrame([(i,) for i in label_of], f"doc_id {kind}"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top = in_chunks(batch.column(1).to_pylist(), lambda texts: strongest_windows(network.value, texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top)], ["doc_id", "top"])
+
+    rows = docs.select("doc_id", "text").join(judges, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    found = [r for r in rows.mapInArrow(measure, f"doc_id {kind}, top double").collect() if np.isfinite(r["top"])]
+    found.sort(key=lambda r: r["doc_id"])
+    return calibrated(model, np.array([r["top"] for r in found]), np.array([label_of[r["doc_id"]] for r in found]))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    """Network and calibration from the labelled documents that are not held out."""
+    ids, windows, toxic = sample(docs, labels)
+    model = train(windows, toxic)
+    return model if model.parameters is None else judged(docs, model, ids, toxic)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -351,21 +407,14 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     Without labels of both kinds every text has the rate of toxic labels.
     """
     spark = shipped(docs.sparkSession)
-    model = spark.sparkContext.broadcast(train(*sample(docs, labels)))
+    model = spark.sparkContext.broadcast(fitted(docs, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            texts, parts, held, size = batch.column(1), [], [], 0
-            for text in map(lowered, texts.to_pylist()):
-                if held and size + len(text) > CHUNK_BYTES:
-                    parts.append(score_texts(own, held))
-                    held, size = [], 0
-                held.append(text)
-                size += len(text)
-            parts.append(score_texts(own, held))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).astype(float))], ["doc_id", "score"])
+            scores = in_chunks(batch.column(1).to_pylist(), lambda texts: score_texts(own, texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     rows = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -588,6 +588,30 @@ def test_network_learns_held_out_texts():
     assert ((score >= 0.7) == trial).mean() > 0.95
 
 
+def test_calibration_sees_whole_texts_and_each_id_once(spark, make_docs):
+    """Passages that no sampled window shows count in the calibration; copies of a labelled row bring one text to the driver."""
+    rng = random.Random(3)
+    plain, bad = [f"word{i}" for i in range(40)], [f"slur{i}" for i in range(5)]
+
+    def text(toxic):
+        own = rng.choices(plain, k=900 if rng.random() < 0.5 else 40)
+        at = rng.randrange(len(own))
+        return " ".join(own[:at] + rng.choices(bad, k=12) * toxic + own[at:])
+
+    rows = [(i, text(i % 2), "s") for i in range(90)]
+    docs = make_docs(rows + [(0, rows[0][1][:50], "s")] * 300 + [(1, None, "s")] * 5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id bigint, toxic int")
+    ids, windows, toxic = toxicity.sample(docs, labels, windows=3)
+    assert ids == [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1] and max(map(len, windows)) == 3
+    model = toxicity.train(windows, toxic, updates=20)
+    texts = dict(r[:2] for r in rows)
+    judges = [(i, y) for i, y, chosen in zip(ids, toxic, model.judges, strict=True) if chosen]
+    top = toxicity.strongest_windows(model, [low(texts[i]).encode() for i, _ in judges])
+    right = toxicity.calibrated(model, top, np.array([y for _, y in judges]))
+    found = toxicity.judged(docs, model, ids, toxic)
+    assert (found.slope, found.offset) == (pytest.approx(right.slope, rel=1e-3), pytest.approx(right.offset, rel=1e-3))
+
+
 # ------------------------------------------------------------------------------------------------ 9
 
 def test_reader_reads_any_stored_package(tmp_path):
