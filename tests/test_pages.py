@@ -2,6 +2,7 @@ import time
 from collections import deque
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -202,3 +203,19 @@ def test_whole_texts_by_default(spark):
     row = pages.read_pages(spark.createDataFrame([(1, "https://a.org", html)], "page_id bigint, url string, html string")).first()
     assert len(row["main_text"]) == 24_999 and len(row["text"]) > 24_999
     assert [(x["url"], x["text"]) for x in row["links"]] == [("https://a.org/1", "one"), ("https://a.org/2", "two")]
+
+
+def test_parsed_pages_leave_the_worker_in_small_batches(spark, monkeypatch):
+    """A worker holds the texts and links of a hundred pages, not those of a whole Arrow batch."""
+    taken = []
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_pylist([{"page_id": i, "url": "http://a/", "html": "<p>x</p><a href='/b'>y</a>"} for i in range(250)])
+            taken.extend(b.num_rows for b in run(iter([batch])))
+
+    pages.read_pages(Rows())
+    assert taken == [100, 100, 50]
