@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def query_words(queries: DataFrame) -> DataFrame:
 
 
 def hits(index: SearchIndex, words: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
-    """(word, tf, ranking columns) for every job whose title has a query word or phrase; and (word, df).
+    """(word, tf, id, copy) for every job whose title has a query word or phrase; and (word, df).
 
     `few` words are sent to the posting scans; more of them meet the postings by a shuffle that cuts every term.  Single words
     are posting rows as they stand, and the index knows their number of documents.  A phrase joins the rows of its terms by
@@ -52,7 +53,7 @@ def hits(index: SearchIndex, words: DataFrame, few: bool) -> tuple[DataFrame, Da
     parts = words.select("word", "parts").distinct()
     terms = parts.select("word", F.size("parts").alias("size"), F.posexplode("parts").alias("offset", "term"))
     terms = terms.withColumn("part", part_of(F.col("term"), index.parts))
-    title = index.postings.filter(F.col("field") == TITLE).drop("field")
+    title = index.places.filter(F.col("field") == TITLE).drop("field")
 
     def met(rows: DataFrame, asked: DataFrame) -> DataFrame:
         if few:
@@ -60,16 +61,16 @@ def hits(index: SearchIndex, words: DataFrame, few: bool) -> tuple[DataFrame, Da
         return salted_join(rows, asked, ["part", "term"], F.col("id"))
 
     one = terms.filter("size = 1")
-    singles = met(title, one.select("word", "part", "term")).select("word", F.col("tf").cast("bigint").alias("tf"), *RANKING)
+    singles = met(title, one.select("word", "part", "term")).select("word", F.col("tf").cast("bigint").alias("tf"), "id", "copy")
     known = index.terms.filter(F.col("field") == TITLE).join(F.broadcast(one) if few else one, ["part", "term"])
 
     placed = met(title, terms.filter("size > 1"))
-    first = F.when(F.col("offset") == 0, F.struct(*RANKING[1:]))
+    first = F.when(F.col("offset") == 0, F.col("copy"))
     starts = F.transform("at", lambda x: x - F.col("offset"))
-    joined = placed.groupBy("word", "id", "size").agg(F.max(first).alias("job"), F.collect_list(starts).alias("starts"))
+    joined = placed.groupBy("word", "id", "size").agg(F.max(first).alias("copy"), F.collect_list(starts).alias("starts"))
     both = F.aggregate("starts", F.get("starts", F.lit(0)), F.array_intersect)
     phrases = joined.filter(F.size("starts") == F.col("size")).withColumn("tf", F.size(both).cast("bigint")).filter("tf > 0")
-    phrases = phrases.select("word", "tf", "id", *(F.col(f"job.{c}").alias(c) for c in RANKING[1:]))
+    phrases = phrases.select("word", "tf", "id", "copy")
     counts = known.select("word", "df").unionByName(phrases.groupBy("word").agg(F.count("*").alias("df")))
     return singles.unionByName(phrases), counts
 
@@ -79,28 +80,180 @@ def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int = fx.CAN
 
     Order and rank: London, UK, exact title, has description, then score, then id.  Term counts are those of the title;
     lengths are over all indexed columns.
+
+    Up to `BROADCAST_ROWS` query words go to the tasks; there hits are shuffled once, by job, and meet the queries in blocks,
+    so no row per (job, query) is made but for those that may rank.  More words meet their hits by a salted join.
     """
     words = query_words(queries)
     few = is_small(words)
     found, df = hits(index, words, few)
-    n, avgdl = index.corpus.select("n").scalar(), index.corpus.select("avgdl").scalar()
-    asked = flt.with_wanted(queries).select(
-        "query_id", *flt.WANTED, F.sha2(text.normalise_query(F.col("query")), 256).alias("query_is")
-    )
-    weight = F.col("times") * idf(n, F.col("df"))
-    weighed = words.select("query_id", "word", "times").join(df, "word").withColumn("weight", weight)
-    weighed = weighed.drop("times", "df").join(asked, "query_id")
-    # A weight per query word: no more rows than `words` has.
-    met = found.join(F.broadcast(weighed), "word") if few else salted_join(found, weighed, ["word"], F.col("id"))
-    met = met.filter(flt.row_meets_request())
+    wanted = queries.withColumn("query_is", F.sha2(text.normalise_query(F.col("query")), 256))
+    weight = F.col("times") * idf(index.corpus.select("n").scalar(), F.col("df"))
+    weighed = words.select("query_id", "word", "times").join(df, "word").select("query_id", "word", weight.alias("weight"))
+    if few:
+        scored = _score_in_blocks(found, weighed, wanted.select("query_id", "filters", "query_is"), index, candidates)
+    else:
+        scored = _score_joined(found, weighed, wanted, index)
+    scored = scored.withColumn("bm25_score", F.round("bm25_score", DIGITS))
+    order = [F.desc("tier"), F.desc("bm25_score"), F.asc("id")]
+    return top_k(scored, ["query_id"], order, candidates, F.col("id")).drop("tier")
+
+
+def _score_joined(found: DataFrame, weighed: DataFrame, wanted: DataFrame, index: SearchIndex) -> DataFrame:
+    """(query_id, id, tier, bm25_score) of all pairs by joins."""
+    facts = index.facts.withColumnsRenamed({"id": "_id", "copy": "_copy"})
+    met = found.join(facts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).drop("_id", "_copy", "copy")
+    asked = flt.with_wanted(wanted).select("query_id", *flt.WANTED, "query_is")
+    met = salted_join(met, weighed.join(asked, "query_id"), ["word"], F.col("id")).filter(flt.row_meets_request())
     # All that ranks before the score, in one number, so the sums are kept by three plain numbers per pair.
     exact = F.col("title_is") == F.col("query_is")
     bits = (F.col("exists_in_london") == 1, F.col("exists_in_uk") == 1, exact, F.col("has_description") == 1)
     tier = reduce(lambda high, bit: high * 2 + bit.cast("int"), bits, F.lit(0))
-    part = F.col("weight") * bm25_weight(F.col("tf"), F.col("dl"), avgdl)
-    scored = met.groupBy("query_id", "id", tier.alias("tier")).agg(F.round(F.sum(part), DIGITS).alias("bm25_score"))
-    order = [F.desc("tier"), F.desc("bm25_score"), F.asc("id")]
-    return top_k(scored, ["query_id"], order, candidates, F.col("id")).drop("tier")
+    part = F.col("weight") * bm25_weight(F.col("tf"), F.col("dl"), index.corpus.select("avgdl").scalar())
+    return met.groupBy("query_id", "id", tier.alias("tier")).agg(F.sum(part).alias("bm25_score"))
+
+
+def _score_in_blocks(found: DataFrame, weighed: DataFrame, asked: DataFrame, index: SearchIndex, k: int) -> DataFrame:
+    """(query_id, id, tier, bm25_score) of all pairs that may be among the first `k` of their query.
+
+    Hits and the facts of the jobs are shuffled by job and sorted, so each job lies in one piece.  A task adds up its jobs
+    against all queries, a block at a time, and leaves out what is behind `k` jobs of one block already.  Jobs or queries
+    that share an id are summed behind it, so none of theirs is left out.
+    """
+    spark = found.sparkSession
+    # At most BROADCAST_ROWS rows: weights of query words, and the queries that have one.
+    weights = weighed.filter("query_id IS NOT NULL").collect()
+    with_words = weighed.select("query_id").distinct()
+    rows = asked.join(F.broadcast(with_words), "query_id", "left_semi").collect() if weights else []
+    numbers: dict = {}
+    for i, row in enumerate(rows):
+        numbers.setdefault(row["query_id"], []).append(i)
+    codes: dict[str, int] = {}
+    cells = [(codes.setdefault(r["word"], len(codes)), i, r["weight"]) for r in weights for i in numbers.get(r["query_id"], ())]
+    cells.sort()
+    code, at, weight = (np.array([c[j] for c in cells], dtype=kind) for j, kind in enumerate(("int64", "int64", "float64")))
+    block = {
+        "starts": np.searchsorted(code, np.arange(len(codes) + 1)),
+        "queries": at,
+        "weights": weight,
+        "filters": [r["filters"] for r in rows],
+        "titles": pd.Index([r["query_is"] for r in rows]),
+        "alone": np.array([len(numbers[r["query_id"]]) == 1 for r in rows], dtype=bool),
+        "avgdl": index.corpus.first()["avgdl"],
+        "k": k,
+    }
+    shared = spark.sparkContext.broadcast(block)
+    coded = F.broadcast(spark.createDataFrame(list(codes.items()), "word string, code int"))
+    hit = found.join(coded, "word").select("id", "copy", "code", F.col("tf").cast("int").alias("tf"))
+    needed = [c for c in RANKING if c != "id"]
+    facts = index.facts.select("id", "copy", F.lit(-1).alias("code"), *needed)
+    both = facts.unionByName(hit, allowMissingColumns=True).repartition("id", "copy").sortWithinPartitions("id", "copy", "code")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = BlockScores(shared.value)
+        for table in whole_jobs(batches, scan.block_rows):
+            yield from scan.of(table)
+
+    scored = both.mapInArrow(score, "number int, id bigint, tier int, score double")
+    kind = weighed.schema["query_id"].dataType.simpleString()
+    names = F.broadcast(spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], f"number int, query_id {kind}"))
+    return scored.join(names, "number").groupBy("query_id", "id", "tier").agg(F.sum("score").alias("bm25_score"))
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Places where the rows of another (id, copy) begin, the first one included."""
+    blank = table.column("id").is_null().to_numpy()
+    ids = table.column("id").fill_null(0).to_numpy()
+    copies = table.column("copy").to_numpy()
+    other = (ids[1:] != ids[:-1]) | (copies[1:] != copies[:-1]) | (blank[1:] != blank[:-1])
+    return np.concatenate([[0], np.flatnonzero(other) + 1])
+
+
+def whole_jobs(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables of about `block_rows` rows that end with the last row of a job."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= block_rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = int(_starts(table)[-1])
+            if last:
+                yield table.slice(0, last)
+            held = table.slice(last).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class BlockScores:
+    """Scores of blocks of jobs against all queries of a request table."""
+
+    CELLS = 2_000_000
+
+    def __init__(self, given: dict) -> None:
+        self.__dict__.update(given)
+        self.n = len(self.filters)
+        self.per_word = np.diff(self.starts)
+        self.block_rows = 100_000
+        shapes = [tuple(sorted((f or {}).items())) for f in self.filters]
+        self.shapes = {shape: np.array([i for i, s in enumerate(shapes) if s == shape]) for shape in set(shapes)}
+        # Tier and score of the last of `k` jobs of some block: nothing behind it can be among the first.
+        self.bar_tier, self.bar_score = np.full(self.n, -1), np.zeros(self.n)
+
+    def of(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        code = table.column("code").to_numpy()
+        starts = _starts(table)
+        ends = np.append(starts[1:], table.num_rows)
+        # The facts come first of a job's rows; jobs with facts only have no hit.
+        facts = code[starts] < 0
+        some = facts & (ends - starts > 1)
+        per_row = np.where(code >= 0, self.per_word[np.maximum(code, 0)], 0) if len(self.per_word) else np.zeros(len(code), int)
+        work = np.maximum(np.add.reduceat(per_row, starts), self.n)[some]
+        starts, ends = starts[some], ends[some]
+        piece = (np.cumsum(work) - work) // self.CELLS
+        for low, high in zip(*(np.searchsorted(piece, np.unique(piece), side) for side in ("left", "right"))):
+            yield from self._piece(table, code, per_row, starts[low:high], ends[low:high])
+
+    def _piece(self, table: pa.Table, code: np.ndarray, per_row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        jobs = table.select(["id", "copy", *RANKING[1:]]).take(pa.array(starts))
+        facts = jobs.to_pandas()
+        owner = np.repeat(np.arange(len(starts)), ends - starts)
+        rows = np.arange(len(owner)) + np.repeat(starts - np.concatenate([[0], np.cumsum(ends - starts)[:-1]]), ends - starts)
+        owner, rows = owner[code[rows] >= 0], rows[code[rows] >= 0]
+        tf = table.column("tf").fill_null(0).to_numpy()[rows].astype(float)
+        dl = facts["dl"].to_numpy(float)[owner]
+        k1, b = fx.BM25_K1, fx.BM25_B
+        part = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / self.avgdl))
+        many = per_row[rows]
+        first = np.repeat(self.starts[code[rows]] - (np.cumsum(many) - many), many)
+        entry = first + np.arange(len(first))
+        cell = np.repeat(owner, many) * self.n + self.queries[entry]
+        score = np.bincount(cell, np.repeat(part, many) * self.weights[entry], minlength=len(starts) * self.n).reshape(-1, self.n)
+        for shape, numbers in self.shapes.items():
+            if shape:
+                score[np.ix_(~_filter_mask(facts, dict(shape)), numbers)] = 0
+        job, query = np.nonzero(score > 0)
+        score = score[job, query]
+        flags = {c: (facts[c] == 1).to_numpy(int) for c in ("exists_in_london", "exists_in_uk", "has_description")}
+        tier = (8 * flags["exists_in_london"] + 4 * flags["exists_in_uk"] + flags["has_description"])[job]
+        titles = pd.factorize(np.concatenate([facts["title_is"].to_numpy(), self.titles.to_numpy()]))[0]
+        tier += 2 * (titles[job] == titles[len(starts) + query])
+        rounded = np.round(score, DIGITS)
+        bar = self.bar_tier[query]
+        single = (facts["copy"].to_numpy() == 0)[job] & self.alone[query]
+        keep = ~single | (tier > bar) | ((tier == bar) & (rounded >= self.bar_score[query]))
+        job, query, score, tier, rounded, single = (x[keep] for x in (job, query, score, tier, rounded, single))
+        ids = jobs.column("id").fill_null(0).to_numpy()[job]
+        order = np.lexsort((ids, -rounded, -tier, ~single, query))
+        job, query, score, tier, rounded, single = (x[order] for x in (job, query, score, tier, rounded, single))
+        begins = np.searchsorted(query, query)
+        place = np.arange(len(query)) - begins
+        last = single & (place == self.k - 1)
+        self.bar_tier[query[last]], self.bar_score[query[last]] = tier[last], rounded[last]
+        keep = ~single | (place < self.k)
+        job, query, score, tier = (x[keep] for x in (job, query, score, tier))
+        cells = [pa.array(query, pa.int32()), jobs.column("id").combine_chunks().take(pa.array(job)), pa.array(tier, pa.int32()), pa.array(score)]
+        yield pa.RecordBatch.from_arrays(cells, ["number", "id", "tier", "score"])
 
 
 def score_rrf(rank: Column, k: int = fx.RRF_K) -> Column:

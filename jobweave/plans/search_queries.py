@@ -61,7 +61,7 @@ FUSE_SQL = """, fu AS (SELECT *, count(br) OVER (PARTITION BY query_id) AS nb, c
 def idx_build(t):
     """The index is written anew each time; its postings are the answer."""
     index = retrieval.SearchIndex.build(t.jobs_docs, t.work_folder())
-    return index.postings.select("term", "id", "field", F.col("tf").cast("bigint").alias("tf"))
+    return index.places.select("term", "id", "field", F.col("tf").cast("bigint").alias("tf"))
 
 
 @query(

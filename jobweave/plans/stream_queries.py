@@ -84,7 +84,7 @@ def stream_index_refresh(t):
         *[value.alias(name) for name, value in (fixed | flags).items()],
     )
     index = stream.refresh_index(changes.filter("id IS NOT NULL"), folder)
-    rows = index.postings.filter("field = 'job_title'")
+    rows = index.places.filter("field = 'job_title'")
     return rows.select("term", "id", "field", F.col("tf").cast("bigint").alias("tf"))
 
 

@@ -308,3 +308,27 @@ def test_search_log(spark):
     got = sorted((r["user_id"], r["search_keywords"], r["filters_applied"] or "") for r in rows.collect())
     assert got == [(1, "nurse", ""), (1, "nurse", '{"category":"6","location":"x"}'), (2, "cook", ""), (2, "cook", "")]
     assert {r["user_id"]: r["search_count"] for r in usage.daily_searches(rows, "2024-01-20 15:00:00").collect()} == {1: 2, 2: 2}
+
+
+def test_postings_hold_places_only(spark, corpus, make_jobs, tmp_path):
+    """What ranking needs lies in the documents once, not in each row of the postings."""
+    retrieval.SearchIndex.build(make_jobs(*corpus), str(tmp_path), parts=3)
+    assert set(spark.read.parquet(f"{tmp_path}/postings").columns) == {"id", "copy", "term", "tf", "at", "field", "part", "version"}
+
+
+def test_block_scores_equal_joins(spark, corpus, make_jobs, tmp_path, monkeypatch):
+    """Blocks of few jobs, jobs without or with a repeated id, filters and a repeated request: as by joins of rows."""
+    jobs = make_jobs(*corpus)
+    jobs = jobs.unionByName(jobs.filter("id < 9")).unionByName(jobs.filter("id < 40").withColumn("id", F.lit(None).cast("bigint")))
+    built = retrieval.SearchIndex.build(jobs, str(tmp_path), parts=2)
+    asked = requests(spark, ("data engineer", {}, None), ("the night shift data", {"location": "LON"}, None), ("night_shift the", {}, None))
+    asked = asked.unionByName(asked.filter("query_id = 1"))
+
+    def found(**few):
+        rows = retrieval.search_bm25(asked, built, candidates=7).orderBy("query_id", "rank").collect()
+        return [(r["query_id"], r["id"], r["rank"], round(r["bm25_score"], 6)) for r in rows]
+
+    monkeypatch.setattr(retrieval.BlockScores, "CELLS", 5)
+    blocks = found()
+    monkeypatch.setattr(retrieval, "is_small", lambda *a: False)
+    assert blocks == found() and len(blocks) > 14
