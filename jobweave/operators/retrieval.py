@@ -102,7 +102,7 @@ def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int = fx.CAN
 def _score_joined(found: DataFrame, weighed: DataFrame, wanted: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, id, tier, bm25_score) of all pairs by joins."""
     facts = index.facts.withColumnsRenamed({"id": "_id", "copy": "_copy"})
-    met = found.join(facts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).drop("_id", "_copy", "copy")
+    met = found.join(facts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left").drop("_id", "_copy", "copy")
     asked = flt.with_wanted(wanted).select("query_id", *flt.WANTED, "query_is")
     met = salted_join(met, weighed.join(asked, "query_id"), ["word"], F.col("id")).filter(flt.row_meets_request())
     # All that ranks before the score, in one number, so the sums are kept by three plain numbers per pair.
@@ -164,7 +164,7 @@ def _starts(table: pa.Table) -> np.ndarray:
     """Places where the rows of another (id, copy) begin, the first one included."""
     blank = table.column("id").is_null().to_numpy()
     ids = table.column("id").fill_null(0).to_numpy()
-    copies = table.column("copy").to_numpy()
+    copies = table.column("copy").fill_null(-1).to_numpy()
     other = (ids[1:] != ids[:-1]) | (copies[1:] != copies[:-1]) | (blank[1:] != blank[:-1])
     return np.concatenate([[0], np.flatnonzero(other) + 1])
 
@@ -208,12 +208,23 @@ class BlockScores:
         facts = code[starts] < 0
         some = facts & (ends - starts > 1)
         per_row = np.where(code >= 0, self.per_word[np.maximum(code, 0)], 0) if len(self.per_word) else np.zeros(len(code), int)
+        yield from self._without_facts(table, code)
         work = np.maximum(np.add.reduceat(per_row, starts), self.n)[some]
         starts, ends = starts[some], ends[some]
         piece = (np.cumsum(work) - work) // self.CELLS
         for low, high in zip(*(np.searchsorted(piece, np.unique(piece), side) for side in ("left", "right"))):
             yield from self._piece(table, code, per_row, starts[low:high], ends[low:high])
 
+    def _without_facts(self, table: pa.Table, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A phrase of a repeated id may lack the copy that it starts in: found by queries without filters, without a score."""
+        rows = np.flatnonzero(table.column("copy").is_null().to_numpy())
+        if len(rows):
+            pairs = [(i, q) for i in rows for q in self.queries[self.starts[code[i]] : self.starts[code[i] + 1]]]
+            pairs = [(i, q) for i, q in pairs if not any((self.filters[q] or {}).values())]
+            ids = table.column("id").combine_chunks().take(pa.array([i for i, _ in pairs], pa.int64()))
+            none = [pa.nulls(len(pairs), kind) for kind in (pa.int32(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array([q for _, q in pairs], pa.int32()), ids, *none], ["number", "id", "tier", "score"])
+
     def _piece(self, table: pa.Table, code: np.ndarray, per_row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         jobs = table.select(["id", "copy", *RANKING[1:]]).take(pa.array(starts))
         facts = jobs.to_pandas()
