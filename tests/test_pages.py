@@ -226,6 +226,6 @@ def test_crawl_reads_its_levels_as_one_table(spark):
     at = [f"http://a.org/{i}" for i in range(7)]
     starts = spark.createDataFrame([("a", at[0])], "org string, url string")
     stored = spark.createDataFrame([(one, 1, two) for one, two in zip(at, at[1:])], "page_url string, position int, url string")
-    found = links.crawl_frontier(starts, stored, ats=())
+    found = links.crawl_frontier(starts, stored, ats=("jobs.example",))
     assert "Union" not in found._jdf.queryExecution().analyzed().toString()
     assert [tuple(r) for r in found.orderBy("depth").collect()] == [("a", url, i, i + 1) for i, url in enumerate(at)]
