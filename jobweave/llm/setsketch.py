@@ -287,13 +287,20 @@ def one_each(members: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def all_pairs(members: DataFrame, centers: int) -> DataFrame:
-    """Pairs (a, b) of members of other labels in buckets of at most `centers` members, without those of the largest label."""
+def all_pairs(members: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of members of other labels that share a bucket, without those of the largest label.
+
+    Members of one of the `groups` (node, label) have met each other in tiles and are not paired again.
+    """
     sizes = members.groupBy("hash", "label").agg(F.count("*").alias("n"))
     largest = stored(sizes.groupBy("hash").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n")), "largest")
+    if groups is None:
+        members = members.withColumn("group", F.lit(None))
+    else:
+        members = members.join(small(groups.select("node", F.col("label").alias("group"))), "node", "left")
     minor = attach(members, largest, "hash", "n", ["node"], limit=SMALL_ROWS).filter("label <> largest")
-    minor = minor.select("hash", F.col("node").alias("other"), F.col("label").alias("own"))
-    met = members.join(minor, "hash").filter("label <> own")
+    minor = minor.select("hash", F.col("node").alias("other"), F.col("label").alias("own"), F.col("group").alias("own_group"))
+    met = members.join(minor, "hash").filter("label <> own AND NOT coalesce(group = own_group, false)")
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -328,8 +335,9 @@ def joining_links(labels: list, sets: list[np.ndarray], outer: np.ndarray, perce
     return [(int(rows[i[k]]), int(columns[j[k]])) for k in first]
 
 
-def tile_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join the labels of `members` (hash, node, label) wherever buckets share members.
+def tile_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join the labels of `members` (hash, node, label) wherever buckets share members, and the groups
+    (node, label) of buckets that share members.
 
     Every member outside the largest label of its group of buckets meets all others of the group, in tiles of two blocks; the
     number of blocks follows from the counted members and the bytes of their sets.
@@ -367,7 +375,7 @@ def tile_links(members: DataFrame, sets: DataFrame, percent: int, block: int = B
         pick = lambda k: node.take(pa.array([pair[k] for pair in found], pa.int64()))
         return pa.table([pick(0), pick(1)], ["a", "b"])
 
-    return stored(copies.groupBy("group", "inner", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"), "links")
+    return stored(copies.groupBy("group", "inner", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"), "links"), groups
 
 
 def labelled_nodes(nodes: DataFrame, docs: DataFrame, size: int, percent: int, bands: int, rows: int, centers: int) -> DataFrame:
@@ -395,11 +403,12 @@ def labelled_nodes(nodes: DataFrame, docs: DataFrame, size: int, percent: int, b
         tested = pairs if tested is None else stored(tested.unionAll(pairs), "tested")
         labels = components(labels, verified(likely(pairs, nodes, bands * rows, least), sets, percent))
         members = still_open(members)
-    large = members.filter(F.col("size") > centers)
+    large, groups = members.filter(F.col("size") > centers), None
     if large.limit(1).count():
-        labels = components(labels, tile_links(large, sets, percent))
+        links, groups = tile_links(large, sets, percent)
+        labels = components(labels, links)
         members = still_open(members.filter(F.col("size") <= centers))
-    pairs = stored(all_pairs(members, centers).join(small(tested), ["a", "b"], "left_anti"), "pairs")
+    pairs = stored(all_pairs(members, groups).join(small(tested), ["a", "b"], "left_anti"), "pairs")
     return components(labels, verified(likely(pairs, nodes, bands * rows, least), sets, percent))
 
 

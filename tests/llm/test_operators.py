@@ -739,6 +739,24 @@ def test_hundreds_of_copies_around_the_threshold(make_docs, monkeypatch):
     assert 5 < len(set(want.values())) < 215
 
 
+def test_members_that_met_in_tiles_are_not_paired_again(make_docs, monkeypatch):
+    """Small buckets of a group whose large buckets were compared in tiles: pairs do not grow with the square of the group."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    texts = {}
+    for at in range(220):
+        own = list(base)
+        for _ in range(rng.randint(4, 9)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10_000)}"
+        texts[at] = " ".join(own)
+    counts, likely = [], setsketch.likely
+    monkeypatch.setattr(setsketch, "likely", lambda pairs, *more: counts.append(pairs.count()) or likely(pairs, *more))
+    want, _ = brute_components(texts, 2)
+    rows = setsketch.grouped(make_docs([(i, t, "s") for i, t in texts.items()]), 2, centers=16).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want
+    assert counts[-1] <= len(texts)
+
+
 def test_links_of_a_tile_join_labels():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(50)]
