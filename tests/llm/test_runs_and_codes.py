@@ -57,6 +57,21 @@ def test_repeated_strings_of_odd_rows(spark, odd_rows):
     assert_repeats(spark, [])
 
 
+def test_later_rounds_take_the_strings_of_large_groups_only(spark, monkeypatch):
+    """Bytes that a round reads: whole texts in the first one, stretches around the shared passage afterwards."""
+    passage, taken, places_of = prose(1, 70), [], suffix_runs.places_of
+    rows = [(i, prose(10 + i, 900) + passage + prose(50 + i, 900)) for i in range(8)]
+
+    def counted(docs, *more):
+        taken.append(docs.agg(F.sum(F.octet_length("bytes"))).first()[0])
+        return places_of(docs, *more)
+
+    monkeypatch.setattr(suffix_runs, "places_of", counted)
+    assert_repeats(spark, rows, group=1)
+    assert len(taken) == 6 and taken[0] == taken[1] == sum(len(t.encode()) for _, t in rows)
+    assert all(n < 8 * (len(passage.encode()) + 800) for n in taken[2:])
+
+
 @pytest.mark.parametrize("group", [1, 3, 2000])
 def test_near_copies_need_every_width(spark, group):
     """Groups of many different contexts are done again with smaller widths, with the same result."""
