@@ -4,10 +4,14 @@ import sqlite3
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from jobweave.operators import projections, retrieval, usage
+from jobweave import fixed_values as fx
+from jobweave.operators import filters as flt
+from jobweave.operators import projections, retrieval, search_index, usage
 
 
 def hashing_embedder(size):
@@ -332,3 +336,30 @@ def test_block_scores_equal_joins(spark, corpus, make_jobs, tmp_path, monkeypatc
     blocks = found()
     monkeypatch.setattr(retrieval, "is_small", lambda *a: False)
     assert blocks == found() and len(blocks) > 14
+
+
+def test_categories_of_many_texts_equal_the_plain_tests(spark):
+    """All needles, cut and joined in odd ways, over several chunks."""
+    needles = [n for found in fx.SEARCH_CATEGORIES.values() for n in found]
+    low = [" ", "", "x  y", "日本 straße", *needles, *(n[:-1] for n in needles), *(f"a{n}s  {m}" for n, m in zip(needles, needles[7:]))]
+    low = [x.lower() for x in low]
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in low], "low string").select(flt.category_list(F.col("low"))).collect()]
+    for most in (1, 300, 1 << 20):
+        assert flt.category_lists(pa.array(low), most).to_pylist() == want
+    assert len(flt.category_lists(pa.array([], pa.string()))) == 0
+
+
+def test_postings_are_counted_in_pieces_and_files_are_sorted(spark, make_jobs, tmp_path):
+    words = [["b", "a", "b"], ["日本", "a"], ["z"] * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3]), pa.array([0, 7, 0]), pa.array(["f", "g", "f"]), pa.array(words)], ["id", "copy", "field", "words"])
+    for most in (1, 4, 100):
+        rows = [r for made in search_index.counted_terms(batch, most) for r in made.to_pylist()]
+        assert sorted((r["copy"], r["id"] or 0, r["field"], r["term"], r["tf"], tuple(r["at"])) for r in rows) == [
+            (0, 1, "f", "a", 1, (2,)), (0, 1, "f", "b", 2, (1, 3)), (0, 3, "f", "z", 5, (1, 2, 3, 4, 5)), (7, 0, "g", "a", 1, (2,)), (7, 0, "g", "日本", 1, (1,))]
+    titles = ["engineering engineers", "éa engineer", "engineer data 日本", "engineerin zz"]
+    jobs = make_jobs(*({"job_title": titles[i % 4], "location": "here"} for i in range(40)))
+    retrieval.SearchIndex.build(jobs, str(tmp_path / "index"), parts=2)
+    for file in (tmp_path / "index" / "postings").rglob("*.parquet"):
+        rows = pq.read_table(file, partitioning=None).select(["term", "id"]).to_pylist()
+        keys = [(r["term"].encode(), r["id"]) for r in rows]
+        assert keys == sorted(keys)
