@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -22,6 +23,8 @@ from jobweave.operators.search_index import INDEX_COLUMNS, RANKING, TITLE, VECTO
 from jobweave.sources import workdir
 
 DIGITS = 9
+#: Columns of `RANKING` behind the id that are numbers and never null; the others are texts.
+NUMBERS = ("dl", "exists_in_uk", "exists_in_london", "has_description")
 MAX_QUERIES = 2048
 
 
@@ -145,9 +148,7 @@ def _score_in_blocks(found: DataFrame, weighed: DataFrame, asked: DataFrame, ind
     shared = spark.sparkContext.broadcast(block)
     coded = F.broadcast(spark.createDataFrame(list(codes.items()), "word string, code int"))
     hit = found.join(coded, "word").select("id", "copy", "code", F.col("tf").cast("int").alias("tf"))
-    needed = [c for c in RANKING if c != "id"]
-    facts = index.facts.select("id", "copy", F.lit(-1).alias("code"), *needed)
-    both = facts.unionByName(hit, allowMissingColumns=True).repartition("id", "copy").sortWithinPartitions("id", "copy", "code")
+    both = with_facts(hit, index).repartition("id", "copy").sortWithinPartitions("id", "copy", "code")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = BlockScores(shared.value)
@@ -160,6 +161,16 @@ def _score_in_blocks(found: DataFrame, weighed: DataFrame, asked: DataFrame, ind
     return scored.join(names, "number").groupBy("query_id", "id", "tier").agg(F.sum("score").alias("bm25_score"))
 
 
+def with_facts(hit: DataFrame, index: SearchIndex) -> DataFrame:
+    """Hits (id, copy, code, tf) and for every job a row of its facts with code -1.
+
+    The facts are one text: a job has many hits, and each of them would carry a null for every column.  Of equal rows of a job
+    the first one gives the facts, so they are not looked for here.
+    """
+    facts = index.docs.select("id", "copy", F.lit(-1).alias("code"), F.to_json(F.struct(*RANKING[1:])).alias("facts"))
+    return facts.unionByName(hit, allowMissingColumns=True)
+
+
 def _starts(table: pa.Table) -> np.ndarray:
     """Places where the rows of another (id, copy) begin, the first one included."""
     blank = table.column("id").is_null().to_numpy()
@@ -226,8 +237,8 @@ class BlockScores:
             yield pa.RecordBatch.from_arrays([pa.array([q for _, q in pairs], pa.int32()), ids, *none], ["number", "id", "tier", "score"])
 
     def _piece(self, table: pa.Table, code: np.ndarray, per_row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        jobs = table.select(["id", "copy", *RANKING[1:]]).take(pa.array(starts))
-        facts = jobs.to_pandas()
+        jobs = table.select(["id", "copy", "facts"]).take(pa.array(starts))
+        facts = _facts(jobs.column("facts"))
         owner = np.repeat(np.arange(len(starts)), ends - starts)
         rows = np.arange(len(owner)) + np.repeat(starts - np.concatenate([[0], np.cumsum(ends - starts)[:-1]]), ends - starts)
         owner, rows = owner[code[rows] >= 0], rows[code[rows] >= 0]
@@ -251,7 +262,7 @@ class BlockScores:
         tier += 2 * (titles[job] == titles[len(starts) + query])
         rounded = np.round(score, DIGITS)
         bar = self.bar_tier[query]
-        single = (facts["copy"].to_numpy() == 0)[job] & self.alone[query]
+        single = (jobs.column("copy").to_numpy() == 0)[job] & self.alone[query]
         keep = ~single | (tier > bar) | ((tier == bar) & (rounded >= self.bar_score[query]))
         job, query, score, tier, rounded, single = (x[keep] for x in (job, query, score, tier, rounded, single))
         ids = jobs.column("id").fill_null(0).to_numpy()[job]
@@ -267,6 +278,12 @@ class BlockScores:
         yield pa.RecordBatch.from_arrays(cells, ["number", "id", "tier", "score"])
 
 
+def _facts(texts: pa.ChunkedArray) -> pd.DataFrame:
+    """What ranking needs of some jobs, from its text; nulls are left out of the texts."""
+    rows = [json.loads(text) for text in texts.to_pylist()]
+    return pd.DataFrame({c: pd.Series([row.get(c) for row in rows], dtype=None if c in NUMBERS else object) for c in RANKING[1:]})
+
+
 def score_rrf(rank: Column, k: int = fx.RRF_K) -> Column:
     return F.lit(1.0) / (F.lit(k) + rank)
 

@@ -363,3 +363,21 @@ def test_postings_are_counted_in_pieces_and_files_are_sorted(spark, make_jobs, t
         rows = pq.read_table(file, partitioning=None).select(["term", "id"]).to_pylist()
         keys = [(r["term"].encode(), r["id"]) for r in rows]
         assert keys == sorted(keys)
+
+
+def test_hits_carry_one_text_instead_of_all_facts(spark, make_jobs, tmp_path):
+    """Rows of hits stay narrow; facts with nulls, quotes and line ends come back as they were, once for equal rows."""
+    odd = ['a "b"', "x\\y\n{z}", None, "Stra\u00dfe \u65e5\u672c"]
+    jobs = make_jobs(*({"job_title": f"data {'nurse ' * (i % 3)}", "location": odd[i % 4], "job_source": odd[(i + 1) % 4]} for i in range(24)))
+    built = retrieval.SearchIndex.build(jobs.unionByName(jobs.filter("id < 7")), str(tmp_path), parts=2)
+    hit = spark.createDataFrame([(1, 0, 0, 2)], "id bigint, copy bigint, code int, tf int")
+    assert sorted(retrieval.with_facts(hit, built).columns) == ["code", "copy", "facts", "id", "tf"]
+    asked = [(i, "data nurse", {"location": place, "job_source": source}) for i, (place, source) in enumerate([
+        (None, None), ('A "B"', None), ("y\n{", odd[2]), ("STRASSE", None), ("\u65e5", odd[0]), ("", odd[1])])]
+    asked = spark.createDataFrame(asked, "query_id bigint, query string, filters map<string,string>").withColumn("filters", F.map_filter("filters", lambda k, v: v.isNotNull()))
+    blocks = retrieval.search_bm25(asked, built)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(retrieval, "is_small", lambda *a: False)
+        joined = retrieval.search_bm25(asked, built)
+    both = [sorted((r["query_id"], r["id"], r["rank"], round(r["bm25_score"], 6)) for r in rows.collect()) for rows in (blocks, joined)]
+    assert both[0] == both[1] and {r[0] for r in both[0]} == {0, 1, 2, 4, 5}
