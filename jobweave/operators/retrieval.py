@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
 from jobweave.functions import text
-from jobweave.functions.skew import is_small, join_unique, salted_join, top_k
+from jobweave.functions.skew import is_small, join_unique, number_rows, salted_join, top_k
 from jobweave.operators import browse as listing
 from jobweave.operators import filters as flt
 from jobweave.operators.projections import LISTING, embedding_text
@@ -78,8 +79,8 @@ def hits(index: SearchIndex, words: DataFrame, few: bool) -> tuple[DataFrame, Da
     return singles.unionByName(phrases), counts
 
 
-def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int = fx.CANDIDATES) -> DataFrame:
-    """Per query the first `candidates` jobs whose title has one of its words.
+def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int | None = fx.CANDIDATES) -> DataFrame:
+    """Per query the first `candidates` jobs whose title has one of its words; all of them, however many, if it is None.
 
     Order and rank: London, UK, exact title, has description, then score, then id.  Term counts are those of the title;
     lengths are over all indexed columns.
@@ -98,10 +99,20 @@ def search_bm25(queries: DataFrame, index: SearchIndex, candidates: int = fx.CAN
     else:
         scored = _score_joined(found, weighed, wanted, index)
     scored = scored.withColumn("bm25_score", F.round("bm25_score", DIGITS))
+    if candidates is None:
+        return _all_ranked(scored)
     order = [F.desc("tier"), F.desc("bm25_score"), F.asc("id")]
     return top_k(scored, ["query_id"], order, candidates, F.col("id")).drop("tier")
 
 
+def _all_ranked(scored: DataFrame) -> DataFrame:
+    """Every scored row with its rank, numbered range by range; rows without a tier or a score come last."""
+    behind = {"_tier": F.coalesce(-F.col("tier"), F.lit(1)), "_score": F.coalesce(-F.col("bm25_score"), F.lit(math.inf))}
+    kept = workdir.stored(scored.withColumns(behind), workdir.shared_folder(scored.sparkSession))  # ranges are sampled
+    ranked = number_rows(kept, ["query_id"], ["_tier", "_score", "id"], "rank")
+    return ranked.drop("tier", "_tier", "_score")
+
+
 def _score_joined(found: DataFrame, weighed: DataFrame, wanted: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, id, tier, bm25_score) of all pairs by joins."""
     facts = index.facts.withColumnsRenamed({"id": "_id", "copy": "_copy"})
@@ -116,8 +127,8 @@ def _score_joined(found: DataFrame, weighed: DataFrame, wanted: DataFrame, index
     return met.groupBy("query_id", "id", tier.alias("tier")).agg(F.sum(part).alias("bm25_score"))
 
 
-def _score_in_blocks(found: DataFrame, weighed: DataFrame, asked: DataFrame, index: SearchIndex, k: int) -> DataFrame:
-    """(query_id, id, tier, bm25_score) of all pairs that may be among the first `k` of their query.
+def _score_in_blocks(found: DataFrame, weighed: DataFrame, asked: DataFrame, index: SearchIndex, k: int | None) -> DataFrame:
+    """(query_id, id, tier, bm25_score) of all pairs that may be among the first `k` of their query, or of all pairs.
 
     Hits and the facts of the jobs are shuffled by job and sorted, so each job lies in one piece.  A task adds up its jobs
     against all queries, a block at a time, and leaves out what is behind `k` jobs of one block already.  Jobs or queries
@@ -270,10 +281,11 @@ class BlockScores:
         job, query, score, tier, rounded, single = (x[order] for x in (job, query, score, tier, rounded, single))
         begins = np.searchsorted(query, query)
         place = np.arange(len(query)) - begins
-        last = single & (place == self.k - 1)
-        self.bar_tier[query[last]], self.bar_score[query[last]] = tier[last], rounded[last]
-        keep = ~single | (place < self.k)
-        job, query, score, tier = (x[keep] for x in (job, query, score, tier))
+        if self.k is not None:
+            last = single & (place == self.k - 1)
+            self.bar_tier[query[last]], self.bar_score[query[last]] = tier[last], rounded[last]
+            keep = ~single | (place < self.k)
+            job, query, score, tier = (x[keep] for x in (job, query, score, tier))
         cells = [pa.array(query, pa.int32()), jobs.column("id").combine_chunks().take(pa.array(job)), pa.array(tier, pa.int32()), pa.array(score)]
         yield pa.RecordBatch.from_arrays(cells, ["number", "id", "tier", "score"])
 

@@ -338,6 +338,38 @@ def test_block_scores_equal_joins(spark, corpus, make_jobs, tmp_path, monkeypatc
     assert blocks == found() and len(blocks) > 14
 
 
+def test_bm25_of_all_hits(spark, index, monkeypatch):
+    """Without a limit no hit is left out and ranks go on, by blocks of few jobs and by joins."""
+    asked = requests(spark, *((q, {}, None) for q in QUERIES), ("the", {"location": "LON"}, None))
+    monkeypatch.setattr(retrieval.BlockScores, "CELLS", 20)
+
+    def found(candidates):
+        rows = retrieval.search_bm25(asked, index, candidates).select("query_id", "id", "rank", F.round("bm25_score", 6)).collect()
+        return sorted(map(tuple, rows))
+
+    whole = found(None)
+    assert whole == found(1000) and len(whole) > len(found(50)) > 0
+    monkeypatch.setattr(retrieval, "is_small", lambda *a: False)
+    assert whole == found(None)
+
+
+def test_phrase_query_asks_for_all_hits(spark, index, monkeypatch):
+    """No number of candidates, however large, stands between the hits and the answer."""
+    from types import SimpleNamespace
+
+    from jobweave.plans import search_queries
+
+    real, asked_for = retrieval.search_bm25, []
+
+    def search(queries, built, candidates=fx.CANDIDATES):
+        asked_for.append(candidates)
+        return real(queries, built, candidates)
+
+    monkeypatch.setattr(retrieval, "search_bm25", search)
+    search_queries.search_phrases(SimpleNamespace(spark=spark, index=lambda jobs: index)).collect()
+    assert asked_for == [None]
+
+
 def test_categories_of_many_texts_equal_the_plain_tests(spark):
     """All needles, cut and joined in odd ways, over several chunks."""
     needles = [n for found in fx.SEARCH_CATEGORIES.values() for n in found]
