@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fx
+from jobweave.functions import text
 from jobweave.operators import filters as flt
 from jobweave.operators import projections, retrieval, search_index, usage
 
@@ -397,6 +398,39 @@ def test_postings_are_counted_in_pieces_and_files_are_sorted(spark, make_jobs, t
         assert keys == sorted(keys)
 
 
+def test_postings_travel_in_lists(spark, make_jobs, monkeypatch):
+    """A worker packs its postings by part, piece and field; unpacked they are those counted one by one, sorted, null ids too."""
+    titles = ["the data of the nurse", "", "日本 nurse é", None, "the the", "z"]
+    jobs = make_jobs(*({"id": None if i == 7 else 10_000_000_000 - i, "job_title": titles[i % 6], "location": f"here {i % 2}"} for i in range(30)))
+    docs = search_index.searchable(jobs.unionByName(jobs.filter("id % 2 = 0"))).cache()
+    rows = search_index.packed_terms(docs, 3, 2)
+    want = sorted(search_index.term_counts(docs).withColumn("part", search_index.part_of(F.col("term"), 3)).collect(), key=repr)
+    got = search_index.merged(rows).collect()
+    assert sorted((r.asDict() for r in got), key=repr) == sorted((r.asDict() for r in want), key=repr)
+    whole = pa.Table.from_pylist([r.asDict() for r in rows.collect()], pa.schema({
+        "part": pa.int32(), "piece": pa.int32(), "field": pa.string(), "terms": pa.list_(pa.string()), "docs": pa.list_(pa.int32()),
+        "ids": pa.list_(pa.int64()), "copies": pa.list_(pa.int64()), "tfs": pa.list_(pa.int32()), "places": pa.list_(pa.int32())}))
+    assert len(whole) < len(want) / 2
+    for most in (1, 7, 1000):
+        made = [r for batch in search_index.unpacked(whole, most) for r in batch.to_pylist()]
+        keys = [(r["field"], r["part"], r["term"].encode(), r["id"] or 0) for r in made]
+        assert keys == sorted(keys) and len(made) == len(want)
+    monkeypatch.setattr(search_index, "BATCH_WORDS", 3)
+    assert sorted((r.asDict() for r in search_index.merged(search_index.packed_terms(docs, 3, 2)).collect()), key=repr) == sorted((r.asDict() for r in want), key=repr)
+
+
+def test_title_marks_and_trim_equal_the_plain_rules(spark):
+    needles = [*fx.COURSE_WORDS, *(n for found in fx.SEARCH_CATEGORIES.values() for n in found)]
+    low = ["", " ", "a  b", *needles, *(f"{n[:-1]}" for n in needles), *(f"x {n}y z" for n in needles), *(n.replace(" ", "  ") for n in needles)]
+    rows = spark.createDataFrame([(x.lower(),) for x in low], "low string")
+    want = [tuple(r) for r in rows.select(flt.category_list(F.col("low")), flt.is_course(F.col("low"))).collect()]
+    for most in (1, 300, 1 << 20):
+        assert [tuple(r.values()) for r in flt.title_marks(pa.array([x.lower() for x in low]), most).to_pylist()] == want
+    odd = [None, "", "a", *(f"{b}x {b} y{c}{b}{c}" for b in (" ", "\t\r\n", "\x0b\x0c", "\u00a0") for c in ("", "\u0085", "\u2028", "\u2029", "\n", "\u200a"))]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string")
+    assert [r[0] == r[1] for r in rows.select(text.strip(F.col("x")), F.regexp_replace("x", r"^\s+|\s+$", "")).collect()[1:]] == [True] * (len(odd) - 1)
+
+
 def test_hits_carry_one_text_instead_of_all_facts(spark, make_jobs, tmp_path):
     """Rows of hits stay narrow; facts with nulls, quotes and line ends come back as they were, once for equal rows."""
     odd = ['a "b"', "x\\y\n{z}", None, "Stra\u00dfe \u65e5\u672c"]
