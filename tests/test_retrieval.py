@@ -419,6 +419,25 @@ def test_postings_travel_in_lists(spark, make_jobs, monkeypatch):
     assert sorted((r.asDict() for r in search_index.merged(search_index.packed_terms(docs, 3, 2)).collect()), key=repr) == sorted((r.asDict() for r in want), key=repr)
 
 
+def test_refresh_copies_what_stays(spark, corpus, make_jobs, tmp_path, monkeypatch):
+    """Postings that stay are not shuffled, but for the version that sorts all of them; both hold the same rows."""
+    every = make_jobs(*corpus)
+    changed = every.filter("id % 5 = 0").withColumn("job_title", F.concat(F.lit("fresh "), "job_title"))
+    now = every.filter("id % 5 <> 0").unionByName(changed)
+    sorted_rows = []
+    real = search_index.in_pieces
+    monkeypatch.setattr(search_index, "in_pieces", lambda rows: sorted_rows.append(1) or real(rows))
+
+    def rows(index):
+        return sorted(map(repr, index.places.collect())), sorted(map(repr, index.terms.collect())), sorted(map(repr, index.docs.collect()))
+
+    want = rows(retrieval.SearchIndex.build(now, str(tmp_path / "now"), parts=2))
+    for every_so_often, times in ((search_index.SORTED_EVERY, 0), (1, 1)):
+        monkeypatch.setattr(search_index, "SORTED_EVERY", every_so_often)
+        index = retrieval.SearchIndex.build(every, str(tmp_path / str(times)), parts=2)
+        assert rows(index.refresh(changed)) == want and len(sorted_rows) == times
+
+
 def test_title_marks_and_trim_equal_the_plain_rules(spark):
     needles = [*fx.COURSE_WORDS, *(n for found in fx.SEARCH_CATEGORIES.values() for n in found)]
     low = ["", " ", "a  b", *needles, *(f"{n[:-1]}" for n in needles), *(f"x {n}y z" for n in needles), *(n.replace(" ", "  ") for n in needles)]
