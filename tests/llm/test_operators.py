@@ -308,6 +308,21 @@ def test_template_windows_need_words(spark, make_docs):
     assert found == {(2, 4), (3, 5), (4, 2), (5, 1), (6, 6)}
 
 
+def test_template_large_benchmark_sends_hashes(spark, make_docs, monkeypatch):
+    """Many windows: one pass over the documents, the broadcast holds nothing but hashes, and the pairs are the same."""
+    items = spark.createDataFrame([(i, f"A train number {i} travels 60 km in 2 hours and then Anna and Bert walk 9 miles to town {i % 5} and back") for i in range(30)], "item_id bigint, text string")
+    rows = [(i, f"Intro. A train number {i} travels 75 km in 4 hours and then Carla and Dirk walk 7 miles to town {i} and back", "a") for i in range(8)]
+    docs = make_docs([*rows, (100, "Which is larger", "a"), (101, None, "a")])
+    few = templates.contaminated(docs, items)
+    many = templates.contaminated(docs, items, block_rows=10)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and few.count() > 30
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == few._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+    assert plan.count("strategy=broadcast") == plan.count("LeftSemi") == 1
+    monkeypatch.setattr(templates, "KEY_ROWS", 7)
+    assert sorted(map(tuple, templates.contaminated(docs, items, block_rows=10).collect())) == sorted(map(tuple, few.collect()))
+
+
 @needs_data
 def test_template_equals_brute_force(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("documents", "benchmark"))
